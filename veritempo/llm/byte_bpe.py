@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from veritempo.llm.pretokens import ODD, byte_split
 
-#: Pieces that a worker keeps before it starts its cache anew (about 200 MB).
-CACHE_PIECES = 1_000_000
+#: Pieces that a worker keeps before it starts its cache anew (about 100 MB).
+CACHE_PIECES = 500_000
 #: Characters of text handled at a time inside a batch.
 CHUNK_CHARS = 1_000_000
 

@@ -5,10 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from veritempo.llm import byte_bpe, token_counts
+from veritempo.llm import byte_bpe, language_id, line_dedup, packing, token_counts, url_filter
 from veritempo.llm.common import table
 
+#: The rules that op1 judges by: verdict, host and path.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.delete_repeated_runs(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("kept_text", 256).alias("kept_sha256"))
+
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
@@ -23,8 +44,43 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
+    "op2_packing": op2_packing,
+    "op3_language_id": op3_language_id,
+    "op5_line_dedup": op5_line_dedup,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_token_counts": op9_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    # Two lines in a row that also start earlier, by plain enumeration.
+    "op5_line_dedup": r"""
+        WITH split AS (
+            SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
+        every AS (
+            SELECT doc_id, i AS at, parts[i] AS line, regexp_replace(parts[i], '^\s+|\s+$', '', 'g') AS bare
+            FROM split, unnest(range(1, len(parts) + 1)) AS r(i)),
+        content AS (
+            SELECT doc_id, at, bare, row_number() OVER (PARTITION BY doc_id ORDER BY at) - 1 AS n FROM every WHERE bare != ''),
+        pairs AS (
+            SELECT doc_id, n, bare, lead(bare) OVER (PARTITION BY doc_id ORDER BY n) AS next FROM content),
+        starts AS (
+            SELECT doc_id, n FROM (
+                SELECT doc_id, n, row_number() OVER (PARTITION BY bare, next ORDER BY doc_id, n) AS copy
+                FROM pairs WHERE next IS NOT NULL) WHERE copy > 1),
+        gone AS (
+            SELECT doc_id, n FROM starts UNION SELECT doc_id, n + 1 FROM starts),
+        runs AS (
+            SELECT doc_id, count(*) AS n_removed,
+                count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM gone p WHERE p.doc_id = g.doc_id AND p.n = g.n - 1)) AS n_runs
+            FROM gone g GROUP BY doc_id),
+        kept AS (
+            SELECT e.doc_id, string_agg(e.line, chr(10) ORDER BY e.at) AS kept
+            FROM every e LEFT JOIN content c ON c.doc_id = e.doc_id AND c.at = e.at
+            LEFT JOIN gone g ON g.doc_id = c.doc_id AND g.n = c.n WHERE g.n IS NULL GROUP BY e.doc_id)
+        SELECT s.doc_id, (SELECT count(*) FROM content c WHERE c.doc_id = s.doc_id)::INT AS n_lines,
+            coalesce(r.n_removed, 0)::INT AS n_removed, coalesce(r.n_runs, 0)::INT AS n_runs,
+            CASE WHEN s.text IS NULL THEN NULL ELSE sha256(coalesce(k.kept, '')) END AS kept_sha256
+        FROM split s LEFT JOIN runs r ON r.doc_id = s.doc_id LEFT JOIN kept k ON k.doc_id = s.doc_id
+    """,
+}

@@ -28,7 +28,7 @@ FREQUENT = 50_000
 #: Documents read for the table, at most.
 TABLE_DOCUMENTS = 2_000
 #: Entries of a worker's cache, at most.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 500_000
 
 _WORKERS: dict[str, _Counter] = {}
 
