@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritempo.llm import byte_bpe, language_id, line_dedup, packing, token_counts, url_filter
+from veritempo.llm import bit_sliced, byte_bpe, language_id, line_dedup, packing, prefix_forest, token_counts, url_filter
 from veritempo.llm.common import table
 
 #: The rules that op1 judges by: verdict, host and path.
@@ -31,6 +31,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_sliced.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -43,31 +47,50 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op10_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_forest.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_packing": op2_packing,
     "op3_language_id": op3_language_id,
     "op5_line_dedup": op5_line_dedup,
+    "op6_exact_top_k": op6_exact_top_k,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_token_counts": op9_token_counts,
+    "op10_prefix_forest": op10_prefix_forest,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_exact_top_k": """
+        WITH ok AS (
+            SELECT vec_id, min(embedding::DOUBLE[]) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+            GROUP BY vec_id),
+        sliced AS (SELECT vec_id, list_transform(e, x -> floor(256 * x)) AS v FROM ok)
+        SELECT query_id, rank::INT AS rank, vec_id, score FROM (
+            SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
+                SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+                FROM sliced q JOIN sliced c ON q.vec_id % 50 = 0 AND c.vec_id != q.vec_id AND len(c.v) = len(q.v)))
+        WHERE rank <= 5
+    """,
     # Two lines in a row that also start earlier, by plain enumeration.
     "op5_line_dedup": r"""
         WITH split AS (
             SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
+        numbered AS (
+            SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS place FROM split),
         every AS (
-            SELECT doc_id, i AS at, parts[i] AS line, regexp_replace(parts[i], '^\s+|\s+$', '', 'g') AS bare
-            FROM split, unnest(range(1, len(parts) + 1)) AS r(i)),
+            SELECT doc_id, place, parts[place] AS line, regexp_replace(parts[place], '^\s+|\s+$', '', 'g') AS bare FROM numbered),
         content AS (
-            SELECT doc_id, at, bare, row_number() OVER (PARTITION BY doc_id ORDER BY at) - 1 AS n FROM every WHERE bare != ''),
+            SELECT doc_id, place, bare, row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS n FROM every WHERE bare != ''),
         pairs AS (
-            SELECT doc_id, n, bare, lead(bare) OVER (PARTITION BY doc_id ORDER BY n) AS next FROM content),
+            SELECT doc_id, n, bare, lead(bare) OVER (PARTITION BY doc_id ORDER BY n) AS follower FROM content),
         starts AS (
             SELECT doc_id, n FROM (
-                SELECT doc_id, n, row_number() OVER (PARTITION BY bare, next ORDER BY doc_id, n) AS copy
-                FROM pairs WHERE next IS NOT NULL) WHERE copy > 1),
+                SELECT doc_id, n, row_number() OVER (PARTITION BY bare, follower ORDER BY doc_id, n) AS copy
+                FROM pairs WHERE follower IS NOT NULL) WHERE copy > 1),
         gone AS (
             SELECT doc_id, n FROM starts UNION SELECT doc_id, n + 1 FROM starts),
         runs AS (
@@ -75,8 +98,8 @@ ORACLE_SQL: dict[str, str] = {
                 count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM gone p WHERE p.doc_id = g.doc_id AND p.n = g.n - 1)) AS n_runs
             FROM gone g GROUP BY doc_id),
         kept AS (
-            SELECT e.doc_id, string_agg(e.line, chr(10) ORDER BY e.at) AS kept
-            FROM every e LEFT JOIN content c ON c.doc_id = e.doc_id AND c.at = e.at
+            SELECT e.doc_id, string_agg(e.line, chr(10) ORDER BY e.place) AS kept
+            FROM every e LEFT JOIN content c ON c.doc_id = e.doc_id AND c.place = e.place
             LEFT JOIN gone g ON g.doc_id = c.doc_id AND g.n = c.n WHERE g.n IS NULL GROUP BY e.doc_id)
         SELECT s.doc_id, (SELECT count(*) FROM content c WHERE c.doc_id = s.doc_id)::INT AS n_lines,
             coalesce(r.n_removed, 0)::INT AS n_removed, coalesce(r.n_runs, 0)::INT AS n_runs,

@@ -25,7 +25,7 @@ from veritempo.llm.pretokens import ODD, word_split
 
 #: Entries of the broadcast table, at most.
 FREQUENT = 50_000
-#: Documents read for the table, at most.
+#: Documents that the table is made from, about.
 TABLE_DOCUMENTS = 2_000
 #: Entries of a worker's cache, at most.
 CACHE_PIECES = 500_000
@@ -89,7 +89,7 @@ def _counter(path: str, table: dict[str, int]) -> _Counter:
     return _WORKERS[path]
 
 
-def frequent_lengths(docs: DataFrame, path: str, text_column: str = "text") -> dict[str, int]:
+def frequent_lengths(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> dict[str, int]:
     """Pre-tokens and their numbers of tokens, the commonest of a bounded sample; a speed aid only."""
 
     def pieces(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,14 +100,15 @@ def frequent_lengths(docs: DataFrame, path: str, text_column: str = "text") -> d
             lengths = counter.lengths(words)
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[w] for w in words], pa.int64()), pa.array([lengths[w] for w in words], pa.int32())], names=["piece", "n", "tokens"])
 
-    sample = docs.select(text_column).limit(TABLE_DOCUMENTS)
+    key = F.pmod(F.xxhash64(id_column, text_column), F.lit(1_000_000))
+    sample = docs.where(key < 1e6 * TABLE_DOCUMENTS / max(1, docs.count())).select(text_column)
     rows = sample.mapInArrow(pieces, "piece string, n long, tokens int").groupBy("piece", "tokens").agg(F.sum("n").alias("n"))
     return {r.piece: r.tokens for r in rows.orderBy(F.desc("n"), "piece").limit(FREQUENT).select("piece", "tokens").collect()}
 
 
 def token_counts(docs: DataFrame, path: str, limit: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Columns id, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit)."""
-    table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, path, text_column))
+    table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, path, id_column, text_column))
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(path, table.value)
