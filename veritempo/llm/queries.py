@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritempo.llm import bit_sliced, byte_bpe, language_id, line_dedup, packing, prefix_forest, token_counts, url_filter
+from veritempo.llm import bit_sliced, byte_bpe, language_id, line_dedup, minhash, packing, prefix_forest, token_counts, url_filter
 from veritempo.llm.common import table
 
 #: The rules that op1 judges by: verdict, host and path.
@@ -35,6 +35,11 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bit_sliced.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op5_line_dedup": op5_line_dedup,
     "op6_exact_top_k": op6_exact_top_k,
+    "op7_minhash": op7_minhash,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_token_counts": op9_token_counts,
     "op10_prefix_forest": op10_prefix_forest,
