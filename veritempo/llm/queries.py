@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritempo.llm import bit_sliced, byte_bpe, language_id, line_dedup, minhash, packing, prefix_forest, token_counts, url_filter
+from veritempo.llm import bit_sliced, byte_bpe, language_id, line_dedup, minhash, packing, prefix_forest, suffix_dedup, token_counts, url_filter
 from veritempo.llm.common import table
 
 #: The rules that op1 judges by: verdict, host and path.
@@ -26,6 +26,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = suffix_dedup.remove_repeats(docs)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup.delete_repeated_runs(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -60,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_packing": op2_packing,
     "op3_language_id": op3_language_id,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op6_exact_top_k": op6_exact_top_k,
     "op7_minhash": op7_minhash,
