@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 #: Buckets of the hashed n-grams.
 BUCKETS = 1 << 16
@@ -218,7 +219,7 @@ def predict(docs: DataFrame, model: dict | None, id_column: str = "doc_id", text
                 scores += np.where(found, p[np.arange(len(best)), best], 0.0).tolist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double"
+    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     return docs.mapInArrow(batches, schema)
 
 

@@ -36,6 +36,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from veritempo.llm.common import checkpoint
 from veritempo.llm.shingles import mix, prefix_hashes, span_hashes
@@ -118,22 +119,22 @@ def _runs(docs: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _numbered(docs: DataFrame, text_column: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    """rid, an integer in the order of doc_id and text hash, and text, one row per document; and the way back.
+    """rid, an integer in the order of doc_id and text hash, text and row (the columns of docs but the text); and a way on.
 
-    The way back turns results by rid to results by doc_id, one for each row of docs.
+    There is one row per document. The way on turns results by rid, text and row to one result for each row of docs.
     """
-    texts = F.coalesce(F.col(text_column), F.lit("")).alias("text")
+    text = F.coalesce(F.col(text_column), F.lit("")).alias("text")
+    row = F.struct(F.col(text_column).isNull().alias("no_text"), *[F.col(f"`{c}`") for c in docs.columns if c != text_column]).alias("row")
     whole = docs.schema["doc_id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
     n, known, distinct = docs.agg(F.count("*"), F.count("doc_id"), F.count_distinct("doc_id")).first()
     if whole and n == known == distinct:
-        kind = docs.schema["doc_id"].dataType
-        return docs.select(F.col("doc_id").cast("long").alias("rid"), texts), lambda found: found.withColumn("rid", F.col("rid").cast(kind)).withColumnRenamed("rid", "doc_id")
-    keyed = docs.select("doc_id", F.xxhash64(text_column).alias("h"), texts)
+        return docs.select(F.col("doc_id").cast("long").alias("rid"), text, row), lambda found: found.drop("rid")
+    keyed = docs.select("doc_id", F.xxhash64(text_column).alias("h"), text, row)
     ids = checkpoint(keyed.select("doc_id", "h").distinct().orderBy("doc_id", "h").withColumn("rid", F.monotonically_increasing_id()))
     ids = ids.withColumnsRenamed({"doc_id": "doc_id_", "h": "h_"})
     same = F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("h") == F.col("h_"))
-    rows = keyed.join(ids, same).groupBy("rid").agg(F.min("text").alias("text"))
-    return rows, lambda found: keyed.select("doc_id", "h").join(ids, same).join(found, "rid").drop("rid", "h", "doc_id_", "h_")
+    rows = keyed.join(ids, same).groupBy("rid").agg(F.min("text").alias("text"), F.first("row").alias("row"))
+    return rows, lambda found: keyed.join(ids, same).select("rid", "row").join(found.drop("row"), "rid").drop("rid")
 
 
 def _sampled(rows: DataFrame, length: int) -> DataFrame:
@@ -206,15 +207,17 @@ def _sorted_buckets(runs: DataFrame) -> DataFrame:
 
 
 def _packed(rows: DataFrame) -> DataFrame:
-    """rid and compressed text."""
+    """The rows with their text compressed."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in source:
-            packed = pa.array([pack(t.as_buffer()) if t.is_valid else pack(b"") for t in batch.column(1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), packed], names=["rid", "packed"])
+            packed = pa.array([pack(t.as_buffer()) for t in batch.column(0)], pa.binary())
+            yield pa.RecordBatch.from_arrays([packed, *batch.columns[1:]], names=["packed", *rest])
 
-    return rows.select("rid", "text").mapInArrow(batches, "rid long, packed binary")
+    rest = [c for c in rows.columns if c != "text"]
+    schema = StructType([StructField("packed", BinaryType()), *(rows.schema[c] for c in rest)])
+    return rows.select("text", *rest).mapInArrow(batches, schema)
 
 
 def _tied_windows(packed: DataFrame, ties: DataFrame, length: int) -> DataFrame:
@@ -284,26 +287,32 @@ def _cut(data: bytes, codes: np.ndarray, length: int) -> tuple[bytes, int, int]:
     return np.frombuffer(data, np.uint8)[~gone].tobytes(), int(gone.sum()), spans
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, text_column: str = "text") -> DataFrame:
-    """The rows with n_bytes, n_removed, n_spans, kept_sha256 and kept_text (null where nothing is removed) added."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, text_column: str = "text", with_text: bool = True) -> DataFrame:
+    """The rows with n_bytes, n_removed, n_spans and kept_sha256 added, and kept_text in place of the text if asked for."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in source:
-            rows = []
-            for packed, codes in zip(batch.column(1), batch.column(2), strict=True):
+            results = []
+            for packed, codes in zip(batch.column("packed"), batch.column("codes"), strict=True):
                 data = unpack(packed.as_buffer())
                 kept, removed, spans = _cut(data, codes.values.to_numpy(zero_copy_only=False) if codes.is_valid else np.zeros(0, np.int64), length)
-                rows.append((len(data), removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if removed else None))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["rid", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
-
-    rows, named = _numbered(docs, text_column)
-    packed = _packed(rows)
+                results.append((len(data), removed, spans, hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "ignore")] if with_text else [])))
+            columns = list(zip(*results, strict=True)) if results else [[] for _ in kinds]
+            added = [pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *added], names=[*rest, *kinds])
+
+    kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()} | ({"kept_text": pa.string()} if with_text else {})
+    rows, on = _numbered(docs, text_column)
+    rest = ["rid", "row"]
     found = _sorted_buckets(_sampled(rows, length))
     ties = found.where(F.col("code").bitwiseAND(255) == TIE)
-    repeats = found.where(F.col("code").bitwiseAND(255) == REPEAT).unionByName(_sorted_windows(_tied_windows(packed, ties, length)))
+    repeats = found.where(F.col("code").bitwiseAND(255) == REPEAT).unionByName(_sorted_windows(_tied_windows(_packed(rows.select("rid", "text")), ties, length)))
     codes = repeats.groupBy("rid").agg(F.collect_list("code").alias("codes"))
-    cut = packed.join(codes, "rid", "left").select("rid", "packed", "codes")
-    return named(cut.mapInArrow(batches, "rid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"))
+    cut = _packed(rows).join(codes, "rid", "left").select("packed", "codes", *rest)
+    types = {k: StringType() if pa.types.is_string(t) else LongType() for k, t in kinds.items()}
+    schema = StructType([*(rows.schema[c] for c in rest), *(StructField(k, t) for k, t in types.items())])
+    cut = on(cut.mapInArrow(batches, schema))
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c != text_column]
+    text = [F.when(~F.col("row.no_text"), F.col("kept_text")).alias("kept_text")] if with_text else []
+    return cut.select(*own, "n_bytes", "n_removed", "n_spans", "kept_sha256", *text)
