@@ -217,7 +217,8 @@ def _packed(rows: DataFrame) -> DataFrame:
 
     rest = [c for c in rows.columns if c != "text"]
     schema = StructType([StructField("packed", BinaryType()), *(rows.schema[c] for c in rest)])
-    return rows.select("text", *rest).mapInArrow(batches, schema)
+    # no rid is null; said here, the inner and the outer join read the same shuffle
+    return rows.select("text", *rest).mapInArrow(batches, schema).where("rid is not null")
 
 
 def _tied_windows(packed: DataFrame, ties: DataFrame, length: int) -> DataFrame:
@@ -236,7 +237,7 @@ def _tied_windows(packed: DataFrame, ties: DataFrame, length: int) -> DataFrame:
         unpack = zstandard.ZstdDecompressor().decompress
         windows, docs, places, held = [], [], [], 0
         for batch in source:
-            for rid, packed, codes in zip(*(c for c in batch.columns), strict=True):
+            for rid, packed, codes in zip(*batch.columns[:3], strict=True):
                 codes = np.sort(codes.values.to_numpy(zero_copy_only=False))
                 starts, more = codes >> 16, codes >> 8 & 255
                 every = np.repeat(starts, more + 1) + np.arange((more + 1).sum()) - np.repeat(np.cumsum(more + 1) - (more + 1), more + 1)
@@ -256,7 +257,8 @@ def _tied_windows(packed: DataFrame, ties: DataFrame, length: int) -> DataFrame:
             yield settle(windows, docs, places)
 
     asked = ties.groupBy("rid").agg(F.collect_list("code").alias("codes"))
-    return packed.join(asked, "rid").select("rid", "packed", "codes").mapInArrow(batches, "window long, rid long, code long")
+    # row is not used, but with it the shuffle of the compressed texts is the one that `remove_repeats` needs too
+    return packed.join(asked, "rid").select("rid", "packed", "codes", "row").mapInArrow(batches, "window long, rid long, code long")
 
 
 def _sorted_windows(windows: DataFrame) -> DataFrame:
@@ -304,12 +306,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text_column: str = "te
 
     kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()} | ({"kept_text": pa.string()} if with_text else {})
     rows, on = _numbered(docs, text_column)
-    rest = ["rid", "row"]
+    rest, packed = ["rid", "row"], _packed(rows)
     found = _sorted_buckets(_sampled(rows, length))
     ties = found.where(F.col("code").bitwiseAND(255) == TIE)
-    repeats = found.where(F.col("code").bitwiseAND(255) == REPEAT).unionByName(_sorted_windows(_tied_windows(_packed(rows.select("rid", "text")), ties, length)))
+    repeats = found.where(F.col("code").bitwiseAND(255) == REPEAT).unionByName(_sorted_windows(_tied_windows(packed, ties, length)))
     codes = repeats.groupBy("rid").agg(F.collect_list("code").alias("codes"))
-    cut = _packed(rows).join(codes, "rid", "left").select("packed", "codes", *rest)
+    cut = packed.join(codes, "rid", "left").select("packed", "codes", *rest)
     types = {k: StringType() if pa.types.is_string(t) else LongType() for k, t in kinds.items()}
     schema = StructType([*(rows.schema[c] for c in rest), *(StructField(k, t) for k, t in types.items())])
     cut = on(cut.mapInArrow(batches, schema))
