@@ -9,9 +9,10 @@ and only about K ln K darts are thrown, however large the set.
 Classes. Rows with the same text are collapsed first and take part once. Signatures are cut into bands; texts that share
 a band are candidates. No bucket is expanded into pairs: in each bucket all texts are compared with one hub, hubs being
 dealt by a hash so that bands have different ones. Compared means: the exact Jaccard similarity of the shingle sets.
-Linked texts form components, and only buckets that still hold several components go on, to other hubs; after `rounds`
-rounds of hubs the remaining buckets have every pair across components compared. Thus each candidate pair is compared or
-known to be of one class, and classes are those of comparing all candidate pairs.
+Linked texts form components, and only buckets that still hold several components go on, to other hubs. What is open
+after `rounds` rounds of hubs goes through an exact prefix filter (`prefix_pairs`), which misses no similar pair and
+keeps unlike members of a large group apart. Thus each candidate pair is compared, shown to be unlike, or known to be of
+one class, and classes are those of comparing all candidate pairs.
 
 Defined results: a null text, or one without words, is alone in its class even if repeated; texts of any length are
 taken whole; a text of fewer than five words is one shingle; rows with the same doc_id are one document for the links; a
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritempo.llm.common import checkpoint
@@ -36,7 +37,7 @@ from veritempo.llm.shingles import jaccard, mix, shingles
 WORDS, SIMILARITY = 5, 0.8
 #: 25 bands of 5: a pair at 0.8 is missed with probability 5e-5.
 BANDS, ROWS = 25, 5
-#: Rounds of hubs before all pairs across components are compared.
+#: Rounds of hubs before the prefix filter.
 ROUNDS = 2
 CHUNK_CHARS = 1_000_000
 
@@ -164,6 +165,42 @@ def _packed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("packed").alias("packed"))
 
 
+def prefix_pairs(open_docs: DataFrame, packed: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (x, y) across components that may be similar: an exact filter, for documents that hubs left open.
+
+    open_docs: doc_id, size, component. Each set's shingles are put in one global order, rarest first. Similar sets
+    overlap so much that their first common shingle stands early in both: near enough to the front that what follows can
+    still hold the overlap. Shingles that a whole group shares stand late, so its unlike members don't meet there.
+    A shingle's rows are first met as one row per component, and expanded only where that row passes.
+    """
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in source:
+            for i in range(batch.num_rows):
+                found = np.unique(shingles([unpack(batch.column(1)[i].as_buffer()).decode()], WORDS)[0]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(found), batch.schema.field(0).type), pa.array(found)], names=["doc_id", "token"])
+
+    kind = packed.schema["doc_id"].dataType.simpleString()
+    tokens = packed.join(open_docs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "packed").mapInArrow(batches, f"doc_id {kind}, token long")
+    known = tokens.groupBy("token").agg(F.count("*").alias("n_docs")).where("n_docs > 1")
+    shared = tokens.join(known, "token").join(open_docs, "doc_id")
+    every = Window.partitionBy("doc_id")
+    place = F.col("size") - F.count("*").over(every) + F.row_number().over(every.orderBy("n_docs", "token")) - 1
+    rows = shared.select("doc_id", "component", "token", "size", (F.col("size") - place).alias("left"))
+    share = similarity / (1 + similarity)
+    slack = 1e-6
+    rows = checkpoint(rows.where(F.col("left") >= F.col("size") * similarity - slack))
+    short = rows.where(F.col("left") >= F.col("size") * (2 * share) - slack).select("token", F.col("component").alias("c"), F.col("doc_id").alias("y"), F.col("size").alias("s"), F.col("left").alias("l"))
+    groups = short.groupBy("token", "c").agg(F.min("s").alias("least"), F.max("s").alias("most"), F.max("l").alias("l"))
+    least = F.greatest(F.col("least"), F.col("size") * similarity)
+    met = rows.join(groups, "token").where("component != c").where((F.col("least") <= F.col("size")) & (F.col("most") >= F.col("size") * similarity - slack))
+    met = met.where(F.least("left", "l") >= (F.col("size") + least) * share - slack).select("token", "c", F.col("doc_id").alias("x"), "size", "left")
+    both = met.join(short, ["token", "c"]).where((F.col("s") <= F.col("size")) & (F.col("s") >= F.col("size") * similarity - slack))
+    both = both.where(F.least("left", "l") >= (F.col("size") + F.col("s")) * share - slack)
+    return both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
     """doc_id and class_id of every row."""
     every = signed(docs)
@@ -179,11 +216,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, rounds: int
         if turn < rounds:
             hubs = members.groupBy("band", "bucket").agg(F.min(F.struct(F.xxhash64("doc_id", "band", F.lit(turn)), F.col("doc_id").alias("hub"), F.col("size").alias("hub_size"), F.col("component").alias("hub_component"))).alias("h"))
             pairs = members.join(hubs.select("band", "bucket", "h.hub", "h.hub_size", "h.hub_component"), ["band", "bucket"])
+            pairs = pairs.where("component != hub_component").where(similar_size)
+            pairs = pairs.select(F.least("doc_id", "hub").alias("x"), F.greatest("doc_id", "hub").alias("y")).distinct()
         else:
-            other = members.select("band", "bucket", F.col("doc_id").alias("hub"), F.col("size").alias("hub_size"), F.col("component").alias("hub_component"))
-            pairs = members.join(other, ["band", "bucket"]).where("doc_id < hub")
-        pairs = pairs.where("component != hub_component").where(similar_size)
-        pairs = pairs.select(F.least("doc_id", "hub").alias("x"), F.greatest("doc_id", "hub").alias("y")).distinct()
+            pairs = prefix_pairs(members.select("doc_id", "size", "component").distinct(), packed, similarity)
         pairs = checkpoint(pairs if seen is None else pairs.join(seen, ["x", "y"], "left_anti"))
         seen = pairs if seen is None else seen.unionByName(pairs)
         links = compared(pairs, packed, similarity)
