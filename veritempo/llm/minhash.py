@@ -38,7 +38,7 @@ WORDS, SIMILARITY = 5, 0.8
 #: 25 bands of 5: a pair at 0.8 is missed with probability 5e-5.
 BANDS, ROWS = 25, 5
 #: Rounds of hubs before the prefix filter.
-ROUNDS = 2
+ROUNDS = 3
 CHUNK_CHARS = 1_000_000
 
 _DART, _PLACE, _SIDE, _REGION = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
