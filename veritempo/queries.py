@@ -36,10 +36,14 @@ def _text(column: str):
 
 
 #: The ranges that the queries ask about.
-YEAR = (stamp("1996-01-01"), stamp("1997-01-01"))
-MONTH = (stamp("1996-03-01"), stamp("1996-04-01"))
-DAY = (stamp("1996-03-10"), stamp("1996-03-11"))
-LOG_DAY = (stamp("2024-01-10"), stamp("2024-01-11"))
+YEAR = ("1996-01-01", "1997-01-01")
+MONTH = ("1996-03-01", "1996-04-01")
+DAY = ("1996-03-10", "1996-03-11")
+LOG_DAY = ("2024-01-10", "2024-01-11")
+
+
+def span(days: tuple[str, str]):
+    return tuple(map(stamp, days))
 
 
 # Events -----------------------------------------------------------------------------------------------------------
@@ -51,29 +55,29 @@ def _membership_counts(f: KnowledgeFrames, start, end) -> DataFrame:
 
 @query
 def event_membership_month(f):
-    return _membership_counts(f, *MONTH)
+    return _membership_counts(f, *span(MONTH))
 
 
 @query
 def event_membership_year(f):
-    return _membership_counts(f, *YEAR)
+    return _membership_counts(f, *span(YEAR))
 
 
 @query
 def event_membership_day(f):
-    return _membership_counts(f, *DAY)
+    return _membership_counts(f, *span(DAY))
 
 
 @query
 def event_membership_instants(f):
     rows = f.table("events").select("user_id", T.at_instant(F.col("ts")).alias("temporal"))
-    return events.with_membership(rows, *LOG_DAY).groupBy("user_id", "membership").agg(F.count("*").alias("n"))
+    return events.with_membership(rows, *span(LOG_DAY)).groupBy("user_id", "membership").agg(F.count("*").alias("n"))
 
 
 @query
 def event_validity_month(f):
     role = T.role_of("state", "valid_from")
-    return f.event.groupBy(T.membership(F.col("temporal"), *MONTH, role).alias("membership")).agg(F.count("*").alias("n"))
+    return f.event.groupBy(T.membership(F.col("temporal"), *span(MONTH), role).alias("membership")).agg(F.count("*").alias("n"))
 
 
 @query
@@ -170,7 +174,7 @@ def correction_errors(f):
 
 
 def _sums(f: KnowledgeFrames, currency: str | None) -> DataFrame:
-    marked = events.with_membership(f.event, *YEAR)
+    marked = events.with_membership(f.event, *span(YEAR))
     inside, open_ = marked.where(F.col("membership") == T.MATCH), marked.where(F.col("membership") == T.UNKNOWN)
     concepts, keys = ["attribute.price"], ["actor_id"]
     return events.money_sum(events.with_facts(inside, ledger.current_facts(f.fact), concepts), events.with_facts(open_, f.fact, concepts), open_, keys, currency)
@@ -188,18 +192,18 @@ def sum_multi_currency_flag(f):
 
 @query
 def sum_unknown_contributors(f):
-    open_ = events.with_membership(f.event, *MONTH).where(F.col("membership") == T.UNKNOWN)
+    open_ = events.with_membership(f.event, *span(MONTH)).where(F.col("membership") == T.UNKNOWN)
     return events.with_facts(open_, f.fact, ["attribute.price"]).select("event_id", "fact_id", "amount", "currency")
 
 
 @query
 def count_with_unknown(f):
-    return events.counts(events.with_membership(f.event, *MONTH), ["actor_id"])
+    return events.counts(events.with_membership(f.event, *span(MONTH)), ["actor_id"])
 
 
 @query
 def latest_event_value(f):
-    rows = events.with_membership(f.event, *YEAR).where(F.col("membership") != T.NO_MATCH)
+    rows = events.with_membership(f.event, *span(YEAR)).where(F.col("membership") != T.NO_MATCH)
     return events.latest(rows, ledger.current_facts(f.fact), ["actor_id"])
 
 
@@ -280,17 +284,17 @@ def meas_latest_known(f):
 
 @query
 def meas_at_time(f):
-    return measurements.at_time(_measured(f), ["user_id", "dimension"], *LOG_DAY)
+    return measurements.at_time(_measured(f), ["user_id", "dimension"], *span(LOG_DAY))
 
 
 @query
 def meas_in_range(f):
-    return measurements.in_range(_measured(f), ["user_id", "dimension"], *LOG_DAY).withColumns({c: _text(c) for c in ("first_id", "last_id")})
+    return measurements.in_range(_measured(f), ["user_id", "dimension"], *span(LOG_DAY)).withColumns({c: _text(c) for c in ("first_id", "last_id")})
 
 
 @query
 def meas_proposition(f):
-    return measurements.value_proposition(_measured(f), ["user_id", "dimension"], F.lit("10.00").cast("decimal(18,2)"), F.lit("kg"), *LOG_DAY)
+    return measurements.value_proposition(_measured(f), ["user_id", "dimension"], F.lit("10.00").cast("decimal(18,2)"), F.lit("kg"), *span(LOG_DAY))
 
 
 @query
