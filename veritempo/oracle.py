@@ -62,16 +62,16 @@ attribute AS (
     SELECT p_partkey * 10 AS attribute_id, 'p:' || p_partkey AS entity_id, 'brand' AS dimension, p_brand AS text_value, NULL::DECIMAL(18,2) AS numeric_value, NULL AS unit,
         p_partkey % 5 != 0 AS is_current, day::TIMESTAMP AS w_start, day + INTERVAL 1 DAY AS w_end, 0 AS rank FROM part_day
     UNION ALL SELECT p_partkey * 10 + 1, 'p:' || p_partkey, 'type', p_type, NULL, NULL, true, date_trunc('year', day), date_trunc('year', day) + INTERVAL 1 YEAR, 1 FROM part_day
-    UNION ALL SELECT p_partkey * 10 + 2, 'p:' || p_partkey, 'size', NULL, p_size, 'cm', p_partkey % 6 != 0, CASE WHEN p_partkey % 4 != 0 THEN day END, CASE WHEN p_partkey % 4 != 0 THEN day + INTERVAL 1 DAY END, CASE WHEN p_partkey % 4 = 0 THEN 2 ELSE 0 END FROM part_day
-    UNION ALL SELECT p_partkey * 10 + 3, 'p:' || p_partkey, 'price', NULL, p_retailprice, NULL, true, day, day + INTERVAL 1 DAY, 0 FROM part_day
+    UNION ALL SELECT p_partkey * 10 + 2, 'p:' || p_partkey, 'size', NULL, p_size::DECIMAL(18,2), 'cm', p_partkey % 6 != 0, CASE WHEN p_partkey % 4 != 0 THEN day END, CASE WHEN p_partkey % 4 != 0 THEN day + INTERVAL 1 DAY END, CASE WHEN p_partkey % 4 = 0 THEN 2 ELSE 0 END FROM part_day
+    UNION ALL SELECT p_partkey * 10 + 3, 'p:' || p_partkey, 'price', NULL, p_retailprice::DECIMAL(18,2), NULL, true, day, day + INTERVAL 1 DAY, 0 FROM part_day
     UNION ALL SELECT p_partkey * 10 + 4, 'p:' || p_partkey, 'brand', p_brand || '-II', NULL, NULL, true, day + INTERVAL 30 DAY, day + INTERVAL 31 DAY, 0 FROM part_day WHERE p_partkey % 9 = 0
-    UNION ALL SELECT p_partkey * 10 + 5, 'p:' || p_partkey, 'size', NULL, p_size, 'cm', true, day + INTERVAL 60 DAY, day + INTERVAL 61 DAY, 0 FROM part_day WHERE p_partkey % 8 = 0)"""
+    UNION ALL SELECT p_partkey * 10 + 5, 'p:' || p_partkey, 'size', NULL, p_size::DECIMAL(18,2), 'cm', true, day + INTERVAL 60 DAY, day + INTERVAL 61 DAY, 0 FROM part_day WHERE p_partkey % 8 = 0)"""
 _STATE = """
 line AS (SELECT *, l_orderkey * 10 + l_linenumber AS k FROM lineitem),
 state AS (
     SELECT k * 2 AS state_id, 'p:' || l_partkey AS entity_id, 'openness' AS dimension, l_linestatus AS value, k % 3 != 0 AS is_current, l_shipdate AS observed_at,
         CASE WHEN k % 17 = 0 THEN 2 WHEN k % 19 = 0 THEN 1 ELSE 0 END AS rank,
-        CASE WHEN k % 17 = 0 THEN NULL WHEN k % 19 = 0 THEN date_trunc('month', l_shipdate) ELSE date_trunc('day', l_shipdate) END::TIMESTAMP AS at FROM line
+        CASE WHEN k % 17 = 0 THEN NULL WHEN k % 19 = 0 THEN date_trunc('month', l_shipdate) ELSE date_trunc('day', l_shipdate) END::TIMESTAMP AS "at" FROM line
     UNION ALL SELECT k * 2 + 1, 'p:' || l_partkey, 'return', l_returnflag, k % 3 != 0, l_shipdate, CASE WHEN k % 17 = 0 THEN 2 WHEN k % 19 = 0 THEN 1 ELSE 0 END,
         CASE WHEN k % 17 = 0 THEN NULL WHEN k % 19 = 0 THEN date_trunc('month', l_shipdate) ELSE date_trunc('day', l_shipdate) END::TIMESTAMP FROM line)"""
 _RELATION = """
@@ -135,20 +135,20 @@ def _lookup(keys: str, where: str, span: tuple[str, str] | None = None) -> str:
 def _latest_measure(where: str) -> str:
     return f"""{_with(*_MEASURED)},
         chosen AS (SELECT * FROM measured WHERE {where}),
-        tops AS (SELECT user_id, dimension, max(observed_at) AS at, count(*) FILTER (observed_at IS NULL) AS n_unknown FROM chosen GROUP BY 1, 2),
+        tops AS (SELECT user_id, dimension, max(observed_at) AS "at", count(*) FILTER (observed_at IS NULL) AS n_unknown FROM chosen GROUP BY 1, 2),
         vals AS (SELECT c.user_id, c.dimension, count(DISTINCT concat_ws('|', value, coalesce(unit, '-'))) AS n_values, min(value) AS value
-            FROM chosen c JOIN tops t ON t.user_id = c.user_id AND t.dimension = c.dimension AND c.observed_at = t.at GROUP BY 1, 2),
-        out AS (SELECT t.*, coalesce(n_values, 0) AS n_values, value, CASE WHEN n_unknown > 0 AND at IS NOT NULL THEN 'ambiguous' WHEN at IS NULL THEN 'temporally_unknown'
+            FROM chosen c JOIN tops t ON t.user_id = c.user_id AND t.dimension = c.dimension AND c.observed_at = t."at" GROUP BY 1, 2),
+        out AS (SELECT t.*, coalesce(n_values, 0) AS n_values, value, CASE WHEN n_unknown > 0 AND "at" IS NOT NULL THEN 'ambiguous' WHEN "at" IS NULL THEN 'temporally_unknown'
             WHEN n_values = 1 THEN 'known_single' ELSE 'ambiguous' END AS status FROM tops t LEFT JOIN vals v ON v.user_id = t.user_id AND v.dimension = t.dimension)
-        SELECT user_id, dimension, status, at, n_values, CASE WHEN status = 'known_single' THEN value END AS value, n_unknown FROM out"""
+        SELECT user_id, dimension, status, "at", n_values, CASE WHEN status = 'known_single' THEN value END AS value, n_unknown FROM out"""
 
 
 def _current_state(keys: str, where: str = "true") -> str:
     on = " AND ".join(f"d.{k} = t.{k}" for k in keys.split(", "))
     return f"""
         live AS (SELECT * FROM state WHERE is_current AND {where}),
-        dated AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY rank DESC, at DESC, state_id DESC) AS r,
-            count(*) OVER (PARTITION BY {keys}, rank, at) AS n_same FROM live WHERE rank < 2),
+        dated AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY rank DESC, "at" DESC, state_id DESC) AS r,
+            count(*) OVER (PARTITION BY {keys}, rank, "at") AS n_same FROM live WHERE rank < 2),
         undated AS (SELECT {keys}, count(*) AS n_open, min(state_id) AS lone_id, arg_min(value, state_id) AS lone_value FROM live WHERE rank = 2 GROUP BY ALL),
         keyset AS (SELECT DISTINCT {keys} FROM live),
         current AS (SELECT {", ".join("t." + k for k in keys.split(", "))},
@@ -225,10 +225,10 @@ ORACLE_SQL: dict[str, str] = {
     "count_with_unknown": f"{_with(_EVENT)}, m AS (SELECT actor_id, {_membership(*_MONTH)} AS m FROM event) SELECT actor_id, count(*) FILTER (m = 'match') AS n, count(*) FILTER (m = 'unknown') AS n_unknown, CASE WHEN count(*) FILTER (m = 'unknown') > 0 THEN 'partial' ELSE 'complete' END AS completeness FROM m GROUP BY 1",
     "latest_event_value": f"""{_with(_EVENT, _FACT)}, m AS (SELECT *, {_membership(*_YEAR)} AS m FROM event),
         pool AS (SELECT * FROM m WHERE m != 'no_match'),
-        chosen AS (SELECT actor_id, arg_max(event_id, (instant, event_id)) FILTER (instant IS NOT NULL) AS known, max(instant) AS at, min(event_id) AS least,
+        chosen AS (SELECT actor_id, arg_max(event_id, (instant, event_id)) FILTER (instant IS NOT NULL) AS known, max(instant) AS "at", min(event_id) AS least,
             count(*) FILTER (instant IS NULL OR m = 'unknown') AS n_open, count(*) FILTER (m = 'unknown') AS n_unknown_events FROM pool GROUP BY 1),
         firsts AS (SELECT about_id, arg_min(amount, fact_id) AS amount, arg_min(currency, fact_id) AS currency FROM current_fact GROUP BY 1)
-        SELECT actor_id, coalesce(known, least) AS event_id, at, amount, currency, CASE WHEN n_open > 0 THEN 'partial' ELSE 'complete' END AS completeness, n_unknown_events
+        SELECT actor_id, coalesce(known, least) AS event_id, "at", amount, currency, CASE WHEN n_open > 0 THEN 'partial' ELSE 'complete' END AS completeness, n_unknown_events
         FROM chosen LEFT JOIN firsts ON about_id = coalesce(known, least)""",
     "attr_value_lookup": _with(_ATTRIBUTE, _lookup("entity_id", "dimension = 'brand'")) + " SELECT * FROM answered",
     "attr_value_lookup_in_range": _with(_ATTRIBUTE, _lookup("entity_id", "dimension = 'size'", ("2000-06-01", "2001-06-01"))) + " SELECT * FROM answered",
@@ -273,11 +273,11 @@ ORACLE_SQL: dict[str, str] = {
         LEFT JOIN (SELECT entity_id AS id, count(*) AS n_attributes FROM attribute WHERE is_current GROUP BY 1) c ON c.id = e.entity_id
         LEFT JOIN (SELECT entity_id AS id, count(*) AS n_states FROM state WHERE is_current GROUP BY 1) d ON d.id = e.entity_id
         LEFT JOIN (SELECT entity_id AS id, count(DISTINCT event_id) AS n_events FROM participant GROUP BY 1) f ON f.id = e.entity_id""",
-    "relation_lifecycle": """WITH commands AS (SELECT user_id % 100 AS subject, event_type AS object, ts AS at, event_id, CASE WHEN event_id % 11 = 0 THEN 'terminate' WHEN event_id % 13 = 0 THEN 'deny' WHEN event_id % 17 = 0 THEN 'historical' ELSE 'assert' END AS mode FROM events),
-        numbered AS (SELECT *, coalesce(sum((mode IN ('terminate', 'deny'))::INT) OVER (PARTITION BY subject, object ORDER BY at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM commands),
-        live AS (SELECT subject, object, min(at) FILTER (mode = 'assert') AS valid_from, max(at) FILTER (mode = 'assert') AS observed_at, max(at) FILTER (mode IN ('terminate', 'deny')) AS valid_to, max(mode) FILTER (mode IN ('terminate', 'deny')) AS closed_by FROM numbered WHERE mode != 'historical' GROUP BY subject, object, run)
+    "relation_lifecycle": """WITH commands AS (SELECT user_id % 100 AS subject, event_type AS object, ts AS "at", event_id, CASE WHEN event_id % 11 = 0 THEN 'terminate' WHEN event_id % 13 = 0 THEN 'deny' WHEN event_id % 17 = 0 THEN 'historical' ELSE 'assert' END AS mode FROM events),
+        numbered AS (SELECT *, coalesce(sum((mode IN ('terminate', 'deny'))::INT) OVER (PARTITION BY subject, object ORDER BY "at", event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM commands),
+        live AS (SELECT subject, object, min("at") FILTER (mode = 'assert') AS valid_from, max("at") FILTER (mode = 'assert') AS observed_at, max("at") FILTER (mode IN ('terminate', 'deny')) AS valid_to, max(mode) FILTER (mode IN ('terminate', 'deny')) AS closed_by FROM numbered WHERE mode != 'historical' GROUP BY subject, object, run)
         SELECT subject, object, valid_from, observed_at, valid_to, valid_to IS NULL AS is_current, closed_by FROM live WHERE valid_from IS NOT NULL
-        UNION ALL SELECT subject, object, at, at, NULL, false, 'historical' FROM commands WHERE mode = 'historical'""",
+        UNION ALL SELECT subject, object, "at", "at", NULL, false, 'historical' FROM commands WHERE mode = 'historical'""",
     "entity_search": f"""{_with(_ENTITY)}, ranked AS (SELECT *, upper(replace(name, '#', '')) AS alias FROM entity),
         hits AS (SELECT entity_id, name, CASE WHEN lower(entity_id) = '00001' OR lower(name) = '00001' THEN 0 WHEN lower(alias) = '00001' THEN 1 WHEN starts_with(lower(name), '00001') THEN 2
             WHEN contains(lower(name), '00001') THEN 3 WHEN contains(lower(alias), '00001') THEN 4 WHEN contains(lower(entity_id), '00001') THEN 5 WHEN contains(lower(type_key), '00001') THEN 6 END AS rank FROM ranked),
@@ -305,7 +305,7 @@ ORACLE_SQL: dict[str, str] = {
     "integrity_violations": "SELECT 'missing_context' AS \"check\", count(*) AS n FROM lineitem WHERE l_suppkey IN (1, 3)",
     "completeness_clarification": f"""{_with(_EVENT)},
         s AS (SELECT event_id, instant IS NULL AS t, event_id % 9 = 0 AS a, action IS NULL AS c FROM event),
-        m AS (SELECT array_to_string(list_filter([CASE WHEN c THEN 'action' END, CASE WHEN a THEN 'actor' END, CASE WHEN t THEN 'time' END], x -> x IS NOT NULL), ',') AS missing, a AS blocking,
+        m AS (SELECT array_to_string(list_filter([CASE WHEN c THEN 'action' END, CASE WHEN a THEN 'actor' END, CASE WHEN t THEN 'time' END], lambda x: x IS NOT NULL), ',') AS missing, a AS blocking,
             CASE WHEN a THEN 'actor' WHEN c THEN 'action' END AS question FROM s)
         SELECT missing, blocking, question, count(*) AS n FROM m GROUP BY ALL""",
     "id_validation": f"{_with(_ENTITY)} SELECT regexp_full_match(entity_id, '[A-Za-z0-9_.:-]{{1,128}}') AS id_ok, regexp_full_match(type_key, '[a-z][a-z0-9_]*(\\.[a-z0-9_]+)*') AS type_ok, count(*) AS n FROM entity GROUP BY 1, 2",
