@@ -79,9 +79,9 @@ ORACLE_SQL: dict[str, str] = {
     "op6_exact_top_k": """
         WITH ok AS (
             SELECT vec_id, min(embedding::DOUBLE[]) AS e FROM embeddings
-            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
             GROUP BY vec_id),
-        sliced AS (SELECT vec_id, list_transform(e, x -> floor(256 * x)) AS v FROM ok)
+        sliced AS (SELECT vec_id, list_transform(e, lambda x: floor(256 * x)) AS v FROM ok)
         SELECT query_id, rank::INT AS rank, vec_id, score FROM (
             SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
                 SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
