@@ -300,7 +300,9 @@ ORACLE_SQL: dict[str, str] = {
     "value_codec": "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'json' WHEN 1 THEN 'int' WHEN 2 THEN 'decimal' WHEN 3 THEN 'bool' WHEN 4 THEN 'money' ELSE 'string' END AS kind, CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN event_id::VARCHAR WHEN 2 THEN value::DECIMAL(18,2)::VARCHAR WHEN 3 THEN 'false' WHEN 4 THEN event_id || ' BRL' ELSE event_type END AS value FROM events",
     "closed_vocabulary": "SELECT CASE lower(trim(o_orderpriority)) WHEN '1-urgent' THEN 'high' WHEN '2-high' THEN 'high' WHEN '3-medium' THEN 'medium' WHEN '5-low' THEN 'low' ELSE 'other' END AS word, count(*) AS n FROM orders GROUP BY 1",
     "relative_periods": "SELECT user_id, " + ", ".join(f"count(*) FILTER (ts >= TIMESTAMP '{a}:00' AND ts < TIMESTAMP '{b}:00') AS {n}" for n, (a, b) in _PERIODS.items()) + " FROM events GROUP BY 1",
-    "weekday_shift": "WITH o AS (SELECT o_orderkey, o_orderdate::DATE AS d, (isodow(o_orderdate) - 1) AS w FROM orders) SELECT o_orderkey, d + ((2 - w + 7) % 7)::INT AS next, d - ((w - 2 + 7) % 7)::INT AS previous, d + (CASE WHEN w = 2 THEN 7 ELSE (2 - w + 7) % 7 END)::INT AS next_strict, d - (CASE WHEN w = 2 THEN 7 ELSE (w - 2 + 7) % 7 END)::INT AS previous_strict FROM o",
+    "weekday_shift": """WITH o AS (SELECT o_orderkey, o_orderdate::DATE AS d, (isodow(o_orderdate) - 1) AS w FROM orders)
+        SELECT o_orderkey, (d + ((2 - w + 7) % 7)::INT)::VARCHAR AS next, (d - ((w - 2 + 7) % 7)::INT)::VARCHAR AS previous,
+            (d + (CASE WHEN w = 2 THEN 7 ELSE (2 - w + 7) % 7 END)::INT)::VARCHAR AS next_strict, (d - (CASE WHEN w = 2 THEN 7 ELSE (w - 2 + 7) % 7 END)::INT)::VARCHAR AS previous_strict FROM o""",
     "time_conflicts": "SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'several_dates' WHEN o_orderkey % 3 = 0 AND isodow(o_orderdate) != 3 THEN 'weekday_mismatch' END AS reason, count(*) AS n FROM orders GROUP BY 1",
     "integrity_violations": "SELECT 'missing_context' AS \"check\", count(*) AS n FROM lineitem WHERE l_suppkey IN (1, 3)",
     "completeness_clarification": f"""{_with(_EVENT)},
@@ -316,4 +318,33 @@ ORACLE_SQL: dict[str, str] = {
     "entity_resolution_named": f"""WITH m AS (SELECT o_orderkey AS mention_id, 'c:' || (o_custkey % 200) AS id, o_custkey % 200 AS k FROM orders)
         SELECT mention_id, CASE WHEN c_custkey IS NULL THEN 'unresolved' ELSE 'resolved' END AS status, CASE WHEN c_custkey IS NOT NULL THEN id END AS entity_id, CASE WHEN c_custkey IS NULL THEN 0 ELSE 1 END::BIGINT AS n FROM m LEFT JOIN customer ON c_custkey = k""",
     "entity_resolution_possessive": "SELECT c_custkey AS mention_id, CASE WHEN c_custkey % 7 = 0 THEN 'create_candidate' ELSE 'resolved' END AS status, CASE WHEN c_custkey % 7 != 0 THEN 'n:' || c_nationkey END AS entity_id, CASE WHEN c_custkey % 7 = 0 THEN 0 ELSE 1 END::BIGINT AS n FROM customer",
+    "primitive_routing": """WITH k AS (SELECT l_orderkey * 7 + l_linenumber * 3 + l_partkey AS k FROM lineitem),
+        f AS (SELECT k % 3 = 0 AS q, k % 11 = 0 AS link, k % 7 = 0 AS rel, k % 13 = 0 AS cls, k % 5 = 0 AS mea, k % 17 = 0 AS sta, k % 4 = 0 AS att, k % 6 = 0 AS con, k % 19 = 0 AS st, k % 23 = 0 AS chg,
+            k % 29 = 0 AS life, k % 2 = 0 AS happened, k % 2 != 0 AND k % 31 = 0 AS ongoing, k % 9 = 0 AS act, k % 37 = 0 AS hint FROM k)
+        SELECT CASE WHEN q THEN CASE WHEN link OR rel THEN 'relation' WHEN cls THEN 'type' WHEN mea THEN 'measurement' WHEN sta OR (att AND NOT con) THEN 'attribute' WHEN con OR st THEN 'state' ELSE 'event' END
+            WHEN happened AND act AND mea THEN 'event' WHEN (chg OR life) AND link AND rel AND NOT chg AND NOT act THEN 'relation' WHEN chg OR life THEN 'event' WHEN happened AND act THEN 'event'
+            WHEN link OR rel THEN 'relation' WHEN cls THEN 'type' WHEN sta OR (att AND NOT con AND NOT mea) THEN 'attribute' WHEN mea THEN 'measurement'
+            WHEN (con OR ongoing) AND att AND NOT st THEN 'attribute' WHEN con OR ongoing THEN 'state' WHEN act THEN 'event' WHEN st THEN 'state' WHEN hint THEN 'state' ELSE 'unknown' END AS primitive, count(*) AS n
+        FROM f GROUP BY 1""",
+    "sense_recognition": """WITH s AS (SELECT unnest(CASE o_orderkey % 6 WHEN 0 THEN ['install'] WHEN 1 THEN ['facilities', 'property_new'] WHEN 2 THEN ['replace_physical']
+        WHEN 3 THEN ['exchange_idea'] WHEN 4 THEN ['install'] ELSE ['ambiguous_pass'] END) AS sense FROM orders) SELECT sense, count(*) AS n FROM s GROUP BY 1""",
+    "correction_guard": """WITH g AS (SELECT o_orderkey % 10 AS k, o_custkey % 2 = 0 AS prior FROM orders),
+        r AS (SELECT CASE WHEN k IN (0, 8) THEN 'accept supported' WHEN k = 1 THEN 'reject termination_cue' WHEN k = 2 THEN 'reject evolution_cue' WHEN k = 3 THEN 'reject repetition_cue' WHEN k = 7 THEN 'reject query_form'
+            WHEN k = 4 AND prior THEN 'clarify target_ambiguous' WHEN k IN (5, 6) AND prior THEN 'accept supported' WHEN k = 6 THEN 'clarify context_required' ELSE 'reject signal_insufficient' END AS x FROM g)
+        SELECT split_part(x, ' ', 1) AS outcome, split_part(x, ' ', 2) AS reason, count(*) AS n FROM r GROUP BY ALL""",
+    "social_opening": """SELECT c_custkey, CASE c_custkey % 6 WHEN 2 THEN 'thanks' WHEN 3 THEN 'acknowledgement' WHEN 4 THEN 'none' ELSE 'greeting' END AS intent,
+        CASE c_custkey % 6 WHEN 4 THEN 'quanto ' ELSE '' END || replace(lower(c_name), '#', ' ') AS task FROM customer""",
+    "groundedness_check": f"""WITH t AS (SELECT conv_id, turn, role, substr(text, 1, 400) AS text FROM conversations),
+        pairs AS (SELECT r.conv_id, r.turn, string_split({_normal("r.text")}, ' ') AS said, string_split({_normal("q.text")}, ' ') AS known
+            FROM t r JOIN t q ON q.conv_id = r.conv_id AND q.turn + 1 = r.turn AND r.role = 'assistant' AND q.role = 'user')
+        SELECT conv_id, turn, len(list_distinct(list_filter(said, lambda w: len(w) >= 4 AND NOT list_contains(known, w))))::INT AS n_unattested FROM pairs""",
+    "alias_match": f"""WITH a(alias, concept, priority) AS (VALUES ('the', 'concept.the', 1), ('and the', 'concept.and_the', 1), ('of', 'concept.of', 2), ('der', 'concept.der', 3), ('le', 'concept.le', 3)),
+        t AS (SELECT conv_id || '-' || turn AS text_id, ' ' || {_normal("text")} || ' ' AS low FROM conversations)
+        SELECT text_id, alias, concept FROM (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY priority DESC, len(alias) DESC, alias, concept) AS r FROM t JOIN a ON contains(low, ' ' || alias || ' ')) WHERE r = 1""",
+    "entity_resolution_names_shared": f"""{_with(_ENTITY)},
+        names AS (SELECT DISTINCT entity_id, type_key, unnest([{_normal("name")}, {_normal("upper(replace(name, '#', ''))")}]) AS needle FROM entity),
+        found AS (SELECT DISTINCT p_partkey AS mention_id, entity_id, starts_with(type_key, 'entity.part.') AS fits FROM part JOIN names ON needle = {_normal("p_name")} WHERE needle != ''),
+        g AS (SELECT mention_id, count(*) AS n, count(*) FILTER (fits) AS n_fit, min(entity_id) AS one, min(entity_id) FILTER (fits) AS fit FROM found GROUP BY 1)
+        SELECT p_partkey AS mention_id, CASE WHEN n IS NULL THEN 'unresolved' WHEN n = 1 OR n_fit = 1 THEN 'resolved' ELSE 'ambiguous' END AS status,
+            CASE WHEN n = 1 THEN one WHEN n_fit = 1 THEN fit END AS entity_id, coalesce(n, 0) AS n FROM part LEFT JOIN g ON mention_id = p_partkey""",
 }

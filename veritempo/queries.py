@@ -619,7 +619,7 @@ def relative_periods(f):
 def weekday_shift(f):
     day = F.to_date("o_orderdate")
     shifts = {p: T.weekday_shift(day, F.lit(2), p) for p in ("next", "previous", "next_strict", "previous_strict")}
-    return f.table("orders").select("o_orderkey", *[c.alias(p) for p, c in shifts.items()])
+    return f.table("orders").select("o_orderkey", *[c.cast("string").alias(p) for p, c in shifts.items()])
 
 
 @query
