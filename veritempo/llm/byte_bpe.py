@@ -157,7 +157,7 @@ def decode(encoded: DataFrame, path: str, id_column: str = "doc_id") -> DataFram
 def decode_text(encoded: DataFrame, path: str, id_column: str = "doc_id") -> DataFrame:
     """As `decode`, with a string column: bytes that are no whole character become U+FFFD."""
     decoded = decode(encoded, path, id_column)
-    return decoded.withColumn("text", F.decode(F.col("decoded"), F.lit("UTF-8")))
+    return decoded.withColumn("text", F.make_valid_utf8(F.col("decoded").cast("string")))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

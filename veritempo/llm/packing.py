@@ -33,8 +33,9 @@ SHARD_PIECES = 4_000
 def pieces(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, length (words), source and cluster (hash of the lower-case text without its white space)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    words = F.when(F.trim(text) == "", 0).otherwise(F.size(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")))
-    cluster = F.when(F.trim(text) == "", F.xxhash64("doc_id")).otherwise(F.xxhash64(F.lower(F.regexp_replace(text, r"\s+", ""))))
+    spaced = F.trim(F.regexp_replace(text, r"\s+", " "))
+    words = F.when(spaced == "", 0).otherwise(F.size(F.split(spaced, " ")))
+    cluster = F.when(spaced == "", F.xxhash64("doc_id")).otherwise(F.xxhash64(F.lower(F.regexp_replace(text, r"\s+", ""))))
     rows = docs.select("doc_id", "source", words.alias("words"), cluster.alias("cluster"))
     stretches = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("words") / capacity) - 1, F.lit(0)).cast("int"))
     rows = rows.select("doc_id", "source", "cluster", "words", F.explode(stretches).alias("piece"))
