@@ -52,9 +52,9 @@ ENTRY, REPEAT, TIE = 0, 1, 2
 _PLACE = np.int64((1 << 24) - 1)
 
 
-def _stretches(data: bytes, length: int) -> Iterator[tuple[int, bytes]]:
-    for base in range(0, max(1, len(data) - length + 1), CHUNK):
-        yield base, data[base : base + CHUNK + length - 1]
+def _stretches(data: bytes, length: int, starts: int) -> Iterator[tuple[int, bytes]]:
+    for base in range(0, max(1, len(data) - length + 1), starts):
+        yield base, data[base : base + starts + length - 1]
 
 
 def cover_runs(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -167,7 +167,7 @@ def _sampled(rows: DataFrame, length: int) -> DataFrame:
                 data = text.as_buffer().to_pybytes() if text.is_valid else b""
                 if len(data) < length:
                     continue
-                for base, stretch in _stretches(data, length):
+                for base, stretch in _stretches(data, length, CHUNK):
                     parts.append((rid, base, stretch))
                     held += len(stretch)
                     if held >= CHUNK:
@@ -242,7 +242,7 @@ def _tied_windows(packed: DataFrame, ties: DataFrame, length: int) -> DataFrame:
                 starts, more = codes >> 16, codes >> 8 & 255
                 every = np.repeat(starts, more + 1) + np.arange((more + 1).sum()) - np.repeat(np.cumsum(more + 1) - (more + 1), more + 1)
                 data = unpack(packed.as_buffer())
-                for base, stretch in _stretches(data, length):
+                for base, stretch in _stretches(data, length, CHUNK):
                     inside = every[(every >= base) & (every < base + CHUNK)] - base
                     if len(inside):
                         prefixes = prefix_hashes(np.frombuffer(stretch, np.uint8))
