@@ -14,11 +14,11 @@ def ts(text):
     return F.lit(text).cast("timestamp")
 
 
-DAY = T.on_day(d("2025-03-10"))
-YEAR = T.in_year(F.lit(2025))
-MONTH = T.in_month(F.lit(2025), F.lit(3))
-WEEK = T.temporal(kind=F.lit("interval"), granularity=F.lit("week"), interval_start=d("2025-03-10"), interval_end=d("2025-03-16"))
-INSTANT = T.at_instant(ts("2025-03-10 12:00:00"))
+DAY = lambda: T.on_day(d("2025-03-10"))
+YEAR = lambda: T.in_year(F.lit(2025))
+MONTH = lambda: T.in_month(F.lit(2025), F.lit(3))
+WEEK = lambda: T.temporal(kind=F.lit("interval"), granularity=F.lit("week"), interval_start=d("2025-03-10"), interval_end=d("2025-03-16"))
+INSTANT = lambda: T.at_instant(ts("2025-03-10 12:00:00"))
 
 CASES = [
     (YEAR, "2025-01-01", "2026-01-01", "match"),
@@ -36,22 +36,22 @@ CASES = [
     (WEEK, "2025-03-17", "2025-03-24", "no_match"),
     (INSTANT, "2025-03-10", "2025-03-11", "match"),
     (INSTANT, "2025-03-11", "2025-03-12", "no_match"),
-    (T.unknown_time(F.lit("once")), "2025-01-01", "2026-01-01", "unknown"),
-    (T.partial_time("past", F.lit("before")), "2025-01-01", "2026-01-01", "unknown"),
-    (T.temporal(kind=F.lit("habitual"), date=d("2025-03-10"), precision=F.lit("day")), "2025-01-01", "2026-01-01", "unknown"),
-    (T.temporal(kind=F.lit("exact"), date=d("2025-03-10"), precision=F.lit("approx_day")), "2025-01-01", "2026-01-01", "unknown"),
-    (T.temporal(kind=F.lit("exact"), recurring=F.lit(True), date=d("2025-03-10")), "2025-01-01", "2026-01-01", "unknown"),
+    (lambda: T.unknown_time(F.lit("once")), "2025-01-01", "2026-01-01", "unknown"),
+    (lambda: T.partial_time("past", F.lit("before")), "2025-01-01", "2026-01-01", "unknown"),
+    (lambda: T.temporal(kind=F.lit("habitual"), date=d("2025-03-10"), precision=F.lit("day")), "2025-01-01", "2026-01-01", "unknown"),
+    (lambda: T.temporal(kind=F.lit("exact"), date=d("2025-03-10"), precision=F.lit("approx_day")), "2025-01-01", "2026-01-01", "unknown"),
+    (lambda: T.temporal(kind=F.lit("exact"), recurring=F.lit(True), date=d("2025-03-10")), "2025-01-01", "2026-01-01", "unknown"),
 ]
 
 
 def test_occurrence_truth_table(spark):
-    columns = [T.occurrence_membership(t, ts(a), ts(b)).alias(f"c{i}") for i, (t, a, b, _) in enumerate(CASES)]
+    columns = [T.occurrence_membership(t(), ts(a), ts(b)).alias(f"c{i}") for i, (t, a, b, _) in enumerate(CASES)]
     row = spark.range(1).select(*columns).first()
     assert list(row) == [x[3] for x in CASES]
 
 
 def test_validity(spark):
-    cases = [("2025-01-01", "2026-01-01", "match"), ("2025-06-01", "2026-01-01", "unknown"), ("2026-01-01", "2027-01-01", "no_match")]
+    cases = [("2025-01-01", "2026-01-01", "match"), ("2025-03-15", "2026-01-01", "unknown"), ("2026-01-01", "2027-01-01", "no_match")]
     columns = [T.validity_membership(ts(a), ts(b), ts("2025-03-01"), ts("2025-04-01")).alias(f"c{i}") for i, (a, b, _) in enumerate(cases)]
     open_ = T.validity_membership(ts("2025-01-01"), F.lit(None).cast("timestamp"), ts("2025-03-01"), ts("2025-04-01"), True)
     closed = T.validity_membership(ts("2025-01-01"), F.lit(None).cast("timestamp"), ts("2025-03-01"), ts("2025-04-01"))
@@ -82,5 +82,5 @@ def test_relative_periods():
 
 
 def test_sort_key_and_persistable(spark):
-    row = spark.range(1).select(T.sort_key(DAY).alias("a"), T.sort_key(YEAR).alias("b"), T.sort_key(T.unknown_time(F.lit("x"))).alias("c"), T.persistable(DAY).alias("d"), T.persistable(T.unknown_time(F.lit("x"))).alias("e")).first()
+    row = spark.range(1).select(T.sort_key(DAY()).alias("a"), T.sort_key(YEAR()).alias("b"), T.sort_key(T.unknown_time(F.lit("x"))).alias("c"), T.persistable(DAY()).alias("d"), T.persistable(T.unknown_time(F.lit("x"))).alias("e")).first()
     assert (row.a.rank, row.b.rank, row.c.rank, row.d, row.e) == (0, 1, 2, True, False)

@@ -347,4 +347,29 @@ ORACLE_SQL: dict[str, str] = {
         g AS (SELECT mention_id, count(*) AS n, count(*) FILTER (fits) AS n_fit, min(entity_id) AS one, min(entity_id) FILTER (fits) AS fit FROM found GROUP BY 1)
         SELECT p_partkey AS mention_id, CASE WHEN n IS NULL THEN 'unresolved' WHEN n = 1 OR n_fit = 1 THEN 'resolved' ELSE 'ambiguous' END AS status,
             CASE WHEN n = 1 THEN one WHEN n_fit = 1 THEN fit END AS entity_id, coalesce(n, 0) AS n FROM part LEFT JOIN g ON mention_id = p_partkey""",
+    "newest_binding": "SELECT user_id, arg_max(ts, (ts, event_id)) AS ts, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1",
+    "relation_instance_newest": """WITH r AS (SELECT o_custkey, l_suppkey, o_orderdate AS observed_at, l_orderkey * 10 + l_linenumber AS instance FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
+        SELECT * EXCLUDE n FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, l_suppkey ORDER BY observed_at DESC, instance DESC) AS n FROM r) WHERE n = 1""",
+    "participant_backfill": """SELECT o_orderkey, 'c:' || o_custkey AS entity_id, 'role.participant' AS role FROM orders WHERE o_orderkey % 3 != 0
+        UNION ALL SELECT o_orderkey, 'p:1', 'role.affected' FROM orders WHERE o_orderkey % 4 = 0""",
+    "catalogue_counts": f"{_with(_CONCEPT, recursive=True)} SELECT ancestor AS root, count(*) AS n, max(depth)::INT AS deepest FROM closure WHERE ancestor IN (SELECT concept FROM concept WHERE parent IS NULL) GROUP BY 1",
+    "concepts_to_learn": "SELECT DISTINCT 'entity.part.' || lower(p_brand) AS concept FROM part",
+    "correction_target": f"""{_with(_FACT, _MEASUREMENT, _CORRECTION)},
+        hits AS (SELECT s_suppkey AS description_id, c_custkey AS id FROM supplier JOIN customer ON c_nationkey = s_nationkey AND contains(c_name, '0000' || (s_suppkey % 10))
+            WHERE c_custkey NOT IN (SELECT target_id FROM correction WHERE kind = 'fact')),
+        g AS (SELECT description_id, count(*) AS n, min(id) AS one FROM hits GROUP BY 1)
+        SELECT s_suppkey AS description_id, CASE WHEN n IS NULL THEN 'not_found' WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN one END::VARCHAR AS target_id, coalesce(n, 0) AS n
+        FROM supplier LEFT JOIN g ON description_id = s_suppkey""",
+    "inferred_ownership": f"""{_with(_RELATION)} SELECT DISTINCT 'c:' || o_custkey AS owner, 's:' || (o_orderkey % 10 + 1) AS entity_id FROM orders
+        WHERE ('c:' || o_custkey, 's:' || (o_orderkey % 10 + 1)) NOT IN (SELECT (from_id, to_id) FROM relation WHERE key = 'buys_from' AND is_current)""",
+    "referent_salience": """WITH l AS (SELECT conv_id, role || (turn % 3) AS entity_id, max(turn) AS last FROM conversations GROUP BY 1, 2), n AS (SELECT conv_id, max(turn) AS n FROM conversations GROUP BY 1)
+        SELECT * FROM (SELECT conv_id, entity_id, round(CASE WHEN n = last THEN 1.0 ELSE 0.6::DOUBLE * pow(0.85::DOUBLE, n - last - 1) END, 6) AS salience FROM l JOIN n USING (conv_id)) WHERE salience >= 0.2""",
+    "proposal_readiness": """WITH p AS (SELECT l_orderkey AS proposal_id, (l_orderkey + l_linenumber) AS k, l_partkey % 3 != 0 AS s, l_suppkey % 2 = 0 AS o, l_linenumber % 3 != 0 AS v FROM lineitem),
+        m AS (SELECT proposal_id, CASE k % 6 WHEN 5 THEN NULL WHEN 0 THEN list_filter([CASE WHEN k % 7 = 0 THEN 'time' END, CASE WHEN k % 5 = 0 THEN 'type' END], lambda x: x IS NOT NULL)
+            WHEN 1 THEN list_filter([CASE WHEN NOT o THEN 'object' END, CASE WHEN NOT s THEN 'subject' END], lambda x: x IS NOT NULL)
+            ELSE list_filter([CASE WHEN k % 4 = 0 THEN 'dimension' END, CASE WHEN NOT s THEN 'subject' END, CASE WHEN NOT v THEN 'value' END], lambda x: x IS NOT NULL) END AS missing FROM p),
+        g AS (SELECT proposal_id, count(*) AS n, count(*) FILTER (len(missing) = 0) AS ready, count(*) FILTER (missing IS NULL) AS unsupported, min(missing[1]) FILTER (len(missing) = 1) AS ask FROM m GROUP BY 1),
+        d AS (SELECT *, CASE WHEN ready = n THEN 'auto' WHEN ready > 0 THEN 'partial' WHEN ask IS NOT NULL THEN 'clarify' WHEN unsupported = n THEN 'unsupported' ELSE 'safe_abstain' END AS decision FROM g)
+        SELECT proposal_id, n, ready, decision, CASE WHEN decision = 'clarify' THEN ask END AS ask FROM d""",
+    "answer_projection": _with(_ATTRIBUTE, _lookup("entity_id, dimension", "true")) + " SELECT status, CASE WHEN status IN ('unknown', 'temporally_unknown') THEN 'unknown' WHEN n_values > 1 THEN 'list' WHEN value IS NOT NULL THEN 'value' ELSE 'empty' END AS kind, count(*) AS n FROM answered GROUP BY ALL",
 }

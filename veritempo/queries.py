@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from veritempo.functions import temporal as T
 from veritempo.functions import text as X
-from veritempo.operators import attributes, events, ingest, interpret, ledger, linkage, measurements, relations, states
+from veritempo.operators import attributes, catalog, events, ingest, interpret, ledger, linkage, measurements, relations, states
 from veritempo.plans.spec import QuerySpec, execute
+from veritempo.sources import migrations
 from veritempo.sources.frames import KnowledgeFrames
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -639,3 +640,72 @@ def spec_sum(f):
 @query
 def spec_snapshot(f):
     return execute(QuerySpec(mode="snapshot"), f)
+
+
+# Registry, focus and readiness ------------------------------------------------------------------------------------
+
+
+@query
+def newest_binding(f):
+    rows = f.table("events").select("user_id", "ts", "event_id", "event_type")
+    return catalog.newest(rows, ["user_id"], "ts", "event_id")
+
+
+@query
+def relation_instance_newest(f):
+    rows = f.table("orders").join(f.table("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "l_suppkey", F.col("o_orderdate").alias("observed_at"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("instance"))
+    return catalog.newest(rows, ["o_custkey", "l_suppkey"], "observed_at", "instance")
+
+
+@query
+def participant_backfill(f):
+    key = F.col("o_orderkey")
+    rows = f.table("orders").select("o_orderkey", F.when(key % 3 != 0, F.concat(F.lit("c:"), F.col("o_custkey").cast("string"))).alias("actor_id"), F.when(key % 4 == 0, F.lit("p:1")).alias("subject_id"))
+    frames, _ = migrations.upgrade({"event": rows}, 6, [(6, 7, migrations.add_participants)], 7)
+    return frames["event"].select("o_orderkey", F.explode("participants").alias("p")).select("o_orderkey", "p.entity_id", "p.role")
+
+
+@query
+def catalogue_counts(f):
+    return catalog.catalogue_counts(f.concept)
+
+
+@query
+def concepts_to_learn(f):
+    keys = f.table("part").select(F.concat(F.lit("entity.part."), F.lower("p_brand")).alias("concept")).unionByName(f.entity.select(F.col("type_key").alias("concept")))
+    return catalog.unknown_keys(keys, f.concept)
+
+
+@query
+def correction_target(f):
+    said = f.table("supplier").select(F.col("s_suppkey").alias("description_id"), F.col("s_nationkey").alias("scope"), F.concat(F.lit("0000"), (F.col("s_suppkey") % 10).cast("string")).alias("part"), F.lit(None).cast("decimal(18,2)").alias("amount"))
+    candidates = f.table("customer").select(F.col("c_nationkey").alias("scope"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").cast("decimal(18,2)").alias("amount"))
+    return catalog.correction_targets(said, candidates, f.correction.where("kind = 'fact'")).withColumn("target_id", _text("target_id"))
+
+
+@query
+def inferred_ownership(f):
+    said = f.table("orders").select(F.concat(F.lit("c:"), F.col("o_custkey").cast("string")).alias("owner"), F.concat(F.lit("s:"), (F.col("o_orderkey") % 10 + 1).cast("string")).alias("entity_id"))
+    return catalog.inferred_ownership(said, f.relation, "buys_from")
+
+
+@query
+def referent_salience(f):
+    rows = f.table("conversations").select("conv_id", F.col("turn").alias("position"), F.concat(F.col("role"), (F.col("turn") % 3).cast("string")).alias("entity_id"))
+    return catalog.salience(rows, ["conv_id"], "position")
+
+
+@query
+def proposal_readiness(f):
+    key = F.col("l_orderkey") + F.col("l_linenumber")
+    primitive = F.element_at(F.array(*map(F.lit, ["event", "relation", "attribute", "measurement", "state", "other"])), (key % 6 + 1).cast("int"))
+    present = {"type": key % 5 != 0, "time": key % 7 != 0, "subject": F.col("l_partkey") % 3 != 0, "object": F.col("l_suppkey") % 2 == 0, "key": F.lit(True), "dimension": key % 4 != 0, "value": F.col("l_linenumber") % 3 != 0}
+    rows = f.table("lineitem").select(F.col("l_orderkey").alias("proposal_id"), catalog.missing_slots(primitive, present).alias("missing"))
+    return catalog.readiness(rows)
+
+
+@query
+def answer_projection(f):
+    rows = attributes.value_lookup(f.attribute, ["entity_id", "dimension"])
+    shown = interpret.projected(F.col("status"), F.col("value"), F.array_repeat(F.lit("v"), F.col("n_values").cast("int")))
+    return rows.select(shown.alias("p")).groupBy("p.status", "p.kind").agg(F.count("*").alias("n"))
