@@ -372,4 +372,22 @@ ORACLE_SQL: dict[str, str] = {
         d AS (SELECT *, CASE WHEN ready = n THEN 'auto' WHEN ready > 0 THEN 'partial' WHEN ask IS NOT NULL THEN 'clarify' WHEN unsupported = n THEN 'unsupported' ELSE 'safe_abstain' END AS decision FROM g)
         SELECT proposal_id, n, ready, decision, CASE WHEN decision = 'clarify' THEN ask END AS ask FROM d""",
     "answer_projection": _with(_ATTRIBUTE, _lookup("entity_id, dimension", "true")) + " SELECT status, CASE WHEN status IN ('unknown', 'temporally_unknown') THEN 'unknown' WHEN n_values > 1 THEN 'list' WHEN value IS NOT NULL THEN 'value' ELSE 'empty' END AS kind, count(*) AS n FROM answered GROUP BY ALL",
+    "measurement_query_mode": """SELECT CASE WHEN o_orderkey % 6 = 0 AND o_orderkey % 5 != 0 THEN 'value_proposition' WHEN o_orderkey % 6 = 1 THEN 'latest_observation' WHEN o_orderkey % 6 = 2 THEN 'observations_in_range'
+        WHEN o_orderkey % 7 = 0 OR o_orderkey % 6 = 4 THEN 'observation_at_time' WHEN o_orderkey % 6 = 3 THEN 'observation_at_time' ELSE 'latest_observation' END AS mode, count(*) AS n FROM orders GROUP BY 1""",
+    "attribute_query_mode": """SELECT CASE WHEN o_orderkey % 11 = 0 THEN 'value_lookup' WHEN o_orderkey % 4 IN (0, 1) THEN 'historical_existence' WHEN o_orderkey % 3 = 0 AND o_orderkey % 5 = 0 THEN 'proposition'
+        WHEN o_orderkey % 3 = 0 THEN 'value_lookup' WHEN o_orderkey % 4 = 2 THEN 'value_lookup' ELSE 'proposition' END AS mode, count(*) AS n FROM orders GROUP BY 1""",
+    "canonical_gate": """WITH k AS (SELECT ['action.install', 'action.replace', 'state.value.broken', 'state.value.open', 'state.value.working'][o_orderkey % 5 + 1] AS key, ['install', 'replace_physical', 'facilities', 'property_new'][o_orderkey % 4 + 1] AS s FROM orders)
+        SELECT key, CASE WHEN key = 'action.install' AND s = 'facilities' THEN 'forbidden_sense' WHEN key = 'action.install' AND s != 'install' THEN 'missing_sense' WHEN key = 'action.replace' AND s = 'install' THEN 'forbidden_sense'
+            WHEN key = 'action.replace' AND s != 'replace_physical' THEN 'missing_sense' WHEN key = 'state.value.working' AND s IN ('property_new', 'facilities') THEN 'forbidden_sense'
+            WHEN key IN ('state.value.broken', 'state.value.open') AND s = 'property_new' THEN 'forbidden_sense' END AS why, count(*) AS n FROM k GROUP BY ALL""",
+    "event_roles": """WITH m AS (SELECT l_orderkey AS proposal_id, l_orderkey * 10 + l_linenumber AS mention_id, l_partkey % 3 AS k, l_linenumber AS n, l_partkey % 7 = 0 AS h_actor, l_partkey % 7 != 0 AND l_partkey % 5 = 0 AS h_object,
+            l_orderkey % 2 = 0 AS change, l_linenumber = 1 AND l_orderkey % 3 = 0 AND l_partkey % 3 != 0 AS affected FROM lineitem),
+        r AS (SELECT *, CASE WHEN affected THEN 'role.patient' WHEN NOT bool_or(affected) OVER (PARTITION BY proposal_id) AND k = 0 AND (h_actor OR (n = 1 AND change)) THEN 'role.actor'
+            WHEN n = 2 OR h_object THEN 'role.object' WHEN k = 1 THEN 'role.context' END AS role FROM m)
+        SELECT proposal_id, mention_id, role FROM (SELECT *, row_number() OVER (PARTITION BY proposal_id, role, k ORDER BY mention_id) AS i FROM r WHERE role IS NOT NULL) WHERE role != 'role.context' OR i = 1""",
+    "propagated_hints": """WITH m AS (SELECT l_orderkey AS p, l_orderkey * 10 + l_linenumber AS mention_id, CASE WHEN l_partkey % 4 = 0 THEN 'class' || (l_partkey % 8) END AS h FROM lineitem)
+        SELECT mention_id, coalesce(h, CASE WHEN n = 1 THEN o END) AS class_hint FROM m JOIN (SELECT p, count(DISTINCT h) AS n, min(h) AS o FROM m GROUP BY 1) USING (p)""",
+    "type_evidence": f"{_with(_ENTITY)} SELECT entity_id AS mention_id, entity_id, CASE left(entity_id, 2) WHEN 'c:' THEN 'type_descendant_match' WHEN 'n:' THEN 'type_match' WHEN 'r:' THEN 'type_descendant_match' END AS evidence FROM entity",
+    "entity_resolution_contextual": """SELECT user_id AS mention_id, CASE WHEN count(*) FILTER (user_id % 2 != 0 OR event_type = 'click') > 0 THEN 'resolved' ELSE 'unresolved' END AS status,
+        'e:' || max(event_id) FILTER (user_id % 2 != 0 OR event_type = 'click') AS entity_id FROM events GROUP BY 1""",
 }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veritempo.functions import temporal as T
 from veritempo.functions import text as X
-from veritempo.operators import attributes, catalog, events, ingest, interpret, ledger, linkage, measurements, relations, states
+from veritempo.operators import attributes, catalog, events, ingest, interpret, ledger, linkage, measurements, proposals, relations, states
 from veritempo.plans.spec import QuerySpec, execute
 from veritempo.sources import migrations
 from veritempo.sources.frames import KnowledgeFrames
@@ -709,3 +709,72 @@ def answer_projection(f):
     rows = attributes.value_lookup(f.attribute, ["entity_id", "dimension"])
     shown = interpret.projected(F.col("status"), F.col("value"), F.array_repeat(F.lit("v"), F.col("n_values").cast("int")))
     return rows.select(shown.alias("p")).groupBy("p.status", "p.kind").agg(F.count("*").alias("n"))
+
+
+# Proposals --------------------------------------------------------------------------------------------------------
+
+MEASURE_PHRASES = ["era 10 kg?", "última leitura do som", "quais foram os valores", "quanto tem de água", "agora", "quanto"]
+ATTRIBUTE_PHRASES = ["já foi azul", "era azul em 2020", "qual a cor", "azul"]
+
+
+@query
+def measurement_query_mode(f):
+    key = F.col("o_orderkey")
+    said = F.element_at(F.array(*map(F.lit, MEASURE_PHRASES)), (key % len(MEASURE_PHRASES) + 1).cast("int"))
+    mode = proposals.measurement_mode(said, key % 5 != 0, key % 7 == 0)
+    return f.table("orders").groupBy(mode.alias("mode")).agg(F.count("*").alias("n"))
+
+
+@query
+def attribute_query_mode(f):
+    key = F.col("o_orderkey")
+    said = F.element_at(F.array(*map(F.lit, ATTRIBUTE_PHRASES)), (key % len(ATTRIBUTE_PHRASES) + 1).cast("int"))
+    mode = proposals.attribute_mode(said, F.when(key % 11 == 0, "first").otherwise("none"), key % 3 == 0, key % 5 == 0)
+    return f.table("orders").groupBy(mode.alias("mode")).agg(F.count("*").alias("n"))
+
+
+@query
+def canonical_gate(f):
+    key = F.col("o_orderkey")
+    keys, senses = sorted(proposals.GATES), ["install", "replace_physical", "facilities", "property_new"]
+    name = F.element_at(F.array(*map(F.lit, keys)), (key % len(keys) + 1).cast("int"))
+    sense = F.array(F.element_at(F.array(*map(F.lit, senses)), (key % len(senses) + 1).cast("int")))
+    return f.table("orders").groupBy(name.alias("key"), proposals.gate(name, sense).alias("why")).agg(F.count("*").alias("n"))
+
+
+def _proposal_mentions(f: KnowledgeFrames) -> DataFrame:
+    n, part = F.col("l_linenumber"), F.col("l_partkey")
+    return f.table("lineitem").select(
+        F.col("l_orderkey").alias("proposal_id"),
+        (F.col("l_orderkey") * 10 + n).alias("mention_id"),
+        F.concat(F.lit("Place "), (part % 3).cast("string")).alias("text"),
+        F.when(n == 1, "subject").when(n == 2, "object").otherwise("other").alias("slot"),
+        F.when(part % 3 == 0, "person").when(part % 3 == 1, "place").otherwise("thing").alias("kind"),
+        F.when(part % 7 == 0, "actor").when(part % 5 == 0, "object").otherwise("none").alias("hint"),
+        (F.col("l_orderkey") % 2 == 0).alias("change"),
+        (F.col("l_orderkey") % 3 == 0).alias("intransitive"),
+        F.when(part % 4 == 0, F.concat(F.lit("class"), (part % 8).cast("string"))).alias("class_hint"),
+    )
+
+
+@query
+def event_roles(f):
+    return proposals.event_roles(_proposal_mentions(f))
+
+
+@query
+def propagated_hints(f):
+    return proposals.propagated_hints(_proposal_mentions(f))
+
+
+@query
+def type_evidence(f):
+    rows = f.entity.select(F.col("entity_id").alias("mention_id"), "entity_id", "type_key", F.when(F.col("entity_id").startswith("c:"), "entity.party").when(F.col("entity_id").startswith("n:"), "entity.nation").otherwise("entity.place").alias("hint"))
+    return proposals.type_evidence(rows, f.concept)
+
+
+@query
+def entity_resolution_contextual(f):
+    recent = f.table("events").select(F.col("user_id").alias("conv_id"), F.col("event_id").alias("position"), F.concat(F.lit("e:"), F.col("event_id").cast("string")).alias("entity_id"), F.concat(F.lit("event."), F.col("event_type")).alias("type_key"))
+    asked = f.table("events").select(F.col("user_id").alias("conv_id"), F.col("user_id").alias("mention_id"), F.when(F.col("user_id") % 2 == 0, "event.click").otherwise("event.any").alias("hint")).distinct()
+    return proposals.resolve_contextual(asked, recent, f.concept)
