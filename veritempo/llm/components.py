@@ -15,8 +15,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     near = both.join(least, "u")
     moved = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")) if large else near.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    moved = moved.where("u != v")
-    return moved.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    moved = moved.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    # a large star gives one row per edge at most, and the small star after it bears repeats: one distinct does for both
+    return moved if large else moved.distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
