@@ -9,9 +9,10 @@ and only about K ln K darts are thrown, however large the set.
 Classes. Rows with the same text are collapsed first and take part once. Signatures are cut into bands; texts that share
 a band are candidates. No bucket is expanded into pairs: in each bucket all texts are compared with one hub, hubs being
 dealt by a hash so that bands have different ones. Compared means: the exact Jaccard similarity of the shingle sets.
-Linked texts form components, and only buckets that still hold several components go on, to other hubs. What is open
-after `rounds` rounds of hubs goes through an exact prefix filter (`prefix_pairs`), which misses no similar pair and
-keeps unlike members of a large group apart. Thus each candidate pair is compared, shown to be unlike, or known to be of
+Linked texts form components, and only buckets that still hold several components go on, to the other `rounds` - 1 hubs,
+all in one turn, since a turn costs dozens of stages and a further hub only its comparisons. What is open then goes
+through an exact prefix filter (`prefix_pairs`), which misses no similar pair and keeps unlike members of a large group
+apart. Thus each candidate pair is compared, shown to be unlike, or known to be of
 one class, and classes are those of comparing all candidate pairs.
 
 Defined results: a null text, or one without words, is alone in its class even if repeated; texts of any length are
@@ -37,7 +38,7 @@ from veritempo.llm.shingles import jaccard, mix, shingles
 WORDS, SIMILARITY = 5, 0.8
 #: 25 bands of 5: a pair at 0.8 is missed with probability 5e-5.
 BANDS, ROWS = 25, 5
-#: Rounds of hubs before the prefix filter.
+#: Hubs that a bucket has before the prefix filter: one, then the others together if the bucket is still open.
 ROUNDS = 3
 CHUNK_CHARS = 1_000_000
 
@@ -212,9 +213,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, rounds: int
     packed = checkpoint(_packed(docs, members.select("doc_id").distinct()))
     labels, seen = None, None
     similar_size = F.least("size", "hub_size") >= F.greatest("size", "hub_size") * F.lit(similarity)
-    for turn in range(rounds + 1):
-        if turn < rounds:
-            hubs = members.groupBy("band", "bucket").agg(F.min(F.struct(F.xxhash64("doc_id", "band", F.lit(turn)), F.col("doc_id").alias("hub"), F.col("size").alias("hub_size"), F.col("component").alias("hub_component"))).alias("h"))
+    for numbers in [*(x for x in (range(min(rounds, 1)), range(1, rounds)) if x), None]:
+        if numbers:
+            own = [F.col("doc_id").alias("hub"), F.col("size").alias("hub_size"), F.col("component").alias("hub_component")]
+            least = [F.min(F.struct(F.xxhash64("doc_id", "band", F.lit(number)), *own)).alias(f"h{number}") for number in numbers]
+            hubs = members.groupBy("band", "bucket").agg(*least).select("band", "bucket", F.explode(F.array(*[f"h{number}" for number in numbers])).alias("h"))
             pairs = members.join(hubs.select("band", "bucket", "h.hub", "h.hub_size", "h.hub_component"), ["band", "bucket"])
             pairs = pairs.where("component != hub_component").where(similar_size)
             pairs = pairs.select(F.least("doc_id", "hub").alias("x"), F.greatest("doc_id", "hub").alias("y")).distinct()
