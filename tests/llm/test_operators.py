@@ -98,6 +98,19 @@ def test_token_counts_equal_the_library(spark, docs, empty):
     assert token_counts.token_counts(empty, WORD_PATH, 2048).count() == 0
 
 
+def test_token_counts_of_decomposed_texts(spark):
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    texts = [unicodedata.normalize("NFD", t) for t in ("Việt Nam, tiếng Việt", "ёлка и чай", "über São Ṣūrya", "İI")]
+    texts += ["a\u0323b", "\u023a \u023eb \u03fdc", "e\u0301 x\u0301"]
+    library = Tokenizer.from_file(WORD_PATH)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.n_tokens for r in token_counts.token_counts(df, WORD_PATH, 2048).collect()}
+    assert found == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
 # 3 ------------------------------------------------------------------------------------------------------------------
 
 

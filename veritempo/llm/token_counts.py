@@ -52,9 +52,11 @@ class _Counter:
 
     def pieces(self, text: str) -> list[str] | None:
         """The pre-tokens of a text, or None if the library has to split it."""
-        if ODD(text) or self.special(text):
+        low = unicodedata.normalize("NFC", text).lower()
+        # ordinary characters may compose or lower to others, which no set of the split holds
+        if ODD(text) or ODD(low) or self.special(text):
             return None
-        return self.split(unicodedata.normalize("NFC", text).lower())
+        return self.split(low)
 
     def lengths(self, pieces: list[str]) -> dict[str, int]:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
