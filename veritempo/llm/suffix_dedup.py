@@ -1,8 +1,9 @@
-"""Removal of repeated byte strings by blockwise suffix sorting with a cover sample.
+"""Removal of repeated byte strings: blockwise suffix sorting with a cover sample, with hashes in place of the order.
 
 Every byte covered by a string of `length` bytes that also starts earlier is removed. That asks, for each start, whether
 its first `length` bytes occur at an earlier start: equal suffixes up to depth `length`, which is all the sorting that is
-done. Suffixes are never sorted all at once:
+done. Suffixes are never sorted all at once, and neither their order nor ranks of the sample are computed; 64-bit hashes
+of the sampled string and of all bytes around it stand for them:
 
 1. Cover sample. Each window of `length` bytes picks one position inside it, the place of its least hashed string of
    length / 2 bytes. Equal windows pick the same offset, so the picks are a difference cover in the sense that counts:
@@ -87,7 +88,7 @@ def cover_runs(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndar
     first, last = valid[opens], valid[np.concatenate([opens[1:], [len(valid)]]) - 1]
     at = picked[opens]
     context = mix(span_hashes(prefixes, first, last + length) + (at - first).astype(np.uint64))
-    return first, last, grams[at].astype(np.int64), (context >> np.uint64(32)).astype(np.int64)
+    return first, last, grams[at].astype(np.int64), context.astype(np.int64)
 
 
 def _settle(names: np.ndarray, contexts: np.ndarray, docs: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, ...]:
