@@ -332,6 +332,24 @@ def test_distrust_spreads_against_links(spark):
     assert url_filter.judge(df.limit(0), URL_RULES).count() == 0
 
 
+def test_distrust_spreads_along_a_whole_chain(spark):
+    hosts = ["bad.net", *(f"h{i}.info" for i in range(1, 15))]
+    rows = [(i, f"http://{h}/p", f'<a href="http://{hosts[i - 1]}/">x</a>' if i else "") for i, h in enumerate(hosts)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.verdict for r in url_filter.judge(df, URL_RULES).collect()} == {"block"}
+
+
+def test_mass_on_a_cycle_ends(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "SEED", 100)
+    seeds = spark.createDataFrame([("distrust", "a")], "kind string, host string")
+    edges = spark.createDataFrame([("a", "b"), ("b", "a")], "src string, dst string")
+    expected, mass, at = {"a": 0, "b": 0}, 100, 0
+    while mass:
+        expected["ab"[at]] += mass
+        mass, at = mass * 85 // 100, 1 - at
+    assert {r.host: (r.trust, r.distrust) for r in url_filter.spread_mass(seeds, edges).collect()} == {h: (0, m) for h, m in expected.items()}
+
+
 # 6 and 10 -----------------------------------------------------------------------------------------------------------
 
 

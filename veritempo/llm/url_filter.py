@@ -3,8 +3,9 @@
 A host is a seed when rules give more than half of its pages one verdict. Trust starts at the allowed seeds and follows
 the links; distrust starts at the blocked seeds and goes against them (who links to a blocked host is suspect). Both
 are personalised PageRanks over distinct host edges: each step passes on 85 % of a host's new mass, in equal parts.
-Masses are integers, so sums don't depend on their order and a repeated task gives the same verdict. A host is blocked
-when its distrust reaches a share of one seed's mass and exceeds its trust.
+Masses are integers, so sums don't depend on their order and a repeated task gives the same verdict; parts are rounded
+down, so new mass ends by itself, on cycles too, and steps go on until there is none. A host is blocked when its distrust reaches a share of one seed's mass and exceeds its
+trust.
 
 Host edges are pre-aggregated (distinct) before they are joined, and the hosts' verdicts are joined to the pages by
 host, where adaptive execution splits a hot host; nothing but the number of hosts bounds the graph.
@@ -16,6 +17,8 @@ host; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +28,6 @@ from veritempo.llm.common import checkpoint
 SEED = 1_000_000_000
 #: Per cent of new mass that a host passes on.
 DAMPING = 85
-STEPS = 10
 #: Parts of a thousand of a seed's mass from which distrust counts.
 THRESHOLD = 20
 
@@ -65,15 +67,18 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return edges.where("src != '' and src != dst").distinct()
 
 
-def spread_mass(seeds: DataFrame, edges: DataFrame, steps: int = STEPS) -> DataFrame:
-    """Total trust and distrust of each reached host, from seeds(kind, host) with kinds trust and distrust."""
+def spread_mass(seeds: DataFrame, edges: DataFrame, steps: int | None = None) -> DataFrame:
+    """Total trust and distrust of each reached host, from seeds(kind, host) with kinds trust and distrust.
+
+    All steps are done; a number of steps ends the spread early, for tests.
+    """
     flows = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"))
     flows = flows.unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to")))
     flows = flows.join(flows.groupBy("kind", "host").agg(F.count("*").alias("ways")), ["kind", "host"])
     flows = checkpoint(flows)
     new = checkpoint(seeds.select("kind", "host", F.lit(SEED).cast("long").alias("mass")))
     total = new
-    for _ in range(steps):
+    for _ in count() if steps is None else range(steps):
         moved = new.join(flows, ["kind", "host"]).select("kind", F.col("to").alias("host"), F.expr(f"mass * {DAMPING} div (100 * ways)").alias("mass"))
         new = checkpoint(moved.groupBy("kind", "host").agg(F.sum("mass").alias("mass")).where("mass > 0"))
         if new.isEmpty():
@@ -83,7 +88,7 @@ def spread_mass(seeds: DataFrame, edges: DataFrame, steps: int = STEPS) -> DataF
     return total.groupBy("host").agg(*sums)
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], steps: int = STEPS) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]], steps: int | None = None) -> DataFrame:
     """Columns page_id, host, path, rule and verdict of every page."""
     read = pages.select("page_id", "html", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     read = read.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
