@@ -159,6 +159,15 @@ def test_line_dedup(docs, k):
     assert {r.doc_id: (r.kept_text, r.n_lines, r.n_removed, r.n_runs) for r in found} == expected
 
 
+def test_line_dedup_of_long_single_lines(spark):
+    long, short = " ".join(f"w{i}" for i in range(50)), " ".join(f"v{i}" for i in range(49))
+    texts = [f"a\n{long}\nb\n{short}\nc", f"d\n{long}\ne\n{short}\nf", f"g\n{short}\n{long}\n{long}\nb\n{short}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: (r.kept_text, r.n_removed, r.n_runs) for r in line_dedup.delete_repeated_runs(df, long_words=50).collect()}
+    assert found == {0: (texts[0], 0, 0), 1: (f"d\ne\n{short}\nf", 1, 1), 2: (f"g\n{short}", 4, 1)}
+    assert {r.n_removed for r in line_dedup.delete_repeated_runs(df.where("doc_id < 2")).collect()} == {0}
+
+
 def test_line_dedup_of_nothing(empty):
     assert line_dedup.delete_repeated_runs(empty).count() == 0
 

@@ -6,7 +6,8 @@ names lines; each round joins a suffix's name with that of the suffix h lines la
 round goes as far as is needed), until buckets hold the suffixes whose longest common prefix is `min_lines` or more.
 Suffixes alone in their bucket leave at once, so rounds after the first carry repeated text only. A suffix that is not
 the first of its bucket starts a run that has begun earlier (smaller doc_id, or earlier line): its lines are deleted, and
-overlapping or touching runs form one maximal run. Runs never cross documents.
+overlapping or touching runs form one maximal run. Runs never cross documents. With `long_words`, a line of at least so
+many words that has begun earlier is a run too, alone.
 
 All steps are grouping, window and join operations: buckets are counted by partial aggregation, so a line that a third
 of all documents share sends one row per task, and its join back to the suffixes is of the kind that adaptive execution
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 
 #: Lines of the shortest run that is deleted.
 MIN_LINES = 2
+#: Words from which a line alone is a run, where a caller asks for it; short lines of clean texts are spared.
+LONG_WORDS = 50
 
 _ID, _HASH = "__doc", "__text_hash"
 
@@ -37,13 +40,16 @@ def _bare(line: Column) -> Column:
     return F.regexp_replace(line, r"^\s+|\s+$", "")
 
 
-def repeated_suffixes(docs: DataFrame, min_lines: int = MIN_LINES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def repeated_suffixes(docs: DataFrame, min_lines: int = MIN_LINES, id_column: str = "doc_id", text_column: str = "text", least_words: int = 0) -> DataFrame:
     """Columns __doc, __text_hash, n (line, counted from 0 among lines with content), at (its number in the text), first.
 
-    One row for each suffix whose first `min_lines` lines occur elsewhere too; first is the earliest such suffix.
+    One row for each suffix whose first `min_lines` lines occur elsewhere too; first is the earliest such suffix. With
+    `least_words`, only lines of at least so many words count (for runs of one line).
     """
     kept = F.filter(F.transform(_lines(F.col(text_column)), lambda x, i: F.struct(i.alias("at"), _bare(x).alias("line"))), lambda x: x["line"] != "")
     rows = docs.select(F.col(id_column).alias(_ID), F.xxhash64(text_column).alias(_HASH), F.posexplode(kept).alias("n", "x"))
+    if least_words:
+        rows = rows.where(F.size(F.split("x.line", r"\s+")) >= least_words)
     rows = rows.select(_ID, _HASH, "n", F.col("x.at").alias("at"), F.xxhash64("x.line").alias("a"), F.xxhash64(F.lit(1), "x.line").alias("b")).distinct()
     here = F.struct(F.col(_ID), F.col(_HASH), F.col("n"))
 
@@ -60,20 +66,23 @@ def repeated_suffixes(docs: DataFrame, min_lines: int = MIN_LINES, id_column: st
     return found
 
 
-def delete_repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def delete_repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, id_column: str = "doc_id", text_column: str = "text", long_words: int | None = None) -> DataFrame:
     """The documents with kept_text, n_lines, n_removed (lines) and n_runs (maximal deleted runs) added."""
     found = repeated_suffixes(docs, min_lines, id_column, text_column)
     own = F.struct(F.col(_ID), F.col(_HASH), F.col("n"))
-    starts = found.where(F.col("first") < own)
-    before = F.lag("n").over(Window.partitionBy(_ID, _HASH).orderBy("n"))
-    starts = starts.select(_ID, _HASH, "n", F.coalesce(F.col("n") - before > min_lines, F.lit(True)).cast("int").alias("opens"))
-    cut = starts.groupBy(_ID, _HASH).agg(F.collect_list("n").alias("__starts"), F.sum("opens").cast("int").alias("__runs"))
+    starts = found.where(F.col("first") < own).select(_ID, _HASH, "n", (F.col("n") + min_lines).alias("end"))
+    if long_words:
+        alone = repeated_suffixes(docs, 1, id_column, text_column, long_words).where(F.col("first") < own)
+        starts = starts.unionByName(alone.select(_ID, _HASH, "n", (F.col("n") + 1).alias("end")))
+    before = F.max("end").over(Window.partitionBy(_ID, _HASH).orderBy("n", "end").rowsBetween(Window.unboundedPreceding, -1))
+    starts = starts.select(_ID, _HASH, "n", "end", F.coalesce(F.col("n") > before, F.lit(True)).cast("int").alias("opens"))
+    cut = starts.groupBy(_ID, _HASH).agg(F.collect_list(F.struct("n", "end")).alias("__starts"), F.sum("opens").cast("int").alias("__runs"))
     rows = docs.withColumn("__own_hash", F.xxhash64(text_column))
     rows = rows.join(cut, F.col(id_column).eqNullSafe(F.col(_ID)) & (F.col("__own_hash") == F.col(_HASH)), "left")
     # `lines` and `content` are each used twice below, so that the optimiser keeps them as columns
     rows = rows.withColumn("__lines", _lines(F.col(text_column)))
     content = F.transform(F.filter(F.transform("__lines", lambda x, i: F.struct(i.alias("at"), _bare(x).alias("line"))), lambda x: x["line"] != ""), lambda x: x["at"])
-    numbers = F.array_distinct(F.flatten(F.transform("__starts", lambda s: F.sequence(s, s + (min_lines - 1)))))
+    numbers = F.array_distinct(F.flatten(F.transform("__starts", lambda s: F.sequence(s["n"], s["end"] - 1))))
     rows = rows.withColumn("__content", content).withColumn("__gone", numbers)
     gone = F.transform("__gone", lambda n: F.get(F.col("__content"), n))
     kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), gone)
