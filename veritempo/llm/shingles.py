@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256, np.uint64)
+_BYTES, OTHER_BYTES = np.random.default_rng(20).integers(1, 1 << 63, (2, 256), np.uint64)
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64)]
 _INVERSE: list[np.ndarray] = [np.ones(1, np.uint64)]
 
@@ -29,11 +29,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of every prefix of the bytes, from the empty one on."""
+def prefix_hashes(data: np.ndarray, values: np.ndarray = _BYTES) -> np.ndarray:
+    """Hash of every prefix of the bytes, from the empty one on; other values of the bytes give independent hashes."""
     powers, _ = _powers(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * powers[:-1], out=out[1:])
+    np.cumsum(values[data] * powers[:-1], out=out[1:])
     return out
 
 
@@ -43,6 +43,12 @@ def span_hashes(prefixes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> n
     return mix((prefixes[ends] - prefixes[starts]) * inverse[starts])
 
 
+def string_hashes(strings: np.ndarray) -> np.ndarray:
+    """Hashes of byte strings of one length, the rows of an array; as `span_hashes` gives them."""
+    powers, _ = _powers(strings.shape[1] + 1)
+    return mix((_BYTES[strings] * powers[:-1]).sum(1, dtype=np.uint64))
+
+
 def shingles(texts: list[str], words: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes of all texts one after another (repeats included), and how many each text has.
 
@@ -63,9 +69,11 @@ def shingles(texts: list[str], words: int = 5) -> tuple[np.ndarray, np.ndarray]:
     n = len(hashes)
     rolled = np.zeros(n, np.uint64)
     whole = np.ones(n, bool)
-    for k in range(words):
+    for k in range(min(words, n)):
         rolled[: n - k] = rolled[: n - k] * np.uint64(0xD6E8FEB86659FD93) + hashes[k:]
         whole[n - k :] = False
+    if n < words:
+        whole[:] = False
     if n >= words:
         whole[: n - words + 1] &= owner[: n - words + 1] == owner[words - 1 :]
     short = np.flatnonzero((counts > 0) & (counts < words))
