@@ -215,10 +215,10 @@ def test_contexts_count_with_all_their_bits(monkeypatch):
     own = [rng.integers(32, 127, 120).astype(np.uint8) for _ in range(4)]
     texts = [np.concatenate([own[0], shared, own[1]]), np.concatenate([own[2], shared, own[3]])]
     data, ends = np.concatenate(texts), np.cumsum([len(t) for t in texts])
-    first, last, names, contexts = suffix_dedup.cover_runs(data, ends, 100)
+    first, last, names, contexts, _ = suffix_dedup.cover_runs(data, ends, 100)
     docs = np.searchsorted(ends, first, "right")
     assert set(names[docs == 0]) & set(names[docs == 1])
-    assert not suffix_dedup._settle(names, contexts, docs, first << 16 | (last - first) << 8)[0].any()
+    assert not suffix_dedup._settle(names, contexts, docs, first << 24 | (last - first) << 16)[0].any()
 
 
 # 7 ------------------------------------------------------------------------------------------------------------------
