@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from veritempo.llm import minhash, shingles, suffix_dedup
+from veritempo.llm import line_dedup, minhash, shingles, suffix_dedup
 
 from .test_operators import brute_bytes, brute_classes, words
 
@@ -98,3 +98,26 @@ def test_near_duplicates_of_short_texts(spark, partitions):
     texts = ["thank you", "Thank you", "thank  you ", "you thank", "one", "One", "a b c", "A b c", "a b c d", "a b c d e", "A B c d e", "a b c d e f", "", " ", None, None]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(partitions)
     assert {r.doc_id: r.class_id for r in minhash.near_duplicates(df).collect()} == brute_classes(df.collect())
+
+
+# Lines --------------------------------------------------------------------------------------------------------------
+
+
+def test_depth_and_source_of_repeated_lines(spark):
+    """Every suffix against brute force: the greatest doubled depth shared with an earlier one, and its first place."""
+    rng = random.Random(6)
+    texts = ["\n".join(rng.choice("abcd") for _ in range(rng.randrange(1, 60))) for _ in range(12)]
+    texts += [texts[3], texts[3] + "\nx\n" + texts[4], "\n".join("z" * 40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r["__doc"], r.n): (r.depth, r.first["__doc"], r.first.n) for r in line_dedup.repeated_suffixes(df, 3).collect()}
+    expected, depth = {}, 3
+    while depth < 200:
+        seen = {}
+        for d, text in enumerate(texts):
+            lines = text.split("\n")
+            for n in range(len(lines) - depth + 1):
+                place = seen.setdefault(tuple(lines[n : n + depth]), (d, n))
+                if place != (d, n):
+                    expected[d, n] = (depth, *place)
+        depth *= 2
+    assert found == expected and max(d for d, *_ in expected.values()) >= 24

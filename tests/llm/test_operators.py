@@ -154,7 +154,10 @@ def brute_lines(rows, k):
 def test_line_dedup(docs, k):
     rows = docs.collect()
     expected = brute_lines(rows, k)
-    found = line_dedup.delete_repeated_runs(docs.withColumns({"kept_text": F.lit("x")}).drop("kept_text"), k).collect()
+    clash = docs.withColumns({c: F.lit(7) for c in ("kept_text", "n_lines", "n_removed", "n_runs", "line", "n", "a", "depth", "first")})
+    frame = line_dedup.delete_repeated_runs(clash, k)
+    assert len(frame.columns) == len(set(frame.columns)) == len(docs.columns) + 9
+    found = frame.collect()
     assert len(found) == len(rows)
     assert {r.doc_id: (r.kept_text, r.n_lines, r.n_removed, r.n_runs) for r in found} == expected
 
