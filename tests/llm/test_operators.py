@@ -73,14 +73,34 @@ def test_byte_bpe_equals_ranks_and_round_trips(docs):
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
+def test_byte_bpe_equals_ranks_on_odd_texts(spark, empty):
+    """Texts of all scripts, broken spaces, long runs and special strings against the ranks that the contract names."""
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
+    expected = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(17)
+    pools = ["abc '\n\t 12", "àéîöÜßñ", "ёжиЯΩΔς", "日本語漢字かな", "مرحبا שלום", "🙂👍🏽\u200d\u0301", "\x00\x1c\x85\u2028\u3000\ufeff", "<|endoftext|>'s'RE", "اًकि ไทย", "𝔘𝕏"]
+    texts = ["".join(rng.choice(rng.choice(pools)) for _ in range(rng.randrange(1, 80))) for _ in range(3_000)] + ["<|endoftext|>", " " * 3_000, "a" * 3_000, "\n" * 99]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"ids": F.lit(1), "decoded": F.lit(2), "n_tokens": F.lit(3)})
+    for r in byte_bpe.digests(df, BYTE_PATH).collect():
+        ids = expected.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+    assert byte_bpe.digests(empty, BYTE_PATH).count() == 0
+
+
 def test_byte_bpe_offsets_and_split_characters(spark):
     text = "naïve 🙂 <|endoftext|>"
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     row = byte_bpe.encode(df, BYTE_PATH, offsets=True).first()
     assert row.ids == byte_bpe.encode(df, BYTE_PATH).first().ids and 50256 not in row.ids
     assert row.starts[0] == 0 and max(row.ends) == len(text)
-    cut = spark.createDataFrame([(1, row.ids[: row.ids.index(row.ids[4]) + 1])], "doc_id long, ids array<int>")
-    assert "�" in byte_bpe.decode_text(cut, BYTE_PATH).first().text or text.startswith(byte_bpe.decode_text(cut, BYTE_PATH).first().text)
+    split = next(i for i in range(1, len(row.ids)) if row.ends[i] == row.ends[i - 1])
+    assert text[row.starts[split] : row.ends[split]].strip() == "🙂"  # a character over several ids
+    cut = spark.createDataFrame([(1, row.ids[:split]), (2, row.ids[split:])], "doc_id long, ids array<int>")
+    halves = {r.doc_id: (bytes(r.decoded), r.text) for r in byte_bpe.decode_text(cut, BYTE_PATH).collect()}
+    assert halves[1][0] + halves[2][0] == text.encode() and all("\ufffd" in t for _, t in halves.values())
     whole = spark.createDataFrame([(1, row.ids)], "doc_id long, ids array<int>")
     assert byte_bpe.decode_text(whole, BYTE_PATH).first().text == text
 
@@ -96,6 +116,18 @@ def test_token_counts_equal_the_library(spark, docs, empty):
         n = len(library.encode(texts[r.doc_id], add_special_tokens=False).ids)
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 2048)
     assert token_counts.token_counts(empty, WORD_PATH, 2048).count() == 0
+    clash = every.withColumns({"n_bytes": F.lit("x"), "n_tokens": F.lit("y"), "over_limit": F.lit(3)})
+    assert sorted(token_counts.token_counts(clash, WORD_PATH, 2048).collect()) == sorted(token_counts.token_counts(every, WORD_PATH, 2048).collect())
+
+
+def test_the_table_of_lengths_is_small_and_right(docs, monkeypatch):
+    from tokenizers import Tokenizer
+
+    table = token_counts.frequent_lengths(docs, WORD_PATH)
+    library = Tokenizer.from_file(WORD_PATH)
+    assert table and all(len(library.encode(p, add_special_tokens=False).ids) == n and len(p) <= token_counts.SHORT for p, n in table.items())
+    monkeypatch.setattr(token_counts, "FREQUENT", 7)
+    assert len(token_counts.frequent_lengths(docs, WORD_PATH)) == 7
 
 
 def test_token_counts_of_decomposed_texts(spark):
@@ -130,6 +162,55 @@ def test_language_id_on_held_out_documents(spark, empty):
     assert {(r.doc_id, r.lang_pred) for r in language_id.identify(clash).collect()} == {(i, r.lang_pred) for i, r in found.items()}
 
 
+def test_ftrl_equals_the_plain_recurrence(monkeypatch):
+    """Per coordinate and class, from the published update; and the elastic net leaves most weights at zero."""
+    monkeypatch.setattr(language_id, "BUCKETS", 12)
+    rng = np.random.default_rng(4)
+    examples = [(np.sort(rng.choice(12, 4, replace=False)), rng.uniform(0.1, 2, 4), int(rng.integers(3))) for _ in range(80)]
+    found = language_id.ftrl(examples, 3, epochs=2)
+    a, b, l1, l2 = language_id.ALPHA, language_id.BETA, language_id.L1, language_id.L2
+    z, n = np.zeros((12, 3)), np.zeros((12, 3))
+
+    def weight(i, c):
+        return 0.0 if abs(z[i, c]) <= l1 else -(z[i, c] - np.sign(z[i, c]) * l1) / ((b + np.sqrt(n[i, c])) / a + l2)
+
+    for at, values, label in examples * 2:
+        w = {(i, c): weight(i, c) for i in at for c in range(3)}
+        scores = [sum(v * w[i, c] for i, v in zip(at, values, strict=True)) for c in range(3)]
+        p = np.exp(scores) / np.exp(scores).sum()
+        for i, v in zip(at, values, strict=True):
+            for c in range(3):
+                g = v * (p[c] - (c == label))
+                sigma = (np.sqrt(n[i, c] + g * g) - np.sqrt(n[i, c])) / a
+                z[i, c] += g - sigma * w[i, c]
+                n[i, c] += g * g
+    assert np.allclose(found, [[weight(i, c) for c in range(3)] for i in range(12)])
+    monkeypatch.setattr(language_id, "L1", 50.0)
+    assert not language_id.ftrl(examples, 3).any()
+
+
+def test_temperature_has_the_least_log_loss():
+    rng = np.random.default_rng(2)
+    truth = rng.standard_normal((4000, 3)) * 2
+    p = np.exp(truth) / np.exp(truth).sum(1, keepdims=True)
+    labels = np.array([rng.choice(3, p=x) for x in p])
+    assert abs(language_id.temperature(truth * 5, labels) - 5) < 0.6
+    assert language_id.temperature(truth[:0], labels[:0]) == 1.0
+
+
+def test_document_frequencies_count_every_text(spark):
+    texts = ["ab ba", "ab", None, "12", "Ab ab ab"]
+    counts, n = language_id.document_frequencies(spark.createDataFrame([(t,) for t in texts], "text string"))
+    sets = [set(np.flatnonzero(language_id._counts(t))) for t in texts if t]
+    assert n == 3 and all(counts[b] == sum(b in s for s in sets) for s in sets for b in s) and counts.sum() == sum(map(len, sets))
+
+
+def test_language_id_of_null_ids(spark):
+    rows = [(None, "the thing", "aa"), (1, "the thing", "aa"), (2, "das und", "bb"), (4, "das und", "bb")]
+    found = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert {r.doc_id: r.held_out for r in found}[None] is True and len(found) == 4
+
+
 # 5 ------------------------------------------------------------------------------------------------------------------
 
 
@@ -314,6 +395,64 @@ def test_packing(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_best_fit_equals_brute_force():
+    rng = random.Random(9)
+    for _ in range(60):
+        capacity = rng.randrange(5, 40)
+        lengths = sorted((rng.randrange(0, capacity + 1) for _ in range(rng.randrange(1, 80))), reverse=True)
+        conflicts = [1 << rng.randrange(4) | 1 << (4 + rng.randrange(30)) for _ in lengths]
+        bins, offsets, held = [], [], []  # held: [filled, bits] of each bin
+        for length, bits in zip(lengths, conflicts, strict=True):
+            fits = [(capacity - filled - length, b) for b, (filled, other) in enumerate(held) if filled < capacity and filled + length <= capacity and not other & bits]
+            b = min(fits)[1] if fits else len(held)
+            if not fits:
+                held.append([0, 0])
+            bins.append(b)
+            offsets.append(held[b][0])
+            held[b][0] += length
+            held[b][1] |= bits
+        assert packing.best_fit(lengths, conflicts, capacity) == (bins, offsets)
+
+
+def brute_packing(rows, capacity):
+    """All pieces of one shard by exhaustive search of the tightest compatible bin."""
+    pieces = []
+    for r in rows:
+        n = len((r.text or "").split())
+        cluster = "".join((r.text or "").split()).lower() or ("", r.doc_id)
+        pieces += [(min(capacity, n - k * capacity), r.source, cluster) for k in range(max(1, -(-n // capacity)))]
+    held = []
+    for length, source, cluster in sorted(pieces, key=lambda p: -p[0]):
+        fits = [(capacity - b[0], i) for i, b in enumerate(held) if b[0] < capacity and b[0] + length <= capacity and source not in b[1] and cluster not in b[2]]
+        if not fits:
+            held.append([0, set(), set()])
+        b = held[min(fits)[1] if fits else -1]
+        b[0] += length
+        b[1] |= {source} - {None}
+        b[2].add(cluster)
+    return sorted(b[0] for b in held)
+
+
+def test_packing_equals_brute_force(spark):
+    rng = random.Random(14)
+    lengths = rng.sample(range(1, 130), 60)  # no equal ones, so the order is fixed
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(n)), rng.choice(["a", "b", "c", None])) for i, n in enumerate(lengths)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"piece": F.lit(1), "shard": F.lit(2), "length": F.lit(3), "bin": F.lit(4), "offset": F.lit(5), "row": F.lit(6)})
+    bins = {}
+    for r in packing.pack(df, 64).collect():
+        bins[r.shard, r.bin] = bins.get((r.shard, r.bin), 0) + r.length
+    # pieces of full capacity are alone in their bins, so their equal lengths don't matter
+    assert sorted(bins.values()) == brute_packing(df.collect(), 64)
+
+
+def test_repeated_rows_are_spread_over_shards(spark):
+    df = spark.range(3_000).select(F.lit(7).alias("doc_id"), F.lit("one two three").alias("text"), F.lit("s").alias("source")).repartition(4)
+    sizes = [r["count"] for r in packing.pack(df, shard_pieces=100).groupBy("shard").count().collect()]
+    assert len(sizes) == 31 and max(sizes) < 150  # a few more shards than 30 for what long texts could add
+    nothing = spark.createDataFrame([(None, None, None), (None, "a b", None)], "doc_id long, text string, source string")
+    assert sorted((r.doc_id, r.length) for r in packing.pack(nothing).collect()) == [(None, 0), (None, 2)]
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     # after 6, 5 and 3 the bins have 4, 5 and 7 left; 4 fits the first but for the conflict, so the next one takes it
     bins, offsets = packing.best_fit([6, 5, 3, 4, 4], [1, 2, 3, 1, 4], 10)
@@ -351,6 +490,44 @@ def test_distrust_spreads_along_a_whole_chain(spark):
     assert {r.verdict for r in url_filter.judge(df, URL_RULES).collect()} == {"block"}
 
 
+def test_spread_mass_equals_a_plain_page_rank(spark):
+    """Personalised PageRank by repeated sums over a random graph with cycles, sinks and hubs; and its closed form."""
+    rng = random.Random(21)
+    hosts = [f"h{i}" for i in range(40)]
+    edges = sorted({(rng.choice(hosts), rng.choice(hosts[:10] if rng.random() < 0.4 else hosts)) for _ in range(150)})
+    edges = [(a, b) for a, b in edges if a != b]
+    seeds = [("trust", "h1"), ("trust", "h2"), ("distrust", "h3"), ("distrust", "h2")]
+    got = {r.host: (r.trust, r.distrust) for r in url_filter.spread_mass(spark.createDataFrame(seeds, "kind string, host string"), spark.createDataFrame(edges, "src string, dst string")).collect()}
+    at = {h: i for i, h in enumerate(hosts)}
+    for kind, place in (("trust", 0), ("distrust", 1)):
+        ways = {h: [b if kind == "trust" else a for a, b in edges if (a if kind == "trust" else b) == h] for h in hosts}
+        new = {h: url_filter.SEED for k, h in seeds if k == kind}
+        total = dict(new)
+        while new:
+            moved = {}
+            for h, mass in new.items():
+                for to in ways[h]:
+                    moved[to] = moved.get(to, 0) + mass * url_filter.DAMPING // (100 * len(ways[h]))
+            new = {h: m for h, m in moved.items() if m}
+            total = {h: total.get(h, 0) + new.get(h, 0) for h in total | new}
+        assert {h: x[place] for h, x in got.items() if x[place]} == total
+        step = np.zeros((len(hosts), len(hosts)))
+        for h in hosts:
+            for to in ways[h]:
+                step[at[to], at[h]] += url_filter.DAMPING / 100 / len(ways[h])
+        start = np.array([url_filter.SEED if (kind, h) in seeds else 0 for h in hosts], float)
+        exact = np.linalg.solve(np.eye(len(hosts)) - step, start)
+        assert np.abs(exact - [total.get(h, 0) for h in hosts]).max() < 20_000  # what rounding down loses, of 10 ** 9
+
+
+def test_trust_outweighs_distrust_and_pages_may_repeat(spark):
+    page = lambda host, *links: (f"http://{host}/p", "".join(f"<A HREF=//{x}/>x</A>" for x in links))
+    rows = [page("bad.net"), page("blog.info", "bad.net"), ("http://good.org/fr/", '<a href="http://blog.info/">'), page("spam.info", "bad.net")]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)] + [(None, *rows[0]), (3, *rows[3])], "page_id long, url string, html string")
+    got = [(r.page_id, r.verdict) for r in url_filter.judge(df.withColumns({"rule": F.lit(1), "verdict": F.lit(2), "path": F.lit(3)}), URL_RULES).collect()]
+    assert sorted(got, key=str) == sorted([(0, "block"), (1, "allow"), (2, "allow"), (3, "block"), (None, "block"), (3, "block")], key=str)
+
+
 def test_mass_on_a_cycle_ends(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "SEED", 100)
     seeds = spark.createDataFrame([("distrust", "a")], "kind string, host string")
@@ -376,7 +553,7 @@ def vector_table(spark, n=700, d=16, seed=8):
 
 
 def test_exact_top_k(spark, monkeypatch):
-    monkeypatch.setattr(vectors.nearest, "__defaults__", (200, 10))
+    monkeypatch.setattr(vectors.nearest, "__defaults__", (200,))
     df, x = vector_table(spark)
     ids = np.arange(len(x) + 1)
     v = np.floor(256 * np.vstack([x, np.zeros(x.shape[1])]).astype(np.float64)).astype(np.int64)
@@ -395,6 +572,17 @@ def test_exact_top_k(spark, monkeypatch):
     assert bit_sliced.top_k(few, F.col("vec_id") % 50 == 0).count() == 2
 
 
+def test_exact_top_k_of_huge_components(spark):
+    rows = [(0, [1e12, -3e11]), (1, [2e12, 1e11]), (2, [-5e11, 7e12]), (3, [1.5, 2.5]), (50, [3e30, 1.0]), (51, [-1e200, 4.0]), (52, [1e306, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    v = {i: [int(np.floor(256 * x)) if abs(256 * x) < 2**53 else int(256 * x) for x in e] for i, e in rows[:-1]}
+    clip = lambda x: min(max(x, -(2**63)), 2**63 - 1)
+    for query in (0, 50):
+        scores = sorted(((-clip(sum(a * b for a, b in zip(v[query], v[i], strict=True))), i) for i in v if i != query))[:5]
+        found = [(-r.score, r.vec_id) for r in bit_sliced.top_k(df, F.col("vec_id") % 50 == 0).where(f"query_id = {query}").orderBy("rank").collect()]
+        assert found == scores
+
+
 def test_prefix_forest_recall_and_scores(spark):
     df, x = vector_table(spark, 2000)
     found = {}
@@ -411,3 +599,19 @@ def test_prefix_forest_recall_and_scores(spark):
         hits.append(len(set(best) & {r.vec_id for r in rows}) / 20)
     assert np.mean(hits) >= 0.9
     assert prefix_forest.neighbours(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    few = df.where("vec_id in (0, 1, 2, 40)").withColumns({"query_id": F.lit(1), "rank": F.lit(2)})
+    assert prefix_forest.neighbours(few, F.col("vec_id") % 20 == 0).groupBy("query_id").count().collect() and prefix_forest.neighbours(few, F.col("vec_id") % 20 == 0).count() == 6
+
+
+def test_forest_reads_a_part_and_finds_longest_prefixes():
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((3000, 24))
+    forest = prefix_forest.Forest(x)
+    codes = forest.strings(np.column_stack([x[:40] / forest.scale, np.zeros(40)]).astype(np.float32))
+    lengths = forest.longest(codes)
+    for t in (0, 100):
+        shared = [max(prefix_forest.BITS - int(c ^ d).bit_length() for d in forest.codes[t]) for c in codes[t]]
+        assert lengths[t].tolist() == shared
+    wanted = prefix_forest.FACTOR * 3000**prefix_forest.GROWTH
+    read = forest.candidates(x[:40] / forest.scale, wanted)
+    assert (read.sum(1) >= wanted).all() and read.mean() < 0.55

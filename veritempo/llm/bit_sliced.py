@@ -10,7 +10,9 @@ belong to the top; these boundary rows get their exact integer score, and nothin
 
 Defined results: see `vectors.usable` for null, empty, non-finite and repeated vectors; ties go to the smaller id; a
 query with fewer than k candidates gets them all; vectors are only compared with vectors of the same length; scores are
-64-bit integers; an empty table gives an empty result; other columns are ignored.
+64-bit integers: where products of a block could leave their range, whole numbers of any size are added up row by row,
+and a sum beyond the range counts as its nearest end; a vector that leaves the range of doubles when it is scaled takes
+no part; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -112,30 +114,50 @@ class SlicedBlock:
         return above | level
 
 
-def search_block(k: int):
-    def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray):
-        block = SlicedBlock(vectors)
+def exact_scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Integer inner products of any size, moved into the range of 64 bits."""
+    asked = [int(x) for x in query]
+    low, high = -(1 << 63), (1 << 63) - 1
+    return np.array([min(max(sum(int(a) * b for a, b in zip(row, asked, strict=True)), low), high) for row in vectors.tolist()], np.int64)
+
+
+def indexed(k: int):
+    def index(ids: np.ndarray, vectors: np.ndarray):
+        largest = float(np.abs(vectors).max())
+        block = SlicedBlock(vectors.astype(np.int64)) if largest < 1 << 31 else None
         order = np.argsort(ids)
-        near = order[np.minimum(np.searchsorted(ids[order], query_ids), len(ids) - 1)]
-        own = np.where(ids[near] == query_ids, near, -1)
-        at, found, scores = [], [], []
-        for begin in range(0, len(queries), GROUP):
-            part = queries[begin : begin + GROUP]
-            bitmaps = block.candidates(part, own[begin : begin + GROUP], k)
-            for q, bitmap in enumerate(bitmaps):
-                rows = np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little", count=block.rows))
-                exact = vectors[rows] @ part[q]
-                best = best_of(ids[rows], exact, k)
-                at.append(np.full(len(best), begin + q))
-                found.append(rows[best])
-                scores.append(exact[best])
-        return np.concatenate(at), np.concatenate(found), np.concatenate(scores)
-
-    return search
+
+        def search(query_ids: np.ndarray, queries: np.ndarray):
+            near = order[np.minimum(np.searchsorted(ids[order], query_ids), len(ids) - 1)]
+            own = np.where(ids[near] == query_ids, near, -1)
+            at, found, scores = [], [], []
+            for begin in range(0, len(queries), GROUP):
+                part = queries[begin : begin + GROUP]
+                fits = block is not None and largest * float(np.abs(part).max()) * vectors.shape[1] < 1 << 62
+                bitmaps = block.candidates(part.astype(np.int64), own[begin : begin + GROUP], k) if fits else None
+                for q, query in enumerate(part):
+                    if fits:
+                        rows = np.flatnonzero(np.unpackbits(bitmaps[q].view(np.uint8), bitorder="little", count=len(ids)))
+                        exact = block.vectors[rows] @ query.astype(np.int64)
+                    else:
+                        rows = np.flatnonzero(np.arange(len(ids)) != own[begin + q])
+                        exact = exact_scores(vectors[rows], query)
+                    best = best_of(ids[rows], exact, k)
+                    at.append(np.full(len(best), begin + q))
+                    found.append(rows[best])
+                    scores.append(exact[best])
+            return np.concatenate(at), np.concatenate(found), np.concatenate(scores)
+
+        return search
+
+    return index
 
 
 def top_k(embeddings: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> DataFrame:
     """Each query's k highest inner products of floor(scale * component) with all other rows."""
     rows = usable(embeddings)
-    rows = rows.select("vec_id", F.transform("vector", lambda x: F.floor(x * scale).cast("double")).alias("vector"))
-    return nearest(rows, is_query, k, search_block(k), "long")
+    # in doubles, as a component may be larger than any 64-bit integer; from 2 ** 53 on each double is whole
+    whole = lambda x: F.when(F.abs(x * scale) < 2.0**53, F.floor(x * scale).cast("double")).otherwise(x * scale)
+    rows = rows.select("vec_id", F.transform("vector", whole).alias("vector"))
+    rows = rows.where(F.forall("vector", lambda x: F.abs(x) != float("inf")))
+    return nearest(rows, is_query, k, indexed(k), "long")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,10 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: `spark.checkpoint.dir`, or, where none is set (tests), a temporary one."""
+    """The folder that all executors share: `spark.checkpoint.dir`, or, where none is set on one machine, a temporary one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp())
     return context.getCheckpointDir()
 
 
@@ -37,6 +41,3 @@ def spread(column, groups: int):
     """A group number from 0 to groups - 1, evenly dealt by the column's hash."""
     return F.pmod(F.xxhash64(column), F.lit(groups)).cast("int")
 
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

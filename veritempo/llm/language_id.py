@@ -9,7 +9,8 @@ buckets times languages, whatever the corpus, so it is broadcast.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; texts of any length are read whole;
 repeated rows get repeated results; a null language is never learned; with no labelled document every text is `und`;
-equal scores go to the language that sorts first; other columns are never inputs.
+equal scores go to the language that sorts first; other columns are never inputs, and columns named like those of the
+result are replaced by it; a null doc_id counts as an empty one, which is held out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -154,11 +155,14 @@ def temperature(scores: np.ndarray, labels: np.ndarray) -> float:
 
 def learned_here(doc_id: Column) -> Column:
     """Four fifths of all documents, by the CRC-32 of the id's decimal text."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 != 0
 
 
 def train(labelled: DataFrame, text_column: str = "text", lang_column: str = "lang", sample: int = SAMPLE) -> dict | None:
-    """A model {langs, weights, temperature} from rows of text and language; None if there is nothing to learn."""
+    """A model {langs, weights, temperature, least} from rows of text and language; None if there is nothing to learn.
+
+    least is the lowest probability that a row kept aside has for its own language.
+    """
     rows = labelled.where(F.col(lang_column).isNotNull()).select(F.col(text_column).alias("text"), F.col(lang_column).alias("lang"))
     sizes = {r.lang: r.n for r in rows.where("text is not null").groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
@@ -182,19 +186,23 @@ def train(labelled: DataFrame, text_column: str = "text", lang_column: str = "la
         aside = examples[::5]
         weights = ftrl([x for i, x in enumerate(examples) if i % 5], len(langs))
         scores = np.array([values @ weights[at] for at, values, _ in aside]).reshape(len(aside), len(langs))
-        fitted = temperature(scores, np.array([label for *_, label in aside], int))
+        labels = np.array([label for *_, label in aside], int)
+        fitted = temperature(scores, labels)
+        p = np.exp((scores - scores.max(1, keepdims=True)) / fitted)
+        least = float((p / p.sum(1, keepdims=True))[np.arange(len(labels)), labels].min()) if len(labels) else 0.0
         used = np.flatnonzero(weights.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((used, weights[used].astype(np.float32), fitted))])], names=["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((used, weights[used].astype(np.float32), fitted, least))])], names=["model"])
 
-    used, weights, fitted = pickle.loads(picked.coalesce(1).mapInArrow(fit, "model binary").first().model)
+    used, weights, fitted, least = pickle.loads(picked.coalesce(1).mapInArrow(fit, "model binary").first().model)
     table = np.zeros((BUCKETS + 1, len(langs)), np.float32)
     table[used] = weights * (idf[used, None] * SCALE)
-    return {"langs": langs, "weights": table, "temperature": fitted}
+    return {"langs": langs, "weights": table, "temperature": fitted, "least": least}
 
 
 def predict(docs: DataFrame, model: dict | None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows with lang_pred and score (the calibrated probability of that language) added."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop("lang_pred", "score")
     names = [*docs.columns, "lang_pred", "score"]
     place = docs.columns.index(text_column)
 

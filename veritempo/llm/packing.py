@@ -1,15 +1,17 @@
 """Best-fit packing of documents into sequences under conflicts, in bounded shards.
 
 A piece is a whole document, or a stretch of `capacity` words of a longer one. Pieces are dealt to shards by a hash of
-document and stretch, so that no source and no cluster of copies makes a shard large; every shard is packed on its own,
-longest pieces first. Open bins are kept ordered by residual capacity and carry two bitmaps: the sources and the
+document, stretch and the row's place in the input, so that no source, no cluster of copies and no repeated row makes a
+shard large; every shard is packed on its own, longest pieces first. Open bins are kept ordered by residual capacity and carry two bitmaps: the sources and the
 duplicate clusters that they hold. A piece goes to the tightest bin with room and without conflict: the search starts at
 the smallest residual that fits and goes on to its successors until a compatible bin is found, else opens a bin.
 Two pieces conflict when they share a duplicate cluster (copies, or two stretches of one document) or a source.
 
 Defined results: a document without words (null or empty text) has one piece of length 0 and is packed too; very long
 texts are cut into stretches and lose nothing; repeated rows are copies of one another and go to different bins; a null
-source conflicts with no other; an empty table gives no pieces.
+source conflicts with no other; a null doc_id is one like any other; equal pieces (in length, cluster, doc_id and
+number) go in any order, which changes no bin's contents but for them; bins of equal residual are taken by their number;
+columns other than doc_id, text and source are ignored, whatever their names; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -31,15 +33,18 @@ SHARD_PIECES = 4_000
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, length (words), source and cluster (hash of the lower-case text without its white space)."""
+    """doc_id, piece, length (words), source, cluster (hash of the lower-case text without its white space) and row.
+
+    row numbers the rows of docs by their place in it, which is the same when a task is repeated.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     spaced = F.trim(F.regexp_replace(text, r"\s+", " "))
     words = F.when(spaced == "", 0).otherwise(F.size(F.split(spaced, " ")))
     cluster = F.when(spaced == "", F.xxhash64("doc_id")).otherwise(F.xxhash64(F.lower(F.regexp_replace(text, r"\s+", ""))))
-    rows = docs.select("doc_id", "source", words.alias("words"), cluster.alias("cluster"))
+    rows = docs.select("doc_id", "source", words.alias("words"), cluster.alias("cluster"), F.monotonically_increasing_id().alias("row"))
     stretches = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("words") / capacity) - 1, F.lit(0)).cast("int"))
-    rows = rows.select("doc_id", "source", "cluster", "words", F.explode(stretches).alias("piece"))
-    return rows.select("doc_id", "piece", "source", "cluster", F.least(F.lit(capacity), F.col("words") - F.col("piece") * capacity).cast("int").alias("length"))
+    rows = rows.select("doc_id", "source", "cluster", "row", "words", F.explode(stretches).alias("piece"))
+    return rows.select("doc_id", "piece", "source", "cluster", "row", F.least(F.lit(capacity), F.col("words") - F.col("piece") * capacity).cast("int").alias("length"))
 
 
 def best_fit(lengths: list[int], conflicts: list[int], capacity: int) -> tuple[list[int], list[int]]:
@@ -66,9 +71,11 @@ def best_fit(lengths: list[int], conflicts: list[int], capacity: int) -> tuple[l
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """Columns doc_id, piece, length, shard, bin (within the shard) and offset (words before the piece in its bin)."""
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    # a word takes two bytes with its space, so this is no fewer than there are pieces
+    shards = groups_for(n + size // (2 * capacity), shard_pieces)
+    shard = F.pmod(F.xxhash64("doc_id", "piece", "cluster", "row"), F.lit(shards)).cast("int")
     rows = pieces(docs, capacity)
-    shards = groups_for(docs.count(), shard_pieces)
-    shard = F.pmod(F.xxhash64("doc_id", "piece", "cluster"), F.lit(shards)).cast("int")
 
     def pack_shard(keys: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = pa.Table.from_batches(batches)
@@ -83,4 +90,5 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PI
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, length int, shard int, bin int, offset int"
-    return rows.withColumn("shard", shard).groupBy("shard").applyInArrow(pack_shard, schema)
+    rows = rows.withColumn("shard", shard).drop("row")
+    return rows.groupBy("shard").applyInArrow(pack_shard, schema)

@@ -1,14 +1,16 @@
 """Approximate nearest neighbours by inner product: a forest of hash-prefix trees.
 
-Each block of rows has its own forest. A tree is a sorted array of long hash strings, whose bits are the sides of random
-hyperplanes; all rows with a common prefix are one stretch of it. A query descends in every tree to the stretch of its
-longest matching prefix, then all trees ascend together, one bit at a time, until the stretches hold enough candidates.
+Each block of rows has its own forest, built once. A tree is a sorted array of long hash strings, whose bits are the
+sides of random hyperplanes; all rows with a common prefix are one stretch of it. A query descends in every tree to its
+longest matching prefix, whose length differs from tree to tree; then all trees ascend together, one bit at a time, and
+unite their stretches, until there are enough candidates. On the last level trees are united a few at a time, so that
+the ascent does not overshoot. (How far all trees ascend whole is found by bisection, as stretches only grow upwards.)
 Inner product becomes an angle by one more component, which fills each row up to the block's largest norm. Candidates
-of all trees are united, scored in single precision, and those near the best are scored again in double precision.
+are scored in single precision, and those near the best are scored again in double precision.
 
-How far to ascend is a share of the block: vectors without clusters, such as the driver's, have neighbours hardly nearer
-than the rest, and recall then asks for many candidates. With the parameters below recall at 20 is measured in the
-tests and given in the README.
+How many candidates a query takes grows with the block's rows to the power of `GROWTH`, less than in proportion, as a
+hash forest's work does. The factor is chosen for vectors without clusters, whose neighbours are hardly nearer than the
+rest; recall at 20 with it is measured in the tests and given in the README. Every row is in every tree.
 
 Defined results: see `vectors.usable` for null, empty, non-finite and repeated vectors; zero vectors take no part; ties
 go to the smaller id; a query with fewer candidates than k gets what was found (all, if no more rows exist); vectors are
@@ -23,78 +25,114 @@ from pyspark.sql import functions as F
 
 from veritempo.llm.vectors import best_of, nearest, usable
 
-TREES, BITS = 32, 24
-#: Trees ascend until their stretches hold this many rows, as a share of the block (a row counts once for each tree).
-SHARE = 0.7
-#: Blocks no larger than this are searched whole.
-SMALL = 256
+TREES, BITS = 256, 20
+#: Candidates of a query in a block of n rows: FACTOR * n ** GROWTH.
+FACTOR, GROWTH = 5.0, 0.7
+#: Trees that are united at a time on the last level, and trees whose strings are made at a time.
+STEP, MADE = 16, 32
+#: Queries whose candidates are looked for together.
+GROUP = 256
 
 
 class Forest:
     """The sorted hash strings of a block."""
 
     def __init__(self, vectors: np.ndarray, seed: int = 7):
-        norms = np.sqrt((vectors**2).sum(1))
+        self.scale = float(np.abs(vectors).max())
+        scaled = vectors / self.scale
+        norms = np.sqrt((scaled**2).sum(1))
         self.largest = float(norms.max())
         rest = np.sqrt(np.maximum(self.largest**2 - norms**2, 0))
-        self.planes = np.random.default_rng(seed).standard_normal((vectors.shape[1] + 1, TREES, BITS)).astype(np.float32)
-        self.vectors = vectors.astype(np.float32)
-        codes = self.hashes(np.column_stack([vectors, rest]).astype(np.float32))
-        self.orders = np.argsort(codes, axis=0, kind="stable").T.astype(np.int32)
-        self.codes = np.take_along_axis(codes, self.orders.T, 0).T.copy()
-
-    def hashes(self, vectors: np.ndarray) -> np.ndarray:
-        """Hash strings [row, tree] as integers, the first bit highest."""
-        sides = np.einsum("nd,dtb->ntb", vectors, self.planes, optimize=True) > 0
-        return (sides.astype(np.int64) << np.arange(BITS - 1, -1, -1)).sum(2)
-
-    def stretches(self, queries: np.ndarray, wanted: float) -> tuple[np.ndarray, np.ndarray]:
-        """First and last places [query, tree] of the stretches where all trees have ascended far enough."""
-        codes = self.hashes(np.column_stack([queries, np.zeros(len(queries))]).astype(np.float32))
-        first, last = np.zeros(codes.shape, np.int64), np.full(codes.shape, len(self.vectors), np.int64)
-        open_ = np.ones(len(queries), bool)
-        for depth in range(BITS, 0, -1):  # up from the whole strings
-            asked = np.flatnonzero(open_)
-            if not len(asked):
-                break
-            low = codes[asked] >> (BITS - depth) << (BITS - depth)
-            high = low + (1 << (BITS - depth))
-            a = np.stack([np.searchsorted(self.codes[t], low[:, t]) for t in range(TREES)], 1)
-            b = np.stack([np.searchsorted(self.codes[t], high[:, t]) for t in range(TREES)], 1)
-            enough = (b - a).sum(1) >= wanted
-            first[asked[enough]], last[asked[enough]] = a[enough], b[enough]
-            open_[asked[enough]] = False
-        return first, last
-
-
-def search_block(k: int):
-    def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray):
-        n, at, found, scores = len(vectors), [], [], []
+        self.planes = np.random.default_rng(seed).standard_normal((TREES, vectors.shape[1] + 1, BITS)).astype(np.float32)
+        self.vectors = scaled.astype(np.float32)
+        codes = self.strings(np.column_stack([scaled, rest]).astype(np.float32))
+        self.orders = np.argsort(codes, axis=1, kind="stable").astype(np.int32)
+        self.codes = np.take_along_axis(codes, self.orders, 1)
+
+    def strings(self, vectors: np.ndarray) -> np.ndarray:
+        """Hash strings [tree, row] as integers, the first bit highest."""
+        weights = (1 << np.arange(BITS - 1, -1, -1)).astype(np.int32)
+        parts = [((vectors @ self.planes[t : t + MADE]) > 0) @ weights for t in range(0, TREES, MADE)]
+        return np.concatenate(parts).astype(np.int32)
+
+    def longest(self, codes: np.ndarray) -> np.ndarray:
+        """Length [tree, query] of the longest prefix that some row shares: that of a neighbour in the sorted array."""
+        out = np.zeros(codes.shape, np.int64)
+        for t in range(TREES):
+            at = np.searchsorted(self.codes[t], codes[t])
+            apart = [np.frexp((codes[t] ^ self.codes[t][np.clip(at + d, 0, len(self.vectors) - 1)]).astype(float))[1] for d in (-1, 0)]
+            out[t] = BITS - np.minimum(*apart)
+        return out
+
+    def stretches(self, codes: np.ndarray, depths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last places [tree, query] of the rows that share each query's first `depths` bits."""
+        shift = (BITS - depths).astype(np.int32)
+        low = codes >> shift << shift
+        high = low + (np.int32(1) << shift)
+        first = np.stack([np.searchsorted(self.codes[t], low[t]) for t in range(TREES)])
+        return first, np.stack([np.searchsorted(self.codes[t], high[t]) for t in range(TREES)])
+
+    def start(self, codes: np.ndarray, wanted: float) -> np.ndarray:
+        """Per query the greatest depth at which the stretches of all trees, one upon another, hold the wanted rows."""
+        enough, few = np.zeros(codes.shape[1], np.int64), self.longest(codes).max(0) + 1
+        while (few - enough > 1).any():  # the root has enough, or all there is
+            middle = (enough + few) // 2
+            first, last = self.stretches(codes, middle)
+            much = (last - first).sum(0) >= wanted
+            enough, few = np.where(much, middle, enough), np.where(much, few, middle)
+        return enough
+
+    def candidates(self, queries: np.ndarray, wanted: float) -> np.ndarray:
+        """Bitmaps [query, row]."""
+        codes = self.strings(np.column_stack([queries, np.zeros(len(queries))]).astype(np.float32))
+        depths = self.start(codes, wanted)
+        seen = np.zeros((len(queries), len(self.vectors)), bool)
+        level = np.minimum(depths + 1, BITS)
+        first, last = self.stretches(codes, level)
+        for q, row in enumerate(seen):
+            row[np.concatenate([self.orders[t, a:b] for t, (a, b) in enumerate(zip(first[:, q].tolist(), last[:, q].tolist(), strict=True))])] = True
+        open_ = np.arange(len(queries))
+        while len(open_):
+            first, last = self.stretches(codes[:, open_], depths[open_])
+            for i, q in enumerate(open_):
+                row, a, b = seen[q], first[:, i].tolist(), last[:, i].tolist()
+                for t in range(0, TREES, STEP):
+                    if np.count_nonzero(row) >= wanted:
+                        break
+                    row[np.concatenate([self.orders[u, a[u] : b[u]] for u in range(t, t + STEP)])] = True
+            open_ = open_[(np.count_nonzero(seen[open_], axis=1) < wanted) & (depths[open_] > 0)]
+            depths = np.maximum(depths - 1, 0)
+        return seen
+
+
+def indexed(k: int):
+    def index(ids: np.ndarray, vectors: np.ndarray):
         forest = Forest(vectors)
-        wanted = TREES * n if n <= SMALL else max(SHARE * n, 4 * k * TREES)
-        first, last = forest.stretches(queries, wanted)
-        slack = 1e-5 * forest.largest * np.sqrt((queries**2).sum(1))
-        seen = np.zeros(n, bool)
-        for q, query in enumerate(queries):
-            seen[:] = False
-            for t in range(TREES):
-                seen[forest.orders[t, first[q, t] : last[q, t]]] = True
-            seen[ids == query_ids[q]] = False
-            rows = np.flatnonzero(seen)
-            rough = forest.vectors[rows] @ query.astype(np.float32)
-            if len(rows) > k:
-                rows = rows[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - slack[q]]
-            exact = (vectors[rows] * query).sum(1)
-            best = best_of(ids[rows], exact, k)
-            at.append(np.full(len(best), q))
-            found.append(rows[best])
-            scores.append(exact[best])
-        return np.concatenate(at), np.concatenate(found), np.concatenate(scores)
-
-    return search
+        wanted = max(FACTOR * len(ids) ** GROWTH, k + 1)
+
+        def search(query_ids: np.ndarray, queries: np.ndarray):
+            at, found, scores = [], [], []
+            scaled = queries / np.abs(queries).max(1, keepdims=True)
+            slack = 1e-5 * forest.largest * np.sqrt((scaled**2).sum(1))
+            groups = (forest.candidates(scaled[g : g + GROUP], wanted) for g in range(0, len(queries), GROUP))
+            for q, seen in enumerate(row for group in groups for row in group):
+                rows = np.flatnonzero(seen & (ids != query_ids[q]))
+                rough = forest.vectors[rows] @ scaled[q].astype(np.float32)
+                if len(rows) > k:
+                    rows = rows[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - slack[q]]
+                exact = (vectors[rows] * queries[q]).sum(1)
+                best = best_of(ids[rows], exact, k)
+                at.append(np.full(len(best), q))
+                found.append(rows[best])
+                scores.append(exact[best])
+            return np.concatenate(at), np.concatenate(found), np.concatenate(scores)
+
+        return search
+
+    return index
 
 
 def neighbours(embeddings: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """Each query's k nearest found rows by inner product."""
     rows = usable(embeddings).where(F.exists("vector", lambda x: x != 0))
-    return nearest(rows, is_query, k, search_block(k), "double")
+    return nearest(rows, is_query, k, indexed(k), "double")

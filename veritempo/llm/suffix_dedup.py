@@ -49,7 +49,7 @@ LENGTH = 100
 #: Bytes worked on at a time, and starts per stretch of a long text.
 CHUNK = 1_000_000
 #: Bytes of text whose runs make one bucket, about.
-BUCKET_BYTES = 64_000_000
+BUCKET_BYTES = 32_000_000
 #: Contexts of a name, in one batch and in its bucket, from which its windows are dealt one by one.
 MANY, MANY_IN_ALL = 16, 20_000
 #: Contexts and names that a task remembers.

@@ -3,10 +3,12 @@
 Tier one is a table of the commonest pre-tokens and their numbers of tokens, broadcast to all workers; its size is a
 parameter, whatever the corpus. Tier two is a bounded cache in each worker: a pre-token that the table lacks is encoded
 once by the `tokenizers` library. A text's count is the sum over its pre-tokens, since merges never cross them. The
-table comes from a bounded sample; it changes the speed alone, never a count.
+table comes from a bounded random sample of rows; it changes the speed alone, never a count. The sample's tasks hand
+their commonest short pre-tokens to the driver, which adds them up, so that no pre-token is shuffled here either.
 
 Defined results: a null text counts as empty, with 0 bytes and 0 tokens; texts of any length are counted whole;
-repeated rows give repeated results; other columns are not touched.
+repeated rows give repeated results, null ids too; other columns are ignored, whatever their names; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -25,8 +27,10 @@ from veritempo.llm.pretokens import ODD, word_split
 
 #: Entries of the broadcast table, at most.
 FREQUENT = 50_000
-#: Documents that the table is made from, about.
-TABLE_DOCUMENTS = 2_000
+#: Characters of a pre-token in the table, at most.
+SHORT = 24
+#: Rows that the table is made from, about, and distinct pre-tokens that one of them adds, at most.
+TABLE_DOCUMENTS, TABLE_PIECES = 1_000, 1_000
 #: Entries of a worker's cache, at most.
 CACHE_PIECES = 500_000
 
@@ -91,26 +95,31 @@ def _counter(path: str, table: dict[str, int]) -> _Counter:
     return _WORKERS[path]
 
 
-def frequent_lengths(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> dict[str, int]:
+def frequent_lengths(docs: DataFrame, path: str, text_column: str = "text") -> dict[str, int]:
     """Pre-tokens and their numbers of tokens, the commonest of a bounded sample; a speed aid only."""
 
     def pieces(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _Counter(path, {})
+        counter, seen = _Counter(path, {}), Counter()
         for batch in source:
-            seen = Counter(p for text in batch.column(0).to_pylist() for p in counter.pieces(text or "") or [])
-            words = [w for w, _ in seen.most_common(FREQUENT)]
-            lengths = counter.lengths(words)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[w] for w in words], pa.int64()), pa.array([lengths[w] for w in words], pa.int32())], names=["piece", "n", "tokens"])
-
-    key = F.pmod(F.xxhash64(id_column, text_column), F.lit(1_000_000))
-    sample = docs.where(key < 1e6 * TABLE_DOCUMENTS / max(1, docs.count())).select(text_column)
-    rows = sample.mapInArrow(pieces, "piece string, n long, tokens int").groupBy("piece", "tokens").agg(F.sum("n").alias("n"))
-    return {r.piece: r.tokens for r in rows.orderBy(F.desc("n"), "piece").limit(FREQUENT).select("piece", "tokens").collect()}
+            for text in batch.column(0).to_pylist():
+                own = Counter(p for p in counter.pieces(text or "") or [] if len(p) <= SHORT)
+                seen.update(dict(own.most_common(TABLE_PIECES)))
+        words = list(seen)
+        lengths = counter.lengths(words)
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[w] for w in words], pa.int64()), pa.array([lengths[w] for w in words], pa.int32())], names=["piece", "n", "tokens"])
+
+    sample = docs.select(text_column).where(F.rand(20) < min(1.0, TABLE_DOCUMENTS / max(1, docs.count())))
+    seen, lengths = Counter(), {}
+    for r in sample.mapInArrow(pieces, "piece string, n long, tokens int").toLocalIterator():
+        seen[r.piece] += r.n
+        lengths[r.piece] = r.tokens
+    common = sorted(seen, key=lambda p: (-seen[p], p))[:FREQUENT]
+    return {p: lengths[p] for p in common}
 
 
 def token_counts(docs: DataFrame, path: str, limit: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Columns id, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit)."""
-    table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, path, id_column, text_column))
+    table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, path, text_column))
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(path, table.value)
