@@ -7,8 +7,8 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from veritempo.oracle import ORACLE_SQL
 from veritempo.queries import QUERIES
+from veritempo.sql import ORACLE_SQL
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritempo.functions import temporal as T
+from veritempo.operators import ledger
+from veritempo.operators.scope import by_user
 
 
 def matching(events: DataFrame, types: list[str] | None = None, actions: list[str] | None = None, statuses: list[str] | None = None, domains: list[str] | None = None, ids: list | None = None) -> DataFrame:
@@ -31,46 +33,66 @@ def of_type(events: DataFrame, concepts: DataFrame, root: str, descendants: bool
     return events.join(below, "type_key", "left_semi")
 
 
-def closure(concepts: DataFrame, deepest: int = 32) -> DataFrame:
-    """concept, ancestor and depth, itself at depth 0. The hierarchy is metadata; cycles end at the depth limit."""
-    step = concepts.where("parent is not null").select(F.col("concept").alias("at"), F.col("parent").alias("above")).distinct()
-    found = frontier = concepts.select("concept", F.col("concept").alias("ancestor"), F.lit(0).alias("depth")).distinct()
-    for depth in range(1, deepest + 1):
-        frontier = frontier.join(step, F.col("ancestor") == F.col("at")).select("concept", F.col("above").alias("ancestor"), F.lit(depth).alias("depth"))
-        frontier = frontier.join(found.select("concept", "ancestor"), ["concept", "ancestor"], "left_anti")
-        if frontier.isEmpty():
-            break
-        found = found.unionByName(frontier)
-    return found
+#: Levels that a walk upwards takes, as in the reference; a concept that is deeper has no ancestor beyond them.
+DEEPEST = 32
+
+
+def closure(concepts: DataFrame, deepest: int = DEEPEST) -> DataFrame:
+    """concept, ancestor and least depth, itself at depth 0; one recursive query, and nothing runs before it is used.
+
+    The hierarchy is metadata. A cycle ends at the depth limit.
+    """
+    rows = concepts.sparkSession.sql(
+        """
+        WITH RECURSIVE step AS (SELECT DISTINCT concept, parent FROM {concepts}),
+        up(concept, ancestor, depth) AS (
+            SELECT DISTINCT concept, concept, 0 FROM step
+            UNION ALL
+            SELECT u.concept, s.parent, u.depth + 1 FROM up u JOIN step s ON s.concept = u.ancestor
+            WHERE s.parent IS NOT NULL AND u.depth < {deepest})
+        SELECT concept, ancestor, min(depth) AS depth FROM up GROUP BY concept, ancestor
+        """,
+        concepts=concepts,
+        deepest=deepest,
+    )
+    return rows
 
 
 def by_subject(events: DataFrame, participants: DataFrame, wanted: DataFrame) -> DataFrame:
     """Events with a wanted entity (column entity_id) as object, patient or subject."""
-    hit = participants.where(F.col("role").isin("role.object", "role.patient", "role.subject")).join(wanted, "entity_id", "left_semi")
-    return events.join(hit.select("event_id"), "event_id", "left_semi")
+    hit = participants.where(F.col("role").isin("role.object", "role.patient", "role.subject")).join(wanted, [*by_user(participants, wanted), "entity_id"], "left_semi")
+    return _having(events, hit)
 
 
 def by_actor(events: DataFrame, participants: DataFrame, wanted: DataFrame) -> DataFrame:
     """Events with a wanted actor; the event's own actor counts where it has no participant in that role."""
     acting = participants.where("role = 'role.actor'")
-    hit = acting.join(wanted, "entity_id", "left_semi").select("event_id")
-    bare = events.join(acting.select("event_id"), "event_id", "left_anti").join(wanted.select(F.col("entity_id").alias("actor_id")), "actor_id", "left_semi")
-    return events.join(hit.unionByName(bare.select("event_id")), "event_id", "left_semi")
+    user = by_user(events, participants)
+    hit = acting.join(wanted, [*by_user(acting, wanted), "entity_id"], "left_semi").select(*user, "event_id")
+    own = wanted.withColumnRenamed("entity_id", "actor_id")
+    bare = events.join(acting.select(*user, "event_id"), [*user, "event_id"], "left_anti").join(own, [*by_user(events, own), "actor_id"], "left_semi")
+    return _having(events, hit.unionByName(bare.select(*user, "event_id")))
 
 
 def in_context_of_all(events: DataFrame, participants: DataFrame, wanted: list[str]) -> DataFrame:
     """Events in which every wanted entity takes part."""
-    hit = participants.where(F.col("entity_id").isin(wanted)).groupBy("event_id").agg(F.count_distinct("entity_id").alias("n")).where(F.col("n") == len(set(wanted)))
-    return events.join(hit.select("event_id"), "event_id", "left_semi")
+    hit = participants.where(F.col("entity_id").isin(wanted)).groupBy(*by_user(events, participants), "event_id").agg(F.count_distinct("entity_id").alias("n")).where(F.col("n") == len(set(wanted)))
+    return _having(events, hit)
 
 
 def by_neighbour(events: DataFrame, participants: DataFrame, relations: DataFrame, wanted: DataFrame) -> DataFrame:
     """Events with a wanted entity or one that any relation, current or corrected or not, ties to it."""
-    out = relations.join(wanted.withColumnRenamed("entity_id", "from_id"), "from_id", "left_semi").select(F.col("to_id").alias("entity_id"))
-    back = relations.join(wanted.withColumnRenamed("entity_id", "to_id"), "to_id", "left_semi").select(F.col("from_id").alias("entity_id"))
-    near = wanted.select("entity_id").unionByName(out).unionByName(back)
-    hit = participants.join(near, "entity_id", "left_semi")
-    return events.join(hit.select("event_id"), "event_id", "left_semi")
+    user = by_user(participants, relations, wanted)
+    out = relations.join(wanted.withColumnRenamed("entity_id", "from_id"), [*user, "from_id"], "left_semi").select(*user, F.col("to_id").alias("entity_id"))
+    back = relations.join(wanted.withColumnRenamed("entity_id", "to_id"), [*user, "to_id"], "left_semi").select(*user, F.col("from_id").alias("entity_id"))
+    near = wanted.select(*user, "entity_id").unionByName(out).unionByName(back)
+    return _having(events, participants.join(near, [*user, "entity_id"], "left_semi"))
+
+
+def _having(events: DataFrame, hit: DataFrame) -> DataFrame:
+    """Events that some row of hit names, by user where both have one."""
+    user = by_user(events, hit)
+    return events.join(hit.select(*user, "event_id"), [*user, "event_id"], "left_semi")
 
 
 def with_membership(events: DataFrame, start: Column, end: Column) -> DataFrame:
@@ -80,29 +102,44 @@ def with_membership(events: DataFrame, start: Column, end: Column) -> DataFrame:
 
 def with_facts(events: DataFrame, facts: DataFrame, concepts: list[str]) -> DataFrame:
     """Events joined with their facts of the given concepts."""
-    return events.join(facts.where(F.col("concept").isin(concepts)).withColumnRenamed("about_id", "event_id").drop("created_at"), "event_id")
+    about = facts.where(F.col("concept").isin(concepts)).withColumnRenamed("about_id", "event_id").drop("created_at")
+    return events.join(about, [*by_user(events, facts), "event_id"])
 
 
-def money_sum(facts: DataFrame, unknown_facts: DataFrame, unknown_events: DataFrame, keys: list[str], currency: str | None = None) -> DataFrame:
-    """Per keys: total, currency, n_facts, currencies, completeness, n_unknown and an error for mixed currencies.
+def money_sum(events: DataFrame, facts: DataFrame, concepts: list[str], keys: list[str], currency: str | None = None) -> DataFrame:
+    """Per keys: total, currency, n_facts, completeness, n_unknown_events and an error for mixed currencies.
 
-    facts: current facts of events inside the range. unknown_facts: all versions of facts of events that may be inside;
-    unknown_events: these events. A currency picks facts before mixtures are looked for; no fact gives the sum 0.
+    events: with membership. facts: all versions, marked with is_current or not yet; current ones are summed for events inside the range, and any version
+    makes an event that may be inside count against completeness. A currency picks facts before mixtures are looked for;
+    no fact gives the sum 0. Facts are added up for each event, events for each key, and each table is read once.
     """
-    picked = facts if currency is None else facts.where(F.col("currency") == currency)
-    sums = picked.groupBy(*keys).agg(F.sum("amount").alias("total"), F.count("*").alias("n_facts"), F.count_distinct("currency").alias("currencies"), F.min("currency").alias("only"))
-    doubts = unknown_facts.groupBy(*keys).agg(F.count("*").alias("n_unknown_facts"))
-    open_ = unknown_events.groupBy(*keys).agg(F.count("*").alias("n_unknown_events"))
-    every = sums.join(doubts, keys, "full").join(open_, keys, "full")
-    zero = F.lit(0).cast("decimal(28,2)")
-    mixed = F.coalesce(F.col("currencies"), F.lit(0)) > 1
-    return every.select(
+    current = F.col("is_current") if currency is None else F.col("is_current") & (F.col("currency") == currency)
+    user = by_user(events, facts)
+    marked = facts if "is_current" in facts.columns else ledger.with_currency(facts)
+    per_event = marked.where(F.col("concept").isin(concepts)).groupBy(*user, F.col("about_id").alias("event_id")).agg(
+        F.sum(F.when(current, F.col("amount"))).alias("amount"),
+        F.count_if(current).alias("n"),
+        F.min(F.when(current, F.col("currency"))).alias("low"),
+        F.max(F.when(current, F.col("currency"))).alias("high"),
+    )
+    rows = events.where(F.col("membership") != T.NO_MATCH).join(per_event, [*user, "event_id"], "left")
+    inside, open_ = F.col("membership") == T.MATCH, F.col("membership") == T.UNKNOWN
+    found = rows.groupBy(*keys).agg(
+        F.sum(F.when(inside, F.col("amount"))).alias("total"),
+        F.coalesce(F.sum(F.when(inside, F.col("n"))), F.lit(0)).alias("n_facts"),
+        F.min(F.when(inside, F.col("low"))).alias("low"),
+        F.max(F.when(inside, F.col("high"))).alias("high"),
+        F.count_if(open_ & F.col("n").isNotNull()).alias("n_doubtful"),
+        F.count_if(open_).alias("n_unknown_events"),
+    )
+    mixed = F.coalesce(F.col("low") != F.col("high"), F.lit(False))
+    return found.where("n_facts > 0 or n_unknown_events > 0").select(
         *keys,
-        F.when(~mixed, F.coalesce(F.col("total"), zero)).alias("total"),
-        F.when(~mixed, F.coalesce(F.col("only"), F.lit(currency))).alias("currency"),
-        F.coalesce("n_facts", F.lit(0)).alias("n_facts"),
-        F.when(F.coalesce("n_unknown_facts", F.lit(0)) > 0, T.PARTIAL).otherwise(T.COMPLETE).alias("completeness"),
-        F.coalesce("n_unknown_events", F.lit(0)).alias("n_unknown_events"),
+        F.when(~mixed, F.coalesce(F.col("total"), F.lit(0)).cast("decimal(28,2)")).alias("total"),
+        F.when(~mixed, F.coalesce(F.col("low"), F.lit(currency))).alias("currency"),
+        "n_facts",
+        F.when(F.col("n_doubtful") > 0, T.PARTIAL).otherwise(T.COMPLETE).alias("completeness"),
+        "n_unknown_events",
         F.when(mixed, "multi_currency").alias("error"),
     )
 
@@ -127,16 +164,18 @@ def latest(events: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
         F.count_if(F.col("membership") == T.UNKNOWN).alias("n_unknown_events"),
     )
     chosen = chosen.withColumn("event_id", F.coalesce(F.col("known.event_id"), F.col("least")))
-    first = facts.groupBy("about_id").agg(F.min(F.struct("fact_id", "amount", "currency")).alias("f"))
-    rows = chosen.join(first, F.col("event_id") == F.col("about_id"), "left")
+    user = by_user(chosen, facts)
+    first = facts.groupBy(*user, F.col("about_id").alias("event_id")).agg(F.min(F.struct("fact_id", "amount", "currency")).alias("f"))
+    rows = chosen.join(first, [*user, "event_id"], "left")
     return rows.select(*keys, "event_id", F.col("known.at").alias("at"), F.col("f.amount").alias("amount"), F.col("f.currency").alias("currency"), F.when(F.col("n_open") > 0, T.PARTIAL).otherwise(T.COMPLETE).alias("completeness"), "n_unknown_events")
 
 
 def event_items(events: DataFrame, participants: DataFrame) -> DataFrame:
     """event_id, event_time (ISO, null if unknown), entity_ids in order, created_at."""
-    ids = participants.groupBy("event_id").agg(F.array_sort(F.collect_set("entity_id")).alias("entity_ids"))
+    user = by_user(events, participants)
+    ids = participants.groupBy(*user, "event_id").agg(F.array_sort(F.collect_set("entity_id")).alias("entity_ids"))
     time = F.date_format(T.sort_instant(F.col("temporal")), "yyyy-MM-dd'T'HH:mm:ss")
-    return events.join(ids, "event_id", "left").select("event_id", time.alias("event_time"), "entity_ids", "created_at")
+    return events.join(ids, [*user, "event_id"], "left").select(*user, "event_id", time.alias("event_time"), "entity_ids", "created_at")
 
 
 def sorted_items(items: DataFrame, by: str = "event_time", descending: bool = False, limit: int | None = None, id_column: str = "event_id") -> DataFrame:

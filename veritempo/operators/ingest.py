@@ -5,18 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veritempo.operators.scope import by_user
 
-def insert_once(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """Incoming rows whose key is new, one for each key (that with the least fingerprint)."""
-    fresh = incoming.join(existing.select(key), key, "left_anti")
-    order = Window.partitionBy(key).orderBy(F.xxhash64(*[c for c in incoming.columns]))
-    return fresh.withColumn("copy", F.row_number().over(order)).where("copy = 1").drop("copy")
+
+def insert_once(existing: DataFrame, incoming: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Incoming rows whose key is new, one for each key (that with the least hash of its columns); and the rejected rest."""
+    user = by_user(existing, incoming)
+    held = existing.select(*user, key, F.lit(True).alias("__held")).distinct()
+    order = Window.partitionBy(*user, key).orderBy(F.xxhash64(*incoming.columns))
+    rows = incoming.withColumn("__copy", F.row_number().over(order)).join(held, [*user, key], "left")
+    fresh = F.col("__held").isNull() & (F.col("__copy") == 1)
+    return rows.where(fresh).select(*incoming.columns), rows.where(~fresh).select(*incoming.columns)
 
 
 def missing_references(rows: DataFrame, column: str, targets: DataFrame, target_column: str) -> DataFrame:
     """Rows whose reference is not null and not among the targets."""
-    known = targets.select(F.col(target_column).alias(column)).distinct()
-    return rows.where(F.col(column).isNotNull()).join(known, column, "left_anti")
+    user = by_user(rows, targets)
+    known = targets.select(*user, F.col(target_column).alias(column)).distinct()
+    return rows.where(F.col(column).isNotNull()).join(known, [*user, column], "left_anti")
 
 
 def violations(checks: list[tuple[str, DataFrame, str]]) -> DataFrame:
@@ -37,22 +43,32 @@ def closing_history(rows: DataFrame, keys: list[str], at: str, id_column: str, s
 def relation_life(commands: DataFrame, keys: list[str], at: str = "at", mode: str = "mode") -> DataFrame:
     """Instances of relations from ordered commands: assert, historical, terminate, deny.
 
-    assert opens an instance unless one is open, and refreshes its observed moment otherwise; terminate and deny close
-    the open one. historical is an ended instance of its own. An instance is the run of asserts between closings, found
-    by counting closings before a row; so the fold over a triple is a running sum, not a loop.
+    assert opens an instance unless one is open, and refreshes its observed moment otherwise; historical is an ended
+    instance of its own. terminate ends the open instance or, where none is open, the newest one there is; deny closes
+    the open one and leaves its end unknown. An instance is the run of asserts between closings, found by counting
+    closings before a row; so the fold over a relation is a running sum, not a loop.
     """
     order = Window.partitionBy(*keys).orderBy(at, "command_id")
-    closing = F.col(mode).isin("terminate", "deny")
-    rows = commands.withColumn("run", F.coalesce(F.sum(closing.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    live = rows.where(F.col(mode) != "historical").groupBy(*keys, "run").agg(
-        F.min(F.when(F.col(mode) == "assert", F.col(at))).alias("valid_from"),
-        F.max(F.when(F.col(mode) == "assert", F.col(at))).alias("observed_at"),
-        F.max(F.when(closing, F.col(at))).alias("valid_to"),
-        F.max(F.when(closing, F.col(mode))).alias("closed_by"),
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    m = F.col(mode)
+    rows = commands.withColumn("run", F.coalesce(F.sum(m.isin("terminate", "deny").cast("int")).over(before), F.lit(0)))
+    in_run = Window.partitionBy(*keys, "run").orderBy(at, "command_id").rowsBetween(Window.unboundedPreceding, -1)
+    instance = F.when(m == "assert", F.concat(F.lit("r"), F.col("run").cast("string"))).when(m == "historical", F.concat(F.lit("h"), F.col("command_id").cast("string")))
+    rows = rows.withColumns({"open": F.coalesce(F.max((m == "assert").cast("int")).over(in_run), F.lit(0)) == 1, "made": instance})
+    rows = rows.withColumn("newest", F.last("made", ignorenulls=True).over(before))
+    # the newest instance is the open one where one is open, but for historical ones since
+    own = F.when(F.col("open"), F.concat(F.lit("r"), F.col("run").cast("string"))).when(m == "terminate", F.col("newest"))
+    rows = rows.withColumn("instance", F.coalesce("made", F.when(m.isin("terminate", "deny"), own))).where("instance is not null")
+    made, ended = F.col("made").isNotNull(), m == "terminate"
+    found = rows.groupBy(*keys, "instance").agg(
+        F.min(F.when(made, F.col(at))).alias("valid_from"),
+        F.max(F.when(made, F.col(at))).alias("observed_at"),
+        F.max(F.when(ended, F.col(at))).alias("valid_to"),
+        F.max(F.when(m == "deny", "deny")).alias("denied"),
+        F.max(F.when(m == "historical", "historical")).alias("past"),
     )
-    live = live.where("valid_from is not null").select(*keys, "valid_from", "observed_at", "valid_to", F.col("valid_to").isNull().alias("is_current"), "closed_by")
-    past = rows.where(F.col(mode) == "historical").select(*keys, F.col(at).alias("valid_from"), F.col(at).alias("observed_at"), F.lit(None).cast("timestamp").alias("valid_to"), F.lit(False).alias("is_current"), F.lit("historical").alias("closed_by"))
-    return live.unionByName(past)
+    closed_by = F.coalesce(F.when(F.col("valid_to").isNotNull(), "terminate"), "denied", "past")
+    return found.select(*keys, "valid_from", "observed_at", "valid_to", closed_by.isNull().alias("is_current"), closed_by.alias("closed_by"))
 
 
 def completeness(candidates: DataFrame, requirements: DataFrame, slots: dict[str, Column]) -> DataFrame:

@@ -5,52 +5,74 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veritempo.functions import temporal as T
+from veritempo.operators.scope import by_user
+
 
 def effective(rows: DataFrame, id_column: str, kind: str, corrections: DataFrame) -> DataFrame:
     """Rows that no correction targets; retracted and replaced rows go alike."""
-    gone = corrections.where(F.col("kind") == kind).select(F.col("target_id").alias(id_column))
-    return rows.join(gone, id_column, "left_anti")
+    user = by_user(rows, corrections)
+    gone = corrections.where(F.col("kind") == kind).select(*user, F.col("target_id").alias(id_column))
+    return rows.join(gone, [*user, id_column], "left_anti")
 
 
 def effectiveness(rows: DataFrame, id_column: str, kind: str, corrections: DataFrame, unknown: Column) -> DataFrame:
     """Rows with effectiveness: ineffective if corrected, unknown where the condition holds, else effective."""
-    gone = corrections.where(F.col("kind") == kind).select(F.col("target_id").alias("__target")).distinct()
-    joined = rows.join(gone, F.col(id_column) == F.col("__target"), "left")
-    status = F.when(F.col("__target").isNotNull(), "ineffective").when(unknown, "unknown").otherwise("effective")
-    return joined.withColumn("effectiveness", status).drop("__target")
+    user = by_user(rows, corrections)
+    gone = corrections.where(F.col("kind") == kind).select(*user, F.col("target_id").alias(id_column), F.lit(True).alias("__gone")).distinct()
+    status = F.when(F.col("__gone"), "ineffective").when(unknown, "unknown").otherwise("effective")
+    return rows.join(gone, [*user, id_column], "left").withColumn("effectiveness", status).drop("__gone")
 
 
 def explained(rows: DataFrame, id_column: str, kind: str, corrections: DataFrame) -> DataFrame:
     """Ineffective rows with the correction that made them so."""
-    why = corrections.where(F.col("kind") == kind).select(F.col("target_id").alias(id_column), "action", "replacement_id")
-    return rows.join(why, id_column)
+    user = by_user(rows, corrections)
+    why = corrections.where(F.col("kind") == kind).select(*user, F.col("target_id").alias(id_column), "action", "replacement_id")
+    return rows.join(why, [*user, id_column])
 
 
 def current_facts(facts: DataFrame) -> DataFrame:
-    """Facts that no fact of the whole frame supersedes."""
-    replaced = facts.select(F.col("supersedes_id").alias("fact_id")).where("fact_id is not null")
-    return facts.join(replaced, "fact_id", "left_anti")
+    """Facts that no fact of the same user in the whole frame supersedes."""
+    user = by_user(facts)
+    replaced = facts.select(*user, F.col("supersedes_id").alias("fact_id")).where("fact_id is not null")
+    return facts.join(replaced, [*user, "fact_id"], "left_anti")
+
+
+def with_currency(facts: DataFrame) -> DataFrame:
+    """All facts with is_current: whether no fact of the same user supersedes them."""
+    user = by_user(facts)
+    replaced = facts.where("supersedes_id is not null").select(*user, F.col("supersedes_id").alias("fact_id"), F.lit(False).alias("is_current")).distinct()
+    return facts.join(replaced, [*user, "fact_id"], "left").withColumn("is_current", F.coalesce("is_current", F.lit(True)))
+
+
+def fact_items(facts: DataFrame, events: DataFrame) -> DataFrame:
+    """Facts as items: event and its time, amount and currency, source, predecessor, and whether it is current."""
+    user = by_user(facts, events)
+    times = events.select(*user, F.col("event_id").alias("about_id"), F.date_format(T.sort_instant(F.col("temporal")), "yyyy-MM-dd'T'HH:mm:ss").alias("event_time"))
+    rows = with_currency(facts).join(times, [*user, "about_id"], "left")
+    return rows.select(*user, "fact_id", F.col("about_id").alias("event_id"), "event_time", "concept", "amount", "currency", "source_id", "supersedes_id", "is_current", "created_at")
 
 
 def history(facts: DataFrame) -> DataFrame:
     """All versions per (about, concept) with their number, oldest first."""
-    order = Window.partitionBy("about_id", "concept").orderBy("created_at", "fact_id")
+    order = Window.partitionBy(*by_user(facts), "about_id", "concept").orderBy("created_at", "fact_id")
     return facts.withColumn("version", F.row_number().over(order))
 
 
 def branched(facts: DataFrame) -> DataFrame:
     """Facts with more than one direct successor, which a ledger must refuse."""
-    return facts.where("supersedes_id is not null").groupBy("supersedes_id").agg(F.count("*").alias("successors")).where("successors > 1")
+    return facts.where("supersedes_id is not null").groupBy(*by_user(facts), "supersedes_id").agg(F.count("*").alias("successors")).where("successors > 1")
 
 
 def correction_errors(corrections: DataFrame, ids: DataFrame) -> DataFrame:
     """Corrections with a reason against them: second for its target, missing target, or a wrong replacement.
 
-    ids: kind, id of all assertions.
+    ids: user_id, kind and id of all assertions; only the same user's count.
     """
-    number = F.row_number().over(Window.partitionBy("kind", "target_id").orderBy("action", "replacement_id"))
-    known = ids.select("kind", F.col("id").alias("target_id"), F.lit(True).alias("known")).distinct()
-    rows = corrections.withColumn("number", number).join(known, ["kind", "target_id"], "left")
+    user = by_user(corrections, ids)
+    number = F.row_number().over(Window.partitionBy(*by_user(corrections), "kind", "target_id").orderBy("action", "replacement_id"))
+    known = ids.select(*user, "kind", F.col("id").alias("target_id"), F.lit(True).alias("known")).distinct()
+    rows = corrections.withColumn("number", number).join(known, [*user, "kind", "target_id"], "left")
     reason = (
         F.when(F.col("known").isNull(), "target_missing")
         .when(F.col("number") > 1, "branch")
@@ -62,6 +84,10 @@ def correction_errors(corrections: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def valid_periods(rows: DataFrame, keys: list[str], at: str, id_column: str) -> DataFrame:
-    """Type-2 history: each row is valid from its own moment to the next one of its keys; the last is current."""
-    following = F.lead(at).over(Window.partitionBy(*keys).orderBy(at, id_column))
-    return rows.withColumns({"valid_from": F.col(at), "valid_to": following, "is_current": following.isNull()})
+    """Type-2 history of states: a new row closes the one before it and names it; the last is current.
+
+    As in the reference, a state's own start stays unknown: valid_from is null.
+    """
+    order = Window.partitionBy(*keys).orderBy(at, id_column)
+    following = F.lead(at).over(order)
+    return rows.withColumns({"valid_from": F.lit(None).cast("timestamp"), "valid_to": following, "is_current": following.isNull(), "supersedes_id": F.lag(id_column).over(order)})

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veritempo.functions.text import normalize
 from veritempo.operators.events import closure
+from veritempo.operators.scope import by_user
 
 RESOLVED, AMBIGUOUS, UNRESOLVED = "resolved", "ambiguous", "unresolved"
 
@@ -39,32 +40,34 @@ def search(entities: DataFrame, text: str, type_key: str | None = None, limit: i
 
 def candidates(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     """mention_id, entity_id, type_key and evidence (exact_name, alias) by equal normalised text."""
-    asked = mentions.select("mention_id", normalize(F.col("text")).alias("needle"))
-    names = entities.select("entity_id", "type_key", normalize(F.col("name")).alias("needle"), F.lit("exact_name").alias("evidence"))
-    aliases = entities.select("entity_id", "type_key", normalize(F.col("alias")).alias("needle"), F.lit("alias").alias("evidence"))
-    hits = asked.join(names.unionByName(aliases), "needle").where("needle != ''")
-    return hits.groupBy("mention_id", "entity_id", "type_key").agg(F.array_sort(F.collect_set("evidence")).alias("evidence"))
+    user = by_user(mentions, entities)
+    asked = mentions.select(*user, "mention_id", normalize(F.col("text")).alias("needle"))
+    names = entities.select(*user, "entity_id", "type_key", normalize(F.col("name")).alias("needle"), F.lit("exact_name").alias("evidence"))
+    aliases = entities.select(*user, "entity_id", "type_key", normalize(F.col("alias")).alias("needle"), F.lit("alias").alias("evidence"))
+    hits = asked.join(names.unionByName(aliases), [*user, "needle"]).where("needle != ''")
+    return hits.groupBy(*user, "mention_id", "entity_id", "type_key").agg(F.array_sort(F.collect_set("evidence")).alias("evidence"))
 
 
 def resolve_named(mentions: DataFrame, entities: DataFrame, concepts: DataFrame | None = None) -> DataFrame:
     """mention_id, status, entity_id and n. A type hint (column hint) only decides between several candidates."""
-    found = candidates(mentions, entities)
+    found, user = candidates(mentions, entities), by_user(mentions, entities)
     if "hint" in mentions.columns and concepts is not None:
         below = closure(concepts).select(F.col("concept").alias("type_key"), F.col("ancestor").alias("hint"), F.lit(True).alias("fits"))
-        found = found.join(mentions.select("mention_id", "hint"), "mention_id").join(below, ["type_key", "hint"], "left")
+        found = found.join(mentions.select(*user, "mention_id", "hint"), [*user, "mention_id"]).join(below, ["type_key", "hint"], "left")
     else:
         found = found.withColumn("fits", F.lit(None).cast("boolean"))
-    counts = found.groupBy("mention_id").agg(F.count("*").alias("n"), F.count_if("fits").alias("n_fit"), F.min("entity_id").alias("any"), F.min(F.when(F.col("fits"), F.col("entity_id"))).alias("fit"))
-    rows = mentions.select("mention_id").join(counts, "mention_id", "left")
+    counts = found.groupBy(*user, "mention_id").agg(F.count("*").alias("n"), F.count_if("fits").alias("n_fit"), F.min("entity_id").alias("any"), F.min(F.when(F.col("fits"), F.col("entity_id"))).alias("fit"))
+    rows = mentions.select(*user, "mention_id").join(counts, [*user, "mention_id"], "left")
     status = F.when(F.col("n").isNull(), UNRESOLVED).when((F.col("n") == 1) | (F.col("n_fit") == 1), RESOLVED).otherwise(AMBIGUOUS)
     one = F.when(F.col("n") == 1, F.col("any")).when(F.col("n_fit") == 1, F.col("fit"))
-    return rows.select("mention_id", status.alias("status"), one.alias("entity_id"), F.coalesce("n", F.lit(0)).alias("n"))
+    return rows.select(*user, "mention_id", status.alias("status"), one.alias("entity_id"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def resolve_possessive(mentions: DataFrame, owned: DataFrame, create: bool = False) -> DataFrame:
     """mention_id, status, entity_id and n: what the speaker (column owner) owns: one resolves, none may be created."""
-    counts = owned.groupBy("owner").agg(F.count_distinct("entity_id").alias("n"), F.min("entity_id").alias("one"))
-    rows = mentions.join(counts, "owner", "left")
+    user = by_user(mentions, owned)
+    counts = owned.groupBy(*user, "owner").agg(F.count_distinct("entity_id").alias("n"), F.min("entity_id").alias("one"))
+    rows = mentions.join(counts, [*user, "owner"], "left")
     none = "create_candidate" if create else UNRESOLVED
     status = F.when(F.col("n").isNull(), none).when(F.col("n") == 1, RESOLVED).otherwise(AMBIGUOUS)
     return rows.select("mention_id", status.alias("status"), F.when(F.col("n") == 1, F.col("one")).alias("entity_id"), F.coalesce("n", F.lit(0)).alias("n"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veritempo.functions import temporal as T
 from veritempo.operators.events import closure
+from veritempo.operators.scope import by_user
 
 #: Keys whose endpoints may be swapped, and keys that are stored under their inverse.
 SYMMETRIC = ("peer_of",)
@@ -94,21 +95,24 @@ def held_during(rows: DataFrame, keys: list[str], start: Column, end: Column) ->
 
 def of_object_type(rows: DataFrame, entities: DataFrame, types: list[str]) -> DataFrame:
     """Relations whose object has exactly one of the types."""
-    fit = entities.where(F.col("type_key").isin(types)).select(F.col("entity_id").alias("to_id"))
-    return rows.join(fit, "to_id", "left_semi")
+    user = by_user(rows, entities)
+    fit = entities.where(F.col("type_key").isin(types)).select(*user, F.col("entity_id").alias("to_id"))
+    return rows.join(fit, [*user, "to_id"], "left_semi")
 
 
 def labelled(rows: DataFrame, entities: DataFrame) -> DataFrame:
     """Relations with the name of their object."""
-    return rows.join(entities.select(F.col("entity_id").alias("to_id"), F.col("name").alias("object_name")), "to_id", "left")
+    user = by_user(rows, entities)
+    return rows.join(entities.select(*user, F.col("entity_id").alias("to_id"), F.col("name").alias("object_name")), [*user, "to_id"], "left")
 
 
 def owned(rows: DataFrame, entities: DataFrame, concepts: DataFrame, owner_key: str, root: str) -> DataFrame:
     """owner and entity_id: current objects of a relation whose type lies under a root."""
     below = closure(concepts).where(F.col("ancestor") == root).select(F.col("concept").alias("type_key"))
-    things = entities.join(below, "type_key", "left_semi").select(F.col("entity_id").alias("to_id"))
+    user = by_user(rows, entities)
+    things = entities.join(below, "type_key", "left_semi").select(*user, F.col("entity_id").alias("to_id"))
     live = rows.where("is_current").where(F.col("key") == owner_key)
-    return live.join(things, "to_id", "left_semi").select(F.col("from_id").alias("owner"), F.col("to_id").alias("entity_id")).distinct()
+    return live.join(things, [*user, "to_id"], "left_semi").select(*user, F.col("from_id").alias("owner"), F.col("to_id").alias("entity_id")).distinct()
 
 
 def walk(seeds: DataFrame, relations: DataFrame, hops: int = 2, current_only: bool = True, most: int | None = 200) -> DataFrame:
@@ -117,28 +121,56 @@ def walk(seeds: DataFrame, relations: DataFrame, hops: int = 2, current_only: bo
     seeds: seed (an entity id). At most `most` per seed, nearest and least ids first, with `truncated` beside; None: all.
     """
     rows = relations.where("is_current") if current_only else relations
-    edges = rows.select(F.col("from_id").alias("a"), F.col("to_id").alias("b"))
-    edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    found = frontier = seeds.select("seed", F.col("seed").alias("entity_id"), F.lit(0).alias("depth"))
+    user = by_user(seeds, relations)
+    edges = rows.select(*user, F.col("from_id").alias("entity_id"), F.col("to_id").alias("b"))
+    edges = edges.unionByName(edges.select(*user, F.col("b").alias("entity_id"), F.col("entity_id").alias("b"))).distinct()
+    found = frontier = seeds.select(*user, "seed", F.col("seed").alias("entity_id"), F.lit(0).alias("depth"))
     for depth in range(1, hops + 1):
-        near = frontier.join(edges, F.col("entity_id") == F.col("a")).select("seed", F.col("b").alias("entity_id")).distinct()
-        frontier = near.join(found.select("seed", "entity_id"), ["seed", "entity_id"], "left_anti").withColumn("depth", F.lit(depth))
+        near = frontier.join(edges, [*user, "entity_id"]).select(*user, "seed", F.col("b").alias("entity_id")).distinct()
+        frontier = near.join(found.select(*user, "seed", "entity_id"), [*user, "seed", "entity_id"], "left_anti").withColumn("depth", F.lit(depth))
         found = found.unionByName(frontier)
     if most is None:
         return found
-    order = Window.partitionBy("seed").orderBy("depth", "entity_id")
-    sizes = found.groupBy("seed").agg((F.count("*") > most).alias("truncated"))
-    return found.withColumn("position", F.row_number().over(order)).where(F.col("position") <= most).drop("position").join(sizes, "seed")
+    order = Window.partitionBy(*user, "seed").orderBy("depth", "entity_id")
+    sizes = found.groupBy(*user, "seed").agg((F.count("*") > most).alias("truncated"))
+    return found.withColumn("position", F.row_number().over(order)).where(F.col("position") <= most).drop("position").join(sizes, [*user, "seed"])
 
 
 def entity_detail(entities: DataFrame, relations: DataFrame, attributes: DataFrame, states: DataFrame, participants: DataFrame) -> DataFrame:
     """Per entity how many current relations go out and come in, current attributes and states, and events it has."""
-    out = relations.where("is_current").groupBy(F.col("from_id").alias("entity_id")).agg(F.count("*").alias("n_out"))
-    into = relations.where("is_current").groupBy(F.col("to_id").alias("entity_id")).agg(F.count("*").alias("n_in"))
+    user = by_user(entities, relations, attributes, states, participants)
+    out = relations.where("is_current").groupBy(*user, F.col("from_id").alias("entity_id")).agg(F.count("*").alias("n_out"))
+    into = relations.where("is_current").groupBy(*user, F.col("to_id").alias("entity_id")).agg(F.count("*").alias("n_in"))
     parts = [out, into]
-    parts += [df.where("is_current").groupBy("entity_id").agg(F.count("*").alias(n)) for df, n in ((attributes, "n_attributes"), (states, "n_states"))]
-    parts.append(participants.groupBy("entity_id").agg(F.count_distinct("event_id").alias("n_events")))
-    rows = entities.select("entity_id", "type_key", "name")
+    parts += [df.where("is_current").groupBy(*user, "entity_id").agg(F.count("*").alias(n)) for df, n in ((attributes, "n_attributes"), (states, "n_states"))]
+    parts.append(participants.groupBy(*user, "entity_id").agg(F.count_distinct("event_id").alias("n_events")))
+    rows = entities.select(*user, "entity_id", "type_key", "name")
     for p in parts:
-        rows = rows.join(p, "entity_id", "left")
+        rows = rows.join(p, [*user, "entity_id"], "left")
     return rows.na.fill(0)
+
+
+def entity_card(entities: DataFrame, relations: DataFrame, attributes: DataFrame, states: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Of the wanted entities the lists behind `entity_detail`: current relations out and in, attributes and states, in order.
+
+    wanted: entity_id. A card is what one page shows of one entity; each list is as long as the entity has rows.
+    """
+    user = by_user(entities, relations, attributes, states)
+    key = [*user, "entity_id"]
+    live = [df.where("is_current") for df in (relations, relations, attributes, states)]
+    out = live[0].select(*user, F.col("from_id").alias("entity_id"), F.concat_ws(" ", "key", "to_id").alias("x"), F.lit("relations_out").alias("list"))
+    into = live[1].select(*user, F.col("to_id").alias("entity_id"), F.concat_ws(" ", "key", "from_id").alias("x"), F.lit("relations_in").alias("list"))
+    held = live[2].select(*key, F.concat_ws(" ", "dimension", F.coalesce("text_value", F.col("numeric_value").cast("string")), "unit").alias("x"), F.lit("attributes").alias("list"))
+    stands = live[3].select(*key, F.concat_ws(" ", "dimension", "value").alias("x"), F.lit("states").alias("list"))
+    rows = out.unionByName(into).unionByName(held).unionByName(stands).join(wanted, [*by_user(out, wanted), "entity_id"], "left_semi")
+    lists = rows.groupBy(*key).agg(*[F.array_sort(F.collect_list(F.when(F.col("list") == n, F.col("x")))).alias(n) for n in ("relations_out", "relations_in", "attributes", "states")])
+    return entities.join(wanted, [*by_user(entities, wanted), "entity_id"], "left_semi").select(*key, "name").join(lists, key, "left")
+
+
+def of_entity(relations: DataFrame, wanted: DataFrame) -> DataFrame:
+    """entity_id and the relations, current or not, that it has at either end, numbered by observation."""
+    user = by_user(relations, wanted)
+    ends = [relations.withColumn("entity_id", F.col(end)) for end in ("from_id", "to_id")]
+    rows = ends[0].unionByName(ends[1].where("from_id != to_id")).join(wanted, [*user, "entity_id"], "left_semi")
+    order = Window.partitionBy(*user, "entity_id").orderBy(F.coalesce(T.sort_instant(F.col("temporal")), F.lit("1900-01-01").cast("timestamp")), "relation_id")
+    return rows.withColumn("position", F.row_number().over(order))

@@ -207,8 +207,8 @@ ORACLE_SQL: dict[str, str] = {
     "event_hierarchy_exact": f"{_with(_EVENT)} SELECT event_id, type_key FROM event WHERE type_key = 'event.order.1-urgent'",
     "event_hierarchy_descendants": f"{_with(_EVENT, _CONCEPT, recursive=True)} SELECT type_key, count(*) AS n FROM event WHERE type_key IN (SELECT concept FROM closure WHERE ancestor = 'event.order') GROUP BY 1",
     "concept_closure": f"{_with(_CONCEPT, recursive=True)} SELECT concept, ancestor, depth::INT AS depth FROM closure",
-    "event_list_subject": f"{_with(_EVENT)} SELECT event_id, status FROM event WHERE event_id IN (SELECT l_orderkey FROM lineitem WHERE l_partkey % 20 = 0)",
-    "event_list_actor": f"{_with(_EVENT)} SELECT event_id, actor_id FROM event WHERE split_part(actor_id, ':', 2)::BIGINT % 20 = 0 AND split_part(actor_id, ':', 2)::BIGINT IN (SELECT c_custkey FROM customer)",
+    "event_list_subject": f"{_with(_EVENT)} SELECT event_id, status FROM event WHERE event_id IN (SELECT l_orderkey FROM lineitem JOIN part ON p_partkey = l_partkey)",
+    "event_list_actor": f"{_with(_EVENT)} SELECT event_id, actor_id FROM event WHERE split_part(actor_id, ':', 2)::BIGINT IN (SELECT c_custkey FROM customer)",
     "event_list_context_all": f"{_with(_EVENT)} SELECT event_id, actor_id FROM event WHERE event_id IN (SELECT l_orderkey FROM lineitem WHERE l_suppkey IN (1, 2) GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 2)",
     "event_relation_endpoint": f"{_with(_EVENT)} SELECT event_id, actor_id FROM event WHERE actor_id IN (SELECT 'c:' || c_custkey FROM customer WHERE c_nationkey IN (3, 7))",
     "event_items_top": f"{_with(_EVENT)}, items AS (SELECT actor_id, event_id, coalesce(strftime(instant, '%Y-%m-%dT%H:%M:%S'), '') AS event_time FROM event) SELECT actor_id, position::INT AS position, event_id, event_time FROM (SELECT *, row_number() OVER (PARTITION BY actor_id ORDER BY event_time DESC, event_id DESC) AS position FROM items) WHERE position <= 3",
@@ -241,7 +241,7 @@ ORACLE_SQL: dict[str, str] = {
     "attr_proposition": _with(_ATTRIBUTE, _lookup("entity_id", "dimension = 'brand'")) + ", hits AS (SELECT entity_id, count(*) FILTER (text_value = 'Brand#11' AND is_current) AS hits FROM attribute WHERE dimension = 'brand' GROUP BY 1) SELECT entity_id, status, CASE WHEN status = 'temporally_unknown' THEN 'temporally_unknown' WHEN status = 'ambiguous' AND hits > 0 THEN 'ambiguous' WHEN status = 'known_single' AND hits > 0 THEN 'yes' ELSE 'unknown' END AS answer FROM answered JOIN hits USING (entity_id)",
     "attr_composed_label": f"{_with(_ATTRIBUTE)} SELECT entity_id, concat_ws(' ', max(text_value) FILTER (dimension = 'brand'), max(text_value) FILTER (dimension = 'type')) AS label FROM attribute WHERE is_current GROUP BY 1",
     "intrinsic_name": f"{_with(_ENTITY)} SELECT type_key, name, count(*) AS support FROM entity WHERE trim(name) != '' GROUP BY 1, 2",
-    "meas_latest": _latest_measure("measurement_id % 5 != 0"),
+    "meas_latest": _latest_measure("true"),
     "meas_latest_known": _latest_measure("observed_at IS NOT NULL"),
     "meas_at_time": f"{_with(*_MEASURED)}, m AS (SELECT *, {_IN_LOG_DAY} AS m FROM measured), g AS (SELECT user_id, dimension, count(*) FILTER (m = 'match') AS n, count(*) FILTER (m = 'unknown') AS n_unknown, count(DISTINCT concat_ws('|', value, coalesce(unit, '-'))) FILTER (m = 'match') AS n_values FROM m GROUP BY 1, 2) SELECT user_id, dimension, CASE WHEN n = 0 AND n_unknown > 0 THEN 'temporally_unknown' WHEN n = 0 THEN 'unknown' WHEN n_values = 1 THEN 'known_single' ELSE 'ambiguous' END AS status, n, n_values, n_unknown FROM g",
     "meas_in_range": f"{_with(*_MEASURED)}, m AS (SELECT *, {_IN_LOG_DAY} AS m FROM measured), g AS (SELECT user_id, dimension, count(*) FILTER (m = 'match') AS n, count(*) FILTER (m = 'unknown') AS n_unknown, arg_min(measurement_id, (observed_at, measurement_id)) FILTER (m = 'match') AS first_id, arg_max(measurement_id, (observed_at, measurement_id)) FILTER (m = 'match') AS last_id FROM m GROUP BY 1, 2) SELECT user_id, dimension, CASE WHEN n = 0 AND n_unknown > 0 THEN 'temporally_unknown' WHEN n = 0 THEN 'unknown' WHEN n = 1 THEN 'known_single' ELSE 'known_multiple' END AS status, n, n_unknown, first_id::VARCHAR AS first_id, last_id::VARCHAR AS last_id FROM g",
@@ -251,7 +251,7 @@ ORACLE_SQL: dict[str, str] = {
     "state_current": _with(_STATE, _current_state("entity_id", "dimension = 'openness'")) + " SELECT * REPLACE (state_id::VARCHAR AS state_id) FROM current",
     "state_current_by_dimension": _with(_STATE, _current_state("dimension")) + " SELECT * REPLACE (state_id::VARCHAR AS state_id) FROM current",
     "state_completeness": _with(_STATE, _current_state("entity_id, dimension")) + " SELECT entity_id, CASE max(CASE completeness WHEN 'complete' THEN 0 WHEN 'partial' THEN 1 ELSE 2 END) WHEN 0 THEN 'complete' WHEN 1 THEN 'partial' ELSE 'indeterminate' END AS completeness FROM current GROUP BY 1",
-    "state_scd2": f"{_with(_STATE)} SELECT state_id, entity_id, value, observed_at AS valid_from, lead(observed_at) OVER w AS valid_to, lead(observed_at) OVER w IS NULL AS is_current FROM state WHERE dimension = 'return' WINDOW w AS (PARTITION BY entity_id ORDER BY observed_at, state_id)",
+    "state_scd2": f"{_with(_STATE)} SELECT state_id, entity_id, value, true AS no_start, lead(observed_at) OVER w AS valid_to, lead(observed_at) OVER w IS NULL AS is_current, (lag(state_id) OVER w)::VARCHAR AS supersedes_id FROM state WHERE dimension = 'return' WINDOW w AS (PARTITION BY entity_id ORDER BY observed_at, state_id)",
     "attribute_scd2": f"{_with(_MEASUREMENT)}, n AS (SELECT *, CASE WHEN dimension IN ('click', 'view') THEN lead(observed_at) OVER (PARTITION BY user_id, dimension ORDER BY observed_at, measurement_id) END AS valid_to FROM measurement WHERE observed_at IS NOT NULL) SELECT measurement_id, observed_at AS valid_from, valid_to, valid_to IS NULL AS is_current FROM n",
     "relation_current_boolean": f"{_with(_RELATION)}, live AS (SELECT from_id AS subject, count(*) AS n FROM relation WHERE key = 'buys_from' AND is_current GROUP BY 1) SELECT 'c:' || c_custkey AS subject, CASE WHEN n IS NULL THEN 'no' ELSE 'yes' END AS answer, CASE WHEN n IS NULL THEN 0 ELSE 1 END::BIGINT AS n FROM customer LEFT JOIN live ON subject = 'c:' || c_custkey",
     "relation_list_ranked": _ranked("buys_from", False),
@@ -274,10 +274,15 @@ ORACLE_SQL: dict[str, str] = {
         LEFT JOIN (SELECT entity_id AS id, count(*) AS n_states FROM state WHERE is_current GROUP BY 1) d ON d.id = e.entity_id
         LEFT JOIN (SELECT entity_id AS id, count(DISTINCT event_id) AS n_events FROM participant GROUP BY 1) f ON f.id = e.entity_id""",
     "relation_lifecycle": """WITH commands AS (SELECT user_id % 100 AS subject, event_type AS object, ts AS "at", event_id, CASE WHEN event_id % 11 = 0 THEN 'terminate' WHEN event_id % 13 = 0 THEN 'deny' WHEN event_id % 17 = 0 THEN 'historical' ELSE 'assert' END AS mode FROM events),
-        numbered AS (SELECT *, coalesce(sum((mode IN ('terminate', 'deny'))::INT) OVER (PARTITION BY subject, object ORDER BY "at", event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM commands),
-        live AS (SELECT subject, object, min("at") FILTER (mode = 'assert') AS valid_from, max("at") FILTER (mode = 'assert') AS observed_at, max("at") FILTER (mode IN ('terminate', 'deny')) AS valid_to, max(mode) FILTER (mode IN ('terminate', 'deny')) AS closed_by FROM numbered WHERE mode != 'historical' GROUP BY subject, object, run)
-        SELECT subject, object, valid_from, observed_at, valid_to, valid_to IS NULL AS is_current, closed_by FROM live WHERE valid_from IS NOT NULL
-        UNION ALL SELECT subject, object, "at", "at", NULL, false, 'historical' FROM commands WHERE mode = 'historical'""",
+        runs AS (SELECT *, coalesce(sum((mode IN ('terminate', 'deny'))::INT) OVER (PARTITION BY subject, object ORDER BY "at", event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM commands),
+        marked AS (SELECT *, coalesce(bool_or(mode = 'assert') OVER (PARTITION BY subject, object, run ORDER BY "at", event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS is_open,
+            CASE mode WHEN 'assert' THEN 'r' || run WHEN 'historical' THEN 'h' || event_id END AS made FROM runs),
+        aimed AS (SELECT *, last_value(made IGNORE NULLS) OVER (PARTITION BY subject, object ORDER BY "at", event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM marked),
+        instances AS (SELECT *, CASE WHEN made IS NOT NULL THEN made WHEN is_open THEN 'r' || run WHEN mode = 'terminate' THEN newest END AS instance FROM aimed),
+        g AS (SELECT subject, object, min("at") FILTER (made IS NOT NULL) AS valid_from, max("at") FILTER (made IS NOT NULL) AS observed_at, max("at") FILTER (mode = 'terminate') AS valid_to,
+            bool_or(mode = 'deny') AS denied, bool_or(mode = 'historical') AS past FROM instances WHERE instance IS NOT NULL GROUP BY subject, object, instance),
+        c AS (SELECT *, CASE WHEN valid_to IS NOT NULL THEN 'terminate' WHEN denied THEN 'deny' WHEN past THEN 'historical' END AS closed_by FROM g)
+        SELECT subject, object, valid_from, observed_at, valid_to, closed_by IS NULL AS is_current, closed_by FROM c""",
     "entity_search": f"""{_with(_ENTITY)}, ranked AS (SELECT *, upper(replace(name, '#', '')) AS alias FROM entity),
         hits AS (SELECT entity_id, name, CASE WHEN lower(entity_id) = '00001' OR lower(name) = '00001' THEN 0 WHEN lower(alias) = '00001' THEN 1 WHEN starts_with(lower(name), '00001') THEN 2
             WHEN contains(lower(name), '00001') THEN 3 WHEN contains(lower(alias), '00001') THEN 4 WHEN contains(lower(entity_id), '00001') THEN 5 WHEN contains(lower(type_key), '00001') THEN 6 END AS rank FROM ranked),
@@ -311,11 +316,11 @@ ORACLE_SQL: dict[str, str] = {
             CASE WHEN a THEN 'actor' WHEN c THEN 'action' END AS question FROM s)
         SELECT missing, blocking, question, count(*) AS n FROM m GROUP BY ALL""",
     "id_validation": f"{_with(_ENTITY)} SELECT regexp_full_match(entity_id, '[A-Za-z0-9_.:-]{{1,128}}') AS id_ok, regexp_full_match(type_key, '[a-z][a-z0-9_]*(\\.[a-z0-9_]+)*') AS type_ok, count(*) AS n FROM entity GROUP BY 1, 2",
-    "spec_sum": f"""{_with(_EVENT, _FACT)}, m AS (SELECT *, {_membership(*_YEAR)} AS m FROM event)
-        SELECT (SELECT sum(amount) FROM m JOIN current_fact ON about_id = event_id WHERE m = 'match' AND currency = 'BRL')::DECIMAL(28,2) AS total, 'BRL' AS currency,
-            (SELECT count(*) FROM m JOIN current_fact ON about_id = event_id WHERE m = 'match' AND currency = 'BRL') AS n_facts, 'partial' AS completeness,
+    "spec_sum": f"""{_with(_EVENT, _FACT)}, m AS (SELECT *, {_membership(*_YEAR)} AS m FROM event),
+        usable AS (SELECT * FROM current_fact JOIN m ON about_id = event_id WHERE m = 'match' AND currency = 'BRL' AND fact_id % 17 != 0 AND fact_id % 19 != 0)
+        SELECT 1::BIGINT AS user_id, (SELECT sum(amount) FROM usable)::DECIMAL(28,2) AS total, 'BRL' AS currency, (SELECT count(*) FROM usable) AS n_facts, 'partial' AS completeness,
             (SELECT count(*) FROM m WHERE m = 'unknown') AS n_unknown_events, NULL::VARCHAR AS error""",
-    "entity_resolution_named": f"""WITH m AS (SELECT o_orderkey AS mention_id, 'c:' || (o_custkey % 200) AS id, o_custkey % 200 AS k FROM orders)
+    "entity_resolution_named": f"""WITH m AS (SELECT o_orderkey AS mention_id, 'c:' || o_custkey AS id, o_custkey AS k FROM orders)
         SELECT mention_id, CASE WHEN c_custkey IS NULL THEN 'unresolved' ELSE 'resolved' END AS status, CASE WHEN c_custkey IS NOT NULL THEN id END AS entity_id, CASE WHEN c_custkey IS NULL THEN 0 ELSE 1 END::BIGINT AS n FROM m LEFT JOIN customer ON c_custkey = k""",
     "entity_resolution_possessive": "SELECT c_custkey AS mention_id, CASE WHEN c_custkey % 7 = 0 THEN 'create_candidate' ELSE 'resolved' END AS status, CASE WHEN c_custkey % 7 != 0 THEN 'n:' || c_nationkey END AS entity_id, CASE WHEN c_custkey % 7 = 0 THEN 0 ELSE 1 END::BIGINT AS n FROM customer",
     "primitive_routing": """WITH k AS (SELECT l_orderkey * 7 + l_linenumber * 3 + l_partkey AS k FROM lineitem),

@@ -3,49 +3,20 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veritempo import queries_users  # noqa: F401  (registers its queries)
 from veritempo.functions import temporal as T
 from veritempo.functions import text as X
 from veritempo.operators import attributes, catalog, events, ingest, interpret, ledger, linkage, measurements, proposals, relations, states
 from veritempo.plans.spec import QuerySpec, execute
+from veritempo.registry import DAY, LOG_DAY, MONTH, QUERIES, YEAR, query, span, stamp, text_of
 from veritempo.sources import migrations
 from veritempo.sources.frames import KnowledgeFrames
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-
-
-def query(function: Callable[[KnowledgeFrames], DataFrame]) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return function(KnowledgeFrames(spark, sf_dir))
-
-    QUERIES[function.__name__] = run
-    return run
-
-
-def stamp(text: str):
-    return F.lit(dt.datetime.fromisoformat(text)).cast("timestamp")
-
-
-def _text(column: str):
-    """Whole numbers that may be null, as text, so that no reader turns them into floating point."""
-    return F.col(column).cast("string").alias(column)
-
-
-#: The ranges that the queries ask about.
-YEAR = ("1996-01-01", "1997-01-01")
-MONTH = ("1996-03-01", "1996-04-01")
-DAY = ("1996-03-10", "1996-03-11")
-LOG_DAY = ("2024-01-10", "2024-01-11")
-
-
-def span(days: tuple[str, str]):
-    return tuple(map(stamp, days))
-
+__all__ = ["QUERIES"]
 
 # Events -----------------------------------------------------------------------------------------------------------
 
@@ -102,18 +73,18 @@ def concept_closure(f):
     return events.closure(f.concept)
 
 
-def _wanted(f: KnowledgeFrames, prefix: str, modulus: int) -> DataFrame:
-    return f.entity.where(F.col("entity_id").startswith(f"{prefix}:") & (F.split("entity_id", ":")[1].cast("long") % modulus == 0)).select("entity_id")
+def _wanted(f: KnowledgeFrames, prefix: str) -> DataFrame:
+    return f.entity.where(F.col("entity_id").startswith(f"{prefix}:")).select("user_id", "entity_id")
 
 
 @query
 def event_list_subject(f):
-    return events.by_subject(f.event, f.participant, _wanted(f, "p", 20)).select("event_id", "status")
+    return events.by_subject(f.event, f.participant, _wanted(f, "p")).select("event_id", "status")
 
 
 @query
 def event_list_actor(f):
-    return events.by_actor(f.event, f.participant, _wanted(f, "c", 20)).select("event_id", "actor_id")
+    return events.by_actor(f.event, f.participant, _wanted(f, "c")).select("event_id", "actor_id")
 
 
 @query
@@ -135,7 +106,7 @@ def event_items_top(f):
 
 @query
 def event_items_sorted(f):
-    items = events.event_items(f.event.select("event_id", "temporal", "created_at"), f.participant)
+    items = events.event_items(f.event.select("user_id", "event_id", "temporal", "created_at"), f.participant)
     return events.sorted_items(items, descending=True).select("event_id", F.coalesce("event_time", F.lit("")).alias("event_time"), F.size("entity_ids").alias("n_entities"))
 
 
@@ -165,20 +136,17 @@ def effectiveness_status(f):
 
 @query
 def correction_lineage(f):
-    return ledger.explained(f.fact, "fact_id", "fact", f.correction).select("fact_id", "amount", "action", _text("replacement_id"))
+    return ledger.explained(f.fact, "fact_id", "fact", f.correction).select("fact_id", "amount", "action", text_of("replacement_id"))
 
 
 @query
 def correction_errors(f):
-    ids = f.fact.select(F.lit("fact").alias("kind"), F.col("fact_id").alias("id")).where("id % 34 != 0").unionByName(f.measurement.select(F.lit("measurement").alias("kind"), F.col("measurement_id").alias("id")))
+    ids = f.fact.select("user_id", F.lit("fact").alias("kind"), F.col("fact_id").alias("id")).where("id % 34 != 0").unionByName(f.measurement.select("user_id", F.lit("measurement").alias("kind"), F.col("measurement_id").alias("id")))
     return ledger.correction_errors(f.correction, ids).groupBy("kind", "reason").agg(F.count("*").alias("n"))
 
 
 def _sums(f: KnowledgeFrames, currency: str | None) -> DataFrame:
-    marked = events.with_membership(f.event, *span(YEAR))
-    inside, open_ = marked.where(F.col("membership") == T.MATCH), marked.where(F.col("membership") == T.UNKNOWN)
-    concepts, keys = ["attribute.price"], ["actor_id"]
-    return events.money_sum(events.with_facts(inside, ledger.current_facts(f.fact), concepts), events.with_facts(open_, f.fact, concepts), open_, keys, currency)
+    return events.money_sum(events.with_membership(f.event, *span(YEAR)), f.fact, ["attribute.price"], ["actor_id"], currency)
 
 
 @query
@@ -275,7 +243,7 @@ _SUBJECT = ["user_id", "dimension", "unit"]
 
 @query
 def meas_latest(f):
-    return measurements.latest(_measured(f).where("measurement_id % 5 != 0"), ["user_id", "dimension"])
+    return measurements.latest(_measured(f), ["user_id", "dimension"])
 
 
 @query
@@ -290,7 +258,7 @@ def meas_at_time(f):
 
 @query
 def meas_in_range(f):
-    return measurements.in_range(_measured(f), ["user_id", "dimension"], *span(LOG_DAY)).withColumns({c: _text(c) for c in ("first_id", "last_id")})
+    return measurements.in_range(_measured(f), ["user_id", "dimension"], *span(LOG_DAY)).withColumns({c: text_of(c) for c in ("first_id", "last_id")})
 
 
 @query
@@ -314,12 +282,12 @@ def meas_value_groups(f):
 
 @query
 def state_current(f):
-    return states.current(f.state.where("dimension = 'openness'"), ["entity_id"]).withColumn("state_id", _text("state_id"))
+    return states.current(f.state.where("dimension = 'openness'"), ["entity_id"]).withColumn("state_id", text_of("state_id"))
 
 
 @query
 def state_current_by_dimension(f):
-    return states.current(f.state, ["dimension"]).withColumn("state_id", _text("state_id"))
+    return states.current(f.state, ["dimension"]).withColumn("state_id", text_of("state_id"))
 
 
 @query
@@ -330,7 +298,7 @@ def state_completeness(f):
 @query
 def state_scd2(f):
     rows = ledger.valid_periods(f.state.where("dimension = 'return'").drop("is_current"), ["entity_id"], "observed_at", "state_id")
-    return rows.select("state_id", "entity_id", "value", "valid_from", "valid_to", "is_current")
+    return rows.select("state_id", "entity_id", "value", F.col("valid_from").isNull().alias("no_start"), "valid_to", "is_current", text_of("supersedes_id"))
 
 
 @query
@@ -398,7 +366,7 @@ def relation_object_type(f):
 
 @query
 def owned_entities(f):
-    return relations.owned(f.relation, f.entity, f.concept, "buys_from", "entity.party")
+    return relations.owned(f.relation, f.entity, f.concept, "buys_from", "entity.party").select("owner", "entity_id")
 
 
 @query
@@ -415,7 +383,7 @@ def graph_walk_bounded(f):
 
 @query
 def entity_detail(f):
-    return relations.entity_detail(f.entity, f.relation, f.attribute, f.state, f.participant)
+    return relations.entity_detail(f.entity, f.relation, f.attribute, f.state, f.participant).drop("user_id")
 
 
 @query
@@ -438,7 +406,7 @@ def entity_search_ranks(f):
 
 
 def _mentions(f: KnowledgeFrames) -> DataFrame:
-    return f.table("orders").select(F.col("o_orderkey").alias("mention_id"), F.concat(F.lit("  Customer#"), F.lpad((F.col("o_custkey") % 200).cast("string"), 9, "0"), F.lit(" !")).alias("text"), F.lit("entity.party").alias("hint"))
+    return f.table("orders").select(F.col("o_orderkey").alias("mention_id"), F.concat(F.lit("  Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"), F.lit(" !")).alias("text"), F.lit("entity.party").alias("hint"))
 
 
 @query
@@ -639,7 +607,7 @@ def spec_sum(f):
 
 @query
 def spec_snapshot(f):
-    return execute(QuerySpec(mode="snapshot"), f)
+    return execute(QuerySpec(mode="snapshot"), f).drop("user_id")
 
 
 # Registry, focus and readiness ------------------------------------------------------------------------------------
@@ -680,7 +648,7 @@ def concepts_to_learn(f):
 def correction_target(f):
     said = f.table("supplier").select(F.col("s_suppkey").alias("description_id"), F.col("s_nationkey").alias("scope"), F.concat(F.lit("0000"), (F.col("s_suppkey") % 10).cast("string")).alias("part"), F.lit(None).cast("decimal(18,2)").alias("amount"))
     candidates = f.table("customer").select(F.col("c_nationkey").alias("scope"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").cast("decimal(18,2)").alias("amount"))
-    return catalog.correction_targets(said, candidates, f.correction.where("kind = 'fact'")).withColumn("target_id", _text("target_id"))
+    return catalog.correction_targets(said, candidates, f.correction.where("kind = 'fact'").drop("user_id")).withColumn("target_id", text_of("target_id"))
 
 
 @query

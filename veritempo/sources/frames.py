@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veritempo.functions import temporal as T
@@ -24,20 +24,34 @@ def _id(prefix: str, key: str) -> Column:
 
 @dataclass
 class KnowledgeFrames:
-    """All assertions of all users as DataFrames."""
+    """All assertions of all users as DataFrames, each with user_id.
+
+    The star schema knows one owner of its rows, user 1. With `users` = 2 a second one has the rows with even keys too,
+    under the same ids, without the facts that supersede others and with corrections of its own: two users whose ids
+    collide, as tests of isolation need them. Measurements belong to the users of the event log.
+    """
 
     spark: SparkSession
     path: str
+    users: int = 1
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
+    def owned(self, name: str, key: str) -> DataFrame:
+        """A table with the users that have its rows."""
+        one = F.lit(1).cast("long")
+        if self.users == 1:
+            return self.table(name).withColumn("user_id", one)
+        both = F.array(one, F.lit(2).cast("long"))
+        return self.table(name).withColumn("user_id", F.explode(F.when(F.col(key) % 2 == 0, both).otherwise(F.array(one))))
+
     @cached_property
     def entity(self) -> DataFrame:
-        """entity_id, type_key, name, alias."""
+        """user_id, entity_id, type_key, name, alias."""
         parts = [("customer", "c", "c_custkey", "c_name", "entity.customer"), ("supplier", "s", "s_suppkey", "s_name", "entity.supplier"), ("nation", "n", "n_nationkey", "n_name", "entity.nation"), ("region", "r", "r_regionkey", "r_name", "entity.region")]
-        rows = [self.table(t).select(_id(p, k).alias("entity_id"), F.lit(kind).alias("type_key"), F.col(n).alias("name")) for t, p, k, n, kind in parts]
-        part = self.table("part").select(_id("p", "p_partkey").alias("entity_id"), F.concat(F.lit("entity.part."), F.lower("p_type")).alias("type_key"), F.col("p_name").alias("name"))
+        rows = [self.owned(t, k).select("user_id", _id(p, k).alias("entity_id"), F.lit(kind).alias("type_key"), F.col(n).alias("name")) for t, p, k, n, kind in parts]
+        part = self.owned("part", "p_partkey").select("user_id", _id("p", "p_partkey").alias("entity_id"), F.concat(F.lit("entity.part."), F.lower("p_type")).alias("type_key"), F.col("p_name").alias("name"))
         out = part
         for r in rows:
             out = out.unionByName(r)
@@ -64,7 +78,8 @@ class KnowledgeFrames:
             .otherwise(T.on_day(day))
         )
         status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "scheduled").otherwise("pending")
-        return self.table("orders").select(
+        return self.owned("orders", "o_orderkey").select(
+            "user_id",
             key.alias("event_id"),
             F.concat(F.lit("event.order."), F.lower("o_orderpriority")).alias("type_key"),
             F.when(key % 5 != 0, F.concat(F.lit("action."), F.lower("o_orderstatus"))).alias("action"),
@@ -78,10 +93,10 @@ class KnowledgeFrames:
     @cached_property
     def participant(self) -> DataFrame:
         """event_id, entity_id, role: the customer acts, parts are objects, suppliers are the context."""
-        lines = self.table("lineitem")
-        actor = self.table("orders").select(F.col("o_orderkey").alias("event_id"), _id("c", "o_custkey").alias("entity_id"), F.lit("role.actor").alias("role"))
-        objects = lines.select(F.col("l_orderkey").alias("event_id"), _id("p", "l_partkey").alias("entity_id"), F.lit("role.object").alias("role"))
-        context = lines.select(F.col("l_orderkey").alias("event_id"), _id("s", "l_suppkey").alias("entity_id"), F.lit("role.context").alias("role"))
+        lines = self.owned("lineitem", "l_orderkey")
+        actor = self.owned("orders", "o_orderkey").select("user_id", F.col("o_orderkey").alias("event_id"), _id("c", "o_custkey").alias("entity_id"), F.lit("role.actor").alias("role"))
+        objects = lines.select("user_id", F.col("l_orderkey").alias("event_id"), _id("p", "l_partkey").alias("entity_id"), F.lit("role.object").alias("role"))
+        context = lines.select("user_id", F.col("l_orderkey").alias("event_id"), _id("s", "l_suppkey").alias("entity_id"), F.lit("role.context").alias("role"))
         return actor.unionByName(objects).unionByName(context)
 
     @cached_property
@@ -90,8 +105,9 @@ class KnowledgeFrames:
         key = F.col("o_orderkey")
         price = F.col("o_totalprice").cast(MONEY)
         currency = F.when(key % 7 == 0, "USD").otherwise("BRL").alias("currency")
-        first = self.table("orders").select((key * 2).alias("fact_id"), key.alias("about_id"), F.lit("attribute.price").alias("concept"), price.alias("amount"), currency, F.lit(None).cast("long").alias("supersedes_id"), (key % 100).alias("source_id"), F.col("o_orderdate").alias("created_at"))
-        later = self.table("orders").where(key % 11 == 0).select((key * 2 + 1).alias("fact_id"), key.alias("about_id"), F.lit("attribute.price").alias("concept"), (price * F.lit("1.1").cast("decimal(2,1)")).cast(MONEY).alias("amount"), currency, (key * 2).alias("supersedes_id"), (key % 100).alias("source_id"), F.date_add(F.to_date("o_orderdate"), 1).cast("timestamp").alias("created_at"))
+        orders = self.owned("orders", "o_orderkey")
+        first = orders.select("user_id", (key * 2).alias("fact_id"), key.alias("about_id"), F.lit("attribute.price").alias("concept"), price.alias("amount"), currency, F.lit(None).cast("long").alias("supersedes_id"), (key % 100).alias("source_id"), F.col("o_orderdate").alias("created_at"))
+        later = orders.where(key % 11 == 0).where("user_id = 1").select("user_id", (key * 2 + 1).alias("fact_id"), key.alias("about_id"), F.lit("attribute.price").alias("concept"), (price * F.lit("1.1").cast("decimal(2,1)")).cast(MONEY).alias("amount"), currency, (key * 2).alias("supersedes_id"), (key % 100).alias("source_id"), F.date_add(F.to_date("o_orderdate"), 1).cast("timestamp").alias("created_at"))
         return first.unionByName(later)
 
     @cached_property
@@ -110,14 +126,14 @@ class KnowledgeFrames:
     @cached_property
     def attribute(self) -> DataFrame:
         """attribute_id, entity_id, dimension, value_kind, text_value, numeric_value, unit, is_current, temporal."""
-        part = self.table("part")
+        part = self.owned("part", "p_partkey")
         key = F.col("p_partkey")
         day = F.date_add(F.lit("2000-01-01").cast("date"), (key % 700).cast("int"))
 
         def rows(n: int, dimension: str, text: Column | None, number: Column | None, unit: str | None, current: Column, time: Column, where: Column | None = None) -> DataFrame:
             frame = part if where is None else part.where(where)
             return frame.select(
-                (key * 10 + n).alias("attribute_id"), _id("p", "p_partkey").alias("entity_id"), F.lit(dimension).alias("dimension"), F.lit("text" if text is not None else "number").alias("value_kind"),
+                "user_id", (key * 10 + n).alias("attribute_id"), _id("p", "p_partkey").alias("entity_id"), F.lit(dimension).alias("dimension"), F.lit("text" if text is not None else "number").alias("value_kind"),
                 (text if text is not None else F.lit(None).cast("string")).alias("text_value"), (number if number is not None else F.lit(None)).cast(MONEY).alias("numeric_value"), F.lit(unit).cast("string").alias("unit"), current.alias("is_current"), time.alias("temporal"),
             )
 
@@ -139,10 +155,10 @@ class KnowledgeFrames:
     def state(self) -> DataFrame:
         """state_id, entity_id, dimension, value, is_current, temporal, observed_at: how lines of a part stand."""
         key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-        lines = self.table("lineitem")
+        lines = self.owned("lineitem", "l_orderkey")
         day = F.to_date("l_shipdate")
         time = F.when(key % 17 == 0, T.unknown_time(F.lit("lately"))).when(key % 19 == 0, T.in_month(F.year(day), F.month(day))).otherwise(T.on_day(day))
-        common = [_id("p", "l_partkey").alias("entity_id"), (key % 3 != 0).alias("is_current"), time.alias("temporal"), F.col("l_shipdate").alias("observed_at")]
+        common = [F.col("user_id"), _id("p", "l_partkey").alias("entity_id"), (key % 3 != 0).alias("is_current"), time.alias("temporal"), F.col("l_shipdate").alias("observed_at")]
         openness = lines.select((key * 2).alias("state_id"), F.lit("openness").alias("dimension"), F.col("l_linestatus").alias("value"), *common)
         returned = lines.select((key * 2 + 1).alias("state_id"), F.lit("return").alias("dimension"), F.col("l_returnflag").alias("value"), *common)
         return openness.unionByName(returned)
@@ -158,24 +174,26 @@ class KnowledgeFrames:
 
         def finish(df: DataFrame, key: str, current: Column, time: Column, more: dict[str, Column] = empty) -> DataFrame:
             ended = ~current
-            return df.select(F.concat_ws("|", F.lit(key), "from_id", "to_id").alias("relation_id"), "from_id", "to_id", F.lit(key).alias("key"), current.alias("is_current"), time.alias("temporal"), more["valid_from"].alias("valid_from"), more["valid_to"].alias("valid_to"), ended.alias("termination_known"), F.when(ended, more["valid_to"]).alias("terminated"))
+            return df.select("user_id", F.concat_ws("|", F.lit(key), "from_id", "to_id").alias("relation_id"), "from_id", "to_id", F.lit(key).alias("key"), current.alias("is_current"), time.alias("temporal"), more["valid_from"].alias("valid_from"), more["valid_to"].alias("valid_to"), ended.alias("termination_known"), F.when(ended, more["valid_to"]).alias("terminated"))
 
-        customer, nation = self.table("customer"), self.table("nation")
-        lives = finish(customer.select(_id("c", "c_custkey").alias("from_id"), _id("n", "c_nationkey").alias("to_id"), "c_custkey"), "resides_at", F.col("c_custkey") % 7 != 0, F.when(F.col("c_custkey") % 4 == 0, T.unknown_time(F.lit("always"))).otherwise(T.on_day(F.date_add(F.lit("1994-01-01").cast("date"), (F.col("c_custkey") % 365).cast("int")))))
-        located = finish(nation.select(_id("n", "n_nationkey").alias("from_id"), _id("r", "n_regionkey").alias("to_id")), "located_in", F.lit(True), T.unknown_time(F.lit("always")))
-        trade = self.table("orders").join(self.table("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy(_id("c", "o_custkey").alias("from_id"), _id("s", "l_suppkey").alias("to_id")).agg(F.min("o_orderdate").alias("since"), F.max("l_shipdate").alias("until"), F.count("*").alias("n"))
+        customer, nation = self.owned("customer", "c_custkey"), self.owned("nation", "n_nationkey")
+        lives = finish(customer.select("user_id", _id("c", "c_custkey").alias("from_id"), _id("n", "c_nationkey").alias("to_id"), "c_custkey"), "resides_at", F.col("c_custkey") % 7 != 0, F.when(F.col("c_custkey") % 4 == 0, T.unknown_time(F.lit("always"))).otherwise(T.on_day(F.date_add(F.lit("1994-01-01").cast("date"), (F.col("c_custkey") % 365).cast("int")))))
+        located = finish(nation.select("user_id", _id("n", "n_nationkey").alias("from_id"), _id("r", "n_regionkey").alias("to_id")), "located_in", F.lit(True), T.unknown_time(F.lit("always")))
+        trade = self.owned("orders", "o_orderkey").join(self.table("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("user_id", _id("c", "o_custkey").alias("from_id"), _id("s", "l_suppkey").alias("to_id")).agg(F.min("o_orderdate").alias("since"), F.max("l_shipdate").alias("until"), F.count("*").alias("n"))
         buys = finish(trade, "buys_from", F.col("n") % 2 == 0, T.on_day(F.to_date("since")), {"valid_from": F.col("since"), "valid_to": F.when(F.col("n") % 2 != 0, F.col("until"))})
-        from pyspark.sql import Window
-
-        near = Window.partitionBy("c_nationkey", "c_mktsegment").orderBy("c_custkey")
+        near = Window.partitionBy("user_id", "c_nationkey", "c_mktsegment").orderBy("c_custkey")
         peers = customer.withColumn("next", F.lead("c_custkey").over(near)).where("next is not null")
-        peer = finish(peers.select(_id("c", "c_custkey").alias("from_id"), _id("c", "next").alias("to_id"), "c_custkey"), "peer_of", F.col("c_custkey") % 3 != 0, T.on_day(F.lit("1995-01-01").cast("date")))
+        peer = finish(peers.select("user_id", _id("c", "c_custkey").alias("from_id"), _id("c", "next").alias("to_id"), "c_custkey"), "peer_of", F.col("c_custkey") % 3 != 0, T.on_day(F.lit("1995-01-01").cast("date")))
         return lives.unionByName(located).unionByName(buys).unionByName(peer)
 
     @cached_property
     def correction(self) -> DataFrame:
-        """kind, target_id, action, replacement_id: every seventeenth fact retracted, every nineteenth other replaced."""
-        ids = self.fact.select(F.lit("fact").alias("kind"), F.col("fact_id").alias("target_id")).unionByName(self.measurement.select(F.lit("measurement").alias("kind"), F.col("measurement_id").alias("target_id")))
-        action = F.when(F.col("target_id") % 17 == 0, "retract").when(F.col("target_id") % 19 == 0, "replace")
+        """user_id, kind, target_id, action, replacement_id: every seventeenth assertion retracted, every nineteenth other replaced.
+
+        The second user only retracts every thirteenth fact.
+        """
+        ids = self.fact.select("user_id", F.lit("fact").alias("kind"), F.col("fact_id").alias("target_id")).unionByName(self.measurement.select("user_id", F.lit("measurement").alias("kind"), F.col("measurement_id").alias("target_id")))
+        second = (F.col("kind") == "fact") & (F.col("user_id") == 2)
+        action = F.when(second, F.when(F.col("target_id") % 13 == 0, "retract")).when(F.col("target_id") % 17 == 0, "retract").when(F.col("target_id") % 19 == 0, "replace")
         rows = ids.withColumn("action", action).where("action is not null")
         return rows.withColumn("replacement_id", F.when(F.col("action") == "replace", F.col("target_id") + 1))

@@ -21,19 +21,17 @@ def activity(events: DataFrame, width: str = "1 hour", late: str = "10 minutes")
 
 
 def upsert_current(path: str, keys: list[str], at: str):
-    """A foreachBatch function that keeps the latest row per keys in a Parquet folder, swapped whole for each batch."""
+    """A foreachBatch function that keeps the latest row per keys in a Parquet folder, swapped whole for each batch.
+
+    Batch 0 starts the folder; a later batch without its predecessor's folder fails, as the state would be lost. Rows of
+    one moment are told apart by a hash of all columns.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         target = f"{path}/v={number}"
-        try:
-            before = spark.read.parquet(f"{path}/v={number - 1}") if number else None
-        except Exception as error:  # a first batch with a number over 0 has no predecessor
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            before = None
-        rows = batch if before is None else before.unionByName(batch)
-        latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), at).alias("r")).select("r.*")
+        rows = spark.read.parquet(f"{path}/v={number - 1}").unionByName(batch) if number else batch
+        latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), F.struct(F.col(at), F.xxhash64(*rows.columns))).alias("r")).select("r.*")
         latest.write.mode("overwrite").parquet(target)
 
     return write
@@ -51,4 +49,5 @@ def focus_changes(key: tuple, rows: Iterator[pd.DataFrame], state) -> Iterator[p
 
 
 def conversation_focus(turns: DataFrame) -> DataFrame:
+    """Per conversation the state after each batch in which it had turns."""
     return turns.groupBy("conv_id").applyInPandasWithState(focus_changes, "conv_id long, turns long, last_role string", "turns long, last_role string", "update", "NoTimeout")
