@@ -323,26 +323,6 @@ ORACLE_SQL: dict[str, str] = {
     "entity_resolution_named": f"""WITH m AS (SELECT o_orderkey AS mention_id, 'c:' || o_custkey AS id, o_custkey AS k FROM orders)
         SELECT mention_id, CASE WHEN c_custkey IS NULL THEN 'unresolved' ELSE 'resolved' END AS status, CASE WHEN c_custkey IS NOT NULL THEN id END AS entity_id, CASE WHEN c_custkey IS NULL THEN 0 ELSE 1 END::BIGINT AS n FROM m LEFT JOIN customer ON c_custkey = k""",
     "entity_resolution_possessive": "SELECT c_custkey AS mention_id, CASE WHEN c_custkey % 7 = 0 THEN 'create_candidate' ELSE 'resolved' END AS status, CASE WHEN c_custkey % 7 != 0 THEN 'n:' || c_nationkey END AS entity_id, CASE WHEN c_custkey % 7 = 0 THEN 0 ELSE 1 END::BIGINT AS n FROM customer",
-    "primitive_routing": """WITH k AS (SELECT l_orderkey * 7 + l_linenumber * 3 + l_partkey AS k FROM lineitem),
-        f AS (SELECT k % 3 = 0 AS q, k % 11 = 0 AS link, k % 7 = 0 AS rel, k % 13 = 0 AS cls, k % 5 = 0 AS mea, k % 17 = 0 AS sta, k % 4 = 0 AS att, k % 6 = 0 AS con, k % 19 = 0 AS st, k % 23 = 0 AS chg,
-            k % 29 = 0 AS life, k % 2 = 0 AS happened, k % 2 != 0 AND k % 31 = 0 AS ongoing, k % 9 = 0 AS act, k % 37 = 0 AS hint FROM k)
-        SELECT CASE WHEN q THEN CASE WHEN link OR rel THEN 'relation' WHEN cls THEN 'type' WHEN mea THEN 'measurement' WHEN sta OR (att AND NOT con) THEN 'attribute' WHEN con OR st THEN 'state' ELSE 'event' END
-            WHEN happened AND act AND mea THEN 'event' WHEN (chg OR life) AND link AND rel AND NOT chg AND NOT act THEN 'relation' WHEN chg OR life THEN 'event' WHEN happened AND act THEN 'event'
-            WHEN link OR rel THEN 'relation' WHEN cls THEN 'type' WHEN sta OR (att AND NOT con AND NOT mea) THEN 'attribute' WHEN mea THEN 'measurement'
-            WHEN (con OR ongoing) AND att AND NOT st THEN 'attribute' WHEN con OR ongoing THEN 'state' WHEN act THEN 'event' WHEN st THEN 'state' WHEN hint THEN 'state' ELSE 'unknown' END AS primitive, count(*) AS n
-        FROM f GROUP BY 1""",
-    "sense_recognition": """WITH s AS (SELECT unnest(CASE o_orderkey % 6 WHEN 0 THEN ['install'] WHEN 1 THEN ['facilities', 'property_new'] WHEN 2 THEN ['replace_physical']
-        WHEN 3 THEN ['exchange_idea'] WHEN 4 THEN ['install'] ELSE ['ambiguous_pass'] END) AS sense FROM orders) SELECT sense, count(*) AS n FROM s GROUP BY 1""",
-    "correction_guard": """WITH g AS (SELECT o_orderkey % 10 AS k, o_custkey % 2 = 0 AS prior FROM orders),
-        r AS (SELECT CASE WHEN k IN (0, 8) THEN 'accept supported' WHEN k = 1 THEN 'reject termination_cue' WHEN k = 2 THEN 'reject evolution_cue' WHEN k = 3 THEN 'reject repetition_cue' WHEN k = 7 THEN 'reject query_form'
-            WHEN k = 4 AND prior THEN 'clarify target_ambiguous' WHEN k IN (5, 6) AND prior THEN 'accept supported' WHEN k = 6 THEN 'clarify context_required' ELSE 'reject signal_insufficient' END AS x FROM g)
-        SELECT split_part(x, ' ', 1) AS outcome, split_part(x, ' ', 2) AS reason, count(*) AS n FROM r GROUP BY ALL""",
-    "social_opening": """SELECT c_custkey, CASE c_custkey % 6 WHEN 2 THEN 'thanks' WHEN 3 THEN 'acknowledgement' WHEN 4 THEN 'none' ELSE 'greeting' END AS intent,
-        CASE c_custkey % 6 WHEN 4 THEN 'quanto ' ELSE '' END || replace(lower(c_name), '#', ' ') AS task FROM customer""",
-    "groundedness_check": f"""WITH t AS (SELECT conv_id, turn, role, substr(text, 1, 400) AS text FROM conversations),
-        pairs AS (SELECT r.conv_id, r.turn, string_split({_normal("r.text")}, ' ') AS said, string_split({_normal("q.text")}, ' ') AS known
-            FROM t r JOIN t q ON q.conv_id = r.conv_id AND q.turn + 1 = r.turn AND r.role = 'assistant' AND q.role = 'user')
-        SELECT conv_id, turn, len(list_distinct(list_filter(said, lambda w: len(w) >= 4 AND NOT list_contains(known, w))))::INT AS n_unattested FROM pairs""",
     "alias_match": f"""WITH a(alias, concept, priority) AS (VALUES ('the', 'concept.the', 1), ('and the', 'concept.and_the', 1), ('of', 'concept.of', 2), ('der', 'concept.der', 3), ('le', 'concept.le', 3)),
         t AS (SELECT conv_id || '-' || turn AS text_id, ' ' || {_normal("text")} || ' ' AS low FROM conversations)
         SELECT text_id, alias, concept FROM (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY priority DESC, len(alias) DESC, alias, concept) AS r FROM t JOIN a ON contains(low, ' ' || alias || ' ')) WHERE r = 1""",
@@ -377,14 +357,6 @@ ORACLE_SQL: dict[str, str] = {
         d AS (SELECT *, CASE WHEN ready = n THEN 'auto' WHEN ready > 0 THEN 'partial' WHEN ask IS NOT NULL THEN 'clarify' WHEN unsupported = n THEN 'unsupported' ELSE 'safe_abstain' END AS decision FROM g)
         SELECT proposal_id, n, ready, decision, CASE WHEN decision = 'clarify' THEN ask END AS ask FROM d""",
     "answer_projection": _with(_ATTRIBUTE, _lookup("entity_id, dimension", "true")) + " SELECT status, CASE WHEN status IN ('unknown', 'temporally_unknown') THEN 'unknown' WHEN n_values > 1 THEN 'list' WHEN value IS NOT NULL THEN 'value' ELSE 'empty' END AS kind, count(*) AS n FROM answered GROUP BY ALL",
-    "measurement_query_mode": """SELECT CASE WHEN o_orderkey % 6 = 0 AND o_orderkey % 5 != 0 THEN 'value_proposition' WHEN o_orderkey % 6 = 1 THEN 'latest_observation' WHEN o_orderkey % 6 = 2 THEN 'observations_in_range'
-        WHEN o_orderkey % 7 = 0 OR o_orderkey % 6 = 4 THEN 'observation_at_time' WHEN o_orderkey % 6 = 3 THEN 'observation_at_time' ELSE 'latest_observation' END AS mode, count(*) AS n FROM orders GROUP BY 1""",
-    "attribute_query_mode": """SELECT CASE WHEN o_orderkey % 11 = 0 THEN 'value_lookup' WHEN o_orderkey % 4 IN (0, 1) THEN 'historical_existence' WHEN o_orderkey % 3 = 0 AND o_orderkey % 5 = 0 THEN 'proposition'
-        WHEN o_orderkey % 3 = 0 THEN 'value_lookup' WHEN o_orderkey % 4 = 2 THEN 'value_lookup' ELSE 'proposition' END AS mode, count(*) AS n FROM orders GROUP BY 1""",
-    "canonical_gate": """WITH k AS (SELECT ['action.install', 'action.replace', 'state.value.broken', 'state.value.open', 'state.value.working'][o_orderkey % 5 + 1] AS key, ['install', 'replace_physical', 'facilities', 'property_new'][o_orderkey % 4 + 1] AS s FROM orders)
-        SELECT key, CASE WHEN key = 'action.install' AND s = 'facilities' THEN 'forbidden_sense' WHEN key = 'action.install' AND s != 'install' THEN 'missing_sense' WHEN key = 'action.replace' AND s = 'install' THEN 'forbidden_sense'
-            WHEN key = 'action.replace' AND s != 'replace_physical' THEN 'missing_sense' WHEN key = 'state.value.working' AND s IN ('property_new', 'facilities') THEN 'forbidden_sense'
-            WHEN key IN ('state.value.broken', 'state.value.open') AND s = 'property_new' THEN 'forbidden_sense' END AS why, count(*) AS n FROM k GROUP BY ALL""",
     "event_roles": """WITH m AS (SELECT l_orderkey AS proposal_id, l_orderkey * 10 + l_linenumber AS mention_id, l_partkey % 3 AS k, l_linenumber AS n, l_partkey % 7 = 0 AS h_actor, l_partkey % 7 != 0 AND l_partkey % 5 = 0 AS h_object,
             l_orderkey % 2 = 0 AS change, l_linenumber = 1 AND l_orderkey % 3 = 0 AND l_partkey % 3 != 0 AS affected FROM lineitem),
         r AS (SELECT *, CASE WHEN affected THEN 'role.patient' WHEN NOT bool_or(affected) OVER (PARTITION BY proposal_id) AND k = 0 AND (h_actor OR (n = 1 AND change)) THEN 'role.actor'

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritempo import queries_users  # noqa: F401  (registers its queries)
+from veritempo import queries_rules, queries_users  # noqa: F401  (they register their queries)
 from veritempo.functions import temporal as T
 from veritempo.functions import text as X
 from veritempo.operators import attributes, catalog, events, ingest, interpret, ledger, linkage, measurements, proposals, relations, states
@@ -478,51 +478,6 @@ def last_message_preview(f):
 # Interpretation and text ------------------------------------------------------------------------------------------
 
 
-@query
-def primitive_routing(f):
-    k = F.col("l_orderkey") * 7 + F.col("l_linenumber") * 3 + F.col("l_partkey")
-
-    def flag(m: int):
-        return k % m == 0
-
-    p = {"utterance_kind": F.when(flag(3), "query").otherwise("assertion"), "link": flag(11), "relation": flag(7), "classification": flag(13), "measurement": flag(5), "stable": flag(17), "attribute": flag(4), "condition": flag(6), "state": flag(19), "change": flag(23), "lifecycle": F.when(flag(29), "start").otherwise("none"), "aspect": F.when(flag(2), "happened").when(flag(31), "ongoing").otherwise("none"), "action": flag(9), "hint": F.when(flag(37), "state").otherwise("unknown")}
-    return f.table("lineitem").groupBy(interpret.route(p).alias("primitive")).agg(F.count("*").alias("n"))
-
-
-@query
-def sense_recognition(f):
-    phrases = ["Fez a instalação do som", "As instalações são novas", "Troquei o óleo", "troquei ideia", "installed parts", "passei em casa"]
-    said = F.element_at(F.array(*map(F.lit, phrases)), (F.col("o_orderkey") % len(phrases) + 1).cast("int"))
-    found = interpret.senses(said, F.col("o_orderkey") % 2 == 0)
-    return f.table("orders").select(F.explode(found).alias("sense")).groupBy("sense").agg(F.count("*").alias("n"))
-
-
-GUARD_PHRASES = ["Corrigindo: foi em 2025", "Ele não mora mais aqui", "Agora está aberto", "De novo", "Na verdade isso estava errado", "Não, foi em 2025", "li errado", "Eu disse que sim?", "não era dez, era doze", "bom"]
-
-
-@query
-def correction_guard(f):
-    said = F.element_at(F.array(*map(F.lit, GUARD_PHRASES)), (F.col("o_orderkey") % len(GUARD_PHRASES) + 1).cast("int"))
-    rows = f.table("orders").select(interpret.correction_guard(said, F.col("o_custkey") % 2 == 0).alias("g"))
-    return rows.groupBy(F.col("g.outcome").alias("outcome"), F.col("g.reason").alias("reason")).agg(F.count("*").alias("n"))
-
-
-@query
-def social_opening(f):
-    openings = ["Oi! ", "Bom dia, ", "Obrigado. ", "ok, ", "Quanto ", "Hello "]
-    said = F.concat(F.element_at(F.array(*map(F.lit, openings)), (F.col("c_custkey") % len(openings) + 1).cast("int")), F.col("c_name"))
-    return f.table("customer").select("c_custkey", interpret.social(said).alias("s")).select("c_custkey", "s.intent", "s.task")
-
-
-@query
-def groundedness_check(f):
-    turns = f.table("conversations").select("conv_id", "turn", "role", F.substring("text", 1, 400).alias("text"))
-    reply = turns.where("role = 'assistant'").select("conv_id", F.col("turn").alias("turn"), F.col("text").alias("reply"))
-    asked = turns.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("question"))
-    rows = reply.join(asked, ["conv_id", "turn"])
-    return rows.select("conv_id", "turn", F.size(interpret.unattested(F.col("reply"), [F.col("question")])).alias("n_unattested"))
-
-
 @query
 def alias_match(f):
     aliases = f.spark.createDataFrame([("the", "concept.the", 1), ("and the", "concept.and_the", 1), ("of", "concept.of", 2), ("der", "concept.der", 3), ("le", "concept.le", 3)], "alias string, concept string, priority int")
@@ -681,34 +636,6 @@ def answer_projection(f):
 
 # Proposals --------------------------------------------------------------------------------------------------------
 
-MEASURE_PHRASES = ["era 10 kg?", "última leitura do som", "quais foram os valores", "quanto tem de água", "agora", "quanto"]
-ATTRIBUTE_PHRASES = ["já foi azul", "era azul em 2020", "qual a cor", "azul"]
-
-
-@query
-def measurement_query_mode(f):
-    key = F.col("o_orderkey")
-    said = F.element_at(F.array(*map(F.lit, MEASURE_PHRASES)), (key % len(MEASURE_PHRASES) + 1).cast("int"))
-    mode = proposals.measurement_mode(said, key % 5 != 0, key % 7 == 0)
-    return f.table("orders").groupBy(mode.alias("mode")).agg(F.count("*").alias("n"))
-
-
-@query
-def attribute_query_mode(f):
-    key = F.col("o_orderkey")
-    said = F.element_at(F.array(*map(F.lit, ATTRIBUTE_PHRASES)), (key % len(ATTRIBUTE_PHRASES) + 1).cast("int"))
-    mode = proposals.attribute_mode(said, F.when(key % 11 == 0, "first").otherwise("none"), key % 3 == 0, key % 5 == 0)
-    return f.table("orders").groupBy(mode.alias("mode")).agg(F.count("*").alias("n"))
-
-
-@query
-def canonical_gate(f):
-    key = F.col("o_orderkey")
-    keys, senses = sorted(proposals.GATES), ["install", "replace_physical", "facilities", "property_new"]
-    name = F.element_at(F.array(*map(F.lit, keys)), (key % len(keys) + 1).cast("int"))
-    sense = F.array(F.element_at(F.array(*map(F.lit, senses)), (key % len(senses) + 1).cast("int")))
-    return f.table("orders").groupBy(name.alias("key"), proposals.gate(name, sense).alias("why")).agg(F.count("*").alias("n"))
-
 
 def _proposal_mentions(f: KnowledgeFrames) -> DataFrame:
     n, part = F.col("l_linenumber"), F.col("l_partkey")

@@ -59,13 +59,13 @@ class KnowledgeFrames:
 
     @cached_property
     def concept(self) -> DataFrame:
-        """concept, parent: the type hierarchy; roots have a null parent."""
+        """concept, parent: the type hierarchy; roots have a null parent. Metadata, cached as every level of a walk reads it."""
         fixed = [("entity.party", None), ("entity.customer", "entity.party"), ("entity.supplier", "entity.party"), ("entity.place", None), ("entity.nation", "entity.place"), ("entity.region", "entity.place"), ("entity.product", None), ("event.any", None), ("event.order", "event.any")]
         rows = self.spark.createDataFrame(fixed, "concept string, parent string")
         types = self.table("part").select(F.concat(F.lit("entity.part."), F.lower("p_type")).alias("concept"), F.lit("entity.product").alias("parent")).distinct()
         priorities = self.table("orders").select(F.concat(F.lit("event.order."), F.lower("o_orderpriority")).alias("concept"), F.lit("event.order").alias("parent")).distinct()
         kinds = self.table("events").select(F.concat(F.lit("event."), F.col("event_type")).alias("concept"), F.lit("event.any").alias("parent")).distinct()
-        return rows.unionByName(types).unionByName(priorities).unionByName(kinds)
+        return rows.unionByName(types).unionByName(priorities).unionByName(kinds).coalesce(1).cache()
 
     @cached_property
     def event(self) -> DataFrame:

@@ -1,5 +1,5 @@
 """The SQL of all queries."""
 
-from veritempo import oracle, oracle_users
+from veritempo import oracle, oracle_rules, oracle_users
 
-ORACLE_SQL: dict[str, str] = oracle.ORACLE_SQL | oracle_users.SQL
+ORACLE_SQL: dict[str, str] = oracle.ORACLE_SQL | oracle_users.SQL | oracle_rules.SQL
