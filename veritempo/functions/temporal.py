@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MATCH, NO_MATCH, UNKNOWN = "match", "no_match", "unknown"
@@ -251,3 +251,74 @@ def time_conflict(candidates: list[Column], instant: Column, resolved: Column, w
         .when(instant.isNotNull() & resolved.isNotNull() & (local != resolved), "instant_outside_date")
         .when(weekday.isNotNull() & resolved.isNotNull() & (F.weekday(resolved) != weekday), "weekday_mismatch")
     )
+
+
+#: Statuses that look back and those that look ahead.
+PAST_STATUSES, FUTURE_STATUSES = ("completed", "cancelled"), ("scheduled", "pending")
+
+
+def with_stated_time(rows: DataFrame, s: dict[str, Column], reference: Column, zone: Column, status: Column) -> DataFrame:
+    """The rows with temporal, rule and error of a time as it was stated: what it resolves to, by which rule, or why not.
+
+    s: relative_day, weekday, weekday_policy, date, instant, time_of_day (HH:mm), monthday (of a monthly recurrence),
+    period_start, period_end, month, year, relation (before, after, ongoing), unknown_reason, text. Parts that disagree
+    are an error, as is a relative part without a reference. Without any calendar part, a relation, an admitted gap, a
+    year or month, or the status of the event still gives a partial time. Each step is a column of its own, used by the
+    later ones, so that the plan stays small.
+    """
+    kept = rows.columns
+    rows = rows.withColumns({f"__{k}": c for k, c in s.items()} | {"__ref": reference, "__zone": zone, "__status": status})
+    c = {k: F.col(f"__{k}") for k in (*s, "ref", "zone", "status", "today", "asked", "policy", "from_day", "from_weekday", "absolute", "day", "at", "calendar", "said", "year_said")}
+    rows = rows.withColumn("__today", F.to_date(F.from_utc_timestamp(c["ref"], c["zone"])))
+    relative = F.when(c["relative_day"] == "today", c["today"]).when(c["relative_day"] == "yesterday", F.date_sub(c["today"], 1)).when(c["relative_day"] == "tomorrow", F.date_add(c["today"], 1))
+    rows = rows.withColumns({"__from_day": relative, "__asked": F.coalesce(c["weekday_policy"], F.when(c["status"].isNotNull(), "from_status"))})
+    rows = rows.withColumn("__policy", F.when(c["asked"] != "from_status", c["asked"]).when(c["status"].isin(*FUTURE_STATUSES), "next").when(c["status"].isin(*PAST_STATUSES), "previous"))
+    shifted = F.coalesce(*[F.when(c["policy"] == p, weekday_shift(c["today"], c["weekday"], p)) for p in ("next", "previous", "next_strict", "previous_strict")])
+    rows = rows.withColumns({"__from_weekday": F.when(c["weekday"].isNotNull(), shifted), "__absolute": F.coalesce(c["date"], F.when(c["from_day"].isNull(), F.to_date(F.from_utc_timestamp(c["instant"], c["zone"]))))})
+    rows = rows.withColumn("__day", F.coalesce(c["from_day"], c["from_weekday"], c["absolute"]))
+    rows = rows.withColumn("__at", F.coalesce(c["instant"], F.when(c["day"].isNotNull() & c["time_of_day"].isNotNull(), F.to_utc_timestamp(F.concat_ws(" ", c["day"].cast("string"), c["time_of_day"]).cast("timestamp"), c["zone"]))))
+    recurs, spans = c["monthday"].isNotNull(), c["period_start"].isNotNull() & c["period_end"].isNotNull()
+    rows = rows.withColumns({
+        "__calendar": c["day"].isNotNull() | c["at"].isNotNull() | recurs | spans,
+        "__said": F.coalesce(c["relation"], F.when(c["unknown_reason"].isNotNull(), "before")),
+        "__year_said": F.coalesce(c["year"], F.year(c["today"])),
+    })
+    error = (
+        F.when((c["relative_day"].isNotNull() | c["weekday"].isNotNull()) & c["ref"].isNull(), "reference_missing")
+        .when((c["weekday"] < 0) | (c["weekday"] > 6), "weekday_impossible")
+        .when(c["weekday"].isNotNull() & c["policy"].isNull(), "policy_missing")
+        .when(c["time_of_day"].isNotNull() & c["day"].isNull() & ~recurs, "day_missing")
+        .when(c["period_start"].isNotNull() != c["period_end"].isNotNull(), "period_open")
+        .when(c["period_end"] < c["period_start"], "period_reversed")
+        .otherwise(time_conflict([c["from_day"], c["from_weekday"], c["absolute"]], c["at"], c["day"], c["weekday"], c["zone"]))
+    )
+    minute = c["at"].isNotNull()
+    precise = F.when(recurs & c["day"].isNull(), "recurring").when(spans, "period").when(minute, "minute").otherwise("day")
+    resolved = temporal(
+        kind=F.lit("exact"), original_text=c["text"], granularity=F.when(minute, "instant").when(c["day"].isNotNull(), "day"), precision=precise, instant=c["at"], date=F.coalesce(c["day"], F.to_date(F.from_utc_timestamp(c["at"], c["zone"]))),
+        timezone=c["zone"], period_start=c["period_start"], period_end=c["period_end"], recurring=recurs,
+    )
+    partial = F.coalesce(
+        F.when(c["said"].isNotNull(), partial_time_of(c["said"], c["text"])),
+        F.when(c["month"].isNull() & c["year"].isNotNull(), in_year(c["year"])),
+        F.when(c["month"].isNotNull() & c["year_said"].isNotNull(), in_month(c["year_said"], c["month"])),
+        F.when(c["month"].isNotNull() | c["status"].isin(*PAST_STATUSES), partial_time_of(F.lit("before"), c["text"])),
+    )
+    rule = (
+        F.when(~c["calendar"], F.when(c["said"].isNotNull(), "partial.relation").when(c["month"].isNotNull(), "partial.month").when(c["year"].isNotNull(), "partial.year").otherwise("partial.status"))
+        .when(c["relative_day"].isNotNull(), F.concat(F.lit("relative."), c["relative_day"]))
+        .when(c["weekday"].isNotNull(), F.concat(F.lit("weekday."), c["asked"]))
+        .when(recurs & c["date"].isNull() & c["instant"].isNull(), "recurrence.monthly_by_monthday")
+        .when(spans, "period.explicit")
+        .when(minute, "absolute.datetime")
+        .otherwise("absolute.date")
+    )
+    rows = rows.withColumn("temporal", F.when(c["calendar"], resolved).otherwise(partial))
+    rows = rows.withColumn("error", F.coalesce(error, F.when(F.col("temporal").isNull(), "insufficient")))
+    ok = F.col("error").isNull()
+    return rows.select(*kept, F.when(ok, F.col("temporal")).alias("temporal"), F.when(ok, rule).alias("rule"), "error")
+
+
+def partial_time_of(relation: Column, text: Column) -> Column:
+    """As `partial_time`, with a relation that differs from row to row."""
+    return temporal(kind=F.lit("partial"), granularity=relation, original_text=text)

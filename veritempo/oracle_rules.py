@@ -94,15 +94,18 @@ told AS (SELECT *, {_fold("reply")} AS low, CASE WHEN k % 3 = 0 THEN k % 2 = 0 E
         WHEN k % 7 = 0 THEN [c_name] WHEN k % 5 = 0 THEN [c_mktsegment] ELSE [] END AS required,
     {_extra("reply", "c_mktsegment || ' ' || status || ' yes ' || c_name")} AS with_yes, {_extra("reply", "c_mktsegment || ' ' || status || ' ' || c_name")} AS extra FROM shown)"""
 
+#: guarded: the rows of t(t, prior, ..) with the guard's outcome and reason in x.
+GUARDED = f"""
+    f AS (SELECT *, {_any("t", I.CORRECTION_STRONG)} AS meta, {_any("t", I.CORRECTION_REPLACES)} AS repl, {_any("t", I.CORRECTION_MISREAD)} AS mis, {_any("t", I.CORRECTION_WEAK)} AS weak FROM t),
+    guarded AS (SELECT *, CASE WHEN t LIKE '%?' OR (regexp_matches(t, {_text(I.REPORTED_QUESTION)}) AND contains(t, '?')) THEN 'reject query_form'
+        WHEN NOT (meta OR repl OR (mis AND prior)) AND {_any("t", I.TERMINATION_CUES)} THEN 'reject termination_cue' WHEN NOT (meta OR repl OR (mis AND prior)) AND {_any("t", I.REPETITION_CUES)} THEN 'reject repetition_cue'
+        WHEN NOT (meta OR repl OR (mis AND prior)) AND NOT weak AND {_any("t", I.EVOLUTION_CUES)} THEN 'reject evolution_cue' WHEN NOT (meta OR repl OR (mis AND prior)) AND {_any("t", I.OBSERVATION_CUES)} THEN 'reject new_observation_cue'
+        WHEN meta OR repl OR (mis AND prior) THEN 'accept supported' WHEN mis THEN 'clarify context_required' WHEN prior AND {_any("t", I.CORRECTION_SHORT)} THEN 'accept supported'
+        WHEN weak AND prior AND regexp_matches(t, {_text(I.PRONOUNS)}) THEN 'clarify target_ambiguous' WHEN weak AND prior THEN 'accept supported' ELSE 'reject signal_insufficient' END AS x FROM f)"""
+
 SQL: dict[str, str] = {
-    "correction_guard": f"""WITH {_ORDERS}, t AS (SELECT {_fold(_said(GUARD_PARTS))} AS t, o_custkey % 2 = 0 AS prior FROM n),
-        f AS (SELECT *, {_any("t", I.CORRECTION_STRONG)} AS meta, {_any("t", I.CORRECTION_REPLACES)} AS repl, {_any("t", I.CORRECTION_MISREAD)} AS mis, {_any("t", I.CORRECTION_WEAK)} AS weak FROM t),
-        r AS (SELECT CASE WHEN t LIKE '%?' OR (regexp_matches(t, {_text(I.REPORTED_QUESTION)}) AND contains(t, '?')) THEN 'reject query_form'
-            WHEN NOT (meta OR repl OR (mis AND prior)) AND {_any("t", I.TERMINATION_CUES)} THEN 'reject termination_cue' WHEN NOT (meta OR repl OR (mis AND prior)) AND {_any("t", I.REPETITION_CUES)} THEN 'reject repetition_cue'
-            WHEN NOT (meta OR repl OR (mis AND prior)) AND NOT weak AND {_any("t", I.EVOLUTION_CUES)} THEN 'reject evolution_cue' WHEN NOT (meta OR repl OR (mis AND prior)) AND {_any("t", I.OBSERVATION_CUES)} THEN 'reject new_observation_cue'
-            WHEN meta OR repl OR (mis AND prior) THEN 'accept supported' WHEN mis THEN 'clarify context_required' WHEN prior AND {_any("t", I.CORRECTION_SHORT)} THEN 'accept supported'
-            WHEN weak AND prior AND regexp_matches(t, {_text(I.PRONOUNS)}) THEN 'clarify target_ambiguous' WHEN weak AND prior THEN 'accept supported' ELSE 'reject signal_insufficient' END AS x FROM f)
-        SELECT split_part(x, ' ', 1) AS outcome, split_part(x, ' ', 2) AS reason, count(*) AS n FROM r GROUP BY ALL""",
+    "correction_guard": f"""WITH {_ORDERS}, t AS (SELECT {_fold(_said(GUARD_PARTS))} AS t, o_custkey % 2 = 0 AS prior FROM n),{GUARDED}
+        SELECT split_part(x, ' ', 1) AS outcome, split_part(x, ' ', 2) AS reason, count(*) AS n FROM guarded GROUP BY ALL""",
     "sense_recognition": f"WITH {_ORDERS},{_SENSED} SELECT sense, count(*) AS n FROM (SELECT unnest(senses) AS sense FROM sensed) GROUP BY 1",
     "canonical_gate": f"""WITH {_ORDERS},{_SENSED}, g AS (SELECT {_pick(sorted(P.GATES))} AS key, senses FROM sensed)
         SELECT key, CASE {" ".join(f"WHEN key = '{key}' AND list_has_any(senses, {_list(forbidden)}) THEN 'forbidden_sense'" + (f" WHEN key = '{key}' AND NOT list_contains(senses, '{needed}') THEN 'missing_sense'" if needed else "") for key, (forbidden, needed) in P.GATES.items())} END AS why, count(*) AS n FROM g GROUP BY ALL""",
