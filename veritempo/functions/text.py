@@ -121,8 +121,26 @@ def encode_value(raw: Column) -> Column:
     return F.struct(kind.alias("kind"), value.alias("value"))
 
 
+def objects_in(text: Column) -> Column:
+    """How many braced objects stand side by side in a text, by a scan that knows nesting and quoted strings."""
+
+    def step(state: Column, c: Column) -> Column:
+        quoted, escaped, depth = state["quoted"], state["escaped"], state["depth"]
+        turns = (c == '"') & ~escaped
+        outer = ~quoted & (c == "{") & (depth == 0)
+        return F.struct(
+            F.when(quoted, depth).when(c == "{", depth + 1).when(c == "}", F.greatest(depth - 1, F.lit(0))).otherwise(depth).alias("depth"),
+            F.when(turns, ~quoted).otherwise(quoted).alias("quoted"),
+            (quoted & ~escaped & (c == "\\")).alias("escaped"),
+            (state["n"] + F.when(outer, 1).otherwise(0)).alias("n"),
+        )
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(0).alias("n"))
+    return F.aggregate(F.split(text, ""), start, step, lambda state: state["n"])
+
+
 def json_object_of(text: Column) -> Column:
-    """The object in a reply: code fences off, from the first brace to the last; null if that is no JSON object."""
+    """The one object in a reply: code fences off, from the first brace to the last; null if that is no JSON object."""
     bare = F.regexp_replace(text, r"(?s)^\s*```[a-zA-Z]*\s*|\s*```\s*$", "")
     body = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
-    return F.when(F.get_json_object(body, "$").isNotNull() & (body != ""), body)
+    return F.when((body != "") & F.get_json_object(body, "$").isNotNull() & (objects_in(body) == 1), body)
