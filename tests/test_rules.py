@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from veritempo.functions import text as X
-from veritempo.operators import ingest, interpret, ledger, linkage, relations
+from veritempo.operators import events, ingest, interpret, ledger, linkage, relations
 
 
 def guard(spark, text, prior=False):
@@ -15,6 +15,8 @@ def test_correction_guard(spark):
     assert guard(spark, "li errado") == ("clarify", "context_required")
     assert guard(spark, "li errado", True) == ("accept", "supported")
     assert guard(spark, "Eu disse que sim?") == ("reject", "query_form")
+    assert guard(spark, "Eu disse que sim? Não.") == ("reject", "query_form")
+    assert guard(spark, "não foi em 2024", True) == ("reject", "signal_insufficient")
     assert guard(spark, "na verdade ela foi", True) == ("clarify", "target_ambiguous")
 
 
@@ -36,9 +38,43 @@ def test_supersession_and_history(spark):
 
 def test_relation_life(spark):
     rows = [(1, "a", "assert"), (2, "a", "assert"), (3, "a", "terminate"), (4, "a", "assert"), (5, "a", "historical")]
+    rows += [(1, "b", "historical"), (2, "b", "assert"), (3, "b", "deny"), (4, "b", "terminate"), (1, "c", "terminate"), (2, "c", "deny"), (1, "d", "assert"), (2, "d", "deny"), (3, "d", "historical"), (4, "d", "terminate"), (5, "d", "terminate")]
     df = spark.createDataFrame([(i, k, m, f"2024-01-0{i} 00:00:00") for i, k, m in rows], "command_id long, k string, mode string, at string").withColumn("at", F.col("at").cast("timestamp"))
-    out = sorted((r.valid_from.day, r.is_current, r.observed_at.day) for r in ingest.relation_life(df, ["k"]).collect())
-    assert out == [(1, False, 2), (4, True, 4), (5, False, 5)]
+    day = lambda x: x and x.day
+    out = {(r.k, r.valid_from.day, r.observed_at.day, day(r.valid_to), r.is_current, r.closed_by) for r in ingest.relation_life(df, ["k"]).collect()}
+    assert {x[1:] for x in out if x[0] == "a"} == {(1, 2, 3, False, "terminate"), (4, 4, None, True, None), (5, 5, None, False, "historical")}
+    # a denied instance has no end of its own; with none open, the newest one is ended, and a triple without any has none
+    assert {x[1:] for x in out if x[0] == "b"} == {(1, 1, None, False, "historical"), (2, 2, 4, False, "terminate")}
+    assert {x[1:] for x in out if x[0] == "d"} == {(1, 1, None, False, "deny"), (3, 3, 5, False, "terminate")}
+    assert not {x for x in out if x[0] == "c"}
+
+
+def test_corrections_are_by_user(spark):
+    rows = spark.createDataFrame([(1, 7), (2, 7), (2, 8)], "user_id long, fact_id long")
+    ledger_rows = spark.createDataFrame([(1, "fact", 7, "retract", None), (1, "fact", 8, "retract", None)], "user_id long, kind string, target_id long, action string, replacement_id long")
+    assert {tuple(r) for r in ledger.effective(rows, "fact_id", "fact", ledger_rows).select("user_id", "fact_id").collect()} == {(2, 7), (2, 8)}
+    ids = spark.createDataFrame([(1, "fact", 7), (2, "fact", 8)], "user_id long, kind string, id long")
+    assert {(r.target_id, r.reason) for r in ledger.correction_errors(ledger_rows, ids).collect()} == {(8, "target_missing")}
+
+
+def test_closure_of_cycles_and_chains(spark):
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(40)] + [("a", "b"), ("b", "a"), ("r", None)]
+    got = {(r.concept, r.ancestor): r.depth for r in events.closure(spark.createDataFrame(chain, "concept string, parent string")).collect()}
+    assert got["a", "b"] == 1 and got["a", "a"] == 0 and got["r", "r"] == 0
+    assert got["c0", f"c{events.DEEPEST}"] == events.DEEPEST and ("c0", f"c{events.DEEPEST + 1}") not in got
+
+
+def test_objects_in_replies(spark):
+    texts = ['{"a": {"b": 1}}', '{"a": "}{"} {"b": 2}', "none", "", '{"a": "\\"{"}', '{"a": 1']
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").select("i", X.objects_in(F.col("t")).alias("n"), X.json_object_of(F.col("t")).alias("j")).collect()
+    assert {r.i: r.n for r in rows} == {0: 1, 1: 2, 2: 0, 3: 0, 4: 1, 5: 1}
+    assert {r.i for r in rows if r.j is not None} == {0, 4}
+
+
+def test_social_openings(spark):
+    cases = {"Oi": ("greeting", ""), "Bom dia, James! Qual a cor?": ("greeting", "qual a cor"), "ok, obrigada": ("thanks", ""), "o rato": ("none", "o rato"), "Ele me deu bom dia": ("none", "ele me deu bom dia"), "tudo certo a casa caiu ontem": ("none", "tudo certo a casa caiu ontem"), "": ("none", "")}
+    rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", interpret.social(F.col("t")).alias("s")).collect()
+    assert {r.t: (r.s.intent, r.s.task) for r in rows} == cases
 
 
 def test_walk_and_inverse(spark):

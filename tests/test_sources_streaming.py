@@ -1,9 +1,10 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from veritempo.plans.spec import QueryError, QuerySpec, execute, explain
+from veritempo.plans.spec import IsolationError, QueryError, QuerySpec, execute, explain
 from veritempo.sources import migrations
 from veritempo.sources.frames import KnowledgeFrames
 from veritempo.streaming import ingest as streaming
@@ -16,7 +17,22 @@ def test_migrations(spark):
     for version, steps, target in ((9, [], 7), (6, [], 7), (6, [(6, 6, dict)], 7)):
         with pytest.raises(migrations.MigrationError):
             migrations.upgrade(frames, version, steps, target)
-    assert migrations.missing_columns(frames["event"], "event") == ["type_key", "status", "temporal", "created_at"]
+    assert migrations.schema_faults(frames["event"].withColumn("status", F.lit(1)), "event") == ["user_id", "type_key", "status: int", "temporal", "created_at"]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables here")
+def test_frames_have_their_schemas(spark):
+    frames = KnowledgeFrames(spark, "/root/testdata/sf0.001", users=2)
+    for name in migrations.REQUIRED:
+        assert migrations.schema_faults(getattr(frames, name), name) == []
+        assert migrations.schema_faults(migrations.empty_frame(spark, name), name) == []
+
+
+def test_request_log_appends(spark, tmp_path):
+    rows = spark.createDataFrame([("r1", "read", "2024-01-01 10:00:00", "x"), ("r1", "answer", "2024-01-02 10:00:00", "y")], "request_id string, stage string, at string, body string").withColumn("at", F.col("at").cast("timestamp"))
+    for _ in range(2):
+        migrations.append_log(rows, str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log")).groupBy("day").count().orderBy("day").collect()[0]["count"] == 2
 
 
 def test_trained_catalog(spark, tmp_path):
@@ -30,7 +46,19 @@ def test_spec_errors(spark):
     frames = KnowledgeFrames(spark, "/nowhere")
     with pytest.raises(QueryError):
         execute(QuerySpec(primitive="attribute"), frames)
-    assert explain(QuerySpec(statuses=["completed"])) == {"primitive": "event", "mode": "list", "statuses": ["completed"], "current_facts": True}
+    for spec in (QuerySpec(primitive="dream"), QuerySpec(primitive="relation", relation_key="owns", mode="held_during"), QuerySpec(primitive="attribute", dimension="size", mode="proposition"), QuerySpec(entity_ids=["c:1"]), QuerySpec(primitive="measurement", dimension="x", mode="at_time")):
+        with pytest.raises(QueryError):
+            execute(spec, frames)
+    assert explain(QuerySpec(statuses=["completed"])) == {"primitive": "event", "mode": "list", "statuses": ["completed"], "current_facts": True, "effective_only": True}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables here")
+def test_nobody_asks_for_what_another_user_has(spark):
+    frames = KnowledgeFrames(spark, "/root/testdata/sf0.001", users=2)
+    for spec in (QuerySpec(entity_ids=["c:3"], association="actor", user_id=2), QuerySpec(event_ids=[1], user_id=2)):
+        with pytest.raises(IsolationError):
+            execute(spec, frames)
+    assert execute(QuerySpec(entity_ids=["c:2"], association="actor", user_id=2), frames).where("event_id % 2 != 0").count() == 0
 
 
 def test_streaming(spark, tmp_path):
@@ -47,3 +75,27 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r.request_id for r in spark.read.parquet(str(tmp_path / "out/v=0")).collect()] == ["r2"]
+
+
+def test_upserts_keep_their_state(spark, tmp_path):
+    write = streaming.upsert_current(str(tmp_path / "up"), ["k"], "at")
+    batch = lambda *rows: spark.createDataFrame(list(rows), "k long, at long, v string")
+    write(batch((1, 5, "a"), (2, 5, "b")), 0)
+    write(batch((1, 4, "late"), (2, 9, "c"), (3, 1, "d"), (3, 1, "e")), 1)
+    rows = {r.k: r.v for r in spark.read.parquet(str(tmp_path / "up/v=1")).collect()}
+    assert rows.pop(3) in "de" and rows == {1: "a", 2: "c"}
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        write(batch((1, 5, "a")), 7)
+
+
+def test_conversation_focus(spark, tmp_path):
+    turns = lambda *rows: spark.createDataFrame(list(rows), "conv_id long, turn long, role string")
+    folder = str(tmp_path / "turns")
+    turns((1, 0, "user"), (1, 1, "assistant"), (2, 0, "user")).coalesce(1).write.parquet(folder)
+    source = spark.readStream.schema("conv_id long, turn long, role string").parquet(folder)
+    q = streaming.conversation_focus(source).writeStream.format("memory").queryName("focus").outputMode("update").option("checkpointLocation", str(tmp_path / "check")).start()
+    q.processAllAvailable()
+    turns((1, 2, "user")).coalesce(1).write.mode("append").parquet(folder)
+    q.processAllAvailable()
+    q.stop()
+    assert {(r.conv_id, r.turns, r.last_role) for r in spark.table("focus").collect()} == {(1, 2, "assistant"), (2, 1, "user"), (1, 3, "user")}

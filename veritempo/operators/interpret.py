@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -112,6 +113,11 @@ COMMON_WORDS = [
 INVENTED_WORDS = ["siamesa", "siames", "anos", "years", "year"]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body of a value that is worked out once, however often the body names it; keeps long rules small."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def any_of(text: Column, patterns: list[str]) -> Column:
     return text.rlike("|".join(f"(?:{p})" for p in patterns))
 
@@ -122,7 +128,10 @@ def holds_any(text: Column, parts: list[str]) -> Column:
 
 def correction_guard(text: Column, has_prior: Column) -> Column:
     """struct(outcome, reason) of an utterance proposed as a correction, by ordered rules."""
-    low = fold(F.coalesce(text, F.lit("")))
+    return let(fold(F.coalesce(text, F.lit(""))), lambda low: _guarded(low, has_prior))
+
+
+def _guarded(low: Column, has_prior: Column) -> Column:
     meta, replaces, misread, weak = (any_of(low, p) for p in (CORRECTION_STRONG, CORRECTION_REPLACES, CORRECTION_MISREAD, CORRECTION_WEAK))
     strong = meta | replaces | (misread & has_prior)
     asks = low.endswith("?") | (low.rlike(REPORTED_QUESTION) & low.contains("?"))
@@ -240,25 +249,32 @@ def social(text: Column) -> Column:
     Talk about greetings is no greeting. A rest that is cordial too, or none, leaves no task; a rest of four words or
     more without a cue of a task is a statement, and the whole message stays.
     """
-    low = F.regexp_replace(F.trim(F.regexp_replace(fold(F.coalesce(text, F.lit(""))), r"\s+", " ")), r"[!?.…]+$", "")
-    veto = any_of(low, NOT_SOCIAL) | reduce(lambda acc, x: acc | (low.rlike(x[0]) & low.rlike(x[1])), NOT_SOCIAL_PAIRS, F.lit(False))
 
     def bare(c: Column) -> Column:
         return F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), r"[!?.…]+$", ""), r"[,\s]+james\.?$", ""))
 
     def exact(c: Column) -> Column:
-        return F.coalesce(*[F.when(bare(c).isin(words), intent) for intent, words in SOCIAL_EXACT.items()])
-
-    opening = F.coalesce(*[F.when(low.rlike(pattern), intent) for intent, pattern in SOCIAL])
-    rest = F.coalesce(*[F.when(low.rlike(pattern), F.regexp_replace(low, pattern, "")) for _, pattern in SOCIAL])
-    rest = F.trim(F.regexp_replace(rest, r"^[,.;:\-\s]+", ""))
-    also = exact(rest)
-    said = F.when((opening == "acknowledgement") & (rest == "") & low.rlike(r"\b(obrigad[oa]|valeu|agradeco)\b"), "thanks").when(also == "thanks", "thanks").otherwise(opening)
-    statement = (rest != "") & also.isNull() & ~any_of(rest, TASK_CUES) & (F.size(F.split(rest, r"\s+")) >= 4)
-    none = F.struct(F.lit("none").alias("intent"), low.alias("task"))
-    found = F.struct(said.alias("intent"), F.when(also.isNotNull(), "").otherwise(rest).alias("task"))
-    whole = F.struct(exact(low).alias("intent"), F.lit("").alias("task"))
-    return F.when((low == "") | veto, none).when(opening.isNotNull() & ~statement, found).when(opening.isNull() & exact(low).isNotNull(), whole).otherwise(none)
+        return F.coalesce(*[F.when(c.isin(words), intent) for intent, words in SOCIAL_EXACT.items()])
+
+    def opened(low: Column) -> Column:
+        rest = F.coalesce(*[F.when(low.rlike(pattern), F.regexp_replace(low, pattern, "")) for _, pattern in SOCIAL])
+        opening = F.coalesce(*[F.when(low.rlike(pattern), intent) for intent, pattern in SOCIAL])
+        veto = any_of(low, NOT_SOCIAL) | reduce(lambda acc, x: acc | (low.rlike(x[0]) & low.rlike(x[1])), NOT_SOCIAL_PAIRS, F.lit(False))
+        return F.struct(low.alias("low"), opening.alias("opening"), F.trim(F.regexp_replace(rest, r"^[,.;:\-\s]+", "")).alias("rest"), veto.alias("veto"))
+
+    def judged(o: Column) -> Column:
+        low, opening, rest = o["low"], o["opening"], o["rest"]
+        also, alone = let(bare(rest), exact), let(bare(low), exact)
+        said = F.when((opening == "acknowledgement") & (rest == "") & low.rlike(r"\b(obrigad[oa]|valeu|agradeco)\b"), "thanks").when(also == "thanks", "thanks").otherwise(opening)
+        statement = (rest != "") & also.isNull() & ~any_of(rest, TASK_CUES) & (F.size(F.split(rest, r"\s+")) >= 4)
+        none = F.struct(F.lit("none").alias("intent"), low.alias("task"))
+        task = F.regexp_replace(rest, r"^[,.;:!?\-\s]+|[,.;:!?\-\s]+$", "")
+        found = F.struct(said.alias("intent"), F.when(also.isNotNull(), "").otherwise(task).alias("task"))
+        whole = F.struct(alone.alias("intent"), F.lit("").alias("task"))
+        return F.when((low == "") | o["veto"], none).when(opening.isNotNull() & ~statement, found).when(opening.isNull() & alone.isNotNull(), whole).otherwise(none)
+
+    plain = F.regexp_replace(F.trim(F.regexp_replace(fold(F.coalesce(text, F.lit(""))), r"\s+", " ")), r"[!?.…]+$", "")
+    return let(let(plain, opened), judged)
 
 
 def words_of(text: Column) -> Column:

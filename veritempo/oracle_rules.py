@@ -117,7 +117,7 @@ SQL: dict[str, str] = {
         e AS (SELECT *, CASE {" ".join(f"WHEN {_one_of('bare_low', w)} THEN '{i}'" for i, w in I.SOCIAL_EXACT.items())} END AS exact, CASE {" ".join(f"WHEN {_one_of('bare_rest', w)} THEN '{i}'" for i, w in I.SOCIAL_EXACT.items())} END AS also FROM b),
         s AS (SELECT *, rest != '' AND also IS NULL AND NOT {_any("rest", I.TASK_CUES)} AND len(regexp_split_to_array(rest, '\\s+')) >= 4 AS statement FROM e),
         r AS (SELECT CASE WHEN low = '' OR veto THEN ['none', low] WHEN opening IS NOT NULL AND NOT statement THEN [CASE WHEN opening = 'acknowledgement' AND rest = '' AND regexp_matches(low, '\\b(obrigad[oa]|valeu|agradeco)\\b') THEN 'thanks'
-                WHEN also = 'thanks' THEN 'thanks' ELSE opening END, CASE WHEN also IS NOT NULL THEN '' ELSE rest END] WHEN opening IS NULL AND exact IS NOT NULL THEN [exact, ''] ELSE ['none', low] END AS r FROM s)
+                WHEN also = 'thanks' THEN 'thanks' ELSE opening END, CASE WHEN also IS NOT NULL THEN '' ELSE regexp_replace(rest, '^[,.;:!?\\-\\s]+|[,.;:!?\\-\\s]+$', '', 'g') END] WHEN opening IS NULL AND exact IS NOT NULL THEN [exact, ''] ELSE ['none', low] END AS r FROM s)
         SELECT r[1] AS intent, r[2] AS task, count(*) AS n FROM r GROUP BY ALL""",
     "groundedness_check": f"""WITH pairs AS (SELECT r.conv_id, r.turn, r.text AS reply, q.text AS question FROM conversations r JOIN conversations q ON q.conv_id = r.conv_id AND q.turn + 1 = r.turn AND r.role = 'assistant' AND q.role = 'user')
         SELECT conv_id, turn, len(trim(reply)) > {I.LONGEST_REPLY} AS too_long, len(list_distinct({_extra("reply", "question")}))::INT AS n_unattested FROM pairs""",

@@ -7,14 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Columns that every stored frame must have.
+from veritempo.functions.temporal import TEMPORAL
+
+#: Columns that every stored frame must have, with their types; temporal columns have the struct of `temporal`.
 REQUIRED = {
-    "event": ["event_id", "type_key", "status", "temporal", "created_at"],
-    "fact": ["fact_id", "about_id", "concept", "amount", "currency", "supersedes_id"],
-    "relation": ["relation_id", "from_id", "to_id", "key", "is_current"],
-    "state": ["state_id", "entity_id", "dimension", "value", "is_current"],
-    "measurement": ["measurement_id", "user_id", "dimension", "value", "unit", "observed_at"],
-    "correction": ["kind", "target_id", "action", "replacement_id"],
+    "entity": {"user_id": "bigint", "entity_id": "string", "type_key": "string", "name": "string"},
+    "event": {"user_id": "bigint", "event_id": "bigint", "type_key": "string", "status": "string", "temporal": TEMPORAL, "created_at": "timestamp"},
+    "participant": {"user_id": "bigint", "event_id": "bigint", "entity_id": "string", "role": "string"},
+    "fact": {"user_id": "bigint", "fact_id": "bigint", "about_id": "bigint", "concept": "string", "amount": "decimal(18,2)", "currency": "string", "supersedes_id": "bigint"},
+    "relation": {"user_id": "bigint", "relation_id": "string", "from_id": "string", "to_id": "string", "key": "string", "is_current": "boolean", "temporal": TEMPORAL},
+    "state": {"user_id": "bigint", "state_id": "bigint", "entity_id": "string", "dimension": "string", "value": "string", "is_current": "boolean"},
+    "attribute": {"user_id": "bigint", "attribute_id": "bigint", "entity_id": "string", "dimension": "string", "is_current": "boolean", "temporal": TEMPORAL},
+    "measurement": {"user_id": "bigint", "measurement_id": "bigint", "dimension": "string", "value": "decimal(18,2)", "unit": "string", "observed_at": "timestamp"},
+    "correction": {"user_id": "bigint", "kind": "string", "target_id": "bigint", "action": "string", "replacement_id": "bigint"},
 }
 
 
@@ -22,8 +27,20 @@ class MigrationError(ValueError):
     """A version that is newer than known, unknown, or not advanced by its step."""
 
 
-def missing_columns(frame: DataFrame, name: str) -> list[str]:
-    return [c for c in REQUIRED[name] if c not in frame.columns]
+def schema_faults(frame: DataFrame, name: str) -> list[str]:
+    """Columns that a stored frame lacks, or has with another type."""
+    types = dict(frame.dtypes)
+    return [c if c not in types else f"{c}: {types[c]}" for c, kind in REQUIRED[name].items() if types.get(c) != kind]
+
+
+def empty_frame(spark, name: str) -> DataFrame:
+    """A stored frame without rows, to start a store with."""
+    return spark.createDataFrame([], ", ".join(f"{c} {kind}" for c, kind in REQUIRED[name].items()))
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Append stages of requests (request_id, stage, at, body) to a log of JSON lines, laid out by day."""
+    rows.withColumn("day", F.to_date("at")).write.mode("append").partitionBy("day").json(path)
 
 
 def upgrade(frames: dict[str, DataFrame], version: int, steps: list[tuple[int, int, Callable[[dict[str, DataFrame]], dict[str, DataFrame]]]], target: int) -> tuple[dict[str, DataFrame], list[int]]:
