@@ -121,3 +121,18 @@ def test_depth_and_source_of_repeated_lines(spark):
                     expected[d, n] = (depth, *place)
         depth *= 2
     assert found == expected and max(d for d, *_ in expected.values()) >= 24
+
+
+def test_parity_bitmaps_never_rule_out_similar_sets():
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        a = rng.integers(0, 1 << 60, rng.integers(1, 400)).astype(np.uint64)
+        kept = a[rng.random(len(a)) < rng.uniform(0.6, 1)]
+        b = np.concatenate([kept, rng.integers(0, 1 << 60, rng.integers(0, 40)).astype(np.uint64)])
+        a, b = np.unique(a), np.unique(b)
+        bits = minhash.parity_bitmaps(np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)]), 2)
+        apart = int(np.bitwise_count((bits[0] ^ bits[1]).view(np.uint64)).sum())
+        common = len(np.intersect1d(a, b))
+        assert apart <= len(a) + len(b) - 2 * common
+        if len(b) and common / (len(a) + len(b) - common) >= 0.8:
+            assert apart <= (len(a) + len(b)) * 0.2 / 1.8 + 1e-6

@@ -13,7 +13,8 @@ Linked texts form components, and only buckets that still hold several component
 all in one turn, since a turn costs dozens of stages and a further hub only its comparisons. What is open then goes
 through an exact prefix filter (`prefix_pairs`), which misses no similar pair and keeps unlike members of a large group
 apart. Thus each candidate pair is compared, shown to be unlike, or known to be of
-one class, and classes are those of comparing all candidate pairs.
+one class, and classes are those of comparing all candidate pairs. Before texts are fetched, parity bitmaps of the shingle
+sets rule out pairs: two sets differ in at least as many shingles as their bitmaps in bits.
 
 Defined results: a null text, or one without words, is alone in its class even if repeated; texts of any length are
 taken whole; a text of fewer than five words is one shingle; rows with the same doc_id are one document for the links; a
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritempo.llm.common import checkpoint
@@ -41,6 +42,8 @@ BANDS, ROWS = 25, 5
 #: Hubs that a bucket has before the prefix filter: one, then the others together if the bucket is still open.
 ROUNDS = 3
 CHUNK_CHARS = 1_000_000
+#: Bits of a set's parity bitmap.
+PARITY_BITS = 512
 
 _DART, _PLACE, _SIDE, _REGION = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
 
@@ -95,6 +98,19 @@ def band_hashes(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return value.astype(np.int64)
 
 
+def parity_bitmaps(elements: np.ndarray, owner: np.ndarray, sets: int) -> np.ndarray:
+    """[set, word]: bit b of a set's bitmap tells whether an odd number of its elements hash to b."""
+    cells = owner * PARITY_BITS + (mix(elements) % np.uint64(PARITY_BITS)).astype(np.int64)
+    odd = (np.bincount(cells, minlength=sets * PARITY_BITS) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(sets, PARITY_BITS), axis=1).view(np.int64)
+
+
+def may_be_similar(bits: str, other: str, sizes: Column, similarity: float) -> Column:
+    """Whether two sets with these bitmaps and this sum of sizes may be similar; exact where it says no."""
+    apart = sum((F.bit_count(F.col(bits)[w].bitwiseXOR(F.col(other)[w])) for w in range(PARITY_BITS // 64)), F.lit(0))
+    return apart <= sizes * ((1 - similarity) / (1 + similarity)) + 1e-6
+
+
 def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
     begin = 0
     while begin < len(texts):
@@ -107,7 +123,7 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 
 def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, a and b (128-bit hash of the text), size (distinct shingles) and bands of every row with words."""
+    """doc_id, a and b (128-bit hash of the text), size (distinct shingles), bands and bits of every row with words."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -116,16 +132,19 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
                 elements, sizes = shingles(texts[begin:end], WORDS)
                 owner = np.repeat(np.arange(end - begin), sizes)
                 first = np.sort(np.unique(elements + mix(owner.astype(np.uint64)), return_index=True)[1])
-                elements, sizes = elements[first], np.bincount(owner[first], minlength=end - begin)
+                elements, owner = elements[first], owner[first]
+                sizes = np.bincount(owner, minlength=end - begin)
+                parity = parity_bitmaps(elements, owner, end - begin)
                 found = band_hashes(dart_signatures(elements, sizes, bands * rows), bands, rows)
                 some = np.flatnonzero(sizes > 0)
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(found[some].reshape(-1)), bands).cast(pa.list_(pa.int64()))
+                bits = pa.FixedSizeListArray.from_arrays(pa.array(parity[some].reshape(-1)), PARITY_BITS // 64).cast(pa.list_(pa.int64()))
                 head = [batch.column(i).slice(begin, end - begin).take(pa.array(some)) for i in (0, 2, 3)]
-                yield pa.RecordBatch.from_arrays([*head, pa.array(sizes[some].astype(np.int32)), lists], names=["doc_id", "a", "b", "size", "bands"])
+                yield pa.RecordBatch.from_arrays([*head, pa.array(sizes[some].astype(np.int32)), lists, bits], names=["doc_id", "a", "b", "size", "bands", "bits"])
 
     source = docs.where("text is not null and doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(batches, f"doc_id {kind}, a long, b long, size int, bands array<long>")
+    return source.mapInArrow(batches, f"doc_id {kind}, a long, b long, size int, bands array<long>, bits array<long>")
 
 
 def compared(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -169,10 +188,11 @@ def _packed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def prefix_pairs(open_docs: DataFrame, packed: DataFrame, similarity: float) -> DataFrame:
     """All pairs (x, y) across components that may be similar: an exact filter, for documents that hubs left open.
 
-    open_docs: doc_id, size, component. Each set's shingles are put in one global order, rarest first. Similar sets
+    open_docs: doc_id, size, component, bits. Each set's shingles are put in one global order, rarest first. Similar sets
     overlap so much that their first common shingle stands early in both: near enough to the front that what follows can
     still hold the overlap. Shingles that a whole group shares stand late, so its unlike members don't meet there.
-    A shingle's rows are first met as one row per component, and expanded only where that row passes.
+    A shingle's rows are first met as one row per component, and expanded only where that row passes. Pairs, and meetings
+    with a component's only row, must also pass their bitmaps, so unlike members of a large group make no rows.
     """
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,27 +205,29 @@ def prefix_pairs(open_docs: DataFrame, packed: DataFrame, similarity: float) ->
     kind = packed.schema["doc_id"].dataType.simpleString()
     tokens = packed.join(open_docs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "packed").mapInArrow(batches, f"doc_id {kind}, token long")
     known = tokens.groupBy("token").agg(F.count("*").alias("n_docs")).where("n_docs > 1")
-    shared = tokens.join(known, "token").join(open_docs, "doc_id")
+    shared = tokens.join(known, "token").join(open_docs.drop("bits"), "doc_id")
     every = Window.partitionBy("doc_id")
     place = F.col("size") - F.count("*").over(every) + F.row_number().over(every.orderBy("n_docs", "token")) - 1
     rows = shared.select("doc_id", "component", "token", "size", (F.col("size") - place).alias("left"))
     share = similarity / (1 + similarity)
     slack = 1e-6
-    rows = checkpoint(rows.where(F.col("left") >= F.col("size") * similarity - slack))
-    short = rows.where(F.col("left") >= F.col("size") * (2 * share) - slack).select("token", F.col("component").alias("c"), F.col("doc_id").alias("y"), F.col("size").alias("s"), F.col("left").alias("l"))
-    groups = short.groupBy("token", "c").agg(F.min("s").alias("least"), F.max("s").alias("most"), F.max("l").alias("l"))
+    rows = checkpoint(rows.where(F.col("left") >= F.col("size") * similarity - slack).join(open_docs.select("doc_id", "bits"), "doc_id"))
+    short = rows.where(F.col("left") >= F.col("size") * (2 * share) - slack).select("token", F.col("component").alias("c"), F.col("doc_id").alias("y"), F.col("size").alias("s"), F.col("left").alias("l"), F.col("bits").alias("own_bits"))
+    groups = short.groupBy("token", "c").agg(F.min("s").alias("least"), F.max("s").alias("most"), F.max("l").alias("l"), F.count("*").alias("n"), F.min("own_bits").alias("own_bits"))
     least = F.greatest(F.col("least"), F.col("size") * similarity)
     met = rows.join(groups, "token").where("component != c").where((F.col("least") <= F.col("size")) & (F.col("most") >= F.col("size") * similarity - slack))
-    met = met.where(F.least("left", "l") >= (F.col("size") + least) * share - slack).select("token", "c", F.col("doc_id").alias("x"), "size", "left")
+    met = met.where(F.least("left", "l") >= (F.col("size") + least) * share - slack)
+    met = met.where((F.col("n") > 1) | may_be_similar("bits", "own_bits", F.col("size") + F.col("least"), similarity)).select("token", "c", F.col("doc_id").alias("x"), "size", "left", "bits")
     both = met.join(short, ["token", "c"]).where((F.col("s") <= F.col("size")) & (F.col("s") >= F.col("size") * similarity - slack))
     both = both.where(F.least("left", "l") >= (F.col("size") + F.col("s")) * share - slack)
+    both = both.where(may_be_similar("bits", "own_bits", F.col("size") + F.col("s"), similarity))
     return both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
     """doc_id and class_id of every row."""
     every = signed(docs)
-    alone = F.min(F.struct("doc_id", "size", "bands")).alias("r")
+    alone = F.min(F.struct("doc_id", "size", "bands", "bits")).alias("r")
     texts = checkpoint(every.groupBy("a", "b").agg(alone).select("a", "b", "r.*"))
     buckets = texts.select("doc_id", "size", F.posexplode("bands").alias("band", "bucket"))
     shared = buckets.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1").drop("n")
@@ -222,7 +244,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, rounds: int
             pairs = pairs.where("component != hub_component").where(similar_size)
             pairs = pairs.select(F.least("doc_id", "hub").alias("x"), F.greatest("doc_id", "hub").alias("y")).distinct()
         else:
-            pairs = prefix_pairs(members.select("doc_id", "size", "component").distinct(), packed, similarity)
+            left_open = members.select("doc_id", "size", "component").distinct()
+            pairs = prefix_pairs(left_open.join(texts.select("doc_id", "bits"), "doc_id"), packed, similarity)
         pairs = checkpoint(pairs if seen is None else pairs.join(seen, ["x", "y"], "left_anti"))
         seen = pairs if seen is None else seen.unionByName(pairs)
         links = compared(pairs, packed, similarity)
