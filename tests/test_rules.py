@@ -72,7 +72,7 @@ def test_objects_in_replies(spark):
 
 
 def test_social_openings(spark):
-    cases = {"Oi": ("greeting", ""), "Bom dia, James! Qual a cor?": ("greeting", "qual a cor"), "ok, obrigada": ("thanks", ""), "o rato": ("none", "o rato"), "Ele me deu bom dia": ("none", "ele me deu bom dia"), "tudo certo a casa caiu ontem": ("none", "tudo certo a casa caiu ontem"), "": ("none", "")}
+    cases = {"Oi": ("greeting", ""), "Bom dia, assistente! Qual a cor?": ("greeting", "qual a cor"), "ok, obrigada": ("thanks", ""), "o rato": ("none", "o rato"), "Ele me deu bom dia": ("none", "ele me deu bom dia"), "tudo certo a casa caiu ontem": ("none", "tudo certo a casa caiu ontem"), "": ("none", "")}
     rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", interpret.social(F.col("t")).alias("s")).collect()
     assert {r.t: (r.s.intent, r.s.task) for r in rows} == cases
 

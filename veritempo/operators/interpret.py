@@ -71,14 +71,15 @@ STATE_SENSES = {
 EMPLOYS, OWNS = ["trabalh", "works at", "employed"], ["possui", "owns", "meu", "mine"]
 INSTRUMENTS = ["sensor", "termometro", "balanca", "medidor", "relogio", "termopar"]
 INSTRUMENT_ACTIONS = ["mediu", "marcou", "mostrou", "indicou", "leu", "registrou"]
+#: The word by which an assistant is addressed is `assistente` here; an application's own name for it goes in its place.
 SOCIAL = [
-    ("greeting", r"^(bom\s+dia|boa\s+tarde|boa\s+noite)([,\s]+james)?\b"),
-    ("greeting", r"^(ola|oi|e\s+ai|eae|hey|hi)([,\s]+james)?\b"),
-    ("farewell", r"^(ate\s+mais|ate\s+logo|ate\s+depois|ate\s+amanha|tchau|falamos\s+depois|flw)([,\s]+james)?\b"),
-    ("thanks", r"^(muito\s+obrigad[oa]|obrigad[oa]|valeu|agradeco)([,\s]+james)?\b"),
-    ("wellbeing", r"^(tudo\s+bem|tudo\s+certo(\s+por\s+ai)?|como\s+(voce|vc)\s+esta|como\s+estao\s+as\s+coisas|esta\s+tudo\s+certo(\s+por\s+ai)?)([,\s]+james)?\b"),
-    ("apology", r"^(desculpa|desculpe|foi\s+mal|perdao)([,\s]+james)?\b"),
-    ("acknowledgement", r"^(entendi|certo|ok|okay|perfeito|beleza|combinado|show)([,\s]+james)?\b"),
+    ("greeting", r"^(bom\s+dia|boa\s+tarde|boa\s+noite)([,\s]+assistente)?\b"),
+    ("greeting", r"^(ola|oi|e\s+ai|eae|hey|hi)([,\s]+assistente)?\b"),
+    ("farewell", r"^(ate\s+mais|ate\s+logo|ate\s+depois|ate\s+amanha|tchau|falamos\s+depois|flw)([,\s]+assistente)?\b"),
+    ("thanks", r"^(muito\s+obrigad[oa]|obrigad[oa]|valeu|agradeco)([,\s]+assistente)?\b"),
+    ("wellbeing", r"^(tudo\s+bem|tudo\s+certo(\s+por\s+ai)?|como\s+(voce|vc)\s+esta|como\s+estao\s+as\s+coisas|esta\s+tudo\s+certo(\s+por\s+ai)?)([,\s]+assistente)?\b"),
+    ("apology", r"^(desculpa|desculpe|foi\s+mal|perdao)([,\s]+assistente)?\b"),
+    ("acknowledgement", r"^(entendi|certo|ok|okay|perfeito|beleza|combinado|show)([,\s]+assistente)?\b"),
     ("small_talk", r"^(que\s+dia\s+bonito|hoje\s+esta\s+corrido|estou\s+cansado(\s+hoje)?)\b"),
 ]
 SOCIAL_EXACT = {
@@ -93,12 +94,12 @@ SOCIAL_EXACT = {
 NOT_SOCIAL = [r"\b(e uma expressao|significa|usado em|usado no|em portugues)\b", r"\b(me deu|lhe deu|deu bom dia|disse bom dia|falou bom dia)\b"]
 NOT_SOCIAL_PAIRS = [
     (r"\b(ontem|anteontem|semana passada)\b", r"\b(bom dia|boa tarde|boa noite|ola|oi)\b"),
-    (r"\b(como voce esta|como vc esta|como esta)\b", r"\b(armazen|guard|salv|persist|banco|dados|nome|conhecimento|pke)\b"),
+    (r"\b(como voce esta|como vc esta|como esta)\b", r"\b(armazen|guard|salv|persist|banco|dados|nome|conhecimento)\b"),
 ]
 TASK_CUES = [r"\?", r"\b(qual|quais|quem|onde|quando|quanto|como|meu|minha|lembre|anote|registre|guarde)\b", r"\b(e|eh|sou|chamo|nome|carro|cor|modelo|marca)\b"]
 #: What a presented reply must not say, or must say, by the status of what it presents.
 LONGEST_REPLY = 420
-INTERNAL_WORDS = r"\b(persistido|persistida|banco de dados|consulta|entidade|materializado|materializada|canonical|pke|registrado|registrada|registro|query|entity)\b"
+INTERNAL_WORDS = r"\b(persistido|persistida|banco de dados|consulta|entidade|materializado|materializada|canonical|registrado|registrada|registro|query|entity)\b"
 BARE_NO = r"^\s*(nao|no)\.?\s*$"
 SAYS_UNKNOWN = r"\b(ainda nao sei|nao sei|i (do not|don't) know|aun no se|no se)\b"
 SAYS_NO = r"\b(voce nao tem|you don't have|you do not have|no tienes|nao, voce nao|pelo que sei,\s*nao)\b"
@@ -251,7 +252,7 @@ def social(text: Column) -> Column:
     """
 
     def bare(c: Column) -> Column:
-        return F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), r"[!?.…]+$", ""), r"[,\s]+james\.?$", ""))
+        return F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), r"[!?.…]+$", ""), r"[,\s]+assistente\.?$", ""))
 
     def exact(c: Column) -> Column:
         return F.coalesce(*[F.when(c.isin(words), intent) for intent, words in SOCIAL_EXACT.items()])

@@ -113,7 +113,7 @@ SQL: dict[str, str] = {
         o AS (SELECT *, CASE {" ".join(f"WHEN regexp_matches(low, {_text(p)}) THEN '{i}'" for i, p in I.SOCIAL)} END AS opening,
             trim(regexp_replace(CASE {" ".join(f"WHEN regexp_matches(low, {_text(p)}) THEN regexp_replace(low, {_text(p)}, '')" for _, p in I.SOCIAL)} END, '^[,.;:\\-\\s]+', '')) AS rest,
             {_any("low", I.NOT_SOCIAL)} OR {" OR ".join(f"(regexp_matches(low, {_text(a)}) AND regexp_matches(low, {_text(b)}))" for a, b in I.NOT_SOCIAL_PAIRS)} AS veto FROM t),
-        b AS (SELECT *, trim(regexp_replace(regexp_replace(trim(low), '[!?.…]+$', ''), '[,\\s]+james\\.?$', '')) AS bare_low, trim(regexp_replace(regexp_replace(trim(rest), '[!?.…]+$', ''), '[,\\s]+james\\.?$', '')) AS bare_rest FROM o),
+        b AS (SELECT *, trim(regexp_replace(regexp_replace(trim(low), '[!?.…]+$', ''), '[,\\s]+assistente\\.?$', '')) AS bare_low, trim(regexp_replace(regexp_replace(trim(rest), '[!?.…]+$', ''), '[,\\s]+assistente\\.?$', '')) AS bare_rest FROM o),
         e AS (SELECT *, CASE {" ".join(f"WHEN {_one_of('bare_low', w)} THEN '{i}'" for i, w in I.SOCIAL_EXACT.items())} END AS exact, CASE {" ".join(f"WHEN {_one_of('bare_rest', w)} THEN '{i}'" for i, w in I.SOCIAL_EXACT.items())} END AS also FROM b),
         s AS (SELECT *, rest != '' AND also IS NULL AND NOT {_any("rest", I.TASK_CUES)} AND len(regexp_split_to_array(rest, '\\s+')) >= 4 AS statement FROM e),
         r AS (SELECT CASE WHEN low = '' OR veto THEN ['none', low] WHEN opening IS NOT NULL AND NOT statement THEN [CASE WHEN opening = 'acknowledgement' AND rest = '' AND regexp_matches(low, '\\b(obrigad[oa]|valeu|agradeco)\\b') THEN 'thanks'

@@ -24,9 +24,9 @@ SENSE_PARTS = (
 RELATION_PARTS = ["trabalha na", "works at", "possui", "é meu", "mora em", ""]
 STATE_PARTS = ["quebrado", "aberta", "atrasada desde ontem", "acabou", "Broken and open", "novo", ""]
 SOCIAL_PARTS = (
-    ["Oi", "Bom dia", "Olá, James", "Obrigado", "Ok", "Quanto", "Tudo bem", "Que dia bonito", "Até logo", "Ele disse bom dia", "Foi mal"],
+    ["Oi", "Bom dia", "Olá, assistente", "Obrigado", "Ok", "Quanto", "Tudo bem", "Que dia bonito", "Até logo", "Ele disse bom dia", "Foi mal"],
     ["!", ",", ".", " ", " ontem,"],
-    ["obrigada", "qual é a cor do carro?", "o rato roeu a roupa", "tudo bem?", "valeu", "registre 10 kg", "", "a reunião foi adiada", "como você está, pke guarda dados?"],
+    ["obrigada", "qual é a cor do carro?", "o rato roeu a roupa", "tudo bem?", "valeu", "registre 10 kg", "", "a reunião foi adiada", "como você está, o banco guarda dados?"],
 )
 REPLY_PARTS = (
     ["Ainda não sei", "Não", "Você não tem", "Sim", "Não consegui consultar", "O registro diz", "{", "Pelo que sei, não", "A siamesa tem"],
