@@ -259,7 +259,8 @@ def test_line_dedup_of_nothing(empty):
 # 4 ------------------------------------------------------------------------------------------------------------------
 
 
-def brute_bytes(rows, length):
+def brute_kept(rows, length):
+    """For each (doc_id, text) the bytes that stay and which ones go."""
     seen, out = set(), {}
     for i, text in sorted({(r.doc_id, r.text or "") for r in rows}):
         data = text.encode()
@@ -269,9 +270,15 @@ def brute_bytes(rows, length):
             if w in seen:
                 gone[p : p + length] = True
             seen.add(w)
-        kept = bytes(np.frombuffer(data, np.uint8)[~gone])
+        out[i, text] = (bytes(np.frombuffer(data, np.uint8)[~gone]), gone)
+    return out
+
+
+def brute_bytes(rows, length):
+    out = {}
+    for (i, _), (kept, gone) in brute_kept(rows, length).items():
         spans = int(np.count_nonzero(np.diff(np.concatenate([[0], gone.astype(int)])) == 1))
-        out[i] = (len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
+        out[i] = (len(gone), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
     return out
 
 

@@ -28,7 +28,7 @@ def usable(rows: DataFrame, id_column: str = "vec_id", vector_column: str = "emb
     share an id count once, with the vector that sorts first.
     """
     vector = F.col(vector_column).cast("array<double>")
-    rows = rows.select(F.col(id_column).alias("vec_id"), vector.alias("vector"))
+    rows = rows.select(F.col(id_column).cast("long").alias("vec_id"), vector.alias("vector"))
     rows = rows.where(F.col("vec_id").isNotNull() & (F.size("vector") > 0) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))))
     return rows.groupBy("vec_id").agg(F.min("vector").alias("vector"))
 
