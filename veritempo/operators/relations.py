@@ -151,20 +151,20 @@ def entity_detail(entities: DataFrame, relations: DataFrame, attributes: DataFra
 
 
 def entity_card(entities: DataFrame, relations: DataFrame, attributes: DataFrame, states: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Of the wanted entities the lists behind `entity_detail`: current relations out and in, attributes and states, in order.
+    """Of the wanted entities (column entity_id) what `entity_detail` counts: entity_id, name, list and item, a row for each.
 
-    wanted: entity_id. A card is what one page shows of one entity; each list is as long as the entity has rows.
+    The lists are current relations out and in, attributes and states. They stay rows: a place may have very many.
     """
     user = by_user(entities, relations, attributes, states)
     key = [*user, "entity_id"]
     live = [df.where("is_current") for df in (relations, relations, attributes, states)]
-    out = live[0].select(*user, F.col("from_id").alias("entity_id"), F.concat_ws(" ", "key", "to_id").alias("x"), F.lit("relations_out").alias("list"))
-    into = live[1].select(*user, F.col("to_id").alias("entity_id"), F.concat_ws(" ", "key", "from_id").alias("x"), F.lit("relations_in").alias("list"))
-    held = live[2].select(*key, F.concat_ws(" ", "dimension", F.coalesce("text_value", F.col("numeric_value").cast("string")), "unit").alias("x"), F.lit("attributes").alias("list"))
-    stands = live[3].select(*key, F.concat_ws(" ", "dimension", "value").alias("x"), F.lit("states").alias("list"))
-    rows = out.unionByName(into).unionByName(held).unionByName(stands).join(wanted, [*by_user(out, wanted), "entity_id"], "left_semi")
-    lists = rows.groupBy(*key).agg(*[F.array_sort(F.collect_list(F.when(F.col("list") == n, F.col("x")))).alias(n) for n in ("relations_out", "relations_in", "attributes", "states")])
-    return entities.join(wanted, [*by_user(entities, wanted), "entity_id"], "left_semi").select(*key, "name").join(lists, key, "left")
+    out = live[0].select(*user, F.col("from_id").alias("entity_id"), F.lit("relations_out").alias("list"), F.concat_ws(" ", "key", "to_id").alias("item"))
+    into = live[1].select(*user, F.col("to_id").alias("entity_id"), F.lit("relations_in").alias("list"), F.concat_ws(" ", "key", "from_id").alias("item"))
+    held = live[2].select(*key, F.lit("attributes").alias("list"), F.concat_ws(" ", "dimension", F.coalesce("text_value", F.col("numeric_value").cast("string")), "unit").alias("item"))
+    stands = live[3].select(*key, F.lit("states").alias("list"), F.concat_ws(" ", "dimension", "value").alias("item"))
+    rows = out.unionByName(into).unionByName(held).unionByName(stands)
+    named = entities.join(wanted, [*by_user(entities, wanted), "entity_id"], "left_semi").select(*key, "name")
+    return rows.join(named, key)
 
 
 def of_entity(relations: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -50,14 +50,9 @@ SQL: dict[str, str] = {
         ends AS (SELECT from_id AS entity_id, * FROM r WHERE from_id LIKE 'n:%' OR from_id LIKE 'r:%' UNION ALL SELECT to_id, * FROM r)
         SELECT entity_id, row_number() OVER (PARTITION BY entity_id ORDER BY coalesce(day, TIMESTAMP '1900-01-01'), relation_id)::INT AS position, relation_id, is_current FROM ends""",
     "entity_card": f"""{_with(_ENTITY, _RELATION, _ATTRIBUTE, _STATE)},
-        out AS (SELECT from_id AS id, string_agg(key || ' ' || to_id, ';' ORDER BY key || ' ' || to_id) AS relations_out FROM relation WHERE is_current AND key != 'buys_from' GROUP BY 1),
-        into_ AS (SELECT to_id AS id, count(*) AS n_in FROM relation WHERE is_current AND key != 'buys_from' GROUP BY 1),
-        said AS (SELECT entity_id AS id, concat_ws(' ', dimension, coalesce(text_value, numeric_value::VARCHAR), unit) AS x FROM attribute WHERE is_current),
-        held AS (SELECT id, string_agg(x, ';' ORDER BY x) AS attributes FROM said GROUP BY 1),
-        stands AS (SELECT entity_id AS id, count(*) AS n_states FROM state WHERE is_current GROUP BY 1)
-        SELECT entity_id, name, coalesce(relations_out, '') AS relations_out, coalesce(attributes, '') AS attributes, coalesce(n_in, 0)::INT AS n_in, coalesce(n_states, 0)::INT AS n_states
-        FROM entity LEFT JOIN out ON out.id = entity_id LEFT JOIN into_ ON into_.id = entity_id LEFT JOIN held ON held.id = entity_id LEFT JOIN stands ON stands.id = entity_id
-        WHERE type_key IN ('entity.nation', 'entity.region') OR entity_id LIKE 'p:%'""",
+        items AS (SELECT from_id AS id, 'relations_out' AS list, key || ' ' || to_id AS item FROM relation WHERE is_current AND key != 'buys_from' UNION ALL SELECT to_id, 'relations_in', key || ' ' || from_id FROM relation WHERE is_current AND key != 'buys_from'
+            UNION ALL SELECT entity_id, 'attributes', concat_ws(' ', dimension, coalesce(text_value, numeric_value::VARCHAR), unit) FROM attribute WHERE is_current UNION ALL SELECT entity_id, 'states', dimension || ' ' || value FROM state WHERE is_current)
+        SELECT entity_id, name, list, item, count(*) AS n FROM entity JOIN items ON id = entity_id WHERE type_key IN ('entity.nation', 'entity.region') OR entity_id LIKE 'p:%' GROUP BY ALL""",
     "raw_input_sink": """WITH r AS (SELECT user_id, event_id % 700 AS raw_id FROM events),
         g AS (SELECT user_id, raw_id, count(*) AS n FROM r GROUP BY 1, 2)
         SELECT user_id, 'inserted' AS outcome, count(*) AS n, count(*) AS n_ids FROM g WHERE raw_id % 10 != 3 GROUP BY 1

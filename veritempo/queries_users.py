@@ -107,8 +107,7 @@ def relations_for_entity(f):
 def entity_card(f):
     wanted = f.entity.where("type_key in ('entity.nation', 'entity.region') or entity_id like 'p:%'").select("entity_id")
     rows = relations.entity_card(f.entity, f.relation.where("key != 'buys_from'"), f.attribute, f.state, wanted)
-    joined = [F.array_join(F.coalesce(c, F.array().cast("array<string>")), ";").alias(c) for c in ("relations_out", "attributes")]
-    return rows.select("entity_id", "name", *joined, F.coalesce(F.size("relations_in"), F.lit(0)).alias("n_in"), F.coalesce(F.size("states"), F.lit(0)).alias("n_states"))
+    return rows.groupBy("entity_id", "name", "list", "item").agg(F.count("*").alias("n"))
 
 
 @query
