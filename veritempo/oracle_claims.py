@@ -89,4 +89,6 @@ SQL: dict[str, str] = {
         UNION ALL SELECT 'attribute', entity_id, attribute_id, row_number() OVER (PARTITION BY entity_id, dimension ORDER BY attribute_id) FROM attribute
         UNION ALL SELECT 'measurement', user_id::VARCHAR, measurement_id, row_number() OVER (PARTITION BY user_id, dimension ORDER BY coalesce(observed_at, TIMESTAMP '1900-01-01'), measurement_id) FROM measurement)
         SELECT kind, entity_id, id::VARCHAR AS id, position::INT AS position FROM l WHERE position <= 3""",
+    "concept_conflicts": f"""{_with(_CONCEPT, recursive=True)}, every AS (SELECT * FROM concept UNION ALL SELECT 'entity.part.' || lower(p_type), CASE WHEN p_partkey % 3 = 0 THEN 'entity.brand.' || lower(p_brand) ELSE 'entity.product' END FROM part)
+        SELECT concept, count(DISTINCT coalesce(parent, '')) AS parents FROM every GROUP BY 1 HAVING count(DISTINCT coalesce(parent, '')) > 1""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from veritempo.operators import claims, events, ledger
+from veritempo.operators import catalog, claims, events, ledger
 from veritempo.registry import LOG_DAY, query, query_of_two_users, span, text_of
 
 KINDS = ["entity", "attribute", "relation", "measurement", "classification", "intrinsic_property", "mood"]
@@ -159,3 +159,10 @@ def assertion_listing(f):
     measured = f.measurement.select(F.lit("measurement").alias("kind"), F.col("user_id").cast("string").alias("entity_id"), F.col("measurement_id").alias("id"), F.row_number().over(Window.partitionBy("user_id", "dimension").orderBy(F.coalesce("observed_at", F.lit("1900-01-01").cast("timestamp")), "measurement_id")).alias("position"))
     rows = state.unionByName(attribute).unionByName(measured)
     return rows.where("position <= 3").select("kind", "entity_id", text_of("id"), "position")
+
+
+@query
+def concept_conflicts(f):
+    """Registrations that would give a concept several parents."""
+    new = f.table("part").select(F.concat(F.lit("entity.part."), F.lower("p_type")).alias("concept"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("entity.brand."), F.lower("p_brand"))).otherwise("entity.product").alias("parent"))
+    return catalog.conflicting_concepts(f.concept.unionByName(new))
