@@ -5,7 +5,7 @@ hashed into a fixed number of buckets; a bucket's value is its share of the text
 frequency, which is counted over all documents to learn from. Weights are learned by follow-the-regularised-leader with
 an elastic net (L1 leaves most weights at zero) from a sample of labelled texts, whose size is a parameter; a fifth of
 the sample is kept aside to fit the temperature that turns scores into calibrated probabilities. The model's size is
-buckets times languages, whatever the corpus, so it is broadcast.
+buckets times languages, whatever the corpus, so it is broadcast; more than `LANGUAGES` languages are an error.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; texts of any length are read whole;
 repeated rows get repeated results; a null language is never learned; with no labelled document every text is `und`;
@@ -30,6 +30,8 @@ ORDERS = (1, 2, 3)
 #: Labelled documents that weights are learned from, about; never more than twice as many.
 SAMPLE = 2_000
 EPOCHS = 4
+#: Labelled languages, at most: the model, which is broadcast, has buckets times languages weights (134 MB then).
+LANGUAGES = 512
 #: Follow-the-regularised-leader: learning rate, its smoothing, and the two penalties of the elastic net.
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.02, 0.002
 #: Values are shares of a text; this brings them near 1.
@@ -167,6 +169,8 @@ def train(labelled: DataFrame, text_column: str = "text", lang_column: str = "la
     sizes = {r.lang: r.n for r in rows.where("text is not null").groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"{len(sizes)} labelled languages are more than {LANGUAGES}")
     langs = sorted(sizes)
     counts, texts = document_frequencies(rows)
     idf = (np.log((1 + texts) / (1 + counts)) + 1).astype(np.float64)
