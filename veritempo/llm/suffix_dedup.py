@@ -48,8 +48,8 @@ from veritempo.llm.shingles import OTHER_BYTES, mix, prefix_hashes, span_hashes,
 LENGTH = 100
 #: Bytes worked on at a time, and starts per stretch of a long text.
 CHUNK = 1_000_000
-#: Bytes of text whose runs make one bucket, about.
-BUCKET_BYTES = 32_000_000
+#: Bytes of text whose runs make one bucket, about: its task takes some eight times as much; larger executors may take more.
+BUCKET_BYTES = 16_000_000
 #: Contexts of a name, in one batch and in its bucket, from which its windows are dealt one by one.
 MANY, MANY_IN_ALL = 16, 20_000
 #: Contexts and names that a task remembers.
@@ -241,6 +241,7 @@ def _sorted_buckets(runs: DataFrame, buckets: int) -> DataFrame:
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket = pa.Table.from_batches(source, schema)
         names, contexts, docs, codes = (_column(bucket, c) for c in ("name", "context", "rid", "code"))
+        del bucket
         settled = _kind(codes) != ENTRY
         out_docs, out_codes = [docs[settled]], [codes[settled]]
         names, contexts, docs, codes = (x[~settled] for x in (names, contexts, docs, codes))
