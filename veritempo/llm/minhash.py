@@ -111,7 +111,7 @@ def may_be_similar(bits: str, other: str, sizes: Column, similarity: float) -> C
     return apart <= sizes * ((1 - similarity) / (1 + similarity)) + 1e-6
 
 
-def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
+def text_chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
     begin = 0
     while begin < len(texts):
         end, size = begin, 0
@@ -128,7 +128,7 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             texts = batch.column(1).to_pylist()
-            for begin, end in _chunks(texts):
+            for begin, end in text_chunks(texts):
                 elements, sizes = shingles(texts[begin:end], WORDS)
                 owner = np.repeat(np.arange(end - begin), sizes)
                 first = np.sort(np.unique(elements + mix(owner.astype(np.uint64)), return_index=True)[1])

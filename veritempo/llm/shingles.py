@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -55,17 +57,25 @@ def shingles(texts: list[str], words: int = 5) -> tuple[np.ndarray, np.ndarray]:
     Words are runs of non-blank characters of the lower-case text. A text of fewer words has one shingle, of them all;
     one without words has none.
     """
-    raw = [t.lower().encode("utf-8", "replace") for t in texts]
+    return _shingles([t.lower().encode("utf-8", "replace") for t in texts], words, lambda data: data > 32)
+
+
+def ascii_shingles(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same with A to Z only lower-cased, and words split at blank and 09 to 0D only."""
+    return _shingles([t.encode("utf-8", "replace").lower() for t in texts], words, lambda data: (data != 32) & ((data < 9) | (data > 13)))
+
+
+def _shingles(raw: list[bytes], words: int, in_word: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b"".join(x + b"\n" for x in raw), np.uint8)
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     text_ends = np.cumsum(np.fromiter((len(x) + 1 for x in raw), np.int64, len(raw)))
-    inside = data > 32
+    inside = in_word(data)
     edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
     starts, ends = edges[::2], edges[1::2]
     hashes = span_hashes(prefix_hashes(data), starts, ends)
     owner = np.searchsorted(text_ends, starts, "right")
-    counts = np.bincount(owner, minlength=len(texts)).astype(np.int64)
+    counts = np.bincount(owner, minlength=len(raw)).astype(np.int64)
     n = len(hashes)
     rolled = np.zeros(n, np.uint64)
     whole = np.ones(n, bool)
