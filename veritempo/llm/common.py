@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,43 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Scratch:
+    """A folder of its own below the shared one, for tables that cut the lineage: compressed files that can be deleted.
+
+    What a result is read from lazily must be kept; the rest goes with `drop` when it is no longer read.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.tables = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", 0
+
+    def _next(self) -> str:
+        self.tables += 1
+        return f"{self.folder}/{self.tables}"
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """The rows, written and read again."""
+        path = self._next()
+        df.write.parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        kept._scratch = path
+        return kept
+
+    def keep_by(self, df: DataFrame, key: str, buckets: int) -> DataFrame:
+        """The same in buckets by a key: joins by it don't move these rows again."""
+        path, name = self._next(), f"scratch_{uuid.uuid4().hex}"
+        df.repartition(buckets, key).write.format("parquet").option("path", path).bucketBy(buckets, key).saveAsTable(name)
+        kept = self.spark.table(name)
+        kept._scratch, kept._table = path, name
+        return kept
+
+    def drop(self, *kept: DataFrame) -> None:
+        for df in kept:
+            if name := getattr(df, "_table", None):
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def groups_for(rows: int, per_group: int) -> int:
     """How many groups hold `rows` rows at about `per_group` each."""
     return max(1, math.ceil(rows / per_group))

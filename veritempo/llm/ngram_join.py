@@ -16,9 +16,9 @@ component need no proof, so the components are those of all links. Verification
 
 Defined results: words are runs of bytes other than blank and 09 to 0D, of the text with A to Z lower-cased; a document of
 fewer words than a shingle has has one, of them all; a null text, or one without words, has none and is linked with
-nothing; texts of any length are taken whole; repeated rows each give a row; sets whose least doc_id is the same count as
-linked; a row without doc_id has a null component and links nothing; an empty table gives an empty result; other columns
-are ignored. Shingles are 64-bit hashes, sets 128-bit ones.
+nothing; texts of any length are taken whole; repeated rows each give a row, and rows with the same doc_id and other texts
+are documents of their own; a row without doc_id has a null component and links nothing; an empty table gives an empty
+result; other columns are ignored. Shingles are 64-bit hashes, sets 128-bit ones.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritempo.llm.common import checkpoint
+from veritempo.llm.common import Scratch, groups_for
 from veritempo.llm.components import components
 from veritempo.llm.minhash import PARITY_BITS, may_be_similar, parity_bitmaps, text_chunks
 from veritempo.llm.shingles import ascii_shingles, mix
@@ -44,8 +44,9 @@ GROUPS = 32
 #: The most common shingles that a prefix asks for, and the cost of verifying a shingle in rows to be met.
 MOST, VERIFY = 8, 0.1
 ROUNDS = 2
+#: Sets whose texts stand in one bucket, about.
+BUCKET_ROWS = 20_000
 _SECOND = np.uint64(0x9E3779B97F4A7C15)
-KEY = ["doc_id", "th"]
 
 
 def distinct_shingles(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,8 +58,8 @@ def distinct_shingles(texts: list[str], words: int) -> tuple[np.ndarray, np.ndar
     return elements, owner, np.bincount(owner, minlength=len(texts))
 
 
-def _counter(elements: np.ndarray) -> np.ndarray:
-    return (elements & np.uint64(COUNTERS - 1)).astype(np.int64)
+def _counter(elements: np.ndarray, n: int) -> np.ndarray:
+    return (elements & np.uint64(n - 1)).astype(np.int64)
 
 
 def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -68,17 +69,17 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return (total[ends] - total[ends - sizes]).astype(np.int64)
 
 
-def measured(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """Per row: doc_id, th (hash of the text), a and b (hash of the set) and size; and tasks' counters, in pieces."""
+def measured(docs: DataFrame, words: int = WORDS, n_counters: int = COUNTERS) -> DataFrame:
+    """Per row: doc_id, th (hash of the text), a and b (hash of the set) and size; and tasks' counters (a power of two), in pieces."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, pack = np.zeros(COUNTERS, np.uint32), zstandard.ZstdCompressor(level=1).compress
+        counts, pack = np.zeros(n_counters, np.uint32), zstandard.ZstdCompressor(level=1).compress
         names, kind = ["doc_id", "th", "a", "b", "size", "piece", "counts"], None
         for batch in source:
             kind, texts = batch.schema.field(0).type, [t or "" for t in batch.column(1).to_pylist()]
             for begin, end in text_chunks(texts):
                 elements, _, sizes = distinct_shingles(texts[begin:end], words)
-                np.add.at(counts, _counter(elements), np.uint32(1))
+                np.add.at(counts, _counter(elements, n_counters), np.uint32(1))
                 columns = [batch.column(i).slice(begin, end - begin) for i in (0, 2)]
                 columns += [pa.array(_sums(mix(elements ^ salt), sizes)) for salt in (np.uint64(0), _SECOND)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes.astype(np.int32)), pa.nulls(end - begin, pa.int32()), pa.nulls(end - begin, pa.binary())], names=names)
@@ -91,11 +92,11 @@ def measured(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return source.mapInArrow(batches, f"doc_id {kind}, th long, a long, b long, size int, piece int, counts binary")
 
 
-def counters(rows: DataFrame) -> np.ndarray:
+def counters(rows: DataFrame, n_counters: int = COUNTERS) -> np.ndarray:
     """How many documents each counter has seen: the sums of all tasks' counters, an array of fixed size."""
 
     def added(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, unpack = np.zeros(COUNTERS // PIECES, np.uint64), zstandard.ZstdDecompressor().decompress
+        total, unpack = np.zeros(n_counters // PIECES, np.uint64), zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for x in batch.column("counts"):
                 total += np.frombuffer(unpack(x.as_py()), np.uint32)
@@ -105,7 +106,7 @@ def counters(rows: DataFrame) -> np.ndarray:
     schema = "piece int, counts binary"
     parts = rows.where("piece is not null").select("piece", "counts", F.pmod(F.xxhash64("counts"), F.lit(GROUPS)).alias("part"))
     found = parts.groupBy("piece", "part").applyInArrow(added, schema).groupBy("piece").applyInArrow(added, schema).collect()
-    out = np.zeros((PIECES, COUNTERS // PIECES), np.uint32)
+    out = np.zeros((PIECES, n_counters // PIECES), np.uint32)
     for piece, counts in found:
         out[piece] = np.frombuffer(zstandard.ZstdDecompressor().decompress(counts), np.uint32)
     return out.reshape(-1)
@@ -134,47 +135,48 @@ def multi_match_prefixes(elements: np.ndarray, owner: np.ndarray, sizes: np.ndar
 
 
 def _packed(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """doc_id, th and compressed text of one row of every set."""
+    """node and compressed text of one row of every set."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in source:
             packed = pa.array([pack(t.encode("utf-8", "replace")) for t in batch.column(2).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], names=[*KEY, "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], names=["doc_id", "th", "packed"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.where("text is not null and doc_id is not null").select("doc_id", F.xxhash64("text").alias("th"), "text")
     rows = rows.mapInArrow(batches, f"doc_id {kind}, th long, packed binary")
-    return rows.join(sets.select(*KEY), KEY, "left_semi").groupBy(*KEY).agg(F.min("packed").alias("packed"))
+    return rows.join(sets.select("doc_id", "th", "node"), ["doc_id", "th"]).select("node", "packed")
 
 
 def prefixed(packed: DataFrame, seen: np.ndarray, percent: int, words: int) -> DataFrame:
-    """doc_id, th, size, m, tokens (the prefix, in order) and bits (parity bitmap) of every set."""
+    """node, size, m, tokens (the prefix, in order) and bits (parity bitmap) of every set."""
     held, usual = packed.sparkSession.sparkContext.broadcast(seen), int(np.median(seen))
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in source:
-            texts = [unpack(x.as_buffer()).decode() for x in batch.column(2)]
+            texts = [unpack(x.as_buffer()).decode() for x in batch.column(1)]
             for begin, end in text_chunks(texts):
                 elements, owner, sizes = distinct_shingles(texts[begin:end], words)
-                m, length, tokens = multi_match_prefixes(elements, owner, sizes, held.value[_counter(elements)], usual, percent)
+                m, length, tokens = multi_match_prefixes(elements, owner, sizes, held.value[_counter(elements, len(held.value))], usual, percent)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(tokens.astype(np.int64)))
                 bits = pa.FixedSizeListArray.from_arrays(pa.array(parity_bitmaps(elements, owner, end - begin).reshape(-1)), PARITY_BITS // 64).cast(pa.list_(pa.int64()))
-                head = [batch.column(i).slice(begin, end - begin) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*head, pa.array(sizes.astype(np.int32)), pa.array(m.astype(np.int32)), lists, bits], names=[*KEY, "size", "m", "tokens", "bits"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(sizes.astype(np.int32)), pa.array(m.astype(np.int32)), lists, bits], names=["node", "size", "m", "tokens", "bits"])
 
-    kind = packed.schema["doc_id"].dataType.simpleString()
-    return packed.mapInArrow(batches, f"doc_id {kind}, th long, size int, m int, tokens array<long>, bits array<long>")
+    return packed.select("node", "packed").mapInArrow(batches, "node long, size int, m int, tokens array<long>, bits array<long>")
 
 
-def _side(rows: DataFrame, prefix: str) -> DataFrame:
-    """All columns but the meeting keys, renamed."""
-    return rows.select("token", *([F.col("band")] if "band" in rows.columns else []), *(F.col(c).alias(f"{prefix}_{c}") for c in ("doc_id", "th", "size", "m", "place", "bits", "component")))
+_SIDE = ("node", "size", "m", "place", "component")
 
 
-def _matches(met: DataFrame, percent: int) -> DataFrame:
-    """Those of the met rows, one per common shingle, that count, as pairs with as many as they need; x is the lesser.
+def _side(rows: DataFrame, prefix: str, keys: list[str]) -> DataFrame:
+    """The meeting keys, and all other columns renamed."""
+    return rows.select(*keys, *(F.col(c).alias(f"{prefix}_{c}") for c in (*_SIDE, "bits") if c in rows.columns))
+
+
+def _counted(met: DataFrame, percent: int) -> DataFrame:
+    """x, y and their sizes, of the pairs among the met rows, one per common shingle, that have as many as they need; x < y.
 
     A shingle counts if it stands within the prefix that this pair's sizes ask for.
     """
@@ -182,96 +184,107 @@ def _matches(met: DataFrame, percent: int) -> DataFrame:
     need = F.floor((sizes * percent + (100 + percent - 1)) / (100 + percent))
     within = [F.col(f"{s}_place") <= F.col(f"{s}_size") - need + m - 1 for s in "xy"]
     met = met.where("x_component != y_component").where(100 * F.least("x_size", "y_size") >= percent * F.greatest("x_size", "y_size")).where(within[0] & within[1])
-    met = met.where(may_be_similar("x_bits", "y_bits", sizes, percent / 100))
-    x, y = (F.struct(F.col(f"{s}_doc_id").alias("doc_id"), F.col(f"{s}_th").alias("th")) for s in "xy")
-    pairs = met.groupBy(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).agg(F.count("*").alias("n"), F.first(m).alias("m"))
-    return pairs.where("n >= m").select(F.col("x.doc_id").alias("x"), F.col("x.th").alias("xh"), F.col("y.doc_id").alias("y"), F.col("y.th").alias("yh"))
+    if "x_bits" in met.columns:
+        met = met.where(may_be_similar("x_bits", "y_bits", sizes, percent / 100))
+    pairs = met.groupBy(F.least("x_node", "y_node").alias("x"), F.greatest("x_node", "y_node").alias("y")).agg(F.count("*").alias("n"), F.first(m).alias("m"), F.first(sizes).alias("sizes"))
+    return pairs.where("n >= m").select("x", "y", "sizes")
+
+
+def _open_by_bits(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Pairs that their bitmaps leave open."""
+    for end in ("x", "y"):
+        pairs = pairs.join(bits.select(F.col("node").alias(end), F.col("bits").alias(f"{end}_bits")), end)
+    return pairs.where(may_be_similar("x_bits", "y_bits", F.col("sizes"), percent / 100)).select("x", "y")
 
 
 def verified(pairs: DataFrame, packed: DataFrame, percent: int, words: int) -> DataFrame:
-    """x and y of the pairs whose sets are similar enough: 100 * common >= percent * united."""
+    """a and b of the pairs x and y whose sets are similar enough: 100 * common >= percent * united."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        held: dict[tuple, np.ndarray] = {}
+        held: dict[int, np.ndarray] = {}
         for batch in source:
-            x, y, yh, left, right = (c.to_pylist() for c in batch.columns)
+            y, left, right = (c.to_pylist() for c in batch.columns[1:])
             keep = []
             for i in range(batch.num_rows):
-                if (y[i], yh[i]) not in held:
+                if y[i] not in held:
                     if len(held) > 200:
                         held.clear()
-                    held[y[i], yh[i]] = distinct_shingles([unpack(right[i]).decode()], words)[0]
-                a, b = distinct_shingles([unpack(left[i]).decode()], words)[0], held[y[i], yh[i]]
+                    held[y[i]] = distinct_shingles([unpack(right[i]).decode()], words)[0]
+                a, b = distinct_shingles([unpack(left[i]).decode()], words)[0], held[y[i]]
                 common = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(100 * common >= percent * (len(a) + len(b) - common))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["x", "y"])
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    left = packed.select(F.col("doc_id").alias("x"), F.col("th").alias("xh"), F.col("packed").alias("left"))
-    right = packed.select(F.col("doc_id").alias("y"), F.col("th").alias("yh"), F.col("packed").alias("right"))
-    rows = pairs.join(left, ["x", "xh"]).join(right, ["y", "yh"]).select("x", "y", "yh", "left", "right")
-    kind = pairs.schema["x"].dataType.simpleString()
-    return rows.mapInArrow(batches, f"x {kind}, y {kind}")
+    left = packed.select(F.col("node").alias("x"), F.col("packed").alias("left"))
+    right = packed.select(F.col("node").alias("y"), F.col("packed").alias("right"))
+    return pairs.join(left, "x").join(right, "y").select("x", "y", "left", "right").mapInArrow(batches, "a long, b long")
 
 
-def _joined(links: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _joined(links: DataFrame, labels: DataFrame | None, scratch: Scratch) -> DataFrame:
     """node and component of everything but the components' least, old labels and new links together."""
     if labels is None:
-        return components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    for end in ("x", "y"):
+        return components(links)
+    for end in ("a", "b"):
         named = labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_component"))
         links = links.join(named, end, "left").withColumn(f"{end}_component", F.coalesce(f"{end}_component", end))
-    joined = components(links.select(F.col("x_component").alias("a"), F.col("y_component").alias("b")))
+    joined = components(links.select(F.col("a_component").alias("a"), F.col("b_component").alias("b")))
     moved = joined.select(F.col("node").alias("component"), F.col("component").alias("to"))
     old = labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    return checkpoint(old.unionByName(joined.join(labels, "node", "left_anti")))
+    return scratch.keep(old.unionByName(joined.join(labels, "node", "left_anti")))
 
 
-def _open(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of the shingles that several components still share, with the component of each."""
-    if labels is None:
-        rows = rows.withColumn("component", F.col("doc_id"))
-    else:
-        rows = rows.drop("component").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    rows = rows.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("token")
     return rows.join(several, "token", "left_semi")
 
 
-def linked(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, rounds: int = ROUNDS) -> DataFrame:
+def linked(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, rounds: int = ROUNDS, n_counters: int = COUNTERS) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
-    found = checkpoint(measured(docs, words))
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.keep(measured(docs, words, n_counters))
     rows = found.where("piece is null")
     least = F.min(F.struct("doc_id", "th")).alias("r")
-    sets = checkpoint(rows.where("size > 0 and doc_id is not null").groupBy("a", "b").agg(least).select("a", "b", "r.*"))
-    packed = checkpoint(_packed(docs, sets))
-    prefixes = checkpoint(prefixed(packed, counters(found), percent, words))
-    tokens = prefixes.select(*KEY, "size", "m", F.posexplode("tokens").alias("place", "token"))
+    sets = rows.where("size > 0 and doc_id is not null").groupBy("a", "b").agg(least).select("a", "b", "r.*")
+    sets = scratch.keep(sets.withColumn("node", F.monotonically_increasing_id()))
+    one = _packed(docs, sets).dropDuplicates(["node"])
+    packed = scratch.keep_by(one, "node", groups_for(sets.count(), BUCKET_ROWS))
+    prefixes = scratch.keep(prefixed(packed, counters(found, n_counters), percent, words))
+    bits = prefixes.select("node", "bits")
+    tokens = prefixes.select("node", F.posexplode("tokens").alias("place", "token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
-    members = tokens.join(shared, "token", "left_semi").join(prefixes.select(*KEY, "bits"), KEY)
-    members, labels = checkpoint(_open(members, None)), None
+    members = tokens.join(shared, "token", "left_semi").join(prefixes.select("node", "size", "m"), "node")
+    members, labels = scratch.keep(members.withColumn("component", F.col("node"))), None
     for number in range(rounds + 1):
         if number < rounds:
-            first = [F.col("place")] if number == 0 else []  # the earliest place is that of a document with few shingles of its own
-            hub = F.min_by(F.struct("doc_id", "th", "size", "m", "place", "bits", "component"), F.struct(*first, F.xxhash64("doc_id", "th", F.lit(number)), "doc_id", "th"))
-            hubs = checkpoint(members.groupBy("token").agg(hub.alias("h")).select("token", "h.*"))
-            met = _side(members, "x").join(_side(hubs, "y"), "token")
+            # the earliest place is that of a document with few shingles of its own
+            first = [F.col("place")] if number == 0 else []
+            hub = F.min_by(F.struct(*_SIDE), F.struct(*first, F.xxhash64("node", F.lit(number)), "node"))
+            hubs = scratch.keep(members.groupBy("token").agg(hub.alias("h")).select("token", "h.*"))
+            met = _side(members, "x", ["token"]).join(_side(hubs, "y", ["token"]), "token")
+            pairs = _open_by_bits(_counted(met, percent), bits, percent)
         else:
             # like sizes are in one band or in two that follow each other
-            band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100 / percent * 1.000001))).cast("int")
-            banded = members.withColumn("band", band)
+            band = lambda c: F.floor(F.log(F.col(c).cast("double")) / F.log(F.lit(100 / percent * 1.000001))).cast("int")
+            banded = members.join(bits, "node").withColumn("band", band("size"))
             reaching = banded.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
-            met = _side(reaching, "x").join(_side(banded, "y"), ["token", "band"])
-            in_order = (F.col("x_doc_id") < F.col("y_doc_id")) | ((F.col("x_doc_id") == F.col("y_doc_id")) & (F.col("x_th") < F.col("y_th")))
-            own = F.floor(F.log(F.col("x_size").cast("double")) / F.log(F.lit(100 / percent * 1.000001))).cast("int")
-            met = met.where((F.col("band") != own) | in_order)
-        links = verified(checkpoint(_matches(met, percent)), packed, percent, words)
-        labels = _joined(links, labels)
+            met = _side(reaching, "x", ["token", "band"]).join(_side(banded, "y", ["token", "band"]), ["token", "band"])
+            pairs = _counted(met.where((F.col("band") != band("x_size")) | (F.col("x_node") < F.col("y_node"))), percent)
+        links = scratch.keep(verified(pairs, packed, percent, words))
+        labels = _joined(links, labels, scratch)
+        scratch.drop(links)
         if number < rounds:
-            members = checkpoint(_open(members, labels))
+            scratch.drop(hubs)
+            before, members = members, scratch.keep(_open(members, labels))
+            scratch.drop(before)
             if members.isEmpty():
                 break
-    named = sets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("a", "b", F.coalesce("component", "doc_id").alias("component_id"))
-    rows = rows.withColumn("set", F.when(F.col("size") > 0, F.col("a")))
-    named = named.withColumnRenamed("a", "set")
+    scratch.drop(packed, prefixes, members)
+    named = sets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    leader = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = named.join(leader, "component").select(F.col("a").alias("set"), "b", "component_id")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    rows = rows.withColumn("set", F.when(F.col("size") > 0, F.col("a")))
     return rows.join(named, ["set", "b"], "left").select("doc_id", F.col("size").cast("long").alias("n_shingles"), own.alias("component_id"))
