@@ -191,9 +191,14 @@ def prefix_pairs(open_docs: DataFrame, packed: DataFrame, similarity: float) ->
     open_docs: doc_id, size, component, bits. Each set's shingles are put in one global order, rarest first. Similar sets
     overlap so much that their first common shingle stands early in both: near enough to the front that what follows can
     still hold the overlap. Shingles that a whole group shares stand late, so its unlike members don't meet there.
-    A shingle's rows are first met as one row per component, and expanded only where that row passes. Pairs, and meetings
-    with a component's only row, must also pass their bitmaps, so unlike members of a large group make no rows.
+    A shingle's rows meet only those of the same band of sizes or the one below, outside of which no set is similar, first
+    as one row per component, and expanded only where that row passes. Pairs, and meetings with a component's only row,
+    must also pass their bitmaps, so unlike members of a large group make no rows.
     """
+    width = 1 / similarity * (1 + 1e-6)
+
+    def band(size: str) -> Column:
+        return F.floor(F.log(F.col(size).cast("double")) / F.log(F.lit(width))).cast("int")
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -212,13 +217,14 @@ def prefix_pairs(open_docs: DataFrame, packed: DataFrame, similarity: float) ->
     share = similarity / (1 + similarity)
     slack = 1e-6
     rows = checkpoint(rows.where(F.col("left") >= F.col("size") * similarity - slack).join(open_docs.select("doc_id", "bits"), "doc_id"))
-    short = rows.where(F.col("left") >= F.col("size") * (2 * share) - slack).select("token", F.col("component").alias("c"), F.col("doc_id").alias("y"), F.col("size").alias("s"), F.col("left").alias("l"), F.col("bits").alias("own_bits"))
-    groups = short.groupBy("token", "c").agg(F.min("s").alias("least"), F.max("s").alias("most"), F.max("l").alias("l"), F.count("*").alias("n"), F.min("own_bits").alias("own_bits"))
+    short = rows.where(F.col("left") >= F.col("size") * (2 * share) - slack).select("token", F.col("component").alias("c"), F.col("doc_id").alias("y"), F.col("size").alias("s"), F.col("left").alias("l"), F.col("bits").alias("own_bits")).withColumn("band", band("s"))
+    groups = short.groupBy("token", "band", "c").agg(F.min("s").alias("least"), F.max("s").alias("most"), F.max("l").alias("l"), F.count("*").alias("n"), F.min("own_bits").alias("own_bits"))
     least = F.greatest(F.col("least"), F.col("size") * similarity)
-    met = rows.join(groups, "token").where("component != c").where((F.col("least") <= F.col("size")) & (F.col("most") >= F.col("size") * similarity - slack))
+    reaching = rows.withColumn("band", F.explode(F.array(band("size"), band("size") - 1)))
+    met = reaching.join(groups, ["token", "band"]).where("component != c").where((F.col("least") <= F.col("size")) & (F.col("most") >= F.col("size") * similarity - slack))
     met = met.where(F.least("left", "l") >= (F.col("size") + least) * share - slack)
-    met = met.where((F.col("n") > 1) | may_be_similar("bits", "own_bits", F.col("size") + F.col("least"), similarity)).select("token", "c", F.col("doc_id").alias("x"), "size", "left", "bits")
-    both = met.join(short, ["token", "c"]).where((F.col("s") <= F.col("size")) & (F.col("s") >= F.col("size") * similarity - slack))
+    met = met.where((F.col("n") > 1) | may_be_similar("bits", "own_bits", F.col("size") + F.col("least"), similarity)).select("token", "band", "c", F.col("doc_id").alias("x"), "size", "left", "bits")
+    both = met.join(short, ["token", "band", "c"]).where((F.col("s") <= F.col("size")) & (F.col("s") >= F.col("size") * similarity - slack))
     both = both.where(F.least("left", "l") >= (F.col("size") + F.col("s")) * share - slack)
     both = both.where(may_be_similar("bits", "own_bits", F.col("size") + F.col("s"), similarity))
     return both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
