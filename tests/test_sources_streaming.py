@@ -1,5 +1,6 @@
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,3 +100,67 @@ def test_conversation_focus(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.conv_id, r.turns, r.last_role) for r in spark.table("focus").collect()} == {(1, 2, "assistant"), (2, 1, "user"), (1, 3, "user")}
+
+
+def test_a_batch_is_one_version(spark, tmp_path):
+    from veritempo.sources.store import Store, VersionTaken
+
+    store = Store(spark, str(tmp_path / "store"))
+    events, facts = spark.createDataFrame([(1, "a")], "event_id long, kind string"), spark.createDataFrame([(10, 1)], "fact_id long, about_id long")
+    assert store.commit("b1", {"event": events, "fact": facts}) == 1
+    assert store.commit("b1", {"event": events, "fact": facts}) == 1  # written again: nothing changes
+    assert store.read("event").count() == 1 and store.versions() == [1]
+    assert store.commit("b2", {"event": events.withColumn("event_id", F.lit(2).cast("long"))}) == 2
+    assert sorted(r.event_id for r in store.read("event").collect()) == [1, 2]
+    assert store.read("event", version=1).count() == 1 and store.read("fact").count() == 1
+    with pytest.raises(ValueError, match="schema"):
+        store.commit("b3", {"event": events.withColumn("more", F.lit(1))})
+    assert store.versions() == [1, 2]
+
+    broken = events.withColumn("kind", F.raise_error(F.lit("lost half-way")).cast("string"))
+    with pytest.raises(Exception, match="half-way"):
+        store.commit("b4", {"fact": facts, "event": broken})
+    assert store.versions() == [1, 2] and store.read("fact").count() == 1
+    assert store.commit("b4", {"fact": facts, "event": events}) == 3 and store.read("fact").count() == 2
+
+    other = Store(spark, store.path)
+    late = other.manifest()
+    store.commit("b5", {"fact": facts})
+    with pytest.raises(VersionTaken):
+        other._publish({**late, "version": late["version"] + 1})
+    gone = store.vacuum()
+    assert len(gone) == 1 and store.versions() == [4] and store.read("fact").count() == 3
+
+
+def test_discourse_stream_equals_the_fold(spark, tmp_path):
+    from veritempo.streaming import discourse
+
+    schema = "user_id long, conv_id long, turn long, kind string, ok boolean, ids array<string>, primitive string, relation_type string, result_kind string, types map<string,string>, continues boolean, attribute boolean, dimension string, candidates array<string>"
+    rng = random.Random(3)
+    turns = []
+    for n in range(120):
+        ids = rng.sample([f"e{k}" for k in range(7)], rng.choice([0, 1, 1, 2]))
+        turns.append((n % 2 + 1, n % 3, n, rng.choice(["query", "write", "write", "pending", "clarify"]), rng.random() < 0.8, ids, "attribute", None, "value", {e: f"t{e}" for e in ids}, rng.random() < 0.3, rng.random() < 0.3, "weight", rng.sample(["e1", "e2", "e9"], 2)))
+    whole = spark.createDataFrame(turns, schema)
+    expected = {(r.user_id, r.conv_id): r for r in discourse.folded(whole).collect()}
+    state = dict(discourse.EMPTY)
+    for t in [t for t in turns if t[:2] == (1, 0)]:
+        state = discourse.advance(state, dict(zip([f.name for f in whole.schema], t, strict=True)))
+    assert expected[1, 0].focus == state["focus"] and expected[1, 0].turns == state["turns"] and len(expected) == 6
+
+    source = str(tmp_path / "in")
+    for part in range(3):
+        spark.createDataFrame(turns[part * 40 : part * 40 + 40], schema).coalesce(1).write.mode("append").parquet(source)
+    held = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    found = {}
+
+    def keep(batch, number):
+        found.update({(r.user_id, r.conv_id): r for r in batch.collect()})
+
+    try:
+        rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        discourse.streamed(rows).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", held)
+    assert found == expected

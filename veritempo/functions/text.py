@@ -3,22 +3,58 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body of a value that is worked out once, however often the body names it; keeps long rules small."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 ID_PATTERN = r"^[A-Za-z0-9_.:-]{1,128}$"
 CONCEPT_PATTERN = r"^[a-z][a-z0-9_]*(\.[a-z0-9_]+)*$"
 
-#: Letters with marks of Portuguese and neighbouring languages, and the letters without.
-_MARKED, _PLAIN = "áàâãäåéèêëíìîïóòôõöúùûüçñý", "aaaaaaeeeeiiiiooooouuuucny"
+
+
+def _decompositions() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters of the basic plane whose compatibility decomposition without marks is one other character, and those with several.
+
+    Korean syllables, which are put together by rule, and characters outside the plane stay as they are.
+    """
+    one, several = {}, {}
+    for code in (*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x10000)):
+        c = chr(code)
+        bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if bare not in ("", c):
+            (one if len(bare) == 1 else several)[c] = bare.lower()
+    return one, several
+
+
+_ONE, _SEVERAL = _decompositions()
+_MARKED, _PLAIN = "".join(_ONE), "".join(x[0] for x in _ONE.values())
+#: Those of the others that texts in alphabets hold: ligatures, fractions, dots, signs of letters.
+_LIGATURES = {c: bare for c, bare in _SEVERAL.items() if "\u00a0" < c < "\u2600" or "\ufb00" <= c <= "\ufb06"}
 
 
 def fold(text: Column) -> Column:
-    """Lower case without the marks of Western European letters; punctuation stays."""
-    return F.translate(F.lower(F.trim(text)), _MARKED, _PLAIN)
+    """Lower case without marks: compatibility decomposition, in the JVM; punctuation stays.
+
+    Marks that stand alone go, so decomposed and composed texts fold alike; letters with marks and full-width forms become
+    plain ones by one translation, and ligatures and the like, where a text has any, by a map of characters.
+    """
+    low = F.regexp_replace(F.translate(F.lower(F.trim(text)), _MARKED, _PLAIN), r"\p{Mn}+", "")
+    parts = F.str_to_map(F.lit("\n".join(f"{c}\t{bare}" for c, bare in _LIGATURES.items())), F.lit("\n"), F.lit("\t"))
+
+    def spelled(low: Column) -> Column:
+        each = F.transform(F.split(low, ""), lambda c: F.coalesce(F.try_element_at(parts, c), c))
+        return F.when(low.rlike("[" + "".join(_LIGATURES) + "]"), F.array_join(each, "")).otherwise(low)
+
+    return let(low, spelled)
 
 
 def normalize(text: Column) -> Column:
@@ -54,14 +90,12 @@ def decimal_of(text: Column) -> Column:
 
 def name_like(text: Column, longest: int = 128) -> Column:
     """One line with single spaces, of limited length and with some letter or digit; else null."""
-    name = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return F.when((F.length(name) <= longest) & name.rlike(r"[\p{L}\p{N}_]"), name)
+    return let(F.trim(F.regexp_replace(text, r"\s+", " ")), lambda name: F.when((F.length(name) <= longest) & name.rlike(r"[\p{L}\p{N}_]"), name))
 
 
 def model_like(text: Column) -> Column:
     """A name of three words at most; else null."""
-    name = name_like(text)
-    return F.when(F.size(F.split(name, " ")) <= 3, name)
+    return let(name_like(text), lambda name: F.when(F.size(F.split(name, " ")) <= 3, name))
 
 
 def quantity_of(text: Column) -> Column:

@@ -66,9 +66,10 @@ def correction_targets(descriptions: DataFrame, candidates: DataFrame, correctio
 
 
 def inferred_ownership(possessives: DataFrame, relations: DataFrame, key: str = "owns") -> DataFrame:
-    """owner, entity_id of ownership that possessive mentions imply and no current relation has yet."""
-    held = relations.where("is_current").where(F.col("key") == key).select(F.col("from_id").alias("owner"), F.col("to_id").alias("entity_id"))
-    return possessives.select("owner", "entity_id").distinct().join(held, ["owner", "entity_id"], "left_anti")
+    """owner, entity_id of ownership that possessive mentions imply and no current relation of the same user has yet."""
+    pair = [*by_user(possessives, relations), "owner", "entity_id"]
+    held = relations.where("is_current").where(F.col("key") == key).withColumns({"owner": F.col("from_id"), "entity_id": F.col("to_id")})
+    return possessives.select(*pair).distinct().join(held.select(*pair), pair, "left_anti")
 
 
 def salience(commits: DataFrame, keys: list[str], position: str, entity: str = "entity_id") -> DataFrame:
@@ -99,7 +100,8 @@ def missing_slots(primitive: Column, present: dict[str, Column]) -> Column:
 def readiness(assertions: DataFrame) -> DataFrame:
     """proposal_id, n, ready and decision of assertions(proposal_id, missing): what may be done without asking."""
     known = F.col("missing").isNotNull()
-    rows = assertions.groupBy("proposal_id").agg(F.count("*").alias("n"), F.count_if(known & (F.size("missing") == 0)).alias("ready"), F.count_if(~known).alias("unsupported"), F.min(F.when(known & (F.size("missing") == 1), F.element_at("missing", 1))).alias("ask"))
+    key = [*by_user(assertions), "proposal_id"]
+    rows = assertions.groupBy(*key).agg(F.count("*").alias("n"), F.count_if(known & (F.size("missing") == 0)).alias("ready"), F.count_if(~known).alias("unsupported"), F.min(F.when(known & (F.size("missing") == 1), F.element_at("missing", 1))).alias("ask"))
     decision = (
         F.when(F.col("ready") == F.col("n"), "auto")
         .when(F.col("ready") > 0, "partial")
@@ -107,4 +109,4 @@ def readiness(assertions: DataFrame) -> DataFrame:
         .when(F.col("unsupported") == F.col("n"), "unsupported")
         .otherwise("safe_abstain")
     )
-    return rows.select("proposal_id", "n", "ready", decision.alias("decision"), F.when(decision == "clarify", F.col("ask")).alias("ask"))
+    return rows.select(*key, "n", "ready", decision.alias("decision"), F.when(decision == "clarify", F.col("ask")).alias("ask"))

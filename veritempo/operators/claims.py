@@ -203,11 +203,13 @@ def recovered(pending: DataFrame, answers: DataFrame, entities: DataFrame) -> Da
     """Answers to clarifying questions: user_id, pending_id, outcome and filled (the slot's new value).
 
     pending: user_id, pending_id, state (open, resolved, cancelled), expects, slot, rounds, answered. answers: user_id,
-    pending_id, text. entities: user_id, entity_id, name. Another user's operation is rejected, the same answer to a
+    pending_id, text. entities: user_id, entity_id, name. Ids may be the same for several users: an answer goes to its own
+    user's operation. One that only others have is rejected, one that nobody has gives no row; the same answer to a
     resolved one is a replay, closed and exhausted ones stay closed; an answer fills one slot or asks again.
     """
-    held = pending.withColumnRenamed("user_id", "owner")
-    rows = answers.join(held, "pending_id")
+    known = pending.groupBy("pending_id").agg(F.lit(True).alias("__known"))
+    rows = answers.join(pending.withColumn("__own", F.lit(True)), ["user_id", "pending_id"], "left")
+    rows = rows.join(known, "pending_id", "left").where(F.col("__own") | F.col("__known"))
     names = entities.groupBy("user_id", fold(F.col("name")).alias("__name")).agg(F.count("*").alias("n_named"), F.min("entity_id").alias("named"))
     rows = rows.withColumn("__name", fold(F.col("text"))).join(names, ["user_id", "__name"], "left")
     expects = F.col("expects")
@@ -215,7 +217,7 @@ def recovered(pending: DataFrame, answers: DataFrame, entities: DataFrame) -> Da
     value = F.when(expects == "entity_reference", F.when(F.col("n_named") == 1, F.col("named"))).when(expects == "dimension", V.measure_dimension_of(F.col("text"))).when(expects == "value", decimal_of(F.col("text")).cast("decimal(18,2)").cast("string"))
     closed = F.col("state").isin("resolved", "cancelled")
     outcome = (
-        F.when(F.col("user_id") != F.col("owner"), "rejected")
+        F.when(F.col("__own").isNull(), "rejected")
         .when((F.col("state") == "resolved") & (F.trim("answered") == F.trim("text")), "replay")
         .when(closed | (F.col("rounds") >= ROUNDS), "closed")
         .when(~(slots[0] | slots[1] | slots[2]), "unsupported_slot")

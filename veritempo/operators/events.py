@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veritempo.functions import temporal as T
 from veritempo.operators import ledger
 from veritempo.operators.scope import by_user
+from veritempo.storage import checkpoint
 
 
 def matching(events: DataFrame, types: list[str] | None = None, actions: list[str] | None = None, statuses: list[str] | None = None, domains: list[str] | None = None, ids: list | None = None) -> DataFrame:
@@ -38,29 +39,36 @@ DEEPEST = 32
 
 
 def closure(concepts: DataFrame, deepest: int = DEEPEST) -> DataFrame:
-    """concept, ancestor and least depth, itself at depth 0; one recursive query, and nothing runs before it is used.
+    """concept, ancestor and least depth, itself at depth 0, by doubling.
 
-    The hierarchy is metadata. A cycle ends at the depth limit.
+    Each round joins the ancestors that are as far away as the table reaches with the table itself, so a hierarchy of 32
+    levels takes five rounds and a flat one two. Rounds are cut by checkpoints and have no limit of rows; a round that
+    finds nothing new is the last. A cycle ends with the shortest way round it. A parent that is no concept is an ancestor.
     """
-    rows = concepts.sparkSession.sql(
-        """
-        WITH RECURSIVE step AS (SELECT DISTINCT concept, parent FROM {concepts}),
-        up(concept, ancestor, depth) AS (
-            SELECT DISTINCT concept, concept, 0 FROM step
-            UNION ALL
-            SELECT u.concept, s.parent, u.depth + 1 FROM up u JOIN step s ON s.concept = u.ancestor
-            WHERE s.parent IS NOT NULL AND u.depth < {deepest})
-        SELECT concept, ancestor, min(depth) AS depth FROM up GROUP BY concept, ancestor
-        """,
-        concepts=concepts,
-        deepest=deepest,
-    )
-    return rows
+    step = concepts.select("concept", "parent").where("concept is not null").distinct()
+    own = step.select("concept", F.col("concept").alias("ancestor"), F.lit(0).alias("depth")).distinct()
+    up = step.where("parent is not null and parent != concept").select("concept", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
+    table, reach = checkpoint(own.unionByName(up)), 1
+    while reach < deepest:
+        far = table.where(F.col("depth") == reach).select("concept", F.col("ancestor").alias("via"), F.col("depth").alias("below"))
+        more = table.where("depth > 0").select(F.col("concept").alias("via"), "ancestor", F.col("depth").alias("above"))
+        found = far.join(more, "via").select("concept", "ancestor", (F.col("below") + F.col("above")).alias("depth")).where(F.col("depth") <= deepest)
+        fresh = checkpoint(found.groupBy("concept", "ancestor").agg(F.min("depth").alias("depth")).join(table, ["concept", "ancestor"], "left_anti"))
+        if fresh.isEmpty():
+            break
+        table, reach = checkpoint(table.unionByName(fresh)), 2 * reach
+    return table
 
 
 def by_subject(events: DataFrame, participants: DataFrame, wanted: DataFrame) -> DataFrame:
     """Events with a wanted entity (column entity_id) as object, patient or subject."""
-    hit = participants.where(F.col("role").isin("role.object", "role.patient", "role.subject")).join(wanted, [*by_user(participants, wanted), "entity_id"], "left_semi")
+    hit = participants.where(F.col("role").isin("role.object", "role.patient", "role.subject")).join(wanted, [*by_user(participants, wanted, shared=True), "entity_id"], "left_semi")
+    return _having(events, hit)
+
+
+def by_object(events: DataFrame, participants: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Events with a wanted entity as object."""
+    hit = participants.where("role = 'role.object'").join(wanted, [*by_user(participants, wanted, shared=True), "entity_id"], "left_semi")
     return _having(events, hit)
 
 
@@ -68,9 +76,9 @@ def by_actor(events: DataFrame, participants: DataFrame, wanted: DataFrame) -> D
     """Events with a wanted actor; the event's own actor counts where it has no participant in that role."""
     acting = participants.where("role = 'role.actor'")
     user = by_user(events, participants)
-    hit = acting.join(wanted, [*by_user(acting, wanted), "entity_id"], "left_semi").select(*user, "event_id")
+    hit = acting.join(wanted, [*by_user(acting, wanted, shared=True), "entity_id"], "left_semi").select(*user, "event_id")
     own = wanted.withColumnRenamed("entity_id", "actor_id")
-    bare = events.join(acting.select(*user, "event_id"), [*user, "event_id"], "left_anti").join(own, [*by_user(events, own), "actor_id"], "left_semi")
+    bare = events.join(acting.select(*user, "event_id"), [*user, "event_id"], "left_anti").join(own, [*by_user(events, own, shared=True), "actor_id"], "left_semi")
     return _having(events, hit.unionByName(bare.select(*user, "event_id")))
 
 
@@ -82,11 +90,12 @@ def in_context_of_all(events: DataFrame, participants: DataFrame, wanted: list[s
 
 def by_neighbour(events: DataFrame, participants: DataFrame, relations: DataFrame, wanted: DataFrame) -> DataFrame:
     """Events with a wanted entity or one that any relation, current or corrected or not, ties to it."""
-    user = by_user(participants, relations, wanted)
-    out = relations.join(wanted.withColumnRenamed("entity_id", "from_id"), [*user, "from_id"], "left_semi").select(*user, F.col("to_id").alias("entity_id"))
-    back = relations.join(wanted.withColumnRenamed("entity_id", "to_id"), [*user, "to_id"], "left_semi").select(*user, F.col("from_id").alias("entity_id"))
-    near = wanted.select(*user, "entity_id").unionByName(out).unionByName(back)
-    return _having(events, participants.join(near, [*user, "entity_id"], "left_semi"))
+    user, asked = by_user(participants, relations), by_user(relations, wanted, shared=True)
+    ends = [("from_id", "to_id"), ("to_id", "from_id")]
+    out, back = (relations.join(wanted.withColumnRenamed("entity_id", one), [*asked, one], "left_semi").select(*user, F.col(other).alias("entity_id")) for one, other in ends)
+    own = participants.join(wanted, [*asked, "entity_id"], "left_semi")
+    near = participants.join(out.unionByName(back), [*user, "entity_id"], "left_semi")
+    return _having(events, own.unionByName(near))
 
 
 def _having(events: DataFrame, hit: DataFrame) -> DataFrame:
@@ -178,14 +187,30 @@ def event_items(events: DataFrame, participants: DataFrame) -> DataFrame:
     return events.join(ids, [*user, "event_id"], "left").select(*user, "event_id", time.alias("event_time"), "entity_ids", "created_at")
 
 
+#: Items that one list shows at most, as in the reference; matched_count tells how many there are.
+MOST_ITEMS = 200
+
+
 def sorted_items(items: DataFrame, by: str = "event_time", descending: bool = False, limit: int | None = None, id_column: str = "event_id") -> DataFrame:
     """Items in order, at most 200; a missing time counts as the earliest; ids break ties in the same direction."""
     stamp, key = F.coalesce(F.col(by).cast("string"), F.lit("")), F.col(id_column)
     order = [stamp.desc(), key.desc()] if descending else [stamp.asc(), key.asc()]
-    return items.orderBy(*order).limit(max(0, min(200, 200 if limit is None else limit)))
+    return items.orderBy(*order).limit(max(0, min(MOST_ITEMS, MOST_ITEMS if limit is None else limit)))
+
+
+def top_items(items: DataFrame, keys: list[str], n: int, by: str = "event_time", id_column: str = "event_id", descending: bool = True) -> DataFrame:
+    """The n latest (or earliest) items per keys, numbered.
+
+    Spark limits each task's groups to n rows before it shuffles and again after (WindowGroupLimit), so a key's rows
+    never meet in one task.
+    """
+    stamp, key = F.coalesce(F.col(by).cast("string"), F.lit("")), F.col(id_column)
+    order = [stamp.desc(), key.desc()] if descending else [stamp.asc(), key.asc()]
+    return items.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("position") <= n)
 
 
-def top_items(items: DataFrame, keys: list[str], n: int, by: str = "event_time", id_column: str = "event_id") -> DataFrame:
-    """The n latest items per keys, numbered."""
-    order = Window.partitionBy(*keys).orderBy(F.coalesce(F.col(by).cast("string"), F.lit("")).desc(), F.col(id_column).desc())
-    return items.withColumn("position", F.row_number().over(order)).where(F.col("position") <= n)
+def listed(items: DataFrame, keys: list[str], n: int | None = None, by: str = "event_time", descending: bool = False, id_column: str = "event_id") -> DataFrame:
+    """Per keys at most n items (200 where none is given), with position and matched_count, how many there are in all."""
+    counts = items.groupBy(*keys).agg(F.count("*").alias("matched_count"))
+    top = top_items(items, keys, max(0, min(MOST_ITEMS, MOST_ITEMS if n is None else n)), by, id_column, descending)
+    return top.join(counts, keys)

@@ -81,12 +81,13 @@ def completeness(candidates: DataFrame, requirements: DataFrame, slots: dict[str
     missing = F.col("slot").isNotNull() & ~F.array_contains("present", F.col("slot"))
     essential = F.col("importance") == "essential"
     rank = F.struct(F.when(essential, 0).otherwise(1).alias("a"), F.col("priority"), F.col("slot"))
-    found = rows.groupBy("candidate_id").agg(
+    key = [*by_user(candidates), "candidate_id"]
+    found = rows.groupBy(*key).agg(
         F.array_sort(F.collect_set(F.when(missing, F.col("slot")))).alias("missing"),
         F.max(F.coalesce(missing & essential, F.lit(False))).alias("blocking"),
         F.min(F.when(missing & (essential | F.col("ask")), rank)).alias("first"),
     )
-    return found.select("candidate_id", "missing", "blocking", (~F.col("blocking")).alias("storable"), F.col("first.slot").alias("question"))
+    return found.select(*key, "missing", "blocking", (~F.col("blocking")).alias("storable"), F.col("first.slot").alias("question"))
 
 
 def merged_requirements(schemas: DataFrame, concept_closure: DataFrame) -> DataFrame:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritempo.functions.text import fold, normalize
+from veritempo.functions.text import fold, let, normalize
 
 # Patterns over folded text that decide the result.
 CORRECTION_STRONG = [
@@ -114,11 +113,6 @@ COMMON_WORDS = [
 INVENTED_WORDS = ["siamesa", "siames", "anos", "years", "year"]
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """The body of a value that is worked out once, however often the body names it; keeps long rules small."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def any_of(text: Column, patterns: list[str]) -> Column:
     return text.rlike("|".join(f"(?:{p})" for p in patterns))
 
@@ -162,7 +156,11 @@ def senses(p: dict[str, Column]) -> Column:
     p: text (all its expressions), change, link, relation (its expression), subject_kind, object_kind, condition, state
     (its expression), stable and classification.
     """
-    low, relation, state = fold(p["text"]), fold(F.coalesce(p["relation"], F.lit(""))), fold(F.coalesce(p["state"], F.lit("")))
+    folded = F.struct(fold(p["text"]).alias("low"), fold(F.coalesce(p["relation"], F.lit(""))).alias("relation"), fold(F.coalesce(p["state"], F.lit(""))).alias("state"))
+    return let(folded, lambda x: _senses(p, x["low"], x["relation"], x["state"]))
+
+
+def _senses(p: dict[str, Column], low: Column, relation: Column, state: Column) -> Column:
     facilities, new = any_of(low, FACILITIES), any_of(low, SENSES["property_new"])
     found = [F.when(facilities, "facilities").when(any_of(low, INSTALLS), "install"), F.when(any_of(low, REPLACES) & p["change"], "replace_physical")]
     found += [F.when(any_of(low, patterns), sense) for sense, patterns in SENSES.items()]

@@ -70,11 +70,12 @@ def resolve_possessive(mentions: DataFrame, owned: DataFrame, create: bool = Fal
     rows = mentions.join(counts, [*user, "owner"], "left")
     none = "create_candidate" if create else UNRESOLVED
     status = F.when(F.col("n").isNull(), none).when(F.col("n") == 1, RESOLVED).otherwise(AMBIGUOUS)
-    return rows.select("mention_id", status.alias("status"), F.when(F.col("n") == 1, F.col("one")).alias("entity_id"), F.coalesce("n", F.lit(0)).alias("n"))
+    return rows.select(*user, "mention_id", status.alias("status"), F.when(F.col("n") == 1, F.col("one")).alias("entity_id"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def most_recent(mentions: DataFrame, recent: DataFrame) -> DataFrame:
     """Per conversation the distinct entities mentioned, latest first: recent(conv_id, position, entity_id)."""
-    last = recent.groupBy("conv_id", "entity_id").agg(F.max("position").alias("position"))
-    order = Window.partitionBy("conv_id").orderBy(F.desc("position"), "entity_id")
-    return mentions.join(last.withColumn("recency", F.row_number().over(order)), "conv_id")
+    key = [*by_user(mentions, recent), "conv_id"]
+    last = recent.groupBy(*key, "entity_id").agg(F.max("position").alias("position"))
+    order = Window.partitionBy(*key).orderBy(F.desc("position"), "entity_id")
+    return mentions.join(last.withColumn("recency", F.row_number().over(order)), key)

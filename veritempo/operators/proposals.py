@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritempo.operators.events import closure
+from veritempo.operators.scope import by_user
 
 # Cues in lower-case text that decide a query's mode.
 VALUE_CUE = r"\besta|\besta[vr]|\bera\b|\btinha\b|\bficou\b|\bj[aá]\s+(esteve|ficou|foi)\b|\bwas\b|\bwere\b|\bhad\b"
@@ -71,7 +72,8 @@ def event_roles(mentions: DataFrame) -> DataFrame:
     """
     person, place = F.col("kind") == "person", F.col("kind").isin("place", "organization")
     affected = (F.col("slot") == "subject") & F.col("intransitive") & ~person
-    any_affected = F.max(affected.cast("int")).over(Window.partitionBy("proposal_id")) == 1
+    key = [*by_user(mentions), "proposal_id"]
+    any_affected = F.max(affected.cast("int")).over(Window.partitionBy(*key)) == 1
     role = (
         F.when(affected, "role.patient")
         .when(~any_affected & person & ((F.col("hint") == "actor") | ((F.col("slot") == "subject") & F.col("change"))), "role.actor")
@@ -79,22 +81,23 @@ def event_roles(mentions: DataFrame) -> DataFrame:
         .when(place, "role.context")
     )
     rows = mentions.withColumn("role", role).where("role is not null")
-    first = F.row_number().over(Window.partitionBy("proposal_id", "role", F.lower(F.trim("text"))).orderBy("mention_id"))
-    return rows.withColumn("n", F.when(F.col("role") == "role.context", first).otherwise(1)).where("n = 1").select("proposal_id", "mention_id", "role")
+    first = F.row_number().over(Window.partitionBy(*key, "role", F.lower(F.trim("text"))).orderBy("mention_id"))
+    return rows.withColumn("n", F.when(F.col("role") == "role.context", first).otherwise(1)).where("n = 1").select(*key, "mention_id", "role")
 
 
 def propagated_hints(mentions: DataFrame) -> DataFrame:
     """mention_id and class_hint, where a proposal's only hint also counts for its mentions without one."""
-    only = mentions.groupBy("proposal_id").agg(F.count_distinct("class_hint").alias("n"), F.min("class_hint").alias("only"))
-    rows = mentions.join(only, "proposal_id")
-    return rows.select("mention_id", F.coalesce("class_hint", F.when(F.col("n") == 1, F.col("only"))).alias("class_hint"))
+    key = [*by_user(mentions), "proposal_id"]
+    only = mentions.groupBy(*key).agg(F.count_distinct("class_hint").alias("n"), F.min("class_hint").alias("only"))
+    rows = mentions.join(only, key)
+    return rows.select(*by_user(mentions), "mention_id", F.coalesce("class_hint", F.when(F.col("n") == 1, F.col("only"))).alias("class_hint"))
 
 
 def type_evidence(candidates: DataFrame, concepts: DataFrame) -> DataFrame:
     """candidates(mention_id, entity_id, type_key, hint) with evidence: type_match, type_descendant_match or null."""
     below = closure(concepts).select(F.col("concept").alias("type_key"), F.col("ancestor").alias("hint"), "depth")
     rows = candidates.join(below, ["type_key", "hint"], "left")
-    return rows.select("mention_id", "entity_id", F.when(F.col("depth") == 0, "type_match").when(F.col("depth") > 0, "type_descendant_match").alias("evidence"))
+    return rows.select(*by_user(candidates), "mention_id", "entity_id", F.when(F.col("depth") == 0, "type_match").when(F.col("depth") > 0, "type_descendant_match").alias("evidence"))
 
 
 def resolve_contextual(mentions: DataFrame, recent: DataFrame, concepts: DataFrame) -> DataFrame:
@@ -103,7 +106,8 @@ def resolve_contextual(mentions: DataFrame, recent: DataFrame, concepts: DataFra
     mentions: mention_id, conv_id, hint. recent: conv_id, position, entity_id, type_key.
     """
     below = closure(concepts).select(F.col("concept").alias("type_key"), F.col("ancestor").alias("hint"))
-    found = mentions.join(recent, "conv_id").join(below, ["type_key", "hint"], "left_semi")
-    best = found.groupBy("mention_id").agg(F.max_by("entity_id", F.struct("position", "entity_id")).alias("entity_id"))
-    rows = mentions.select("mention_id").join(best, "mention_id", "left")
-    return rows.select("mention_id", F.when(F.col("entity_id").isNull(), "unresolved").otherwise("resolved").alias("status"), "entity_id")
+    user = by_user(mentions, recent)
+    found = mentions.join(recent, [*user, "conv_id"]).join(below, ["type_key", "hint"], "left_semi")
+    best = found.groupBy(*user, "mention_id").agg(F.max_by("entity_id", F.struct("position", "entity_id")).alias("entity_id"))
+    rows = mentions.select(*user, "mention_id").join(best, [*user, "mention_id"], "left")
+    return rows.select(*user, "mention_id", F.when(F.col("entity_id").isNull(), "unresolved").otherwise("resolved").alias("status"), "entity_id")

@@ -75,11 +75,11 @@ def historical_existence(asked: DataFrame, rows: DataFrame, keys: list[str]) ->
     return asked.join(some, keys, "left").select(*keys, F.when(F.col("some"), "yes").otherwise("no").alias("answer"))
 
 
-def termination(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Per keys: of the first ended relation by id, the answer about its end and the end."""
+def termination(rows: DataFrame, keys: list[str], asked: DataFrame | None = None) -> DataFrame:
+    """Per keys, those of the rows or the asked ones: of the first ended relation by id, the answer about its end and the end."""
     ended = rows.where(F.col("termination_known") | ~F.col("is_current"))
     found = ended.groupBy(*keys).agg(F.min(F.struct("relation_id", "terminated", "termination_known")).alias("e"))
-    every = rows.select(*keys).distinct().join(found, keys, "left")
+    every = (rows if asked is None else asked).select(*keys).distinct().join(found, keys, "left")
     answer = F.when(F.col("e").isNull(), "no").when(F.col("e.terminated").isNotNull(), "yes").otherwise("unknown")
     return every.select(*keys, answer.alias("answer"), F.col("e.terminated").alias("terminated"))
 
@@ -163,14 +163,14 @@ def entity_card(entities: DataFrame, relations: DataFrame, attributes: DataFrame
     held = live[2].select(*key, F.lit("attributes").alias("list"), F.concat_ws(" ", "dimension", F.coalesce("text_value", F.col("numeric_value").cast("string")), "unit").alias("item"))
     stands = live[3].select(*key, F.lit("states").alias("list"), F.concat_ws(" ", "dimension", "value").alias("item"))
     rows = out.unionByName(into).unionByName(held).unionByName(stands)
-    named = entities.join(wanted, [*by_user(entities, wanted), "entity_id"], "left_semi").select(*key, "name")
+    named = entities.join(wanted, [*by_user(entities, wanted, shared=True), "entity_id"], "left_semi").select(*key, "name")
     return rows.join(named, key)
 
 
 def of_entity(relations: DataFrame, wanted: DataFrame) -> DataFrame:
     """entity_id and the relations, current or not, that it has at either end, numbered by observation."""
-    user = by_user(relations, wanted)
+    user, asked = by_user(relations), by_user(relations, wanted, shared=True)
     ends = [relations.withColumn("entity_id", F.col(end)) for end in ("from_id", "to_id")]
-    rows = ends[0].unionByName(ends[1].where("from_id != to_id")).join(wanted, [*user, "entity_id"], "left_semi")
+    rows = ends[0].unionByName(ends[1].where("from_id != to_id")).join(wanted, [*asked, "entity_id"], "left_semi")
     order = Window.partitionBy(*user, "entity_id").orderBy(F.coalesce(T.sort_instant(F.col("temporal")), F.lit("1900-01-01").cast("timestamp")), "relation_id")
     return rows.withColumn("position", F.row_number().over(order))

@@ -8,9 +8,20 @@ from pyspark.sql import functions as F
 USER = "user_id"
 
 
-def by_user(*frames: DataFrame) -> list[str]:
-    """The user's column where all frames have it, for the front of a key."""
-    return [USER] if all(USER in f.columns for f in frames) else []
+class MixedUsersError(ValueError):
+    """Rows of users meet rows that name no user."""
+
+
+def by_user(*frames: DataFrame, shared: bool = False) -> list[str]:
+    """The user's column, for the front of a key, or nothing where no frame has users.
+
+    Where only some of the frames have it, a key without it would mix users: that raises, unless `shared` says that the
+    others hold for every user.
+    """
+    having = [USER in f.columns for f in frames]
+    if any(having) and not all(having) and not shared:
+        raise MixedUsersError("some of the frames have no user_id")
+    return [USER] if all(having) else []
 
 
 def association_error(n_entities: Column, association: Column, primitive: Column, n_actions: Column) -> Column:

@@ -88,7 +88,45 @@ SQL: dict[str, str] = {
     "assertion_listing": f"""{_with(_STATE, _ATTRIBUTE, _MEASUREMENT)}, l AS (SELECT 'state' AS kind, entity_id, state_id AS id, row_number() OVER (PARTITION BY entity_id ORDER BY observed_at, state_id) AS position FROM state
         UNION ALL SELECT 'attribute', entity_id, attribute_id, row_number() OVER (PARTITION BY entity_id, dimension ORDER BY attribute_id) FROM attribute
         UNION ALL SELECT 'measurement', user_id::VARCHAR, measurement_id, row_number() OVER (PARTITION BY user_id, dimension ORDER BY coalesce(observed_at, TIMESTAMP '1900-01-01'), measurement_id) FROM measurement)
-        SELECT kind, entity_id, id::VARCHAR AS id, position::INT AS position FROM l WHERE position <= 3""",
+        SELECT kind, entity_id, id::VARCHAR AS id, position::INT AS position FROM l""",
     "concept_conflicts": f"""{_with(_CONCEPT, recursive=True)}, every AS (SELECT * FROM concept UNION ALL SELECT 'entity.part.' || lower(p_type), CASE WHEN p_partkey % 3 = 0 THEN 'entity.brand.' || lower(p_brand) ELSE 'entity.product' END FROM part)
         SELECT concept, count(DISTINCT coalesce(parent, '')) AS parents FROM every GROUP BY 1 HAVING count(DISTINCT coalesce(parent, '')) > 1""",
+    # Every request against every event.
+    "counts_in_many_ranges": f"""{_with(_EVENT)}, u AS (SELECT * FROM (VALUES (1::BIGINT), (2::BIGINT)) AS t(user_id)),
+        asked AS (SELECT user_id, c_custkey AS request_id, DATE '1992-06-01' + (c_custkey * 37 % 2000)::INT AS a, [1, 7, 31, 365, 1000][c_custkey % 5 + 1] AS days FROM customer, u WHERE user_id = 1 OR c_custkey % 2 = 0),
+        held AS (SELECT user_id, event_id, w_start, w_end FROM event, u WHERE event_id % 3 = 0 AND (user_id = 1 OR event_id % 2 = 0)),
+        m AS (SELECT user_id, request_id, CASE WHEN w_start IS NULL THEN 'unknown' WHEN w_start >= a AND w_end <= a + days THEN 'match' WHEN w_end <= a OR w_start >= a + days THEN 'no_match' ELSE 'unknown' END AS m FROM asked JOIN held USING (user_id)),
+        g AS (SELECT user_id, request_id, count(*) FILTER (m = 'match') AS n, count(*) FILTER (m = 'unknown') AS n_unknown FROM m GROUP BY 1, 2)
+        SELECT user_id, request_id, n, n_unknown, CASE WHEN n_unknown > 0 THEN 'partial' ELSE 'complete' END AS completeness FROM g""",
+    # Every chain is followed step by step, up to forty of them.
+    "correction_chains": """WITH RECURSIVE u AS (SELECT * FROM (VALUES (1::BIGINT), (2::BIGINT)) AS t(user_id)),
+        c AS (SELECT user_id, o_orderkey AS t, CASE WHEN o_orderkey % 10 = 0 THEN 'retract' ELSE 'replace' END AS action, CASE WHEN o_orderkey % 10 = 0 THEN NULL WHEN o_orderkey % 50 = 43 THEN o_orderkey - 2 * user_id ELSE o_orderkey + user_id END AS r, o_orderkey % 70 = 25 AS twice
+            FROM orders, u WHERE (user_id = 1 OR o_orderkey % 2 = 0) AND (o_orderkey % 10 != 0 OR o_orderkey % 30 = 0)),
+        walk AS (
+            SELECT user_id, t AS target_id, t AS pos, 0 AS steps, t AS least, 'open' AS outcome FROM c
+            UNION ALL
+            SELECT w.user_id, w.target_id, CASE WHEN c.t IS NULL OR c.twice OR c.action = 'retract' THEN w.pos ELSE c.r END, w.steps + CASE WHEN c.t IS NULL OR c.twice THEN 0 ELSE 1 END, least(w.least, coalesce(CASE WHEN NOT c.twice THEN c.r END, w.least)),
+                CASE WHEN c.t IS NULL THEN 'replaced' WHEN c.twice THEN 'branched' WHEN c.action = 'retract' THEN 'retracted' WHEN w.steps >= 40 THEN 'cycle' ELSE 'open' END
+            FROM walk w LEFT JOIN c ON c.user_id = w.user_id AND c.t = w.pos WHERE w.outcome = 'open')
+        SELECT user_id, target_id, CASE WHEN outcome = 'cycle' THEN least ELSE pos END AS last_id, CASE WHEN outcome = 'cycle' THEN -1 ELSE steps END::INT AS steps, outcome FROM walk WHERE outcome != 'open'""",
+    # The same fold, turn by turn, in lists.
+    "discourse_states": """WITH RECURSIVE u AS (SELECT * FROM (VALUES (1::BIGINT), (2::BIGINT)) AS t(user_id)),
+        raw AS (SELECT u.user_id, event_id AS k, event_id % 20 AS conv_id, event_type AS dim, 'e:' || event_id % 7 AS one, 'e:' || event_id % 5 AS two FROM events, u WHERE u.user_id = 1 OR event_id % 2 = 0),
+        turns AS (SELECT *, row_number() OVER (PARTITION BY user_id, conv_id ORDER BY k) AS n, CASE WHEN k % 11 = 0 THEN 'pending' WHEN k % 13 = 0 THEN 'clarify' WHEN k % 2 = 0 THEN 'query' ELSE 'write' END AS kind, k % 5 != 1 AS ok,
+                CASE WHEN k % 4 = 3 THEN [] WHEN k % 3 = 0 THEN CASE WHEN one = two THEN [one] ELSE [one, two] END ELSE [one] END AS ids, CASE WHEN two = 'e:1' THEN ['e:1'] ELSE ['e:1', two] END AS asked FROM raw),
+        f AS (
+            SELECT user_id, conv_id, 0::BIGINT AS n, []::VARCHAR[] AS focus, NULL::VARCHAR AS target_type, []::STRUCT(e VARCHAR, s DOUBLE)[] AS refs, NULL::VARCHAR AS pending, 0 AS idle, NULL::VARCHAR AS reason FROM turns GROUP BY 1, 2
+            UNION ALL
+            SELECT user_id, conv_id, n_next, CASE WHEN commits THEN ids WHEN clears THEN [] ELSE focus END, CASE WHEN commits THEN 't:' || split_part(one, ':', 2) WHEN clears THEN NULL ELSE target_type END,
+                CASE WHEN kind = 'pending' THEN list_concat(list_transform(list_reverse(asked), lambda x: {'e': x, 's': 0.9}), list_filter(refs, lambda r: NOT list_contains(asked, r.e)))[1:8]
+                    WHEN commits THEN list_concat(list_transform(list_reverse(ids), lambda x: {'e': x, 's': 1.0}), list_transform(old, lambda x: {'e': x, 's': 0.6}), list_filter(faded, lambda r: NOT list_contains(ids, r.e) AND NOT list_contains(old, r.e)))[1:8]
+                    WHEN clears THEN faded ELSE refs END,
+                CASE WHEN kind = 'pending' THEN dim WHEN commits AND (kind = 'query' OR k % 6 != 1) THEN NULL ELSE pending END,
+                CASE WHEN kind IN ('pending', 'clarify') THEN idle WHEN commits THEN 0 ELSE idle + 1 END,
+                CASE WHEN kind = 'pending' THEN 'pending_query_stored' WHEN commits THEN CASE WHEN len(focus) > 0 AND len(old) = len(focus) THEN 'topic_switch' WHEN kind = 'query' THEN 'successful_query' WHEN k % 9 = 0 THEN 'successful_attribute_write' ELSE 'successful_write' END WHEN clears THEN 'idle_cleared' ELSE reason END
+            FROM (SELECT f.*, t.* EXCLUDE (user_id, conv_id, n), kind IN ('query', 'write') AND len(ids) > 0 AND (kind = 'query' OR ok) AS commits, kind IN ('query', 'write') AND NOT (len(ids) > 0 AND (kind = 'query' OR ok)) AND idle + 1 > 8 AS clears, t.n AS n_next,
+                    list_filter(focus, lambda x: NOT list_contains(ids, x)) AS old, list_filter(list_transform(refs, lambda r: {'e': r.e, 's': format('{:.3f}', r.s * 0.85::DOUBLE)::DOUBLE}), lambda r: r.s >= 0.2) AS faded
+                FROM f JOIN turns t ON t.user_id = f.user_id AND t.conv_id = f.conv_id AND t.n = f.n + 1) s),
+        last AS (SELECT *, row_number() OVER (PARTITION BY user_id, conv_id ORDER BY n DESC) AS back FROM f)
+        SELECT user_id, conv_id, n AS turns, array_to_string(focus, ' ') AS focus, coalesce(target_type, '') AS target_type, array_to_string(list_transform(refs, lambda r: r.e || '=' || format('{:.3f}', r.s)), ' ') AS referents, coalesce(pending, '') AS pending, idle::BIGINT AS idle, coalesce(reason, '') AS reason FROM last WHERE back = 1""",
 }

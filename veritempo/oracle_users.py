@@ -27,6 +27,12 @@ def _sums(keys: str, more: str = "true") -> str:
         SELECT {keys}, coalesce(s, 0)::DECIMAL(28,2) AS total, n_facts, n_unknown_events FROM g JOIN o USING ({keys}) WHERE n_facts > 0 OR n_unknown_events > 0"""
 
 
+def _event_lists(where: str, limit: int) -> str:
+    return f"""{_with(_EVENT, _USERS, _TWO_EVENTS)}, m AS (SELECT user_id, event_id, coalesce(strftime(instant, '%Y-%m-%dT%H:%M:%S'), '') AS t FROM event2 WHERE {where}),
+        n AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id)::INT AS position, event_id, count(*) OVER (PARTITION BY user_id) AS matched_count FROM m)
+        SELECT * FROM n WHERE position <= {limit}"""
+
+
 SQL: dict[str, str] = {
     "isolated_effective": f"{_with(_FACT, _USERS, _TWO_FACTS)} SELECT user_id, currency, count(*) AS n, sum(amount) AS total FROM fact2 WHERE {_EFFECTIVE} GROUP BY 1, 2",
     "isolated_current_facts": f"{_with(_FACT, _USERS, _TWO_FACTS)} SELECT user_id, count(*) AS n, sum(amount) AS total FROM fact2 WHERE {_CURRENT} GROUP BY 1",
@@ -74,4 +80,26 @@ SQL: dict[str, str] = {
     "spec_event_list": f"{_with(_EVENT)} SELECT event_id, coalesce(strftime(instant, '%Y-%m-%dT%H:%M:%S'), '') AS event_time FROM event WHERE event_id % 2 = 0 AND actor_id IN ('c:2', 'c:4') ORDER BY event_time DESC, event_id DESC LIMIT 200",
     "spec_effective_sum": _sums("user_id", _EFFECTIVE),
     "spec_state": "SELECT entity_id, state_id::VARCHAR AS state_id, completeness FROM (" + _with(_STATE, _current_state("entity_id", "dimension = 'openness'")) + " SELECT * FROM current)",
+    "spec_event_lists": f"""{_with(_EVENT, _USERS, _TWO_EVENTS)}, m AS (SELECT user_id, event_id, coalesce(strftime(instant, '%Y-%m-%dT%H:%M:%S'), '') AS t FROM event2 WHERE status = 'completed' AND {_membership(*_YEAR)} != 'no_match')
+        SELECT * FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY t DESC, event_id DESC)::INT AS position, event_id, count(*) OVER (PARTITION BY user_id) AS matched_count FROM m) WHERE position <= 5""",
+    "spec_event_objects": _event_lists("event_id IN (SELECT l_orderkey FROM lineitem WHERE l_partkey IN (2, 3, 4))", 50),
+    "spec_event_neighbours": _event_lists("split_part(actor_id, ':', 2)::BIGINT IN (SELECT c_custkey FROM customer WHERE c_nationkey IN (2, 4) AND (user_id = 1 OR c_custkey % 2 = 0))", 7),
+    "spec_relation_asked": """SELECT 1::BIGINT AS user_id, 'boolean' AS mode, 'c:7' AS subject, 'no' AS answer UNION ALL SELECT u, 'boolean', 'c:14', 'no' FROM (VALUES (1), (2)) t(u)
+        UNION ALL SELECT u, 'boolean', 'p:2', 'no' FROM (VALUES (1), (2)) t(u) UNION ALL SELECT 1, 'boolean', 'p:3', 'no' UNION ALL SELECT u, 'historical', 'n:4', 'no' FROM (VALUES (1), (2)) t(u) UNION ALL SELECT u, 'termination', 'r:2', 'no' FROM (VALUES (1), (2)) t(u)""",
+    "spec_relation_of_objects": """WITH live AS (SELECT u AS user_id, c_custkey % 4 = 0 AS undated FROM customer, (VALUES (1::BIGINT), (2::BIGINT)) t(u) WHERE c_nationkey = 2 AND c_custkey % 7 != 0 AND (u = 1 OR c_custkey % 2 = 0)),
+        g AS (SELECT user_id, (count(*) FILTER (undated) + least(count(*) FILTER (NOT undated), 1))::BIGINT AS n FROM live GROUP BY 1)
+        SELECT u AS user_id, 'n:2' AS object, CASE coalesce(n, 0) WHEN 0 THEN 'no' WHEN 1 THEN 'yes' ELSE 'unknown' END AS answer, coalesce(n, 0) AS n FROM (VALUES (1::BIGINT), (2::BIGINT)) t(u) LEFT JOIN g ON user_id = u""",
+    "spec_relation_pair_of_type": """SELECT u AS user_id, 'r:' || r AS object, kind, CASE WHEN kind = 'entity.region' AND r = (SELECT n_regionkey FROM nation WHERE n_nationkey = 2) AND (u = 1 OR r % 2 = 0) THEN 'yes' ELSE 'no' END AS answer
+        FROM (VALUES (1::BIGINT), (2::BIGINT)) t(u), range(5) x(r), (VALUES ('entity.region'), ('entity.nation')) k(kind)""",
+    "isolated_possessive": """WITH m AS (SELECT u AS user_id, c_custkey % 50 AS mention_id, CASE WHEN c_custkey % 7 != 0 AND (u = 1 OR c_nationkey % 2 = 0) THEN 'n:' || c_nationkey END AS place FROM customer, (VALUES (1::BIGINT), (2::BIGINT)) t(u) WHERE (u = 1 OR c_custkey % 2 = 0) AND c_custkey % 50 < 20)
+        SELECT user_id, mention_id, CASE WHEN place IS NULL THEN 'unresolved' ELSE 'resolved' END AS status, count(*) AS n, max(place) AS last FROM m GROUP BY ALL""",
+    "isolated_contextual": """WITH r AS (SELECT u AS user_id, event_id % 40 AS conv_id, event_id, event_type FROM events, (VALUES (1::BIGINT), (2::BIGINT)) t(u) WHERE u = 1 OR event_id % 2 = 0),
+        best AS (SELECT user_id, conv_id, max(event_id) FILTER (conv_id % 2 != 0 OR event_type = 'click') AS e FROM r GROUP BY 1, 2)
+        SELECT user_id, conv_id AS mention_id, CASE WHEN e IS NULL THEN 'unresolved' ELSE 'resolved' END AS status, 'e:' || e AS entity_id FROM best""",
+    "isolated_referents": """WITH r AS (SELECT u AS user_id, event_id % 40 AS conv_id, event_type AS entity_id, max(event_id) AS last FROM events, (VALUES (1::BIGINT), (2::BIGINT)) t(u) WHERE u = 1 OR event_id % 2 = 0 GROUP BY ALL)
+        SELECT user_id, conv_id, entity_id, row_number() OVER (PARTITION BY user_id, conv_id ORDER BY last DESC, entity_id)::INT AS recency FROM r""",
+    "isolated_ownership": """SELECT u AS user_id, count(*) AS n, max('c:' || c_custkey) AS last FROM customer, (VALUES (1::BIGINT), (2::BIGINT)) t(u) WHERE c_custkey % 7 = 0 OR (u = 2 AND c_custkey % 2 != 0) GROUP BY 1""",
+    "isolated_recovery": """WITH a AS (SELECT u AS user_id, o_orderkey % 3 AS k, u = 1 OR o_orderkey % 2 = 0 AS own FROM orders, (VALUES (1::BIGINT), (2::BIGINT)) t(u)),
+        o AS (SELECT *, CASE WHEN NOT own THEN 'rejected' WHEN user_id = 2 THEN CASE WHEN k = 0 THEN 'replay' ELSE 'closed' END WHEN k = 2 THEN 'asked_again' ELSE 'recovered' END AS outcome FROM a)
+        SELECT user_id, outcome, count(*) AS n, max(CASE WHEN outcome = 'recovered' THEN CASE k WHEN 0 THEN '7.00' ELSE '12.50' END END) AS last_filled FROM o GROUP BY 1, 2""",
 }

@@ -37,7 +37,7 @@ class QuerySpec:
     statuses: list[str] = field(default_factory=list)
     domains: list[str] = field(default_factory=list)
     entity_ids: list[str] = field(default_factory=list)
-    association: str | None = None  # actor, subject, context or relation_endpoint
+    association: str | None = None  # actor, subject, object, context, relation_endpoint, relation_subject or relation_object
     fact_concepts: list[str] = field(default_factory=list)
     dimension: str | None = None
     relation_key: str | None = None
@@ -77,8 +77,14 @@ def _effective(spec: QuerySpec, frames: KnowledgeFrames, rows: DataFrame, kind:
     return ledger.effective(rows, f"{kind}_id", kind, frames.correction) if spec.effective_only else rows
 
 
+#: What the entity ids of a specification may be.
+ASSOCIATIONS = ("actor", "subject", "object", "context", "relation_endpoint", "relation_subject", "relation_object")
+
+
 def _wanted(spec: QuerySpec, frames: KnowledgeFrames) -> DataFrame:
-    return frames.spark.createDataFrame([(e,) for e in spec.entity_ids], "entity_id string")
+    """The entities asked about: of one user, or the ids for every user."""
+    rows = frames.spark.createDataFrame([(e,) for e in spec.entity_ids], "entity_id string")
+    return rows if spec.user_id is None else rows.withColumn(scope.USER, F.lit(spec.user_id).cast("long"))
 
 
 def check(spec: QuerySpec, frames: KnowledgeFrames) -> None:
@@ -91,6 +97,10 @@ def check(spec: QuerySpec, frames: KnowledgeFrames) -> None:
         raise QueryError(f"{spec.mode} needs a range")
     if spec.mode in ("existence", "proposition") and spec.text_value is None and spec.number_value is None:
         raise QueryError(f"{spec.mode} needs a value")
+    if spec.association is not None and spec.association not in ASSOCIATIONS:
+        raise QueryError(f"unknown association {spec.association}")
+    if spec.primitive in ("event", "fact") and spec.association in ("relation_subject", "relation_object"):
+        raise QueryError(f"{spec.association} is for relations")
     free = (spec.primitive == "relation" and len(spec.entity_ids) >= 2) or (spec.actions and spec.entity_ids)
     if spec.primitive in ("event", "fact") and spec.entity_ids and not spec.association and not free:
         raise QueryError("entity_ids need an association")
@@ -116,6 +126,8 @@ def _events(spec: QuerySpec, frames: KnowledgeFrames) -> DataFrame:
         wanted = _wanted(spec, frames)
         if spec.association == "subject":
             rows = events.by_subject(rows, frames.participant, wanted)
+        elif spec.association == "object":
+            rows = events.by_object(rows, frames.participant, wanted)
         elif spec.association == "context":
             rows = events.in_context_of_all(rows, frames.participant, spec.entity_ids)
         elif spec.association == "relation_endpoint":
@@ -160,30 +172,36 @@ def _measurements(spec: QuerySpec, frames: KnowledgeFrames) -> DataFrame:
 def _relations(spec: QuerySpec, frames: KnowledgeFrames, keys: list[str]) -> DataFrame:
     start, end = spec.range()
     rows = relations.by_key(_effective(spec, frames, frames.relation, "relation"), spec.relation_key)
+    every = rows.select(*keys, "subject").distinct()
     if spec.object_types:
         rows = rows.drop("to_id").withColumnRenamed("object", "to_id")
         rows = relations.of_object_type(rows, frames.entity, spec.object_types).withColumnRenamed("to_id", "object")
-    asked = rows.select(*keys, "subject").distinct()
+    end_asked = "object" if spec.association == "relation_object" and len(spec.entity_ids) == 1 else "subject"
     if spec.entity_ids:
-        asked = asked.where(F.col("subject").isin(spec.entity_ids[:1]))
-        rows = rows.where(F.col("subject").isin(spec.entity_ids[:1]))
+        # whoever has the entity gets an answer, with relations or without
+        seen = _scoped(spec, frames.entity).where(F.col("entity_id").isin(spec.entity_ids[:1]))
+        asked = seen.select(*keys, F.col("entity_id").alias(end_asked)).distinct()
+        rows = rows.where(F.col(end_asked).isin(spec.entity_ids[:1]))
         if len(spec.entity_ids) > 1:
-            rows = rows.where(F.col("object").isin(spec.entity_ids[1:]))
+            rows = rows.where(F.col("object").isin(spec.entity_ids[1:2]))
+    else:
+        asked = every  # all that stand in the relation, whatever the type of the other end
     if spec.mode == "boolean":
-        return relations.current_answer(asked, rows, [*keys, "subject"])
+        return relations.current_answer(asked, rows, [*keys, end_asked])
     if spec.mode == "historical":
-        return relations.historical_existence(asked, rows, [*keys, "subject"])
+        return relations.historical_existence(asked, rows, [*keys, end_asked])
     if spec.mode == "termination":
-        return relations.termination(rows, [*keys, "subject"])
+        return relations.termination(rows, [*keys, end_asked], asked)
     if spec.mode == "held_during":
         return relations.held_during(rows, [*keys, "subject", "object"], start, end)
-    return relations.ranked(rows.where("is_current"), [*keys, "subject"])
+    return relations.ranked(rows.where("is_current"), [*keys, end_asked])
 
 
 def execute(spec: QuerySpec, frames: KnowledgeFrames) -> DataFrame:
     """The answer to a specification. Precedence: snapshot, measurement, attribute, relation, state, fact, event.
 
-    All users at once, or the one that the specification names; per-user branches have user_id in their keys.
+    All users at once, or the one that the specification names; user_id is in every key. A list of events has each
+    user's first items by position, and matched_count.
     """
     check(spec, frames)
     keys = [scope.USER]
@@ -214,4 +232,4 @@ def execute(spec: QuerySpec, frames: KnowledgeFrames) -> DataFrame:
     if spec.aggregate == "count":
         return events.counts(chosen, keys)
     items = events.event_items(chosen, frames.participant)
-    return events.sorted_items(items, "event_time", spec.descending, spec.limit)
+    return events.listed(items, keys, spec.limit, "event_time", spec.descending)

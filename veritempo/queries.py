@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritempo import queries_claims, queries_rules, queries_users, queries_writes  # noqa: F401  (they register their queries)
+from veritempo import queries_claims, queries_concepts, queries_rules, queries_users, queries_writes  # noqa: F401  (they register their queries)
 from veritempo.functions import temporal as T
 from veritempo.functions import text as X
 from veritempo.operators import attributes, catalog, events, ingest, interpret, ledger, linkage, measurements, proposals, relations, states
@@ -173,7 +173,7 @@ def count_with_unknown(f):
 @query
 def latest_event_value(f):
     rows = events.with_membership(f.event, *span(YEAR)).where(F.col("membership") != T.NO_MATCH)
-    return events.latest(rows, ledger.current_facts(f.fact), ["actor_id"])
+    return events.latest(rows, ledger.current_facts(f.fact), ["user_id", "actor_id"]).drop("user_id")
 
 
 # Attributes -------------------------------------------------------------------------------------------------------
@@ -371,14 +371,14 @@ def owned_entities(f):
 
 @query
 def graph_walk_2hop(f):
-    seeds = f.entity.where("type_key = 'entity.region'").select(F.col("entity_id").alias("seed"))
-    return relations.walk(seeds, f.relation.where("key in ('resides_at', 'located_in')"), 2, most=None)
+    seeds = f.entity.where("type_key = 'entity.region'").select("user_id", F.col("entity_id").alias("seed"))
+    return relations.walk(seeds, f.relation.where("key in ('resides_at', 'located_in')"), 2, most=None).drop("user_id")
 
 
 @query
 def graph_walk_bounded(f):
-    seeds = f.entity.where("type_key = 'entity.region'").select(F.col("entity_id").alias("seed"))
-    return relations.walk(seeds, f.relation.where("key in ('resides_at', 'located_in')"), 2, most=40)
+    seeds = f.entity.where("type_key = 'entity.region'").select("user_id", F.col("entity_id").alias("seed"))
+    return relations.walk(seeds, f.relation.where("key in ('resides_at', 'located_in')"), 2, most=40).drop("user_id")
 
 
 @query
@@ -411,19 +411,19 @@ def _mentions(f: KnowledgeFrames) -> DataFrame:
 
 @query
 def entity_resolution_named(f):
-    return linkage.resolve_named(_mentions(f), f.entity, f.concept)
+    return linkage.resolve_named(_mentions(f).withColumn("user_id", F.lit(1).cast("long")), f.entity, f.concept).drop("user_id")
 
 
 @query
 def entity_resolution_names_shared(f):
-    mentions = f.table("part").select(F.col("p_partkey").alias("mention_id"), F.col("p_name").alias("text"), F.lit("entity.product").alias("hint"))
-    return linkage.resolve_named(mentions, f.entity, f.concept)
+    mentions = f.owned("part", "p_partkey").select("user_id", F.col("p_partkey").alias("mention_id"), F.col("p_name").alias("text"), F.lit("entity.product").alias("hint"))
+    return linkage.resolve_named(mentions, f.entity, f.concept).drop("user_id")
 
 
 @query
 def entity_resolution_possessive(f):
-    mentions = f.table("customer").select(F.col("c_custkey").alias("mention_id"), F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("owner"))
-    return linkage.resolve_possessive(mentions, relations.owned(f.relation, f.entity, f.concept, "resides_at", "entity.place"), create=True)
+    mentions = f.owned("customer", "c_custkey").select("user_id", F.col("c_custkey").alias("mention_id"), F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("owner"))
+    return linkage.resolve_possessive(mentions, relations.owned(f.relation, f.entity, f.concept, "resides_at", "entity.place"), create=True).drop("user_id")
 
 
 @query
@@ -608,8 +608,8 @@ def correction_target(f):
 
 @query
 def inferred_ownership(f):
-    said = f.table("orders").select(F.concat(F.lit("c:"), F.col("o_custkey").cast("string")).alias("owner"), F.concat(F.lit("s:"), (F.col("o_orderkey") % 10 + 1).cast("string")).alias("entity_id"))
-    return catalog.inferred_ownership(said, f.relation, "buys_from")
+    said = f.owned("orders", "o_orderkey").select("user_id", F.concat(F.lit("c:"), F.col("o_custkey").cast("string")).alias("owner"), F.concat(F.lit("s:"), (F.col("o_orderkey") % 10 + 1).cast("string")).alias("entity_id"))
+    return catalog.inferred_ownership(said, f.relation, "buys_from").drop("user_id")
 
 
 @query

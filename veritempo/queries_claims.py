@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from veritempo.operators import catalog, claims, events, ledger
+from veritempo.operators import catalog, claims, events, ledger, ranges
 from veritempo.registry import LOG_DAY, query, query_of_two_users, span, text_of
+from veritempo.streaming import discourse
 
 KINDS = ["entity", "attribute", "relation", "measurement", "classification", "intrinsic_property", "mood"]
 ORIGINS = ["explicit", "explicit", "derived", "explicit", "assumed"]
@@ -158,7 +159,7 @@ def assertion_listing(f):
     attribute = f.attribute.select(F.lit("attribute").alias("kind"), "entity_id", F.col("attribute_id").alias("id"), F.row_number().over(Window.partitionBy("user_id", "entity_id", "dimension").orderBy("attribute_id")).alias("position"))
     measured = f.measurement.select(F.lit("measurement").alias("kind"), F.col("user_id").cast("string").alias("entity_id"), F.col("measurement_id").alias("id"), F.row_number().over(Window.partitionBy("user_id", "dimension").orderBy(F.coalesce("observed_at", F.lit("1900-01-01").cast("timestamp")), "measurement_id")).alias("position"))
     rows = state.unionByName(attribute).unionByName(measured)
-    return rows.where("position <= 3").select("kind", "entity_id", text_of("id"), "position")
+    return rows.select("kind", "entity_id", text_of("id"), "position")
 
 
 @query
@@ -166,3 +167,40 @@ def concept_conflicts(f):
     """Registrations that would give a concept several parents."""
     new = f.table("part").select(F.concat(F.lit("entity.part."), F.lower("p_type")).alias("concept"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("entity.brand."), F.lower("p_brand"))).otherwise("entity.product").alias("parent"))
     return catalog.conflicting_concepts(f.concept.unionByName(new))
+
+
+@query_of_two_users
+def counts_in_many_ranges(f):
+    """Every customer asks about a range of its own, from a day to some years, over all orders of its user."""
+    k = F.col("c_custkey")
+    day = F.date_add(F.lit("1992-06-01").cast("date"), (k * 37 % 2000).cast("int"))
+    days = F.element_at(F.array(*map(F.lit, [1, 7, 31, 365, 1000])), (k % 5 + 1).cast("int"))
+    asked = f.owned("customer", "c_custkey").select("user_id", k.alias("request_id"), day.cast("timestamp").alias("start"), F.date_add(day, days).cast("timestamp").alias("end"))
+    return ranges.counted(asked, f.event.where("event_id % 3 = 0"))
+
+
+@query_of_two_users
+def correction_chains(f):
+    """Chains of replacements that end in an effective assertion or a retraction, go round, or branch."""
+    k = F.col("o_orderkey")
+    step = F.col("user_id")
+    following = F.when(k % 50 == 43, k - 2 * step).otherwise(k + step)
+    ends = k % 10 == 0
+    rows = f.owned("orders", "o_orderkey").where(~ends | (k % 30 == 0)).select("user_id", F.lit("fact").alias("kind"), k.alias("target_id"), F.when(ends, "retract").otherwise("replace").alias("action"), F.when(~ends, following).alias("replacement_id"))
+    twice = rows.where("target_id % 70 = 25").withColumns({"action": F.lit("retract"), "replacement_id": F.lit(None).cast("long")})
+    return ledger.last_replacements(rows.unionByName(twice)).select("user_id", "target_id", "last_id", F.coalesce("steps", F.lit(-1)).alias("steps"), "outcome")
+
+
+@query_of_two_users
+def discourse_states(f):
+    """Every conversation's focus, referents and pending question after all its turns, made of the log of each user's events."""
+    k, kind = F.col("event_id"), F.col("event_type")
+    one, two = F.concat(F.lit("e:"), (k % 7).cast("string")), F.concat(F.lit("e:"), (k % 5).cast("string"))
+    turn_kind = F.when(k % 11 == 0, "pending").when(k % 13 == 0, "clarify").when(k % 2 == 0, "query").otherwise("write")
+    ids = F.when(k % 4 == 3, F.array().cast("array<string>")).when(k % 3 == 0, F.array(one, two)).otherwise(F.array(one))
+    turns = f.owned("events", "event_id").select(
+        "user_id", (k % 20).alias("conv_id"), k.alias("turn"), turn_kind.alias("kind"), (k % 5 != 1).alias("ok"), ids.alias("ids"), F.lit("attribute").alias("primitive"), F.lit(None).cast("string").alias("relation_type"), F.lit("value").alias("result_kind"),
+        F.create_map(one, F.concat(F.lit("t:"), (k % 7).cast("string"))).alias("types"), (k % 6 == 1).alias("continues"), (k % 9 == 0).alias("attribute"), kind.alias("dimension"), F.array(F.lit("e:1"), two).alias("candidates"),
+    )
+    shown = F.array_join(F.transform("referents", lambda r: F.concat_ws("=", r["entity_id"], F.format_number(r["salience"], 3))), " ")
+    return discourse.folded(turns).select("user_id", "conv_id", "turns", F.array_join("focus", " ").alias("focus"), F.coalesce("target_type", F.lit("")).alias("target_type"), shown.alias("referents"), F.coalesce("pending_dimension", F.lit("")).alias("pending"), "idle", F.coalesce("reason", F.lit("")).alias("reason"))

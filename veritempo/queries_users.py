@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from veritempo.operators import events, ingest, ledger, linkage, relations, scope
+from veritempo.operators import catalog, claims, events, ingest, ledger, linkage, proposals, relations, scope
 from veritempo.plans.spec import QuerySpec, execute
 from veritempo.registry import YEAR, query, query_of_two_users, span, text_of
 
@@ -205,3 +205,93 @@ def spec_effective_sum(f):
 @query
 def spec_state(f):
     return execute(QuerySpec(primitive="state", dimension="openness"), f).select("entity_id", text_of("state_id"), "completeness")
+
+
+@query_of_two_users
+def spec_event_lists(f):
+    """The five latest orders of every user, and how many there are."""
+    rows = execute(QuerySpec(statuses=["completed"], start=dt.datetime(1996, 1, 1), end=dt.datetime(1997, 1, 1), descending=True, limit=5), f)
+    return rows.select("user_id", "position", "event_id", "matched_count")
+
+
+@query_of_two_users
+def spec_event_objects(f):
+    rows = execute(QuerySpec(entity_ids=["p:2", "p:3", "p:4"], association="object", limit=50), f)
+    return rows.select("user_id", "position", "event_id", "matched_count")
+
+
+@query_of_two_users
+def spec_event_neighbours(f):
+    """Events of what a relation ties to two nations, by user."""
+    rows = execute(QuerySpec(entity_ids=["n:2", "n:4"], association="relation_endpoint", limit=7), f)
+    return rows.select("user_id", "position", "event_id", "matched_count")
+
+
+@query_of_two_users
+def spec_relation_asked(f):
+    """What has no such relation is answered too, for whoever has it; what only the first user has is none of the second one's."""
+    asked = [("resides_at", "boolean", ["c:7"]), ("resides_at", "boolean", ["c:14"]), ("resides_at", "boolean", ["p:2"]), ("resides_at", "boolean", ["p:3"]), ("sells_to", "historical", ["n:4"]), ("buys_from", "termination", ["r:2"])]
+    rows = [execute(QuerySpec(primitive="relation", relation_key=key, mode=mode, entity_ids=ids), f).select("user_id", F.lit(mode).alias("mode"), "subject", "answer") for key, mode, ids in asked]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+@query_of_two_users
+def spec_relation_of_objects(f):
+    """By the other end: who resides where, asked about the place."""
+    rows = execute(QuerySpec(primitive="relation", relation_key="resides_at", mode="boolean", entity_ids=["n:2"], association="relation_object"), f)
+    return rows.select("user_id", "object", "answer", "n")
+
+
+@query_of_two_users
+def spec_relation_pair_of_type(f):
+    """A pair whose object has another type than asked for is no hit."""
+    specs = [QuerySpec(primitive="relation", relation_key="located_in", mode="boolean", entity_ids=["n:2", f"r:{r}"], object_types=[kind]) for r in range(5) for kind in ("entity.region", "entity.nation")]
+    rows = [execute(s, f).select("user_id", F.lit(s.entity_ids[1]).alias("object"), F.lit(s.object_types[0]).alias("kind"), "answer") for s in specs]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+@query_of_two_users
+def isolated_possessive(f):
+    """Both users' customers say "mine" under the same mention ids; the second user has fewer places."""
+    mentions = f.owned("customer", "c_custkey").select("user_id", (F.col("c_custkey") % 50).alias("mention_id"), F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("owner")).where("mention_id < 20")
+    rows = linkage.resolve_possessive(mentions, relations.owned(f.relation, f.entity, f.concept, "resides_at", "entity.place"))
+    return rows.groupBy("user_id", "mention_id", "status").agg(F.count("*").alias("n"), F.max("entity_id").alias("last"))
+
+
+@query_of_two_users
+def isolated_contextual(f):
+    """Conversations of two users bear the same numbers."""
+    key = F.col("event_id")
+    recent = f.owned("events", "event_id").select("user_id", (key % 40).alias("conv_id"), key.alias("position"), F.concat(F.lit("e:"), key.cast("string")).alias("entity_id"), F.concat(F.lit("event."), F.col("event_type")).alias("type_key"))
+    asked = recent.select("user_id", "conv_id").distinct().withColumns({"mention_id": F.col("conv_id"), "hint": F.when(F.col("conv_id") % 2 == 0, "event.click").otherwise("event.any")})
+    return proposals.resolve_contextual(asked, recent, f.concept)
+
+
+@query_of_two_users
+def isolated_referents(f):
+    recent = f.owned("events", "event_id").select("user_id", (F.col("event_id") % 40).alias("conv_id"), F.col("event_id").alias("position"), F.col("event_type").alias("entity_id"))
+    return linkage.most_recent(recent.select("user_id", "conv_id").distinct(), recent).select("user_id", "conv_id", "entity_id", "recency")
+
+
+@query_of_two_users
+def isolated_ownership(f):
+    """What one user's relations hold doesn't keep the other one's mentions from implying it."""
+    key = F.col("c_custkey")
+    owner, place = F.concat(F.lit("c:"), key.cast("string")), F.concat(F.lit("n:"), F.col("c_nationkey").cast("string"))
+    said = f.table("customer").select(F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("user_id"), owner.alias("owner"), place.alias("entity_id"))
+    return catalog.inferred_ownership(said, f.relation, "resides_at").groupBy("user_id").agg(F.count("*").alias("n"), F.max("owner").alias("last"))
+
+
+@query_of_two_users
+def isolated_recovery(f):
+    """Both users have pending operations under the same ids; those of the second one are resolved."""
+    k = F.col("o_orderkey")
+    pending = f.owned("orders", "o_orderkey").select("user_id", k.alias("pending_id"), F.when(F.col("user_id") == 2, "resolved").otherwise("open").alias("state"), F.lit("value").alias("expects"), F.lit("value").alias("slot"), F.lit(0).alias("rounds"), F.lit("7").alias("answered"))
+    answers = f.table("orders").select(F.explode(F.sequence(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("user_id"), k.alias("pending_id"), F.when(k % 3 == 0, "7").when(k % 3 == 1, "12,5").otherwise("?").alias("text"))
+    return claims.recovered(pending, answers, f.entity).groupBy("user_id", "outcome").agg(F.count("*").alias("n"), F.max("filled").alias("last_filled"))

@@ -83,7 +83,7 @@ def _validated(f):
 
 
 def _completeness(f):
-    return f.table("orders").select(F.col("o_orderkey").alias("candidate_id"), (F.col("o_orderkey") % 12 == 0).alias("blocking"), F.lit("time").alias("question"))
+    return f.owned("orders", "o_orderkey").select("user_id", F.col("o_orderkey").alias("candidate_id"), (F.col("o_orderkey") % 12 == 0).alias("blocking"), F.lit("time").alias("question"))
 
 
 @query_of_two_users

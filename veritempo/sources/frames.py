@@ -12,6 +12,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, TimestampNTZType, TimestampType
 
 from veritempo.functions import temporal as T
 
@@ -36,7 +37,11 @@ class KnowledgeFrames:
     users: int = 1
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        """A table; stamps without a zone are read as moments in UTC, by the scan itself, so that filters reach it."""
+        path = f"{self.path}/{name}.parquet"
+        rows = self.spark.read.parquet(path)
+        fields = [StructField(f.name, TimestampType() if isinstance(f.dataType, TimestampNTZType) else f.dataType, f.nullable) for f in rows.schema]
+        return rows if fields == rows.schema.fields else self.spark.read.schema(StructType(fields)).parquet(path)
 
     def owned(self, name: str, key: str) -> DataFrame:
         """A table with the users that have its rows."""
