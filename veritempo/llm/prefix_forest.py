@@ -8,9 +8,11 @@ the ascent does not overshoot. (How far all trees ascend whole is found by bisec
 Inner product becomes an angle by one more component, which fills each row up to the block's largest norm. Candidates
 are scored in single precision, and those near the best are scored again in double precision.
 
-How many candidates a query takes grows with the block's rows to the power of `GROWTH`, less than in proportion, as a
-hash forest's work does. The factor is chosen for vectors without clusters, whose neighbours are hardly nearer than the
-rest; recall at 20 with it is measured in the tests and given in the README. Every row is in every tree.
+How many candidates a query takes is measured, not assumed: each block searches for the neighbours of a bounded sample of
+its own rows, compares what it finds with all rows of the block, and widens the ascent until `RECALL` of the neighbours
+are found. It starts at a number that grows with the block's rows to the power of `GROWTH`. So vectors with clusters, whose
+neighbours are much nearer than the rest, take few candidates, and vectors of high dimension or very unlike norms many,
+up to all rows where nothing less is enough. Every row is in every tree.
 
 Defined results: see `vectors.usable` for null, empty, non-finite and repeated vectors; zero vectors take no part; ties
 go to the smaller id; a query with fewer candidates than k gets what was found (all, if no more rows exist); vectors are
@@ -26,8 +28,9 @@ from pyspark.sql import functions as F
 from veritempo.llm.vectors import best_of, nearest, usable
 
 TREES, BITS = 256, 20
-#: Candidates of a query in a block of n rows: FACTOR * n ** GROWTH.
-FACTOR, GROWTH = 5.0, 0.7
+#: Candidates of a query in a block of n rows at first: FACTOR * n ** GROWTH; how much more each time, until the sample's recall is enough.
+FACTOR, GROWTH, WIDER = 1.0, 0.7, 1.25
+RECALL, SAMPLE = 0.94, 96
 #: Trees that are united at a time on the last level, and trees whose strings are made at a time.
 STEP, MADE = 16, 32
 #: Queries whose candidates are looked for together.
@@ -105,10 +108,26 @@ class Forest:
         return seen
 
 
+def enough(forest: Forest, k: int, seed: int = 11) -> float:
+    """Candidates of a query with which a sample of the block's rows finds `RECALL` of its k nearest others."""
+    n = len(forest.vectors)
+    chosen = np.random.default_rng(seed).choice(n, min(SAMPLE, n), replace=False)
+    scores = forest.vectors @ forest.vectors[chosen].T
+    scores[chosen, np.arange(len(chosen))] = -np.inf
+    k, wanted = min(k, n - 1), max(FACTOR * n**GROWTH, k + 1)
+    nearest_rows = np.argpartition(-scores, k - 1, axis=0)[:k] if k else np.zeros((0, len(chosen)), np.int64)
+    while wanted < n:
+        seen = np.concatenate([forest.candidates(forest.vectors[chosen[g : g + GROUP]], wanted) for g in range(0, len(chosen), GROUP)])
+        if np.take_along_axis(seen.T, nearest_rows, 0).mean() >= RECALL:
+            break
+        wanted *= WIDER
+    return min(wanted, n)
+
+
 def indexed(k: int):
     def index(ids: np.ndarray, vectors: np.ndarray):
         forest = Forest(vectors)
-        wanted = max(FACTOR * len(ids) ** GROWTH, k + 1)
+        wanted = enough(forest, k)
 
         def search(query_ids: np.ndarray, queries: np.ndarray):
             at, found, scores = [], [], []
