@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veritempo.functions.text import fold, let, model_like, name_like
+from veritempo.functions.vocabulary import looked_up
 
 # Words, units and dimensions that decide the result.
 COLORS = ["prata", "silver", "branca", "branco", "white", "preto", "preta", "black", "cinza", "gray", "grey", "azul", "blue", "vermelho", "vermelha", "red"]
@@ -138,5 +137,7 @@ def is_current(p: dict[str, Column]) -> Column:
 
 def dimension_in(text: Column, names: dict[str, str]) -> Column:
     """The dimension whose longest name stands in a text as a word; names: folded name to dimension."""
-    ordered = sorted(names.items(), key=lambda x: (-len(x[0]), x[0]))
-    return reduce(lambda acc, x: F.coalesce(acc, x), [F.when(text.rlike(rf"(?<![\p{{L}}\p{{N}}_]){name}(?![\p{{L}}\p{{N}}_])"), F.lit(dimension)) for name, dimension in ordered])
+    ordered = sorted(names, key=lambda x: (-len(x), x))
+    found = F.regexp_extract_all(text, F.lit(rf"(?<![\p{{L}}\p{{N}}_])({'|'.join(ordered)})(?![\p{{L}}\p{{N}}_])"), 1)
+    longest = F.array_min(F.transform(found, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("name"))))
+    return looked_up(longest["name"], names)

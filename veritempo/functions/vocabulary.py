@@ -71,7 +71,9 @@ def flat(table: dict[str, list[str]]) -> dict[str, str]:
 
 
 def looked_up(value: Column, table: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[value]
+    """The table's entry for a value, or null; the table is one literal, which the optimiser makes a map of once."""
+    pairs = F.lit("\x01".join(f"{k}\x02{v}" for k, v in table.items()))
+    return F.try_element_at(F.str_to_map(pairs, F.lit("\x01"), F.lit("\x02")), value)
 
 
 def dimension_of(alias: Column) -> Column:

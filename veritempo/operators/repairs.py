@@ -156,7 +156,7 @@ def rules() -> list[Rule]:
         Rule("possessive", lambda: possessive_free & identity.isNotNull() & c("low_dimension").isNull() & c("named_dimension").isNull(), lambda: attribute_slots(F.lit(SNAPSHOT), utterance_kind=F.lit("query"), **_owned(identity))),
         Rule("possessive", lambda: possessive_free & tells & owned.isNotNull() & V.dimension_of(owned).isNull() & color.isNotNull() & (F.size(F.split(F.trim(rest), r"\s+")) <= 2), lambda: attribute_slots(F.concat(F.lit("cor "), color), utterance_kind=F.lit("assert"), **_owned(owned))),
         Rule("possessive", lambda: possessive_free & tells & owned.isNotNull() & V.dimension_of(owned).isNull() & color.isNull() & _found(rest, YEAR).isNotNull() & F.coalesce(c("low_dimension") == "model_year", F.lit(True)), lambda: attribute_slots(_found(rest, YEAR), utterance_kind=F.lit("assert"), **_owned(owned))),
-        Rule("vehicle_attribute", lambda: c("utterance_kind").isin("assert", "correction") & ~c("correction") & ~c("has_claims") & my_car.isNotNull() & ~F.coalesce(c("attribute_expression").rlike("^(cor |(19|20)\\d{2}$)"), F.lit(False)), lambda: attribute_slots(F.when(one_color, F.concat(F.lit("cor "), fold(my_car))).otherwise(my_car), **car, **no_object)),
+        Rule("vehicle_attribute", lambda: c("utterance_kind").isin("assert", "correction") & ~c("correction") & ~c("has_claims") & my_car.isNotNull(), lambda: attribute_slots(F.when(one_color, F.concat(F.lit("cor "), fold(my_car))).otherwise(my_car), **car, **no_object)),
         Rule("vehicle_query", lambda: c("low_dimension").isNull() & ~F.coalesce(F.trim("attribute_expression") == SNAPSHOT, F.lit(False)) & ~(c("attribute_expression").isNotNull() & asks) & c("low").rlike(r"\bqual\b") & c("low").rlike(r"\bmeu\s+carro\b"), lambda: attribute_slots(F.lit(SNAPSHOT), utterance_kind=F.lit("query"), **car)),
         Rule(
             "likes_inventory", lambda: asks & ~c("correction") & ~c("measures") & c("measure_dimension").isNull() & ~c("stable") & ~(c("attribute_expression").isNotNull() & F.coalesce(c("primitive_hint") == "attribute", F.lit(False))) & likes_text,

@@ -77,4 +77,24 @@ SQL: dict[str, str] = {
             CASE WHEN dimension = 'model_year' THEN y::VARCHAR ELSE '' END AS year,
             CASE WHEN k % 29 = 0 THEN '' WHEN shown AND brand IS NOT NULL THEN 'brand=' || brand || ' model=Civic' WHEN NOT shown AND form = 1 AND brand IS NOT NULL THEN 'brand=' || brand WHEN NOT shown AND form = 2 THEN 'model=civic ' || k % 7 ELSE '' END AS companions,
             NOT (form = 7) AS is_current FROM d""",
+    # What each proposal must become, stated by hand.
+    "repaired_proposals": """WITH m AS (SELECT row_number() OVER () - 1 AS i, * FROM (VALUES
+            ('assert', 'eu', 'person', 'contextual', '', 'name is Ana', '', '', 'attribute', false, true, false, 'self_reference'),
+            ('query', 'eu', 'person', 'contextual', '', 'nome', '', '', 'attribute', false, true, false, 'name_query'),
+            ('query', 'carro', 'vehicle', 'possessive', '', 'cor', '', '', 'attribute', false, true, false, 'possessive'),
+            ('query', 'eu', 'person', 'contextual', 'carro', '', 'owns', '', 'relation', true, false, false, 'possessive'),
+            ('assert', 'casa', 'place', 'possessive', '', 'cor azul', '', '', 'attribute', false, true, false, 'possessive'),
+            ('assert', 'carro', 'vehicle', 'contextual', '', 'cor prata', '', '', 'attribute', false, true, false, 'possessive vehicle_attribute'),
+            ('assert', 'carro', 'vehicle', 'contextual', '', 'Honda Civic', '', '', 'attribute', false, true, false, 'vehicle_attribute'),
+            ('query', 'carro', 'vehicle', 'possessive', '', '*', '', '', 'attribute', false, true, false, 'possessive'),
+            ('query', 'casa', 'place', 'possessive', '', '*', '', '', 'attribute', false, true, false, 'possessive'),
+            ('query', 'eu', 'person', 'contextual', '', '', 'gosto de', '', 'relation', true, false, false, 'likes_inventory'),
+            ('query', '', '', '', '', '', '', '', '', false, false, false, ''),
+            ('assert', 'bicicleta', 'vehicle', 'possessive', 'bicicleta', 'cor azul', '', '', 'attribute', false, true, false, 'slot_align'),
+            ('query', 'trabalho', '', 'possessive', '', '*', '', '', 'attribute', false, true, false, 'slot_align'),
+            ('assert', '', '', '', '', '', '', '', '', false, false, false, ''),
+            ('assert', '', '', '', '', '', '', '', '', false, false, false, ''),
+            ('assert', '', '', '', '', '', '', '', '', false, false, false, '')
+            ) AS v(utterance_kind, subject_text, subject_kind, subject_reference, object_text, attribute_expression, relation_expression, action_expression, primitive_hint, link, stable, change, repairs))
+        SELECT u AS user_id, o_orderkey AS proposal_id, m.* EXCLUDE (i) FROM orders JOIN m ON i = o_orderkey % 16, (VALUES (1::BIGINT), (2::BIGINT)) t(u) WHERE u = 1 OR o_orderkey % 2 = 0""",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritempo.functions import attribute_values
-from veritempo.operators import concepts
+from veritempo.operators import concepts, repairs
 from veritempo.registry import query_of_two_users
 from veritempo.sources.frames import KnowledgeFrames
 
@@ -88,3 +88,36 @@ def attribute_values_stated(f):
     value, others = attribute_values.attribute_value(p), attribute_values.companions(p)
     rows = f.owned("part", "p_partkey").select("user_id", key.alias("proposal_id"), value.alias("v"), F.array_join(F.transform(others, lambda c: F.concat_ws("=", c["dimension"], c["text"])), " ").alias("companions"), attribute_values.is_current(p).alias("is_current"))
     return rows.select("user_id", "proposal_id", *[F.coalesce(F.col(f"v.{c}"), F.lit("")).alias(c) for c in ("dimension", "kind", "text", "unit")], F.coalesce(F.col("v.number").cast("decimal(18,2)").cast("string"), F.lit("")).alias("number"), F.coalesce(F.col("v.year").cast("string"), F.lit("")).alias("year"), "companions", "is_current")
+
+
+#: Proposals as an interpreter may get them wrong: utterance, its kind, and the slots that are filled.
+MISREAD: list[dict] = [
+    {"raw_input": "Meu nome é Ana.", "utterance_kind": "assert", "primitive_hint": "event", "subject_text": "Ana", "subject_reference": "named"},
+    {"raw_input": "Qual é o meu nome?", "utterance_kind": "query"},
+    {"raw_input": "Qual a cor do meu carro?", "utterance_kind": "query", "primitive_hint": "type", "classification": True},
+    {"raw_input": "eu tenho carro", "utterance_kind": "assert", "stable": True},
+    {"raw_input": "A cor da minha casa é azul", "utterance_kind": "assert", "action_expression": "pintar", "change": True},
+    {"raw_input": "Meu carro é prata", "utterance_kind": "assert", "relation_expression": "ser", "link": True},
+    {"raw_input": "Meu carro é um Honda Civic.", "utterance_kind": "assert"},
+    {"raw_input": "Qual é o meu carro?", "utterance_kind": "query"},
+    {"raw_input": "o que você sabe sobre minha casa?", "utterance_kind": "query"},
+    {"raw_input": "do que eu gosto?", "utterance_kind": "query", "object_text": "o que"},
+    {"raw_input": "em agosto choveu?", "utterance_kind": "query"},
+    {"raw_input": "está azul", "utterance_kind": "assert", "attribute_expression": "cor azul", "action_expression": "pintar", "change": True, "object_text": "minha bicicleta", "object_kind": "vehicle", "object_reference": "possessive"},
+    {"raw_input": "trabalho?", "utterance_kind": "query", "classification": True, "subject_text": "meu trabalho", "subject_reference": "possessive"},
+    {"raw_input": "Meu nome é Ana.", "utterance_kind": "assert", "correction": True},
+    {"raw_input": "Meu carro é prata", "utterance_kind": "assert", "has_claims": True},
+    {"raw_input": "nada", "utterance_kind": "assert"},
+]
+TEXT_SLOTS = ["utterance_kind", "primitive_hint", "raw_input", "subject_text", "subject_kind", "subject_reference", "object_text", "object_kind", "object_reference", "attribute_expression", "relation_expression", "action_expression", "event_expression", "measure_dimension", "lifecycle", "aspect"]
+FLAGS = ["change", "condition", "link", "stable", "classification", "measures", "correction", "has_claims"]
+
+
+@query_of_two_users
+def repaired_proposals(f):
+    key = F.col("o_orderkey")
+    slots = [_pick(key, [m.get(c) for m in MISREAD]).cast("string").alias(c) for c in TEXT_SLOTS]
+    flags = [F.element_at(F.array(*[F.lit(m.get(c, False)) for m in MISREAD]), (key % len(MISREAD) + 1).cast("int")).alias(c) for c in FLAGS]
+    rows = repairs.repaired(f.owned("orders", "o_orderkey").select("user_id", key.alias("proposal_id"), *slots, *flags))
+    shown = ["subject_text", "subject_kind", "subject_reference", "object_text", "attribute_expression", "relation_expression", "action_expression", "primitive_hint"]
+    return rows.select("user_id", "proposal_id", "utterance_kind", *[F.coalesce(c, F.lit("")).alias(c) for c in shown], "link", "stable", "change", F.array_join("repairs", " ").alias("repairs"))
