@@ -186,9 +186,9 @@ def instrument_reading(p: dict[str, Column]) -> Column:
 
     p: those of `measurement_evidence`, and change, lifecycle, subject, action_text, event_text, has_object.
     """
-    measured, action = measurement_evidence(p), fold(F.coalesce(p["action_text"], F.lit("")))
-    instrument = holds_any(fold(F.coalesce(p["subject"], F.lit(""))), INSTRUMENTS)
-    reports = (action == "") | action.isin(INSTRUMENT_ACTIONS) | action.startswith("medi")
+    measured = measurement_evidence(p)
+    instrument = let(fold(F.coalesce(p["subject"], F.lit(""))), lambda subject: holds_any(subject, INSTRUMENTS))
+    reports = let(fold(F.coalesce(p["action_text"], F.lit(""))), lambda action: (action == "") | action.isin(INSTRUMENT_ACTIONS) | action.startswith("medi"))
     shape = (reports & ~p["has_object"]) | ((p["hint"] == "measurement") & p["event_text"].isNull())
     return ~p["change"] & ~p["lifecycle"].isin("start", "end") & measured & instrument & shape
 

@@ -149,8 +149,15 @@ def _lines(f):
 
 @query
 def primitive_routing(f):
+    """Evidence is worked out once for each line, then the route; what it is in the graph only for each route."""
     p = _evidence(F.col("k"))
-    return _lines(f).groupBy(_routed(p).alias("primitive"), V.graph_primitive(_routed(p), routed=True).alias("graph")).agg(F.count("*").alias("n"))
+    rows = _lines(f).select(*[c.alias(n) for n, c in p.items()])
+    p = {n: F.col(n) for n in p}
+    rows = rows.withColumns({"is_measured": interpret.measurement_evidence(p), "is_occurrence": interpret.occurrence_evidence(p), "is_reading": interpret.instrument_reading(p)})
+    acts = p["action_text"].isNotNull() | p["event_text"].isNotNull()
+    route = interpret.route(p | {"relation": p["relation_text"].isNotNull(), "measurement": F.col("is_measured"), "occurrence": F.col("is_occurrence"), "reading": F.col("is_reading"), "action": acts})
+    found = rows.groupBy(route.alias("primitive")).agg(F.count("*").alias("n"))
+    return found.select("primitive", V.graph_primitive(F.col("primitive"), routed=True).alias("graph"), "n")
 
 
 @query
