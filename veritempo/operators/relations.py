@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritempo.functions import temporal as T
+from veritempo.functions import vocabulary as V
 from veritempo.operators.events import closure
 from veritempo.operators.scope import by_user
 
 #: Keys whose endpoints may be swapped, and keys that are stored under their inverse.
 SYMMETRIC = ("peer_of",)
-INVERSE = {"home_of": "resides_at", "contains": "located_in", "sells_to": "buys_from"}
+INVERSE = V.INVERSE_RELATIONS | {"home_of": "resides_at", "contains": "located_in", "sells_to": "buys_from"}
 
 
 def stored_key(key: str) -> tuple[str, bool]:

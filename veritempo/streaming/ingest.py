@@ -23,8 +23,9 @@ def activity(events: DataFrame, width: str = "1 hour", late: str = "10 minutes")
 def upsert_current(path: str, keys: list[str], at: str):
     """A foreachBatch function that keeps the latest row per keys in a Parquet folder, swapped whole for each batch.
 
-    Batch 0 starts the folder; a later batch without its predecessor's folder fails, as the state would be lost. Rows of
-    one moment are told apart by a hash of all columns.
+    Batch 0 starts the folder; a later batch without its predecessor's folder fails, as the state would be lost. Only the
+    last state and its predecessor, from which a repeated batch starts again, are kept. Rows of one moment are told apart
+    by a hash of all columns.
     """
 
     def write(batch: DataFrame, number: int) -> None:
@@ -33,6 +34,8 @@ def upsert_current(path: str, keys: list[str], at: str):
         rows = spark.read.parquet(f"{path}/v={number - 1}").unionByName(batch) if number else batch
         latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), F.struct(F.col(at), F.xxhash64(*rows.columns))).alias("r")).select("r.*")
         latest.write.mode("overwrite").parquet(target)
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={number - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return write
 
