@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veritempo.operators.events import closure
 from veritempo.operators.scope import by_user
+from veritempo.operators.targets import matches
 
 
 def newest(rows: DataFrame, keys: list[str], at: str, id_column: str) -> DataFrame:
@@ -33,33 +34,19 @@ def unknown_keys(keys: DataFrame, concepts: DataFrame) -> DataFrame:
     return keys.select("concept").distinct().join(concepts, "concept", "left_anti")
 
 
-#: Characters by which a name's part finds the names that may hold it.
-GRAM = 3
-
-
-def _grams(text: Column) -> Column:
-    """The distinct strings of GRAM characters in a text."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (GRAM - 1)), lambda i: F.substring(text, i, F.lit(GRAM))))
-
-
 def correction_targets(descriptions: DataFrame, candidates: DataFrame, corrections: DataFrame) -> DataFrame:
     """description_id, status, target_id and n: the effective candidates that fit a description.
 
     descriptions: description_id, scope, part (of a name, may be null), amount and kind (both may be null). candidates:
-    scope, id, name, amount, kind. Name parts are contained, the rest is equal. A description meets only candidates of
-    its scope (a user or place) whose name has the last three characters of the part; one with a shorter part or none
-    meets all of its scope.
+    scope, id, name, amount, kind. Name parts are contained, the rest is equal or missing. A description meets only
+    candidates of its scope (a user or place), by the rarest string of its part, its amount or its kind: see `targets`.
     """
     user = by_user(descriptions, candidates)
     live = candidates.join(corrections.select(*by_user(candidates, corrections), F.col("target_id").alias("id")), [*by_user(candidates, corrections), "id"], "left_anti")
-    if "kind" not in descriptions.columns:
-        descriptions, live = descriptions.withColumn("kind", F.lit(None).cast("string")), live.withColumn("kind", F.lit(None).cast("string"))
-    asked = descriptions.select(*user, "description_id", "scope", "part", F.col("amount").alias("said"), F.col("kind").alias("said_kind"))
-    keyed = F.length("part") >= GRAM
-    near = asked.where(keyed).withColumn("gram", F.substring("part", -GRAM, GRAM)).join(live.where(F.length("name") >= GRAM).withColumn("gram", F.explode(_grams(F.col("name")))), [*user, "scope", "gram"]).drop("gram")
-    rest = asked.where(~F.coalesce(keyed, F.lit(False))).join(live, [*user, "scope"])
-    fits = F.coalesce(F.col("name").contains(F.col("part")), F.lit(True)) & F.coalesce(F.col("amount") == F.col("said"), F.lit(True)) & F.coalesce(F.col("kind") == F.col("said_kind"), F.lit(True))
-    found = near.unionByName(rest).where(fits).groupBy(*user, "description_id").agg(F.count("*").alias("n"), F.min("id").alias("one"))
+    kind = lambda rows: F.col("kind") if "kind" in rows.columns and "kind" in descriptions.columns else F.lit(None).cast("string")
+    asked = descriptions.select(*user, "description_id", "scope", "part", F.col("amount").alias("number"), kind(descriptions).alias("text"))
+    held = live.select(*user, "scope", "id", F.array("name").alias("names"), F.col("amount").alias("number"), kind(live).alias("text"))
+    found = matches(asked, held, [*user, "scope"]).select(*user, "description_id", "n", "one")
     rows = descriptions.select(*user, "description_id").join(found, [*user, "description_id"], "left")
     status = F.when(F.col("n").isNull(), "not_found").when(F.col("n") == 1, "resolved").otherwise("ambiguous")
     return rows.select(*user, "description_id", status.alias("status"), F.when(F.col("n") == 1, F.col("one")).alias("target_id"), F.coalesce("n", F.lit(0)).alias("n"))

@@ -203,6 +203,7 @@ def execute(spec: QuerySpec, frames: KnowledgeFrames) -> DataFrame:
     All users at once, or the one that the specification names; user_id is in every key. A list of events has each
     user's first items by position, and matched_count.
     """
+    frames = frames if spec.user_id is None else frames.of_user(spec.user_id)
     check(spec, frames)
     keys = [scope.USER]
     if spec.mode == "snapshot" or spec.primitive == "attribute":

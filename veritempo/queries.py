@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritempo import queries_claims, queries_concepts, queries_rules, queries_users, queries_writes  # noqa: F401  (they register their queries)
+from veritempo import queries_claims, queries_concepts, queries_questions, queries_rules, queries_users, queries_writes  # noqa: F401  (they register their queries)
 from veritempo.functions import temporal as T
 from veritempo.functions import text as X
 from veritempo.operators import attributes, catalog, events, ingest, interpret, ledger, linkage, measurements, proposals, relations, states

@@ -43,6 +43,10 @@ class KnowledgeFrames:
         fields = [StructField(f.name, TimestampType() if isinstance(f.dataType, TimestampNTZType) else f.dataType, f.nullable) for f in rows.schema]
         return rows if fields == rows.schema.fields else self.spark.read.schema(StructType(fields)).parquet(path)
 
+    def of_user(self, user_id: int) -> KnowledgeFrames:
+        """Frames to ask about one user; those that are laid out by user read that user's files only."""
+        return self
+
     def owned(self, name: str, key: str) -> DataFrame:
         """A table with the users that have its rows."""
         one = F.lit(1).cast("long")
