@@ -72,7 +72,7 @@ SQL: dict[str, str] = {
         base AS (SELECT s_suppkey AS k, form, p_name, p_brand, p_type, p_size, s_name FROM supplier JOIN part ON s_suppkey = p_partkey, range(13) f(form)),
         said AS (SELECT (k + form) % 2 + 1 AS user_id, k * 100 + form AS description_id,
             ['attribute', 'attribute', 'state', 'state', 'relation', 'relation', 'event', 'event', 'measurement', NULL, 'attribute', 'attribute', 'relation'][form + 1] AS kind,
-            CASE form WHEN 0 THEN lower(p_name) WHEN 1 THEN lower(p_name) WHEN 3 THEN lower(trim(substr(p_name, 2, 6))) WHEN 4 THEN 'customer#' || lpad((k % 40)::VARCHAR, 9, '0') WHEN 5 THEN lpad(k::VARCHAR, 9, '0') WHEN 6 THEN 'customer#' || lpad(k::VARCHAR, 9, '0') WHEN 12 THEN lower(trim(substr(p_name, 1, 2))) END AS part,
+            CASE form WHEN 0 THEN lower(p_name) WHEN 1 THEN lower(p_name) WHEN 3 THEN lower(trim(substr(p_name, 2, 6))) WHEN 4 THEN 'customer#' || lpad((k % 40)::VARCHAR, 9, '0') WHEN 5 THEN lpad(k::VARCHAR, 9, '0') WHEN 6 THEN 'customer#' || lpad(k::VARCHAR, 9, '0') WHEN 12 THEN lower(left(s_name, 2)) END AS part,
             CASE form WHEN 4 THEN 'supplier#' || lpad((k % 7 + 1)::VARCHAR, 9, '0') WHEN 12 THEN right(s_name, 2) END AS object,
             CASE form WHEN 0 THEN 'brand' WHEN 1 THEN 'size' WHEN 2 THEN 'openness' WHEN 3 THEN CASE WHEN k % 2 = 0 THEN 'return' ELSE 'openness' END WHEN 8 THEN CASE WHEN k % 3 = 0 THEN 'click' ELSE 'purchase' END WHEN 10 THEN 'type' END AS dimension,
             CASE form WHEN 2 THEN 'O' WHEN 3 THEN CASE WHEN k % 3 = 0 THEN 'F' END WHEN 4 THEN 'buys_from' WHEN 5 THEN 'resides_at' END AS key,

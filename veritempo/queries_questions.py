@@ -100,7 +100,7 @@ def described_targets(f):
     n = lambda i: F.format_string("%09d", i)
     made = {
         "kind": {0: "attribute", 1: "attribute", 2: "state", 3: "state", 4: "relation", 5: "relation", 6: "event", 7: "event", 8: "measurement", 9: None, 10: "attribute", 11: "attribute", 12: "relation"},
-        "entity_text": {0: F.col("p_name"), 1: F.concat(F.lit(" "), F.upper("p_name")), 3: F.substring("p_name", 2, 6), 4: F.concat(F.lit("Customer#"), n(k % 40)), 5: n(k), 6: F.concat(F.lit("customer#"), n(k)), 12: F.substring("p_name", 1, 2)},
+        "entity_text": {0: F.col("p_name"), 1: F.concat(F.lit(" "), F.upper("p_name")), 3: F.substring("p_name", 2, 6), 4: F.concat(F.lit("Customer#"), n(k % 40)), 5: n(k), 6: F.concat(F.lit("customer#"), n(k)), 12: F.substring("s_name", 1, 2)},
         "object_text": {4: F.concat(F.lit("supplier#"), n(k % 7 + 1)), 12: F.substring("s_name", -2, 2)},
         "dimension": {0: "brand", 1: "size", 2: "openness", 3: F.when(k % 2 == 0, "return").otherwise("openness"), 8: F.when(k % 3 == 0, "click").otherwise("purchase"), 10: "type"},
         "key": {2: "O", 3: F.when(k % 3 == 0, "F"), 4: "buys_from", 5: "resides_at", 6: F.when(k % 2 == 0, "action.o"), 7: "action.f"},
