@@ -2,13 +2,16 @@
 
 import datetime as dt
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from veritempo.functions import temporal as T
+from veritempo.functions import text as X
 from veritempo.functions.text import fold
-from veritempo.operators import automaton, events, ledger, ranges, scope
+from veritempo.operators import automaton, events, interpret, ledger, linkage, ranges, scope, targets
 
 
 def test_frames_with_and_without_users_do_not_mix(spark):
@@ -86,6 +89,21 @@ def test_fold_of_composed_and_decomposed_letters(spark):
     assert [r[0] for r in df.select(fold(F.col("text"))).collect()] == [b for _, b in texts]
 
 
+def test_fold_costs_little_where_no_character_is_spelled_out(spark):
+    """A class of hundreds of ligatures took most of the time of every rule over folded texts."""
+    assert [chr(i) for i in range(0x80, 0x10000) if re.match(X._LIGATURE, chr(i))] == sorted(X._LIGATURES)
+    rows = spark.range(0, 150_000, 1, 4).select(F.concat(F.lit("Não, na verdade isto foi em 2025 e de novo "), F.col("id").cast("string")).alias("text"))
+
+    def seconds(frame):
+        began = time.monotonic()
+        frame.write.format("noop").mode("overwrite").save()
+        return time.monotonic() - began
+
+    seconds(rows.select(fold(F.col("text"))).limit(1))
+    folded = min(seconds(rows.select(fold(F.col("text")))) for _ in range(2))
+    assert folded < seconds(rows.select(F.col("text").rlike("[" + "".join(X._LIGATURES) + "]"))) / 2
+
+
 def test_lists_are_limited_before_they_are_shuffled(spark):
     items = spark.range(5000).select((F.col("id") % 3).alias("user_id"), F.col("id").alias("event_id"), F.col("id").cast("string").alias("event_time"))
     rows = events.listed(items, ["user_id"], 4)

@@ -41,6 +41,20 @@ _MARKED, _PLAIN = "".join(_ONE), "".join(x[0] for x in _ONE.values())
 _LIGATURES = {c: bare for c, bare in _SEVERAL.items() if "\u00a0" < c < "\u2600" or "\ufb00" <= c <= "\ufb06"}
 
 
+def _class_of(characters: dict[str, str]) -> str:
+    """A pattern for any of some characters, by ranges: a class of hundreds is tried one by one at every place."""
+    ranges: list[list[int]] = []
+    for code in sorted(map(ord, characters)):
+        if ranges and code == ranges[-1][1] + 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges) + "]"
+
+
+_LIGATURE, _BEYOND_ASCII = _class_of(_LIGATURES), r"[^\x00-\x7f]"
+
+
 def fold(text: Column) -> Column:
     """Lower case without marks: compatibility decomposition, in the JVM; punctuation stays.
 
@@ -52,7 +66,7 @@ def fold(text: Column) -> Column:
 
     def spelled(low: Column) -> Column:
         each = F.transform(F.split(low, ""), lambda c: F.coalesce(F.try_element_at(parts, c), c))
-        return F.when(low.rlike("[" + "".join(_LIGATURES) + "]"), F.array_join(each, "")).otherwise(low)
+        return F.when(low.rlike(_BEYOND_ASCII) & low.rlike(_LIGATURE), F.array_join(each, "")).otherwise(low)
 
     return let(low, spelled)
 
