@@ -111,3 +111,16 @@ def test_lists_are_limited_before_they_are_shuffled(spark):
     assert plan.count("WindowGroupLimit") >= 2
     found = rows.collect()
     assert len(found) == 12 and {r.matched_count for r in found} == {1667, 1666}
+
+
+#: Rows on each side that say the same: as pairs they would be 900 million.
+ALIKE = 30_000
+SOON = 60
+
+
+def test_equal_descriptions_and_equal_candidates_make_no_pairs(spark):
+    asked = spark.range(ALIKE).select(F.lit(1).cast("long").alias("user_id"), F.col("id").alias("description_id"), F.lit("0001").alias("part"))
+    held = spark.range(ALIKE).select(F.lit(1).cast("long").alias("user_id"), F.col("id"), F.array(F.concat(F.lit("Customer#0001"), (F.col("id") % 2).cast("string"))).alias("names"))
+    began = time.monotonic()
+    found = targets.matches(asked, held, ["user_id"]).groupBy("n", "one").count().collect()
+    assert [tuple(r) for r in found] == [(ALIKE, 0, ALIKE)] and time.monotonic() - began < SOON

@@ -16,6 +16,7 @@ from veritempo.functions import temporal as T
 from veritempo.functions.text import decimal_of, fold
 from veritempo.operators import interpret
 from veritempo.operators.scope import USER, by_user
+from veritempo.storage import checkpoint
 
 KEY = [USER, "candidate_id"]
 #: The kind of concept that each reference must name.
@@ -232,11 +233,11 @@ def correction_outcomes(utterances: DataFrame, candidates: DataFrame, ids: DataF
     """
     from veritempo.operators.catalog import correction_targets
 
-    guarded = utterances.withColumn("guard", interpret.correction_guard(F.col("text"), F.col("has_prior")))
+    guarded = checkpoint(utterances.withColumn("guard", interpret.correction_guard(F.col("text"), F.col("has_prior"))).drop("text"))  # read by every step below
     admitted = guarded.where("guard.outcome = 'accept'")
     asked = admitted.select(USER, F.col("request_id").alias("description_id"), "scope", "part", "amount", "kind")
     found = correction_targets(asked, candidates, ledger.select(USER, "target_id")).withColumnsRenamed({"description_id": "request_id", "status": "target_status"})
-    aimed = admitted.join(found.select(USER, "request_id", "target_status", "target_id"), [USER, "request_id"])
+    aimed = checkpoint(admitted.join(found.select(USER, "request_id", "target_status", "target_id"), [USER, "request_id"]))
     entries, rejects = correction_entries(aimed.where("target_status = 'resolved'").select(USER, "request_id", "action", "kind", "target_id", "replacement_id"), ids, ledger)
     rows = guarded.join(aimed.select(USER, "request_id", "target_status"), [USER, "request_id"], "left").join(rejects, [USER, "request_id"], "left")
     outcome = (
