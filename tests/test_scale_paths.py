@@ -124,3 +124,14 @@ def test_equal_descriptions_and_equal_candidates_make_no_pairs(spark):
     began = time.monotonic()
     found = targets.matches(asked, held, ["user_id"]).groupBy("n", "one").count().collect()
     assert [tuple(r) for r in found] == [(ALIKE, 0, ALIKE)] and time.monotonic() - began < SOON
+
+
+
+
+def test_aliases_meet_runs_of_words_and_no_text(spark):
+    texts = spark.createDataFrame([("a", "Of the, and THE end"), ("b", "theof"), ("c", None), ("d", ""), ("e", "the")], "text_id string, text string")
+    aliases = spark.createDataFrame([("the", "one", 1), ("and the", "two", 1), ("of", "three", 0), ("", "none", 9), ("the and the end of", "long", 9)], "alias string, concept string, priority int")
+    rows = interpret.alias_matches(texts, aliases)
+    assert sorted(map(tuple, rows.collect())) == [("a", "and the", "two"), ("e", "the", "one")]
+    assert interpret.alias_matches(texts, aliases.limit(0)).collect() == []
+    assert "contains(low" not in rows._jdf.queryExecution().optimizedPlan().toString().lower()

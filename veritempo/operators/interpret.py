@@ -354,12 +354,21 @@ def fallback_text(p: dict[str, Column]) -> Column:
 def alias_matches(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     """Per text the best alias inside it: text_id, alias, concept. aliases: alias, concept, priority.
 
-    Aliases are metadata; they are matched by their first word, so that no text meets all of them.
+    A text's runs of as many words as some alias has meet the aliases by equality, so no text is carried to a join.
     """
-    words = texts.select("text_id", F.concat(F.lit(" "), normalize("text"), F.lit(" ")).alias("low"))
-    words = words.withColumn("first", F.explode(F.array_distinct(F.split(F.trim("low"), " "))))
-    keyed = aliases.withColumn("needle", normalize("alias")).withColumn("first", F.substring_index("needle", " ", 1)).where("needle != ''")
-    hits = words.join(keyed, "first").where(F.expr("contains(low, concat(' ', needle, ' '))"))
+    keyed = aliases.withColumn("needle", normalize("alias")).where("needle != ''")
+    lengths = keyed.agg(F.collect_set(F.size(F.split("needle", " "))).alias("lengths"))  # one row of a few whole numbers
+
+    def runs(words: Column):
+        def of(n: Column) -> Column:
+            found = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
+            return F.when(F.size(words) >= n, found).otherwise(F.array().cast("array<string>"))
+
+        return of
+
+    said = texts.select("text_id", normalize("text").alias("low")).crossJoin(lengths)
+    every = let(F.split("low", " "), lambda words: F.array_distinct(F.flatten(F.transform("lengths", runs(words)))))
+    hits = said.select("text_id", F.explode(every).alias("needle")).join(keyed, "needle")
     order = Window.partitionBy("text_id").orderBy(F.desc("priority"), F.desc(F.length("needle")), "needle", "concept")
     return hits.withColumn("n", F.row_number().over(order)).where("n = 1").select("text_id", "alias", "concept")
 
