@@ -126,6 +126,14 @@ def test_equal_descriptions_and_equal_candidates_make_no_pairs(spark):
     assert [tuple(r) for r in found] == [(ALIKE, 0, ALIKE)] and time.monotonic() - began < SOON
 
 
+def test_equal_ranges_and_equal_windows_make_no_pairs(spark):
+    day = dt.date(2021, 5, 10)
+    asked = spark.range(ALIKE).select(F.col("id").alias("request_id"), F.lit(dt.datetime(2021, 5, 1)).alias("start"), F.lit(dt.datetime(2021, 6, 1)).alias("end"))
+    held = spark.range(ALIKE).select(F.col("id").alias("event_id"), F.when(F.col("id") % 3 == 0, T.in_year(F.lit(2021))).when(F.col("id") % 3 == 1, T.unknown_time(F.lit("once"))).otherwise(T.on_day(F.lit(day))).alias("temporal"))
+    began = time.monotonic()
+    found = ranges.counted(asked, held).groupBy("n", "n_unknown").count().collect()
+    assert [tuple(r) for r in found] == [(ALIKE // 3, ALIKE // 3 * 2, ALIKE)] and time.monotonic() - began < SOON
+
 
 
 def test_aliases_meet_runs_of_words_and_no_text(spark):

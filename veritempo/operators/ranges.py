@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veritempo.functions import temporal as T
 from veritempo.functions.text import let
 from veritempo.operators.scope import by_user
+from veritempo.storage import checkpoint
 
 #: Seconds of a bin of level 0; each level's bins are twice as wide.
 NARROWEST = 86_400
@@ -89,14 +90,23 @@ def placed(events: DataFrame) -> DataFrame:
 
 
 def counted(requests: DataFrame, events: DataFrame) -> DataFrame:
-    """Per request n, n_unknown and completeness, as of one count for each; events without any window are unknown to all."""
+    """Per request n, n_unknown and completeness, as of one count for each; events without any window are unknown to all.
+
+    Equal ranges are counted once and equal windows are one window with its number, so pairs are of different ranges and
+    different windows: calendar periods stay few, however many requests and events there are.
+    """
     user = by_user(requests, events)
-    found = memberships(requests, events).groupBy(*user, "request_id").agg(F.count_if(F.col("membership") == T.MATCH).alias("n"), F.count_if(F.col("membership") == T.UNKNOWN).alias("n_unknown"))
-    bare = placed(events).where("w_start is null")
-    rows = requests.join(found, [*user, "request_id"], "left")
+    held = placed(events.groupBy(*user, "temporal").agg(F.count("*").alias("held")))  # equal times are worked out once
+    held = checkpoint(held.groupBy(*user, "w_start", "w_end").agg(F.sum("held").alias("held")))
+    windows = held.where("w_start is not null")
+    pairs = overlapping(requests.select(*user, "start", "end").distinct(), windows, user)
+    membership = T.window_membership(F.col("w_start"), F.col("w_end"), F.col("start"), F.col("end"))
+    found = pairs.withColumn("membership", membership).groupBy(*user, "start", "end").agg(*[F.sum(F.when(F.col("membership") == m, F.col("held")).otherwise(0)).alias(n) for n, m in (("n", T.MATCH), ("n_unknown", T.UNKNOWN))])
+    bare = held.where("w_start is null")
+    rows = requests.join(found, [*user, "start", "end"], "left")
     if user:
-        rows = rows.join(bare.groupBy(*user).agg(F.count("*").alias("n_bare")), user, "left")
+        rows = rows.join(bare.groupBy(*user).agg(F.sum("held").alias("n_bare")), user, "left")
     else:
-        rows = rows.withColumn("n_bare", F.lit(bare.count()))
+        rows = rows.withColumn("n_bare", F.lit(bare.agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0]))
     unknown = F.coalesce("n_unknown", F.lit(0)) + F.coalesce("n_bare", F.lit(0))
     return rows.select(*user, "request_id", F.coalesce("n", F.lit(0)).alias("n"), unknown.alias("n_unknown"), F.when(unknown > 0, T.PARTIAL).otherwise(T.COMPLETE).alias("completeness"))
