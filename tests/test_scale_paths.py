@@ -135,6 +135,13 @@ def test_equal_ranges_and_equal_windows_make_no_pairs(spark):
     assert [tuple(r) for r in found] == [(ALIKE // 3, ALIKE // 3 * 2, ALIKE)] and time.monotonic() - began < SOON
 
 
+def test_a_common_name_makes_no_pairs(spark):
+    asked = spark.range(ALIKE).select(F.col("id").alias("mention_id"), F.lit(" hot  Bolt").alias("text"), F.when(F.col("id") % 2 == 0, "b").alias("hint"))
+    held = spark.range(ALIKE).select(F.col("id").cast("string").alias("entity_id"), F.when(F.col("id") == 7, "b").otherwise("a").alias("type_key"), F.lit("Hot bolt").alias("name"), F.lit("HOT BOLT").alias("alias"))
+    began = time.monotonic()
+    found = linkage.resolve_named(asked, held, spark.createDataFrame([("a", None), ("b", None)], "concept string, parent string")).groupBy("status", "entity_id", "n").count().collect()
+    assert sorted(map(str, (tuple(r) for r in found))) == sorted(map(str, [("resolved", "7", ALIKE, ALIKE // 2), ("ambiguous", None, ALIKE, ALIKE // 2)])) and time.monotonic() - began < SOON
+
 
 def test_aliases_meet_runs_of_words_and_no_text(spark):
     texts = spark.createDataFrame([("a", "Of the, and THE end"), ("b", "theof"), ("c", None), ("d", ""), ("e", "the")], "text_id string, text string")

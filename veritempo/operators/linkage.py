@@ -38,26 +38,27 @@ def search(entities: DataFrame, text: str, type_key: str | None = None, limit: i
     return numbered.where(F.col("position") <= limit).select("position", "rank", "entity_id", "name", "truncated")
 
 
-def candidates(mentions: DataFrame, entities: DataFrame) -> DataFrame:
-    """mention_id, entity_id, type_key and evidence (exact_name, alias) by equal normalised text."""
-    user = by_user(mentions, entities)
-    asked = mentions.select(*user, "mention_id", normalize(F.col("text")).alias("needle"))
-    names = entities.select(*user, "entity_id", "type_key", normalize(F.col("name")).alias("needle"), F.lit("exact_name").alias("evidence"))
-    aliases = entities.select(*user, "entity_id", "type_key", normalize(F.col("alias")).alias("needle"), F.lit("alias").alias("evidence"))
-    hits = asked.join(names.unionByName(aliases), [*user, "needle"]).where("needle != ''")
-    return hits.groupBy(*user, "mention_id", "entity_id", "type_key").agg(F.array_sort(F.collect_set("evidence")).alias("evidence"))
-
-
 def resolve_named(mentions: DataFrame, entities: DataFrame, concepts: DataFrame | None = None) -> DataFrame:
-    """mention_id, status, entity_id and n. A type hint (column hint) only decides between several candidates."""
-    found, user = candidates(mentions, entities), by_user(mentions, entities)
-    if "hint" in mentions.columns and concepts is not None:
+    """mention_id, status, entity_id and n: entities whose name or alias is the text, both normalised.
+
+    A type hint (column hint) only decides between several candidates. Equal texts with equal hints meet as one, and
+    entities of one name and type as one row with their number, so a common name makes no pairs.
+    """
+    user = by_user(mentions, entities)
+    hinted = "hint" in mentions.columns and concepts is not None
+    hint = F.col("hint") if hinted else F.lit(None).cast("string")
+    asked = mentions.select(*user, "mention_id", normalize(F.col("text")).alias("needle"), hint.alias("hint"))
+    named = entities.select(*user, "entity_id", "type_key", F.explode(F.array(normalize(F.col("name")), normalize(F.col("alias")))).alias("needle")).where("needle != ''").distinct()
+    known = named.groupBy(*user, "needle", "type_key").agg(F.count("*").alias("n"), F.min("entity_id").alias("any"))
+    found = asked.select(*user, "needle", "hint").distinct().join(known, [*user, "needle"])
+    if hinted:
         below = closure(concepts).select(F.col("concept").alias("type_key"), F.col("ancestor").alias("hint"), F.lit(True).alias("fits"))
-        found = found.join(mentions.select(*user, "mention_id", "hint"), [*user, "mention_id"]).join(below, ["type_key", "hint"], "left")
+        found = found.join(below, ["type_key", "hint"], "left")
     else:
         found = found.withColumn("fits", F.lit(None).cast("boolean"))
-    counts = found.groupBy(*user, "mention_id").agg(F.count("*").alias("n"), F.count_if("fits").alias("n_fit"), F.min("entity_id").alias("any"), F.min(F.when(F.col("fits"), F.col("entity_id"))).alias("fit"))
-    rows = mentions.select(*user, "mention_id").join(counts, [*user, "mention_id"], "left")
+    key = [*user, "needle", "hint"]
+    counts = found.groupBy(*[F.col(c).alias(f"for_{c}") for c in key]).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("fits"), F.col("n")).otherwise(0)).alias("n_fit"), F.min("any").alias("any"), F.min(F.when(F.col("fits"), F.col("any"))).alias("fit"))
+    rows = asked.join(counts, [F.col(c).eqNullSafe(F.col(f"for_{c}")) if c == "hint" else F.col(c) == F.col(f"for_{c}") for c in key], "left")
     status = F.when(F.col("n").isNull(), UNRESOLVED).when((F.col("n") == 1) | (F.col("n_fit") == 1), RESOLVED).otherwise(AMBIGUOUS)
     one = F.when(F.col("n") == 1, F.col("any")).when(F.col("n_fit") == 1, F.col("fit"))
     return rows.select(*user, "mention_id", status.alias("status"), one.alias("entity_id"), F.coalesce("n", F.lit(0)).alias("n"))
