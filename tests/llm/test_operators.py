@@ -622,3 +622,25 @@ def test_forest_reads_a_part_and_finds_longest_prefixes():
     wanted = prefix_forest.FACTOR * 3000**prefix_forest.GROWTH
     read = forest.candidates(x[:40] / forest.scale, wanted)
     assert (read.sum(1) >= wanted).all() and read.mean() < 0.55
+
+
+def test_language_id_learns_from_every_label(spark):
+    """A word that 30 of 9,000 labelled texts have decides their language, whatever the layout; one shard of many can't hide it."""
+    rows = [("the cat sits on the mat" if i % 2 else "der hund liegt auf dem sofa", "en" if i % 2 else "de") for i in range(8_970)] + [(f"zyxwvu qkjxz {'qz' * (i + 1)}", "xx") for i in range(30)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    model = language_id.train(docs, shard=1_000)
+    other = language_id.train(docs.repartition(7), shard=1_000)
+    assert (model["weights"] == other["weights"]).all() and model["temperature"] == other["temperature"] and model["least"] == other["least"]
+    asked = spark.createDataFrame([(1, "zyxwvu qkjxz qzqzqz"), (2, "the cat"), (3, "der hund")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in language_id.predict(asked, model).collect()} == {1: "xx", 2: "en", 3: "de"}
+
+
+def test_language_id_has_learned_and_judged_all_rows(spark, monkeypatch):
+    """As many texts are learned from or kept aside as there are labels, over 2 * 2,000 of them."""
+    docs = spark.range(9_000).select(F.concat(F.lit("texto numero "), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("text"), F.lit("pt").alias("lang"))
+    seen = {}
+    learn, judge = language_id.learned_weights, language_id.calibrated
+    monkeypatch.setattr(language_id, "learned_weights", lambda rows, *rest: seen.update(learned=rows.count()) or learn(rows, *rest))
+    monkeypatch.setattr(language_id, "calibrated", lambda rows, *rest: seen.update(aside=rows.count()) or judge(rows, *rest))
+    assert language_id.train(docs) and seen["learned"] + seen["aside"] == 9_000
+    assert 0.15 < seen["aside"] / 9_000 < 0.25

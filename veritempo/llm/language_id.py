@@ -3,8 +3,10 @@
 Texts are lower-cased; every character but letters counts as a space. Features are the n-grams of 1 to 3 characters,
 hashed into a fixed number of buckets; a bucket's value is its share of the text's n-grams times its inverse document
 frequency, which is counted over all documents to learn from. Weights are learned by follow-the-regularised-leader with
-an elastic net (L1 leaves most weights at zero) from a sample of labelled texts, whose size is a parameter; a fifth of
-the sample is kept aside to fit the temperature that turns scores into calibrated probabilities. The model's size is
+an elastic net (L1 leaves most weights at zero) from all labelled texts but a fifth, which is kept aside: all of it fits
+the temperature that turns scores into calibrated probabilities. Texts are dealt by hash to shards of about `SHARD`; each
+shard learns by itself, and the model has the mean of their weights, by the number of texts learned. Shards, their order
+and all sums are functions of the texts and labels, so another layout of the same rows gives the same model. Its size is
 buckets times languages, whatever the corpus, so it is broadcast; more than `LANGUAGES` languages are an error.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; texts of any length are read whole;
@@ -15,7 +17,6 @@ result are replaced by it; a null doc_id counts as an empty one, which is held o
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +28,13 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 #: Buckets of the hashed n-grams.
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
-#: Labelled documents that weights are learned from, about; never more than twice as many.
-SAMPLE = 2_000
+#: Labelled documents that one task learns from, about; the number of tasks grows with them.
+SHARD = 4_000
 EPOCHS = 4
+#: Features that a task holds at a time, about: so many are passed over `EPOCHS` times before the next are read.
+HELD = 2_000_000
+#: Weights and losses are added up as whole numbers of this unit, so that their order doesn't matter.
+UNIT = 1 << 24
 #: Labelled languages, at most: the model, which is broadcast, has buckets times languages weights (134 MB then).
 LANGUAGES = 512
 #: Follow-the-regularised-leader: learning rate, its smoothing, and the two penalties of the elastic net.
@@ -123,9 +128,9 @@ def document_frequencies(learn: DataFrame, text_column: str = "text") -> tuple[n
     return counts[:BUCKETS], int(counts[BUCKETS])
 
 
-def ftrl(examples: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights [buckets, classes] learned from (buckets, values, class) in the given order."""
-    z, n = np.zeros((BUCKETS, classes)), np.zeros((BUCKETS, classes))
+def ftrl(examples: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epochs: int = EPOCHS, state: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Weights [buckets, classes] learned from (buckets, values, class) in the given order; a state is gone on from and changed."""
+    z, n = (np.zeros((BUCKETS, classes)), np.zeros((BUCKETS, classes))) if state is None else state
 
     def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
         return np.where(np.abs(z) > L1, (np.sign(z) * L1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2), 0.0)
@@ -144,15 +149,19 @@ def ftrl(examples: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epoch
     return weights(z, n)
 
 
-def temperature(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The divisor of scores with the least log loss."""
+TEMPERATURES = np.geomspace(0.05, 20, 241)
 
-    def loss(t: float) -> float:
-        s = scores / t
-        s = s - s.max(1, keepdims=True)
-        return float(np.mean(np.log(np.exp(s).sum(1)) - s[np.arange(len(s)), labels]))
 
-    return min(np.geomspace(0.05, 20, 241).tolist(), key=loss) if len(scores) else 1.0
+def losses(scores: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """The log loss [temperatures, rows] of each row at each of `TEMPERATURES`."""
+    s = scores[None] / TEMPERATURES[:, None, None]
+    s = s - s.max(2, keepdims=True)
+    return np.log(np.exp(s).sum(2)) - s[:, np.arange(len(labels)), labels]
+
+
+def temperature(scores: np.ndarray, labels: np.ndarray) -> float:
+    """The divisor of scores with the least log loss."""
+    return float(TEMPERATURES[losses(scores, labels).mean(1).argmin()]) if len(scores) else 1.0
 
 
 def learned_here(doc_id: Column) -> Column:
@@ -160,8 +169,72 @@ def learned_here(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 != 0
 
 
-def train(labelled: DataFrame, text_column: str = "text", lang_column: str = "lang", sample: int = SAMPLE) -> dict | None:
-    """A model {langs, weights, temperature, least} from rows of text and language; None if there is nothing to learn.
+def _logits(texts: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores [texts, languages] by a table of weights, and which texts have letters."""
+    codes, starts, found = _codes(texts)
+    sums = sum(np.add.reduceat(weights[_grams(codes, n)], starts, dtype=np.float64) for n in ORDERS)
+    sizes = np.diff([*starts, len(codes)]) - 1
+    grams = sum(np.maximum(sizes - n + 1, 0) for n in ORDERS)
+    return sums / grams[:, None], found
+
+
+def learned_weights(rows: DataFrame, langs: list[str], idf: np.ndarray, shards: int) -> np.ndarray:
+    """Mean weights [buckets, languages] of all shards of rows (text, lang, key), by how many texts each has learned."""
+
+    def fit(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = np.zeros((BUCKETS, len(langs))), np.zeros((BUCKETS, len(langs)))
+        weights, examples, held, learned = None, [], 0, 0
+        for batch in source:
+            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = _counts(text)
+                at = np.flatnonzero(found)
+                if len(at):
+                    examples.append((at, found[at] / found.sum() * idf[at] * SCALE, langs.index(lang)))
+                    held, learned = held + len(at), learned + 1
+                if held >= HELD:
+                    weights, examples, held = ftrl(examples, len(langs), state=state), [], 0
+        if examples:
+            weights = ftrl(examples, len(langs), state=state)
+        whole = np.rint((np.zeros(0) if weights is None else weights.ravel()) * (learned * UNIT)).astype(np.int64)
+        used = np.flatnonzero(whole)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *used.tolist()], pa.int32()), pa.array([learned, *whole[used].tolist()], pa.int64())], names=["place", "total"])
+
+    dealt = rows.repartition(shards, "key").sortWithinPartitions("key", "lang", "text").select("text", "lang")
+    totals = {r.place: r.total for r in dealt.mapInArrow(fit, "place int, total long").groupBy("place").agg(F.sum("total").alias("total")).collect()}
+    weights, learned = np.zeros(BUCKETS * len(langs)), totals.pop(-1, 0)
+    weights[np.fromiter(totals, np.int64, len(totals))] = np.fromiter(totals.values(), np.float64, len(totals)) / (max(learned, 1) * UNIT)
+    return weights.reshape(BUCKETS, len(langs))
+
+
+def calibrated(rows: DataFrame, langs: list[str], weights: np.ndarray) -> tuple[float, float]:
+    """The temperature with the least log loss over all rows (text, lang), and the lowest probability of a row's own language there."""
+    shared = rows.sparkSession.sparkContext.broadcast(weights)
+
+    def judge(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, worst = np.zeros(len(TEMPERATURES), np.int64), np.zeros(len(TEMPERATURES))
+        n = 0
+        for batch in source:
+            at = 0
+            for part in _chunks(batch.column(0).to_pylist()):
+                labels = np.array([langs.index(x) for x in batch.column(1)[at : at + len(part)].to_pylist()], int)
+                at += len(part)
+                scores, found = _logits(part, shared.value)
+                for k in range(0, len(part), 1000):
+                    lost = losses(scores[k : k + 1000][found[k : k + 1000]], labels[k : k + 1000][found[k : k + 1000]])
+                    n += lost.shape[1]
+                    total += np.rint(lost * UNIT).astype(np.int64).sum(1)
+                    worst = np.maximum(worst, lost.max(1, initial=0))
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(total) if n else 0), pa.int32()), pa.array(total[: len(total) if n else 0]), pa.array(worst[: len(total) if n else 0])], names=["place", "total", "worst"])
+
+    found = rows.mapInArrow(judge, "place int, total long, worst double").groupBy("place").agg(F.sum(F.col("total").cast("decimal(38,0)")).alias("total"), F.max("worst").alias("worst")).collect()
+    if not found:
+        return 1.0, 0.0
+    best = min(found, key=lambda r: (r.total, r.place))
+    return float(TEMPERATURES[best.place]), float(np.exp(-best.worst))
+
+
+def train(labelled: DataFrame, text_column: str = "text", lang_column: str = "lang", shard: int = SHARD) -> dict | None:
+    """A model {langs, weights, temperature, least} from all rows of text and language; None if there is nothing to learn.
 
     least is the lowest probability that a row kept aside has for its own language.
     """
@@ -174,32 +247,11 @@ def train(labelled: DataFrame, text_column: str = "text", lang_column: str = "la
     langs = sorted(sizes)
     counts, texts = document_frequencies(rows)
     idf = (np.log((1 + texts) / (1 + counts)) + 1).astype(np.float64)
-    key = F.xxhash64("text", "lang")
-    share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, sample / len(langs) / sizes[lang]))])
-    picked = rows.where("text is not null").where(F.pmod(key, F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
-    picked = picked.orderBy(key, "lang", "text").limit(2 * sample)
-
-    def fit(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples = []
-        for batch in source:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = _counts(text)
-                at = np.flatnonzero(found)
-                if len(at):
-                    examples.append((at, found[at] / found.sum() * idf[at] * SCALE, langs.index(lang)))
-        aside = examples[::5]
-        weights = ftrl([x for i, x in enumerate(examples) if i % 5], len(langs))
-        scores = np.array([values @ weights[at] for at, values, _ in aside]).reshape(len(aside), len(langs))
-        labels = np.array([label for *_, label in aside], int)
-        fitted = temperature(scores, labels)
-        p = np.exp((scores - scores.max(1, keepdims=True)) / fitted)
-        least = float((p / p.sum(1, keepdims=True))[np.arange(len(labels)), labels].min()) if len(labels) else 0.0
-        used = np.flatnonzero(weights.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((used, weights[used].astype(np.float32), fitted, least))])], names=["model"])
-
-    used, weights, fitted, least = pickle.loads(picked.coalesce(1).mapInArrow(fit, "model binary").first().model)
+    rows = rows.where("text is not null").withColumn("key", F.xxhash64("text", "lang"))
+    aside = F.pmod(F.shiftright("key", 20), F.lit(5)) == 0
     table = np.zeros((BUCKETS + 1, len(langs)), np.float32)
-    table[used] = weights * (idf[used, None] * SCALE)
+    table[:BUCKETS] = learned_weights(rows.where(~aside), langs, idf, -(-sum(sizes.values()) // shard)) * (idf[:, None] * SCALE)
+    fitted, least = calibrated(rows.where(aside).select("text", "lang"), langs, table)
     return {"langs": langs, "weights": table, "temperature": fitted, "least": least}
 
 
@@ -219,11 +271,8 @@ def predict(docs: DataFrame, model: dict | None, id_column: str = "doc_id", text
                     langs += [UNDETERMINED] * len(part)
                     scores += [0.0] * len(part)
                     continue
-                codes, starts, found = _codes(part)
-                sums = sum(np.add.reduceat(model["weights"][_grams(codes, n)], starts, dtype=np.float64) for n in ORDERS)
-                sizes = np.diff([*starts, len(codes)]) - 1
-                grams = sum(np.maximum(sizes - n + 1, 0) for n in ORDERS)
-                logits = sums / grams[:, None] / model["temperature"]
+                raw, found = _logits(part, model["weights"])
+                logits = raw / model["temperature"]
                 p = np.exp(logits - logits.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
                 best = p.argmax(1)
