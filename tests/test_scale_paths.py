@@ -4,6 +4,7 @@ import datetime as dt
 import random
 import re
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from veritempo.functions import temporal as T
 from veritempo.functions import text as X
 from veritempo.functions.text import fold
-from veritempo.operators import automaton, events, interpret, ledger, linkage, ranges, scope, targets
+from veritempo.operators import automaton, claims, events, interpret, ledger, linkage, ranges, scope, targets
 
 
 def test_frames_with_and_without_users_do_not_mix(spark):
@@ -150,3 +151,24 @@ def test_aliases_meet_runs_of_words_and_no_text(spark):
     assert sorted(map(tuple, rows.collect())) == [("a", "and the", "two"), ("e", "the", "one")]
     assert interpret.alias_matches(texts, aliases.limit(0)).collect() == []
     assert "contains(low" not in rows._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_answers_without_names_are_spread(spark):
+    """The most common answer was one key of the join with names, so a single task's rows; and the outcomes stay the same."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        k = F.col("id")
+        pending = spark.range(4_000).select(F.lit(1).cast("long").alias("user_id"), k.alias("pending_id"), F.lit("open").alias("state"), F.when(k < 4, "entity_reference").otherwise("value").alias("expects"), F.when(k < 4, "subject").when(k < 8, "subject").otherwise("value").alias("slot"), F.lit(0).alias("rounds"), F.lit("").alias("answered"))
+        answers = spark.range(4_010).select(F.when(k < 4_000, 1).when(k < 4_005, 3).otherwise(1).cast("long").alias("user_id"), F.when(k >= 4_000, F.when(k < 4_005, k - 4_000).otherwise(k)).otherwise(k).alias("pending_id"), F.when(k == 0, "Ana").when(k == 1, "Rui").otherwise("7").alias("text"))
+        entities = spark.createDataFrame([(1, "e:1", "ana"), (1, "e:2", "rui"), (1, "e:3", "Rui"), (1, "e:4", "7"), (2, "e:5", "ana")], "user_id long, entity_id string, name string")
+        rows = claims.recovered(pending, answers, entities).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before[0])
+        spark.conf.set("spark.sql.adaptive.enabled", before[1])
+    found = sorted((r.pending_id, r.user_id, r.outcome, r.filled) for r in rows)
+    assert len(found) == 4_005 and [x for x in found if x[1] == 3] == [(i, 3, "rejected", None) for i in range(5)]
+    assert [x[2:] for x in found if x[1] == 1][:9] == [("recovered", "e:1"), ("asked_again", None), ("recovered", "e:4"), ("recovered", "e:4")] + [("unsupported_slot", None)] * 4 + [("recovered", "7.00")]
+    sizes = Counter(r.task for r in rows)
+    assert max(sizes.values()) < len(rows) / 2

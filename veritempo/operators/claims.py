@@ -207,24 +207,26 @@ def recovered(pending: DataFrame, answers: DataFrame, entities: DataFrame) -> Da
     user's operation. One that only others have is rejected, one that nobody has gives no row; the same answer to a
     resolved one is a replay, closed and exhausted ones stay closed; an answer fills one slot or asks again.
     """
-    known = pending.groupBy("pending_id").agg(F.lit(True).alias("__known"))
-    rows = answers.join(pending.withColumn("__own", F.lit(True)), ["user_id", "pending_id"], "left")
-    rows = rows.join(known, "pending_id", "left").where(F.col("__own") | F.col("__known"))
-    names = entities.groupBy("user_id", fold(F.col("name")).alias("__name")).agg(F.count("*").alias("n_named"), F.min("entity_id").alias("named"))
-    rows = rows.withColumn("__name", fold(F.col("text"))).join(names, ["user_id", "__name"], "left")
+    key = ["user_id", "pending_id"]
     expects = F.col("expects")
     slots = [(expects == e) & F.col("slot").isin(s) for e, s in RECOVERABLE.items()]
-    value = F.when(expects == "entity_reference", F.when(F.col("n_named") == 1, F.col("named"))).when(expects == "dimension", V.measure_dimension_of(F.col("text"))).when(expects == "value", decimal_of(F.col("text")).cast("decimal(18,2)").cast("string"))
-    closed = F.col("state").isin("resolved", "cancelled")
-    outcome = (
-        F.when(F.col("__own").isNull(), "rejected")
-        .when((F.col("state") == "resolved") & (F.trim("answered") == F.trim("text")), "replay")
-        .when(closed | (F.col("rounds") >= ROUNDS), "closed")
-        .when(~(slots[0] | slots[1] | slots[2]), "unsupported_slot")
-        .when(value.isNotNull(), "recovered")
-        .otherwise("asked_again")
-    )
-    return rows.select("user_id", "pending_id", outcome.alias("outcome"), F.when(outcome == "recovered", value).alias("filled"))
+    # what an answer needs to know of its operation, in few bytes: both sides have a row for each, and tasks sort them
+    asked = pending.select(
+        *key, F.when(~(slots[0] | slots[1] | slots[2]), -1).otherwise(F.coalesce(*[F.when(expects == e, i) for i, e in enumerate(RECOVERABLE)])).alias("way"), (F.col("state").isin("resolved", "cancelled") | (F.col("rounds") >= ROUNDS)).alias("closed"),
+        F.when(F.col("state") == "resolved", F.trim("answered")).alias("before"),
+    ).hint("merge")
+    way, open_ = F.col("way"), ~F.coalesce("closed", F.lit(False))
+    value = F.when(way == 1, V.measure_dimension_of(F.col("text"))).when(way == 2, decimal_of(F.col("text")).cast("decimal(18,2)").cast("string"))
+    outcome = F.when(F.col("before") == F.trim("text"), "replay").when(~open_, "closed").when(way == -1, "unsupported_slot").when(way == 0, "by_name").when(value.isNotNull(), "recovered").otherwise("asked_again")
+    # answers that give no name get a key of their own, so that a common one ("yes", "7") is not a single task's rows
+    name = F.when(open_ & (way == 0), fold(F.col("text"))).otherwise(F.concat(F.lit("\0"), F.col("pending_id").cast("string")))
+    rows = answers.join(asked, key).select(*key, outcome.alias("outcome"), F.when(outcome == "recovered", value).alias("filled"), name.alias("__name"))
+    names = entities.groupBy("user_id", fold(F.col("name")).alias("__name")).agg(F.when(F.count("*") == 1, F.min("entity_id")).alias("named")).where("named is not null")
+    rows = rows.join(names, ["user_id", "__name"], "left")
+    by_name = F.col("outcome") == "by_name"
+    own = rows.select(*key, F.when(~by_name, F.col("outcome")).otherwise(F.when(F.col("named").isNull(), "asked_again").otherwise("recovered")).alias("outcome"), F.when(by_name, F.col("named")).otherwise(F.col("filled")).alias("filled"))
+    others = answers.select(*key).join(pending.select(*key).hint("merge"), key, "left_anti").join(pending.select("pending_id").hint("merge"), "pending_id", "left_semi")
+    return own.unionByName(others.select(*key, F.lit("rejected").alias("outcome"), F.lit(None).cast("string").alias("filled")))
 
 
 def relative_span(name: Column, now: Column, zone: Column) -> Column:
