@@ -172,3 +172,26 @@ def test_answers_without_names_are_spread(spark):
     assert [x[2:] for x in found if x[1] == 1][:9] == [("recovered", "e:1"), ("asked_again", None), ("recovered", "e:4"), ("recovered", "e:4")] + [("unsupported_slot", None)] * 4 + [("recovered", "7.00")]
     sizes = Counter(r.task for r in rows)
     assert max(sizes.values()) < len(rows) / 2
+
+
+def test_rounds_of_replacements_follow_their_length(spark, monkeypatch):
+    """Circles end after a few rounds, not after log2 of all corrections; ways of every kind equal those followed one by one."""
+    rng = random.Random(7)
+    rows = {i: rng.randrange(i - 3, i + 3) for i in range(1, 1_500) if rng.random() < 0.9} | {i: i + 1 if i % 2 else i - 1 for i in range(3_001, 6_001)} | {i: i + 1 for i in range(9_000, 9_040)}
+    retracted = {i for i in rows if i % 41 == 0}
+    frame = spark.createDataFrame([("fact", i, "retract" if i in retracted else "replace", None if i in retracted else j) for i, j in rows.items()], "kind string, target_id long, action string, replacement_id long")
+    made, cut = [], ledger.checkpoint
+    monkeypatch.setattr(ledger, "checkpoint", lambda df: made.append(1) or cut(df))
+    found = {r.target_id: (r.last_id, r.steps, r.outcome) for r in ledger.last_replacements(frame).collect()}
+
+    def followed(i):
+        way = []
+        while i in rows and i not in way:
+            way.append(i)
+            if i in retracted:
+                return i, len(way), "retracted"
+            i = rows[i]
+        return (min(way), None, "cycle") if i in way else (i, len(way), "replaced")
+
+    assert found == {i: followed(i) for i in rows}
+    assert len(made) <= 8

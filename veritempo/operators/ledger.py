@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,35 +71,35 @@ def last_replacements(corrections: DataFrame) -> DataFrame:
     """user_id, kind, target_id, last_id, steps and outcome of every corrected assertion, by pointer jumping.
 
     A replacement may be corrected in turn: following (target, replacement) to the end gives the assertion that stands for
-    the target now. Each round doubles the distance that every pointer has come, so a chain of n corrections takes log2(n)
-    rounds. outcome: replaced (last_id is effective), retracted (the chain ends in a retraction of last_id), cycle (it has
-    no end; last_id is the least assertion on the way), or branched, where the target or one on the way has several
-    corrections (last_id is the first such one); those and the cycles must be refused by a ledger. steps counts the
-    corrections on the way.
+    the target now. Each round doubles the distance that every open pointer has come, so a chain of n corrections takes
+    log2(n) rounds; what has found its end is set aside and only looked up. outcome: replaced (last_id is effective),
+    retracted (the chain ends in a retraction of last_id), cycle (it has no end; last_id is the least assertion on the way),
+    or branched, where the target or one on the way has several corrections (last_id is the first such one); those and the
+    cycles must be refused by a ledger. steps counts the corrections on the way. A way that comes to its least assertion
+    twice goes round: that ends the rounds at about twice the longest cycle, whatever the number of corrections.
     """
     key = [*by_user(corrections), "kind"]
     counted = corrections.groupBy(*key, "target_id").agg(F.count("*").alias("n"), F.min(F.struct("action", "replacement_id")).alias("c"))
     end = F.when(F.col("n") > 1, "branched").when(F.col("c.action") == "retract", "retracted")
-    start = counted.select(*key, "target_id", F.when(end.isNull(), F.col("c.replacement_id")).otherwise(F.col("target_id")).alias("at"), F.when(end.isNull() | (end == "retracted"), 1).otherwise(0).alias("steps"), end.alias("outcome"), F.least("target_id", F.coalesce("c.replacement_id", "target_id")).alias("least"))
-    table, reach, most = checkpoint(start), 1, None
+    start = counted.select(
+        *key, "target_id", F.when(end.isNull(), F.col("c.replacement_id")).otherwise(F.col("target_id")).alias("at"), F.when(end.isNull() | (end == "retracted"), 1).otherwise(0).alias("steps"), end.alias("outcome"),
+        F.col("target_id").alias("least"), F.lit(1).alias("times"),  # of the assertions from the target to before `at`
+    )
+    table = checkpoint(start)
+    done, open_ = [table.where("outcome is not null")], table.where("outcome is null")
     while True:
-        ahead = table.select(*key, F.col("target_id").alias("at"), F.col("at").alias("next"), F.col("steps").alias("more"), F.col("outcome").alias("ends"), F.col("least").alias("further"))
-        jumped = table.join(ahead, [*key, "at"], "left")
-        going = F.col("outcome").isNull() & F.col("next").isNotNull()
-        moved = jumped.select(
-            *key, "target_id", F.when(going, F.col("next")).otherwise(F.col("at")).alias("at"), (F.col("steps") + F.when(going, F.col("more")).otherwise(0)).alias("steps"),
-            F.when(going, F.col("ends")).when(F.col("outcome").isNull(), "replaced").otherwise(F.col("outcome")).alias("outcome"), F.when(going, F.least("least", "further")).otherwise(F.col("least")).alias("least"),
-        )
-        table = checkpoint(moved)
-        open_ = table.where("outcome is null").count()
-        reach *= 2
-        most = table.count() if most is None else most
-        # a chain can't be longer than all corrections: what goes on after that goes round
-        if open_ == 0 or reach > most:
+        ahead = reduce(DataFrame.unionByName, [*done, open_]).select(*key, F.col("target_id").alias("at"), F.col("at").alias("next"), F.col("steps").alias("more"), F.col("outcome").alias("ends"), F.col("least").alias("further"), F.col("times").alias("times_further"))
+        jumped = open_.join(ahead, [*key, "at"], "left")
+        going = F.col("next").isNotNull()
+        least = F.least("least", "further")  # skips nulls
+        times = F.when(F.col("least") == least, F.col("times")).otherwise(0) + F.when(F.col("further") == least, F.col("times_further")).otherwise(0)
+        ends = F.when(~going, "replaced").otherwise(F.coalesce("ends", F.when(times > 1, "cycle")))
+        moved = checkpoint(jumped.select(*key, "target_id", F.when(going, F.col("next")).otherwise(F.col("at")).alias("at"), (F.col("steps") + F.when(going, F.col("more")).otherwise(0)).alias("steps"), ends.alias("outcome"), least.alias("least"), times.alias("times")))
+        done, open_ = [*done, moved.where("outcome is not null")], moved.where("outcome is null")
+        if open_.isEmpty():
             break
-    last = F.when(F.col("outcome").isNull(), F.col("least")).otherwise(F.col("at"))
-    steps = F.when(F.col("outcome").isNotNull(), F.col("steps"))
-    return table.select(*key, "target_id", last.alias("last_id"), steps.alias("steps"), F.coalesce("outcome", F.lit("cycle")).alias("outcome"))
+    cycle = F.col("outcome") == "cycle"
+    return reduce(DataFrame.unionByName, done).select(*key, "target_id", F.when(cycle, F.col("least")).otherwise(F.col("at")).alias("last_id"), F.when(~cycle, F.col("steps")).alias("steps"), "outcome")
 
 
 def correction_errors(corrections: DataFrame, ids: DataFrame) -> DataFrame:
