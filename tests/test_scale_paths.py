@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from veritempo.functions import temporal as T
 from veritempo.functions import text as X
 from veritempo.functions.text import fold
-from veritempo.operators import automaton, claims, events, interpret, ledger, linkage, ranges, scope, targets
+from veritempo.operators import automaton, claims, concepts, events, interpret, ledger, linkage, ranges, scope, targets
 
 
 def test_frames_with_and_without_users_do_not_mix(spark):
@@ -195,3 +195,10 @@ def test_rounds_of_replacements_follow_their_length(spark, monkeypatch):
 
     assert found == {i: followed(i) for i in rows}
     assert len(made) <= 8
+
+
+def test_equal_proposals_are_resolved_once(spark):
+    """Rules over words read each different proposal once; its number and its last id stay."""
+    rows = [(1, i, "troquei", None if i % 2 else "person") for i in range(100)] + [(2, i, "troquei", None) for i in range(7)]
+    found = concepts.different_proposals(spark.createDataFrame(rows, "user_id long, proposal_id long, raw_input string, subject_kind string")).collect()
+    assert {(r.user_id, r.subject_kind): (r.n, r.proposal_id) for r in found} == {(1, None): (50, 99), (1, "person"): (50, 98), (2, None): (7, 6)}

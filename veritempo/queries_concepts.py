@@ -9,6 +9,7 @@ from veritempo.functions import attribute_values
 from veritempo.operators import concepts, repairs
 from veritempo.registry import query_of_two_users
 from veritempo.sources.frames import KnowledgeFrames
+from veritempo.storage import checkpoint
 
 #: What is said, for each primitive.
 SAID = {
@@ -42,9 +43,10 @@ def _proposals(f: KnowledgeFrames, primitive: str) -> DataFrame:
 
 def _resolved(f: KnowledgeFrames, primitive: str, shown: list[str]) -> DataFrame:
     known = f.spark.createDataFrame([(c,) for c in CONCEPTS], "concept string")
-    rows = concepts.resolve_concepts(_proposals(f, primitive), concepts.alias_frame(f.spark), known)
+    different = checkpoint(concepts.different_proposals(_proposals(f, primitive)))
+    rows = concepts.resolve_concepts(different.drop("n"), concepts.alias_frame(f.spark), known).join(different.select("user_id", "proposal_id", "n"), ["user_id", "proposal_id"])
     empty = F.lit("")
-    return rows.groupBy("user_id", "surface", "status", *[F.coalesce(c, empty).alias(c) for c in ("sense", "reason", *shown)]).agg(F.count("*").alias("n"), F.max("proposal_id").alias("last"))
+    return rows.groupBy("user_id", "surface", "status", *[F.coalesce(c, empty).alias(c) for c in ("sense", "reason", *shown)]).agg(F.sum("n").alias("n"), F.max("proposal_id").alias("last"))
 
 
 @query_of_two_users
