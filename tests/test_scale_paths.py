@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from veritempo.functions import temporal as T
 from veritempo.functions import text as X
 from veritempo.functions.text import fold
-from veritempo.operators import automaton, claims, concepts, events, interpret, ledger, linkage, ranges, scope, targets
+from veritempo.operators import automaton, claims, concepts, events, interpret, ledger, linkage, ranges, repairs, scope, targets
 
 
 def test_frames_with_and_without_users_do_not_mix(spark):
@@ -202,3 +202,16 @@ def test_equal_proposals_are_resolved_once(spark):
     rows = [(1, i, "troquei", None if i % 2 else "person") for i in range(100)] + [(2, i, "troquei", None) for i in range(7)]
     found = concepts.different_proposals(spark.createDataFrame(rows, "user_id long, proposal_id long, raw_input string, subject_kind string")).collect()
     assert {(r.user_id, r.subject_kind): (r.n, r.proposal_id) for r in found} == {(1, None): (50, 99), (1, "person"): (50, 98), (2, None): (7, 6)}
+
+
+def test_equal_proposals_are_repaired_once(spark, monkeypatch):
+    """The rules see each different proposal once; proposals with nulls find their repair and keep other columns."""
+    flags = ["change", "condition", "link", "stable", "classification", "measures", "correction", "has_claims"]
+    texts = ["primitive_hint", "subject_text", "subject_kind", "subject_reference", "object_text", "object_kind", "object_reference", "attribute_expression", "relation_expression", "action_expression", "event_expression", "measure_dimension", "lifecycle", "aspect"]
+    k = F.col("id")
+    rows = spark.range(60).select(k, F.lit("query").alias("utterance_kind"), F.when(k % 3 == 0, "Qual é o meu nome?").when(k % 3 == 1, "nada").alias("raw_input"), *[F.lit(None).cast("string").alias(c) for c in texts], *[F.lit(False).alias(c) for c in flags])
+    seen, apply = [], repairs._repaired
+    monkeypatch.setattr(repairs, "_repaired", lambda df, chosen: seen.append(df.count()) or apply(df, chosen))
+    names = [r for r in repairs.rules() if r.name == "name_query"]
+    found = {r.id: (r.attribute_expression, r.raw_input, list(r.repairs)) for r in repairs.repaired(rows, names).collect()}
+    assert found == {i: [("nome", "Qual é o meu nome?", ["name_query"]), (None, "nada", []), (None, None, [])][i % 3] for i in range(60)} and seen == [3]

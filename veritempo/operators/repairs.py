@@ -38,6 +38,12 @@ NOUN_KINDS = {
 TELLS = ["assert", "change", "none", "describe"]
 YEAR = r"\b((?:19|20)\d{2})\b"
 
+#: The columns that rules read and rewrite.
+SLOTS = [
+    "utterance_kind", "primitive_hint", "raw_input", *(f"{end}_{c}" for end in ("subject", "object") for c in ("text", "kind", "reference")), "attribute_expression", "relation_expression", "action_expression", "event_expression",
+    "change", "condition", "link", "stable", "classification", "measures", "correction", "has_claims", "measure_dimension", "lifecycle", "aspect",
+]
+
 Update = dict[str, Column]
 
 
@@ -174,12 +180,21 @@ def repaired(proposals: DataFrame, chosen: list[Rule] | None = None) -> DataFram
 
     proposals: utterance_kind, primitive_hint, raw_input, subject_text, subject_kind and subject_reference (and object_...),
     attribute_expression, relation_expression, action_expression, event_expression, change, condition, link, stable,
-    classification, measures, correction and has_claims (flags), measure_dimension, lifecycle and aspect.
+    classification, measures, correction and has_claims (flags), measure_dimension, lifecycle and aspect. Proposals that say
+    the same in all of these are read once; other columns pass.
     """
+    said = F.struct(*[c for c in proposals.columns if c in SLOTS])
+    different = proposals.select(said.alias("said")).distinct()
+    rows = _repaired(different.select("said", "said.*"), rules() if chosen is None else chosen)
+    same = [F.col(f"fixed.{c}") if c in SLOTS else F.col(f"given.{c}") for c in proposals.columns]
+    return proposals.alias("given").join(rows.alias("fixed"), F.struct(*[F.col(f"given.{c}") for c in proposals.columns if c in SLOTS]) == F.col("fixed.said")).select(*same, "fixed.repairs")
+
+
+def _repaired(proposals: DataFrame, chosen: list[Rule]) -> DataFrame:
     low = F.trim(F.regexp_replace(fold(F.coalesce("raw_input", F.lit(""))), r"[?!.…]+$", ""))
     rows = proposals.withColumn("low", low)
     rows = rows.withColumns({"asked": F.coalesce(F.trim("raw_input").endswith("?"), F.lit(False)) | F.col("low").rlike(ASKS), "noun": _found(F.col("low"), POSSESSED), "low_dimension": _dimension(F.col("low")), "repairs": F.array().cast("array<string>")})
-    for rule in rules() if chosen is None else chosen:
+    for rule in chosen:
         rows = rows.withColumn("named_dimension", _dimension(fold("attribute_expression")))
         rows = rows.withColumn("hit", F.coalesce(rule.when(), F.lit(False)))
         new = {k: F.when(F.col("hit"), v.cast(proposals.schema[k].dataType)).otherwise(F.col(k)) for k, v in rule.to().items()}
