@@ -13,6 +13,7 @@ from veritempo.functions import temporal as T
 from veritempo.functions import text as X
 from veritempo.functions.text import fold
 from veritempo.operators import automaton, claims, concepts, events, interpret, ledger, linkage, ranges, repairs, scope, targets
+from veritempo.queries import QUERIES
 
 
 def test_frames_with_and_without_users_do_not_mix(spark):
@@ -215,3 +216,9 @@ def test_equal_proposals_are_repaired_once(spark, monkeypatch):
     names = [r for r in repairs.rules() if r.name == "name_query"]
     found = {r.id: (r.attribute_expression, r.raw_input, list(r.repairs)) for r in repairs.repaired(rows, names).collect()}
     assert found == {i: [("nome", "Qual é o meu nome?", ["name_query"]), (None, "nada", []), (None, None, [])][i % 3] for i in range(60)} and seen == [3]
+
+
+def test_rules_over_parts_are_dealt_to_all_cores(spark):
+    """Parts lie in one small file, which was one task's; the rules over their texts come after they are dealt by key."""
+    plan = QUERIES["attribute_values_stated"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"RepartitionByExpression \[user_id#\d+L?, p_partkey#\d+L?\]", plan)

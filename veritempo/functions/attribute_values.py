@@ -95,11 +95,16 @@ def _color(expression: Column) -> Column:
     return let(text, lambda t: F.when(t.isNotNull(), _value("color", "text", text=t)))
 
 
+def _pair(p: dict[str, Column]) -> Column:
+    return p["pair"] if "pair" in p else brand_and_model(p["attribute_expression"], p["raw_input"], p["subject_kind"])
+
+
 def attribute_value(p: dict[str, Column]) -> Column:
     """struct of dimension, kind, text, number, unit and year that a proposal states, or null; the first rule that fits.
 
     p: attribute_expression, raw_input, subject_kind, stable and classification (flags), and claim_dimension, claim_text,
-    claim_number and claim_unit, which go before all text. A classification states no attribute.
+    claim_number and claim_unit, which go before all text. A classification states no attribute. A column pair, if given, is
+    `brand_and_model` of these, so that it is worked out once for this and for `companions`.
     """
     expression, raw = p["attribute_expression"], p["raw_input"]
     number = p["claim_number"].try_cast("decimal(38,6)")
@@ -108,7 +113,7 @@ def attribute_value(p: dict[str, Column]) -> Column:
         fold(F.coalesce(expression, F.lit(""))).alias("low"),
         fold(F.concat_ws(" ", F.coalesce(expression, F.lit("")), F.coalesce(raw, F.lit("")))).alias("surface"),
         _name(expression, raw).alias("name"),
-        brand_and_model(expression, raw, p["subject_kind"]).alias("pair"),
+        _pair(p).alias("pair"),
     )
 
     def judged(x: Column) -> Column:
@@ -124,8 +129,7 @@ def attribute_value(p: dict[str, Column]) -> Column:
 
 def companions(p: dict[str, Column]) -> Column:
     """The brand and model that a text states together, as an array of values."""
-    pair = brand_and_model(p["attribute_expression"], p["raw_input"], p["subject_kind"])
-    found = let(pair, lambda x: F.when(x.isNotNull(), F.array_compact(F.array(x["brand"], x["model"]))))
+    found = let(_pair(p), lambda x: F.when(x.isNotNull(), F.array_compact(F.array(x["brand"], x["model"]))))
     return F.coalesce(F.when(~p["classification"], found), F.array().cast(f"array<{VALUE}>"))
 
 

@@ -87,8 +87,12 @@ def attribute_values_stated(f):
     raw = F.when(key % 24 == 23, F.concat(F.lit("Meu carro é um "), brand, F.lit(" Civic")))
     nothing = F.lit(None).cast("string")
     p = {"attribute_expression": F.when(key % 24 != 23, said), "raw_input": raw, "subject_kind": F.lit("vehicle"), "stable": F.lit(True), "classification": key % 29 == 0, "tense": nothing} | {c: nothing for c in ("claim_dimension", "claim_text", "claim_number", "claim_unit")}
+    # parts are few bytes in few files, and rules over words take long: dealt anew, so that all cores share them
+    rows = f.owned("part", "p_partkey").select("user_id", "p_partkey", "p_brand", "p_size").repartition("user_id", "p_partkey")
+    rows = rows.withColumn("pair", attribute_values.brand_and_model(p["attribute_expression"], p["raw_input"], p["subject_kind"]))
+    p |= {"pair": F.col("pair")}
     value, others = attribute_values.attribute_value(p), attribute_values.companions(p)
-    rows = f.owned("part", "p_partkey").select("user_id", key.alias("proposal_id"), value.alias("v"), F.array_join(F.transform(others, lambda c: F.concat_ws("=", c["dimension"], c["text"])), " ").alias("companions"), attribute_values.is_current(p).alias("is_current"))
+    rows = rows.select("user_id", key.alias("proposal_id"), value.alias("v"), F.array_join(F.transform(others, lambda c: F.concat_ws("=", c["dimension"], c["text"])), " ").alias("companions"), attribute_values.is_current(p).alias("is_current"))
     return rows.select("user_id", "proposal_id", *[F.coalesce(F.col(f"v.{c}"), F.lit("")).alias(c) for c in ("dimension", "kind", "text", "unit")], F.coalesce(F.col("v.number").cast("decimal(18,2)").cast("string"), F.lit("")).alias("number"), F.coalesce(F.col("v.year").cast("string"), F.lit("")).alias("year"), "companions", "is_current")
 
 
