@@ -222,3 +222,12 @@ def test_rules_over_parts_are_dealt_to_all_cores(spark):
     """Parts lie in one small file, which was one task's; the rules over their texts come after they are dealt by key."""
     plan = QUERIES["attribute_values_stated"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"RepartitionByExpression \[user_id#\d+L?, p_partkey#\d+L?\]", plan)
+
+
+def test_words_of_sources_are_made_once_for_each_reply(spark):
+    """Six thousand words against six thousand: a source folded again for every word takes minutes."""
+    words = [f"palavra{chr(97 + i % 26)}{i}x" for i in range(6_000)]
+    rows = spark.createDataFrame([(" ".join(words) + " 12345 12345 Ação novidade casa", " ".join(words[:-2]) + " 12345 ACAO", "casa"), (None, None, None), ("abc 1234 de", "1234", None)], "reply string, question string, more string")
+    began = time.time()
+    found = [r.w for r in rows.select(interpret.unattested(F.col("reply"), [F.col("question"), F.col("more")]).alias("w")).collect()]
+    assert found == [sorted(["12345", "novidade", *words[-2:]]), [], ["1234"]] and time.time() - began < 15

@@ -282,9 +282,13 @@ def words_of(text: Column) -> Column:
 
 
 def unattested(reply: Column, sources: list[Column], shortest: int = 4) -> Column:
-    """Words of a reply, of some length, that no source has and that are not common; numbers of that length always count."""
+    """Words of a reply, of some length, that no source has and that are not common; numbers of that length always count.
+
+    The sources' words are made once for each reply and taken away as a set, not once for each of its words.
+    """
     known = F.concat(*[words_of(s) for s in sources], F.array(*map(F.lit, COMMON_WORDS)))
-    return F.array_sort(F.array_distinct(F.filter(words_of(reply), lambda w: (F.length(w) >= shortest) & (w.rlike("^[0-9]+$") | ~F.array_contains(known, w)))))
+    long = F.filter(words_of(reply), lambda w: F.length(w) >= shortest)
+    return let(long, lambda words: F.array_sort(F.array_union(F.filter(words, lambda w: w.rlike("^[0-9]+$")), F.array_except(words, known))))
 
 
 def presenter_fault(reply: Column, p: dict[str, Column]) -> Column:
@@ -301,7 +305,7 @@ def presenter_fault(reply: Column, p: dict[str, Column]) -> Column:
     required = F.when(status.isin("no_results", "unknown", "error", "unsupported", "insufficient"), F.array().cast("array<string>")).when(status == "needs_clarification", p["candidates"]).otherwise(listed)
     unknown, no, bare, failed = low.rlike(SAYS_UNKNOWN), low.rlike(SAYS_NO), low.rlike(BARE_NO), low.rlike(SAYS_FAILED)
     extra = unattested(said, p["sources"])
-    all_extra = F.size(F.filter(words_of(said), lambda w: F.array_contains(extra, w)))
+    all_extra = let(extra, lambda words: F.size(F.filter(words_of(said), lambda w: F.array_contains(words, w))))
     return (
         F.when(said == "", "empty")
         .when(F.length(said) > LONGEST_REPLY, "too_long")
