@@ -231,3 +231,17 @@ def test_words_of_sources_are_made_once_for_each_reply(spark):
     began = time.time()
     found = [r.w for r in rows.select(interpret.unattested(F.col("reply"), [F.col("question"), F.col("more")]).alias("w")).collect()]
     assert found == [sorted(["12345", "novidade", *words[-2:]]), [], ["1234"]] and time.time() - began < 15
+
+
+@pytest.mark.parametrize("name", ["primitive_routing", "assertion_collection", "evidence_flags"])
+def test_evidence_of_lines_is_judged_once_for_each_different_one(spark, name):
+    """Lines are counted by their evidence before any text of theirs is folded."""
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    spark.conf.set("spark.sql.maxPlanStringLength", "10000000")
+    try:
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+        spark.conf.unset("spark.sql.maxPlanStringLength")
+    below = plan[plan.rindex("Aggregate [") :].partition("\n")[2]
+    assert "translate(" in plan and "Relation" in below and "translate(" not in below

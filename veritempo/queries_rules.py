@@ -147,31 +147,36 @@ def _lines(f):
     return f.table("lineitem").withColumn("k", F.col("l_orderkey") * 7 + F.col("l_linenumber") * 3 + F.col("l_partkey"))
 
 
-@query
-def primitive_routing(f):
-    """Evidence is worked out once for each line, then the route; what it is in the graph only for each route."""
+def _different_evidence(f):
+    """Each different evidence of the lines once, as columns, with the number of its lines: rules run on these only."""
     p = _evidence(F.col("k"))
     rows = _lines(f).select(*[c.alias(n) for n, c in p.items()])
-    p = {n: F.col(n) for n in p}
+    return rows.groupBy(*p).agg(F.count("*").alias("n_lines")), {n: F.col(n) for n in p}
+
+
+@query
+def primitive_routing(f):
+    """Evidence is worked out once for each different proposal, then the route; what it is in the graph only for each route."""
+    rows, p = _different_evidence(f)
     rows = rows.withColumns({"is_measured": interpret.measurement_evidence(p), "is_occurrence": interpret.occurrence_evidence(p), "is_reading": interpret.instrument_reading(p)})
     acts = p["action_text"].isNotNull() | p["event_text"].isNotNull()
     route = interpret.route(p | {"relation": p["relation_text"].isNotNull(), "measurement": F.col("is_measured"), "occurrence": F.col("is_occurrence"), "reading": F.col("is_reading"), "action": acts})
-    found = rows.groupBy(route.alias("primitive")).agg(F.count("*").alias("n"))
+    found = rows.groupBy(route.alias("primitive")).agg(F.sum("n_lines").alias("n"))
     return found.select("primitive", V.graph_primitive(F.col("primitive"), routed=True).alias("graph"), "n")
 
 
 @query
 def assertion_collection(f):
-    p = _evidence(F.col("k"))
-    rows = _lines(f).select("k", F.posexplode(interpret.assertions(p, _routed(p))).alias("position", "primitive"))
-    return rows.groupBy("primitive", "position").agg(F.count("*").alias("n"))
+    rows, p = _different_evidence(f)
+    rows = rows.select("n_lines", F.posexplode(interpret.assertions(p, _routed(p))).alias("position", "primitive"))
+    return rows.groupBy("primitive", "position").agg(F.sum("n_lines").alias("n"))
 
 
 @query
 def evidence_flags(f):
-    p = _evidence(F.col("k"))
+    rows, p = _different_evidence(f)
     flags = [interpret.measurement_evidence(p).alias("measurement"), interpret.instrument_reading(p).alias("reading"), interpret.occurrence_evidence(p).alias("occurrence")]
-    return _lines(f).groupBy(*flags).agg(F.count("*").alias("n"))
+    return rows.groupBy(*flags).agg(F.sum("n_lines").alias("n"))
 
 
 @query
