@@ -136,3 +136,25 @@ def test_parity_bitmaps_never_rule_out_similar_sets():
         assert apart <= len(a) + len(b) - 2 * common
         if len(b) and common / (len(a) + len(b) - common) >= 0.8:
             assert apart <= (len(a) + len(b)) * 0.2 / 1.8 + 1e-6
+
+
+def test_turns_of_near_duplicates_leave_no_files_behind(spark):
+    """On many partitions every table that a turn kept was a file for each; only the classes are left now."""
+    from pathlib import Path
+
+    from veritempo.llm.common import shared_folder
+
+    words = [f"w{i}" for i in range(300)]
+    docs = spark.createDataFrame([(i, " ".join(words[i % 5 * 40 : i % 5 * 40 + 60] + [f"x{i}"] * (i % 2))) for i in range(60)], "doc_id long, text string")
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, old = {*folder.rglob("*")}, {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    left = [p for p in folder.rglob("*") if p not in before and p.is_file()]
+    assert found == {i: i % 5 for i in range(60)} and len(left) <= 2 * 40 + 2

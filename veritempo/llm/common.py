@@ -62,6 +62,11 @@ class Scratch:
         kept._scratch, kept._table = path, name
         return kept
 
+    def clear(self) -> None:
+        """Delete all of them, once nothing is read from them any more."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
     def drop(self, *kept: DataFrame) -> None:
         for df in kept:
             if name := getattr(df, "_table", None):

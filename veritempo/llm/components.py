@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritempo.llm.common import checkpoint
+from veritempo.llm.common import Scratch
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -20,16 +20,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved if large else moved.distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """node and component (its least node) of every node of edges(a, b) but the least ones themselves.
 
-    A component's least node is the only one without a row. Edges are undirected; repeats and loops do no harm.
+    A component's least node is the only one without a row. Edges are undirected; repeats and loops do no harm. Each
+    step's edges are written to the scratch folder, so that few edges lie in few files and few tasks read them.
     """
+    scratch = scratch or Scratch(edges.sparkSession)
     edges = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges, last = checkpoint(edges), None
+    edges, last = scratch.keep(edges), None
     while True:
         state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == last or state[0] == 0:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         last = state
-        edges = checkpoint(_star(_star(edges, True), False))
+        before, edges = edges, scratch.keep(_star(_star(edges, True), False))
+        scratch.drop(before)

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritempo.llm.common import checkpoint
+from veritempo.llm.common import Scratch
 from veritempo.llm.components import components
 from veritempo.llm.shingles import jaccard, mix, shingles
 
@@ -185,7 +185,7 @@ def _packed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("packed").alias("packed"))
 
 
-def prefix_pairs(open_docs: DataFrame, packed: DataFrame, similarity: float) -> DataFrame:
+def prefix_pairs(open_docs: DataFrame, packed: DataFrame, similarity: float, scratch: Scratch | None = None) -> DataFrame:
     """All pairs (x, y) across components that may be similar: an exact filter, for documents that hubs left open.
 
     open_docs: doc_id, size, component, bits. Each set's shingles are put in one global order, rarest first. Similar sets
@@ -211,7 +211,7 @@ def prefix_pairs(open_docs: DataFrame, packed: DataFrame, similarity: float) ->
     rows = shared.select("doc_id", "component", "token", "size", (F.col("size") - place).alias("left"))
     share = similarity / (1 + similarity)
     slack = 1e-6
-    rows = checkpoint(rows.where(F.col("left") >= F.col("size") * similarity - slack).join(open_docs.select("doc_id", "bits"), "doc_id"))
+    rows = (scratch or Scratch(packed.sparkSession)).keep(rows.where(F.col("left") >= F.col("size") * similarity - slack).join(open_docs.select("doc_id", "bits"), "doc_id"))
     short = rows.where(F.col("left") >= F.col("size") * (2 * share) - slack).select("token", F.col("component").alias("c"), F.col("doc_id").alias("y"), F.col("size").alias("s"), F.col("left").alias("l"), F.col("bits").alias("own_bits"))
     groups = short.groupBy("token", "c").agg(F.min("s").alias("least"), F.max("s").alias("most"), F.max("l").alias("l"), F.count("*").alias("n"), F.min("own_bits").alias("own_bits"))
     least = F.greatest(F.col("least"), F.col("size") * similarity)
@@ -225,15 +225,20 @@ def prefix_pairs(open_docs: DataFrame, packed: DataFrame, similarity: float) ->
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id and class_id of every row."""
+    """doc_id and class_id of every row.
+
+    What the turns read again is written to a scratch folder, so that small tables lie in few files; of all of it only the
+    classes of different texts are left.
+    """
+    scratch = Scratch(docs.sparkSession)
     every = signed(docs)
     alone = F.min(F.struct("doc_id", "size", "bands", "bits")).alias("r")
-    texts = checkpoint(every.groupBy("a", "b").agg(alone).select("a", "b", "r.*"))
+    texts = scratch.keep(every.groupBy("a", "b").agg(alone).select("a", "b", "r.*"))
     buckets = texts.select("doc_id", "size", F.posexplode("bands").alias("band", "bucket"))
     shared = buckets.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    members = checkpoint(buckets.join(shared, ["band", "bucket"]).select("band", "bucket", "doc_id", "size", F.col("doc_id").alias("component")))
-    packed = checkpoint(_packed(docs, members.select("doc_id").distinct()))
-    labels, seen = None, None
+    members = scratch.keep(buckets.join(shared, ["band", "bucket"]).select("band", "bucket", "doc_id", "size", F.col("doc_id").alias("component")))
+    packed = scratch.keep(_packed(docs, members.select("doc_id").distinct()))
+    labels, seen, held = None, None, members
     similar_size = F.least("size", "hub_size") >= F.greatest("size", "hub_size") * F.lit(similarity)
     for numbers in [*(x for x in (range(min(rounds, 1)), range(1, rounds)) if x), None]:
         if numbers:
@@ -245,25 +250,28 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, rounds: int
             pairs = pairs.select(F.least("doc_id", "hub").alias("x"), F.greatest("doc_id", "hub").alias("y")).distinct()
         else:
             left_open = members.select("doc_id", "size", "component").distinct()
-            pairs = prefix_pairs(left_open.join(texts.select("doc_id", "bits"), "doc_id"), packed, similarity)
-        pairs = checkpoint(pairs if seen is None else pairs.join(seen, ["x", "y"], "left_anti"))
+            pairs = prefix_pairs(left_open.join(texts.select("doc_id", "bits"), "doc_id"), packed, similarity, scratch)
+        pairs = scratch.keep(pairs if seen is None else pairs.join(seen, ["x", "y"], "left_anti"))
         seen = pairs if seen is None else seen.unionByName(pairs)
         links = compared(pairs, packed, similarity)
         if labels is None:
-            labels = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
+            labels = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch)
         else:
             for end in ("x", "y"):
                 named = labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_component"))
                 links = links.join(named, end, "left").withColumn(f"{end}_component", F.coalesce(f"{end}_component", end))
-            joined = components(links.select(F.col("x_component").alias("a"), F.col("y_component").alias("b")))
+            joined = components(links.select(F.col("x_component").alias("a"), F.col("y_component").alias("b")), scratch)
             moved = joined.select(F.col("node").alias("component"), F.col("component").alias("to"))
             old = labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-            labels = checkpoint(old.unionByName(joined.join(labels, "node", "left_anti")))
+            labels = scratch.keep(old.unionByName(joined.join(labels, "node", "left_anti")))
         members = members.drop("component").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         open_ = members.groupBy("band", "bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("band", "bucket")
-        members = checkpoint(members.join(open_, ["band", "bucket"]).select("band", "bucket", "doc_id", "size", "component"))
+        before, members = held, scratch.keep(members.join(open_, ["band", "bucket"]).select("band", "bucket", "doc_id", "size", "component"))
+        scratch.drop(before)
+        held = members
         if members.isEmpty():
             break
-    named = texts.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("a", "b", F.coalesce("component", "doc_id").alias("class_id"))
+    named = Scratch(docs.sparkSession).keep(texts.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("a", "b", F.coalesce("component", "doc_id").alias("class_id")))
+    scratch.clear()
     rows = docs.select("doc_id", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
     return rows.join(named, ["a", "b"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
