@@ -245,3 +245,8 @@ def test_evidence_of_lines_is_judged_once_for_each_different_one(spark, name):
         spark.conf.unset("spark.sql.maxPlanStringLength")
     below = plan[plan.rindex("Aggregate [") :].partition("\n")[2]
     assert "translate(" in plan and "Relation" in below and "translate(" not in below
+
+
+def test_candidates_are_validated_once_for_all_that_is_made_of_them(spark):
+    plan = QUERIES["ingest_pipeline"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("orders") + plan.count("o_orderkey") > 0 and "entity.foreign" not in plan and "LeftAnti" not in plan

@@ -9,6 +9,7 @@ from veritempo.functions import temporal as T
 from veritempo.operators import writes
 from veritempo.queries_rules import GUARD_PARTS, said
 from veritempo.registry import query, query_of_two_users, text_of
+from veritempo.storage import checkpoint
 
 CONCEPT_KINDS = [("event.order", "event"), ("event.recurring_bill", "event"), ("action.buy", "action"), ("attribute.amount", "attribute"), ("state.open", "state_value"), ("relation.owns", "relation"), ("entity.person", "entity")]
 FIELDS = ["event.type", "event.action", "fact.attribute", "state.value", "relation.type", "mention.type"]
@@ -100,7 +101,8 @@ def assessed_candidates(f):
 
 
 def _made(f):
-    accepted, _ = writes.assessed(_validated(f), _completeness(f))
+    # validation joins all candidates, references, mentions and facts: run once, not once for each kind of row made of it
+    accepted = checkpoint(writes.assessed(_validated(f), _completeness(f))[0].select(*writes.KEY, "primitive", "type_key", "action", "status", "monthday", "temporal"))
     bound, fresh, refused = writes.bound_entities(_mentions(f).join(accepted.select(*writes.KEY), writes.KEY, "left_semi"))
     taking_part = writes.participants(bound)
     made = writes.materialised_events(accepted, taking_part)
