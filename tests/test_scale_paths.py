@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from veritempo.functions import temporal as T
 from veritempo.functions import text as X
 from veritempo.functions.text import fold
-from veritempo.operators import automaton, claims, concepts, events, interpret, ledger, linkage, ranges, repairs, scope, targets
+from veritempo.operators import automaton, claims, concepts, events, interpret, ledger, linkage, ranges, repairs, scope, states, targets
 from veritempo.queries import QUERIES
 
 
@@ -250,3 +250,29 @@ def test_evidence_of_lines_is_judged_once_for_each_different_one(spark, name):
 def test_candidates_are_validated_once_for_all_that_is_made_of_them(spark):
     plan = QUERIES["ingest_pipeline"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("orders") + plan.count("o_orderkey") > 0 and "entity.foreign" not in plan and "LeftAnti" not in plan
+
+
+def test_current_states_are_folded_at_the_top_time_only(spark):
+    """A sort of all states before they are folded, or a group for each different time, held a whole split in one task."""
+    rng = random.Random(11)
+    day = dt.date(2020, 1, 1)
+    rows = [(rng.choice(["a", "b", "c", None, *map(str, range(60))]), i // 2, rng.choice("xyz"), rng.randrange(5) > 0, rng.choice([None, *range(6)]), rng.choice([None, None, None, 1, 2])) for i in range(600)]
+    told = spark.createDataFrame(rows, "entity_id string, state_id long, value string, is_current boolean, d int, m int")
+    time_ = F.when(F.col("m").isNotNull(), T.in_month(F.lit(2019), F.col("m"))).when(F.col("d").isNull(), T.unknown_time(F.lit("once"))).otherwise(T.on_day(F.date_add(F.lit(day), F.col("d"))))
+    asked = told.withColumn("temporal", time_)
+
+    def answer(held):
+        live = [((1, m) if m is not None else (0, d), i, v) for e, i, v, c, d, m in rows if e == held and c and not (m is None and d is None)]
+        lone = [(i, v) for e, i, v, c, d, m in rows if e == held and c and m is None and d is None]
+        if live:
+            same = sum(x[0] == max(live)[0] for x in live)
+            return (*max(live)[1:], "partial" if lone else "indeterminate" if same > 1 else "complete", len(lone) or int(same > 1))
+        return (*lone[0], "partial", 0) if len(lone) == 1 else (None, None, "indeterminate", len(lone))
+
+    for few in (False, True):
+        out = states.current(asked, ["entity_id"], few)
+        found = out.collect()
+        assert {r.entity_id: (r.state_id, r.value, r.completeness, r.n_open) for r in found} == {e: answer(e) for e in {r[0] for r in rows if r[3]}} and len(found) == len({r.entity_id for r in found})
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        below = plan[plan.index("Join") :]
+        assert "SortAggregate" not in below and below.count("HashAggregate(keys=[entity_id") == below.count("HashAggregate") > 0

@@ -287,7 +287,7 @@ def state_current(f):
 
 @query
 def state_current_by_dimension(f):
-    return states.current(f.state, ["dimension"]).withColumn("state_id", text_of("state_id"))
+    return states.current(f.state, ["dimension"], few=True).withColumn("state_id", text_of("state_id"))
 
 
 @query
