@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from veritempo.functions import temporal as T
 from veritempo.functions import text as X
 from veritempo.functions.text import fold
-from veritempo.operators import automaton, claims, concepts, events, interpret, ledger, linkage, ranges, repairs, scope, states, targets
+from veritempo.operators import automaton, claims, concepts, events, interpret, ledger, linkage, ranges, relations, repairs, scope, states, targets
 from veritempo.queries import QUERIES
 
 
@@ -276,3 +276,19 @@ def test_current_states_are_folded_at_the_top_time_only(spark):
         plan = out._jdf.queryExecution().sparkPlan().toString()
         below = plan[plan.index("Join") :]
         assert "SortAggregate" not in below and below.count("HashAggregate(keys=[entity_id") == below.count("HashAggregate") > 0
+
+
+def test_items_of_a_card_are_counted_before_they_meet_names(spark):
+    """A joined row for each state, with its name, was held by the task that counts; names of all parts were broadcast."""
+    no = lambda kinds: spark.createDataFrame([], kinds)
+    entities = spark.createDataFrame([(1, "p:1", "bolt"), (1, "p:1", "bolt"), (1, "p:2", None), (2, "p:1", "nut"), (1, "p:3", "nail")], "user_id long, entity_id string, name string")
+    told = spark.createDataFrame([(1, "p:1", "open", "O", True)] * 3 + [(1, "p:1", "open", "F", False), (1, "p:2", "open", "F", True), (2, "p:1", "open", "O", True), (1, "p:3", "open", "O", True), (1, None, "open", "O", True)], "user_id long, entity_id string, dimension string, value string, is_current boolean")
+    ends = spark.createDataFrame([(1, "p:1", "p:2", "near", True)], "user_id long, from_id string, to_id string, key string, is_current boolean")
+    wanted = spark.createDataFrame([("p:1",), ("p:2",)], "entity_id string")
+    rows = relations.entity_card(entities, ends, no("user_id long, entity_id string, dimension string, text_value string, numeric_value decimal(18,2), unit string, is_current boolean"), told, wanted)
+    assert sorted(map(str, (tuple(r) for r in rows.collect()))) == sorted(map(str, [
+        (1, "p:1", "bolt", "states", "open O", 6), (1, "p:1", "bolt", "relations_out", "near p:2", 2), (1, "p:2", None, "relations_in", "near p:1", 1),
+        (1, "p:2", None, "states", "open F", 1), (2, "p:1", "nut", "states", "open O", 1),
+    ]))
+    plan = QUERIES["entity_card"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("Aggregate [") and "item#" in plan.partition("Aggregate [")[2].partition("\n")[0]

@@ -152,9 +152,10 @@ def entity_detail(entities: DataFrame, relations: DataFrame, attributes: DataFra
 
 
 def entity_card(entities: DataFrame, relations: DataFrame, attributes: DataFrame, states: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Of the wanted entities (column entity_id) what `entity_detail` counts: entity_id, name, list and item, a row for each.
+    """Of the wanted entities (column entity_id) what `entity_detail` counts: entity_id, name, list, item and n, a row for each different item.
 
-    The lists are current relations out and in, attributes and states. They stay rows: a place may have very many.
+    The lists are current relations out and in, attributes and states. They stay rows: a place may have very many. Equal
+    items are counted before they meet names. Names grow with the tables however well they compress: no broadcast.
     """
     user = by_user(entities, relations, attributes, states)
     key = [*user, "entity_id"]
@@ -163,9 +164,9 @@ def entity_card(entities: DataFrame, relations: DataFrame, attributes: DataFrame
     into = live[1].select(*user, F.col("to_id").alias("entity_id"), F.lit("relations_in").alias("list"), F.concat_ws(" ", "key", "from_id").alias("item"))
     held = live[2].select(*key, F.lit("attributes").alias("list"), F.concat_ws(" ", "dimension", F.coalesce("text_value", F.col("numeric_value").cast("string")), "unit").alias("item"))
     stands = live[3].select(*key, F.lit("states").alias("list"), F.concat_ws(" ", "dimension", "value").alias("item"))
-    rows = out.unionByName(into).unionByName(held).unionByName(stands)
-    named = entities.join(wanted, [*by_user(entities, wanted, shared=True), "entity_id"], "left_semi").select(*key, "name")
-    return rows.join(named, key)
+    counted = out.unionByName(into).unionByName(held).unionByName(stands).groupBy(*key, "list", "item").agg(F.count("*").alias("n_items"))
+    named = entities.join(wanted, [*by_user(entities, wanted, shared=True), "entity_id"], "left_semi").groupBy(*key, "name").agg(F.count("*").alias("n_rows"))
+    return counted.join(named.hint("merge"), key).select(*key, "name", "list", "item", (F.col("n_items") * F.col("n_rows")).alias("n"))
 
 
 def of_entity(relations: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -107,7 +107,7 @@ def relations_for_entity(f):
 def entity_card(f):
     wanted = f.entity.where("type_key in ('entity.nation', 'entity.region') or entity_id like 'p:%'").select("entity_id")
     rows = relations.entity_card(f.entity, f.relation.where("key != 'buys_from'"), f.attribute, f.state, wanted)
-    return rows.groupBy("entity_id", "name", "list", "item").agg(F.count("*").alias("n"))
+    return rows.select("entity_id", "name", "list", "item", "n")
 
 
 @query
