@@ -292,3 +292,14 @@ def test_items_of_a_card_are_counted_before_they_meet_names(spark):
     ]))
     plan = QUERIES["entity_card"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join Inner") < plan.index("Aggregate [") and "item#" in plan.partition("Aggregate [")[2].partition("\n")[0]
+
+
+def test_the_first_relation_is_found_among_answers(spark):
+    """Whole relations, with their times in every form, were sorted where the answer of each is enough."""
+    at = lambda day: dt.datetime(2020, 1, day)
+    told = [("a", 2, at(1), None, True), ("a", 1, at(9), None, True), ("b", 1, at(1), at(30), False), ("b", 2, at(9), None, True), ("c", 1, None, None, True), ("d", 1, at(1), at(5), False), ("e", 1, None, at(5), False), ("f", 1, at(1), None, None), (None, 1, at(1), None, True)]
+    rows = spark.createDataFrame(told, "subject string, relation_id long, valid_from timestamp, valid_to timestamp, is_current boolean").withColumns({"temporal": F.when(F.col("subject") == "c", T.at_instant(F.lit(at(2)))).otherwise(T.unknown_time(F.lit("once"))), "terminated": F.lit(None).cast("timestamp")})
+    out = relations.held_during(rows, ["subject"], F.lit(at(10)), F.lit(at(20)))
+    assert {r.subject: r.answer for r in out.collect()} == {"a": "yes", "b": "yes", "c": "yes", "d": "no", "e": "no", "f": "unknown", None: "yes"}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "temporal" not in plan.partition("Aggregate [")[2].partition("\n")[0]
