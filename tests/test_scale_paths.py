@@ -303,3 +303,13 @@ def test_the_first_relation_is_found_among_answers(spark):
     assert {r.subject: r.answer for r in out.collect()} == {"a": "yes", "b": "yes", "c": "yes", "d": "no", "e": "no", "f": "unknown", None: "yes"}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "temporal" not in plan.partition("Aggregate [")[2].partition("\n")[0]
+
+
+def test_ranges_are_counted_over_all_orders(spark, tmp_path):
+    """Only every third order was read; none of these is one of them."""
+    day = dt.datetime(1993, 5, 5)
+    spark.createDataFrame([(3,), (8,)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    fields = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
+    spark.createDataFrame([(k, 3, "O", 1.0, day, "1-URGENT") for k in (4, 5, 7, 8)], fields).write.parquet(str(tmp_path / "orders.parquet"))
+    found = QUERIES["counts_in_many_ranges"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == [(1, 3, 4, 0, "complete"), (1, 8, 4, 0, "complete"), (2, 8, 2, 0, "complete")]

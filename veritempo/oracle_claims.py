@@ -94,7 +94,7 @@ SQL: dict[str, str] = {
     # Every request against every event.
     "counts_in_many_ranges": f"""{_with(_EVENT)}, u AS (SELECT * FROM (VALUES (1::BIGINT), (2::BIGINT)) AS t(user_id)),
         asked AS (SELECT user_id, c_custkey AS request_id, DATE '1992-06-01' + (c_custkey * 37 % 2000)::INT AS a, [1, 7, 31, 365, 1000][c_custkey % 5 + 1] AS days FROM customer, u WHERE user_id = 1 OR c_custkey % 2 = 0),
-        held AS (SELECT user_id, event_id, w_start, w_end FROM event, u WHERE event_id % 3 = 0 AND (user_id = 1 OR event_id % 2 = 0)),
+        held AS (SELECT user_id, event_id, w_start, w_end FROM event, u WHERE user_id = 1 OR event_id % 2 = 0),
         m AS (SELECT user_id, request_id, CASE WHEN w_start IS NULL THEN 'unknown' WHEN w_start >= a AND w_end <= a + days THEN 'match' WHEN w_end <= a OR w_start >= a + days THEN 'no_match' ELSE 'unknown' END AS m FROM asked JOIN held USING (user_id)),
         g AS (SELECT user_id, request_id, count(*) FILTER (m = 'match') AS n, count(*) FILTER (m = 'unknown') AS n_unknown FROM m GROUP BY 1, 2)
         SELECT user_id, request_id, n, n_unknown, CASE WHEN n_unknown > 0 THEN 'partial' ELSE 'complete' END AS completeness FROM g""",
