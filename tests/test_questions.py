@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from veritempo.operators import questions, targets
 from veritempo.plans.spec import QuerySpec, execute
+from veritempo.queries import QUERIES
 from veritempo.sources.frames import KnowledgeFrames
 from veritempo.sources.layout import FRAMES, read_by_user, store_by_user, write_by_user
 
@@ -151,3 +152,53 @@ def test_questions_with_odd_fields(spark):
     assert found[2].association == "subject" and found[2].start is None
     assert (found[3].start, found[3].end) == (dt.datetime(2024, 3, 29, 3, 0), dt.datetime(2024, 3, 30, 3, 0))
     assert questions.specified(frame.limit(0)).collect() == []
+
+
+def shuffled_bytes(spark):
+    """What all stages so far have written for shuffles."""
+    gateway = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables here")
+def test_assertions_do_not_carry_names_that_nobody_asks_for(spark):
+    """All assertions with all their names were shuffled several times over, which filled the disk on large tables."""
+    before = shuffled_bytes(spark)
+    rows = QUERIES["described_targets"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == 13 * spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").count()
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert shuffled_bytes(spark) - before < MOST_FOR_A_LINE * lines
+
+
+#: Bytes of shuffle for a line of an order, whose two states, relation and part in an event can all be meant.
+MOST_FOR_A_LINE = 300
+
+
+def test_assertions_by_their_entities_equal_candidates_with_names(spark):
+    rng = random.Random(11)
+    some = lambda *xs: rng.choice(xs)
+    label = [(u, f"e{i}", some("ana", "bo ana", "carl", "d-carlo", "eve", "x")) for u in (1, 2) for i in range(12)] + [(1, "e99", None)]
+    name = {(u, e): n for u, e, n in label}
+    state = [(some(1, 2), i, some(False, False, True), some("e0", "e1", "e2", "e99", "gone", None), some("open", "back", None), some("O", "F", None)) for i in range(40)]
+    relation = [(some(1, 2), f"r{i}", some(False, False, True), some("e3", "e4", "e5", "gone"), some("e3", "e6", "e7", None), some("owns", "likes")) for i in range(40)]
+    event = [(some(1, 2), i, some(False, True), some("go", "stop", None), some(1999, 2000, None)) for i in range(30)]
+    members = [(some(1, 2), rng.randrange(32), f"e{rng.randrange(12)}") for _ in range(60)]
+    of = lambda rows, fields: spark.createDataFrame(rows, "user_id long, " + fields)
+    held = {
+        "state": targets.Assertions(of(state, "id long, over boolean, entity_id string, dimension string, key string")),
+        "relation": targets.Assertions(of(relation, "id string, over boolean, from_id string, to_id string, key string")),
+        "event": targets.Assertions(of(event, "id long, over boolean, action string, year int"), of(members, "id long, entity_id string")),
+    }
+    names = lambda u, *ends: [name[u, e] for e in ends if (u, e) in name]
+    candidates = [(r[0], "state", str(r[1]), names(r[0], r[3]), [], r[4], r[5], None, None) for r in state]
+    candidates += [(r[0], "relation", r[1], names(r[0], r[3], r[4]), names(r[0], r[4]), None, r[5], None, None) for r in relation]
+    candidates += [(r[0], "event", str(r[1]), names(r[0], *[e for u, i, e in members if (u, i) == (r[0], r[1])]), [], None, None, r[4], r[3]) for r in event]
+    ended = [(r[0], kind, str(r[1])) for kind, rows in (("state", state), ("relation", relation), ("event", event)) for r in rows if r[2]]
+    said = [(some(1, 2), i, some("state", "relation", "event", "event", "mood", None), some(None, "ana", "carl", "X", "eve", "zz", " "), some(*[None] * 6, "carlo", "x"), some(*[None] * 6, "open"), some(*[None] * 5, "O", "owns", "go"), some(*[None] * 5, 1999), None, None, some(*[None] * 6, "3", f"r{rng.randrange(40)}", str(rng.randrange(40)))) for i in range(250)]
+    fields = "description_id long, kind string, entity_text string, object_text string, dimension string, key string, year int, text string, number decimal(18,2), explicit_id string"
+    told = targets.described_assertions(of(said, fields), held, of(label, "entity_id string, name string"))
+    whole = of(candidates, "kind string, id string, names array<string>, object_names array<string>, dimension string, key string, year int, action string")
+    plain = targets.described_targets(of(said, fields), whole, of(ended, "kind string, target_id string"))
+    found = sorted(map(str, told.collect()))
+    assert found == sorted(map(str, plain.collect())) and len({r.rpartition("reason=")[2].partition(",")[0] for r in found}) == 8
